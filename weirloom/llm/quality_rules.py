@@ -1,8 +1,9 @@
 """Quality rules: isolation forest on rule statistics.
 
-One pass over the texts gives each document's rule statistics. An isolation forest is
-grown over the statistics of labelled documents: each tree takes SUBSAMPLE of them and
-splits on random features at random values down to depth log2(SUBSAMPLE); the mean path
+One pass over the texts gives each document's rule statistics, each taken as a one-sided
+rule: how far it exceeds the LIMIT_QUANTILE of the labelled good documents, in spreads of
+these. (On raw statistics the tails of good documents are as easy to isolate as junk.) An
+isolation forest is grown over labelled documents: each tree takes SUBSAMPLE and splits on random features at random values down to depth log2(SUBSAMPLE); the mean path
 length over the trees, normalised by that of a random search tree, gives the anomaly
 score. The threshold is the one which rejects the most rows of label quality = 0 among
 those that reject at most MAX_GOOD_REJECTED of the rows of quality = 1.
@@ -34,6 +35,7 @@ SAMPLE_ROWS = 20_000
 TREES = 100
 SUBSAMPLE = 256
 MAX_GOOD_REJECTED = 0.001
+LIMIT_QUANTILE = 0.999
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
@@ -128,14 +130,28 @@ class Forest:
     split: np.ndarray
     path: np.ndarray  # a leaf's depth with the usual path of the rows left in it
     usual: float
+    limit: np.ndarray  # of each statistic, from good rows
+    spread: np.ndarray
     threshold: float = np.inf
 
+    @classmethod
+    def fit(cls, rows: np.ndarray, good: np.ndarray, most: float = MAX_GOOD_REJECTED) -> Forest:
+        """Limits from the good rows, trees over all rows, threshold above all but a share `most` of the good rows."""
+        base = rows[good] if good.any() else rows
+        limit = np.quantile(base, LIMIT_QUANTILE, axis=0)
+        spread = np.maximum(limit - np.median(base, axis=0), 1e-3)
+        out = cls.grow(np.maximum(0, (rows - limit) / spread))
+        out.limit, out.spread = limit, spread
+        scores = np.sort(out.score(rows[good]))[::-1]
+        out.threshold = float(scores[int(most * len(scores))]) + 1e-9 if len(scores) else np.inf
+        return out
+
     @classmethod
     def grow(cls, rows: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 7) -> Forest:
         rng, m = np.random.default_rng(seed), min(subsample, len(rows))
         depth = max(1, int(np.ceil(np.log2(max(m, 2)))))
         nodes = 2 ** (depth + 1) - 1
-        out = cls(np.full((trees, nodes), -1), np.zeros((trees, nodes)), np.zeros((trees, nodes)), float(max(_usual(m), 1e-9)))
+        out = cls(np.full((trees, nodes), -1), np.zeros((trees, nodes)), np.zeros((trees, nodes)), float(max(_usual(m), 1e-9)), np.zeros(rows.shape[1]), np.ones(rows.shape[1]))
         for t in range(trees):
             todo = [(0, rows[rng.choice(len(rows), m, replace=False)], 0)]
             while todo:
@@ -155,6 +171,7 @@ class Forest:
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         """2 ** -(mean path / usual path): near 1 for rows that few splits isolate."""
+        rows = np.maximum(0, (rows - self.limit) / self.spread)
         total, each = np.zeros(len(rows)), np.arange(len(rows))
         for feature, split, path in zip(self.feature, self.split, self.path, strict=True):
             node = np.zeros(len(rows), np.int64)
@@ -164,11 +181,6 @@ class Forest:
             total += path[node]
         return np.exp2(-total / len(self.path) / self.usual)
 
-    def calibrate(self, rows: np.ndarray, good: np.ndarray, most: float = MAX_GOOD_REJECTED) -> None:
-        """Sets the lowest threshold above all but a share `most` of the good rows' scores."""
-        scores = np.sort(self.score(rows[good]))[::-1]
-        self.threshold = float(scores[int(most * len(scores))]) + 1e-3 if len(scores) else np.inf
-
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> Forest | None:
     """The forest over up to `rows` labelled documents, or None without any."""
@@ -190,9 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if not len(found):
         return None
     matrix = found[names].to_numpy()
-    forest = Forest.grow(matrix)
-    forest.calibrate(matrix, found["q_label"].to_numpy() == 1)
-    return forest
+    return Forest.fit(matrix, found["q_label"].to_numpy() == 1)
 
 
 def judge(docs: DataFrame, forest: Forest | None, text: str = "text") -> DataFrame:
