@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirloom.llm import quality_rules, url_rules
+from weirloom.llm import ngram_join, pii, quality_rules, url_rules
 from weirloom.llm.common import table
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.component_ids(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     forest = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
@@ -18,13 +22,21 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", F.round("anomaly", 6).alias("anomaly"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    counts = [f"n_{k}" for k in pii.BASE_KINDS]
+    return out.select("doc_id", *counts, F.sha2(pii.joined(F.col("base_spans")), 256).alias("base_sha256"), pii.joined(F.col("pii_spans")).alias("spans"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_quality_rules": op7_quality_rules,
+    "op8_pii": op8_pii,
     "op10_url_filters": op10_url_filters,
 }
 
-ORACLES: dict[str, str] = {"op10_url_filters": url_rules.oracle()}
+ORACLES: dict[str, str] = {"op5_ngram_jaccard_join": ngram_join.oracle(), "op10_url_filters": url_rules.oracle()}
