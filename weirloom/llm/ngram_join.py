@@ -8,8 +8,8 @@ shingles. Steps:
    prefix is its first n - ceil(0.8 n) + 1 shingles: two sets that link share a shingle of
    both prefixes. Those no other class has cannot be shared and are left out.
 3. Classes of equal prefix and size form a group; a group's prefix is posted once.
-4. Per posting list and size band, a group is paired with the list's smallest group of the
-   band, and that with the smallest of the next band: as many pairs as postings. Pairs pass
+4. Per posting list and size band, a group is paired with the list's most central group of the
+   band (that with the fewest prefix shingles of its own), and that with the next band's: as many pairs as postings. Pairs pass
    the size filter and the positional filter (shingles left in both sets must suffice),
    are expanded to members and verified on whole sets. Verified links give components.
 5. Lists that still hold several components yield every pair between different components
@@ -122,12 +122,13 @@ def postings(docs: DataFrame, n_batches: int) -> DataFrame:
                 "n": pa.array(count[has].astype(np.int64)),
                 "prefix": pa.array(sums[has].view(np.int64)),
                 "tokens": pa.array([tokens[a:b] for a, b in zip(heads, ends, strict=True)], pa.list_(pa.int64())),
+                "alone": pa.array((np.bincount(rows[prefix], minlength=own.num_rows)[has] - (ends - heads)).astype(np.int32)),
                 "places": pa.array([places[a:b] for a, b in zip(heads, ends, strict=True)], pa.list_(pa.int32())),
                 "bag": pa.array([bags[s : s + c].tobytes() for s, c in zip(starts[has], count[has], strict=True)], pa.binary()),
             }
         )
 
-    return dealt.groupBy("batch").cogroup(levels.groupBy("batch")).applyInArrow(post, "cid binary, n long, prefix long, tokens array<long>, places array<int>, bag binary")
+    return dealt.groupBy("batch").cogroup(levels.groupBy("batch")).applyInArrow(post, "cid binary, n long, prefix long, tokens array<long>, alone int, places array<int>, bag binary")
 
 
 def _fits(a: str, b: str) -> F.Column:
@@ -166,12 +167,12 @@ def links(docs: DataFrame) -> DataFrame:
     posted = durable(postings(docs, key_counts.batches(docs)), "postings")
     bags = posted.groupBy("cid").agg(F.first("bag").alias("bag"))
     members = posted.select("n", "prefix", "cid").distinct()
-    groups = posted.groupBy("n", "prefix").agg(F.first(F.struct("tokens", "places")).alias("t"), F.min("cid").alias("head"))
-    lists = groups.select("head", "n", F.explode(F.arrays_zip("t.tokens", "t.places")).alias("z")).select(F.col("z.tokens").alias("token"), "head", "n", F.col("z.places").alias("place"))
+    groups = posted.groupBy("n", "prefix").agg(F.first(F.struct("tokens", "places", "alone")).alias("t"), F.min("cid").alias("head"))
+    lists = groups.select("head", "n", F.col("t.alone").alias("alone"), F.explode(F.arrays_zip("t.tokens", "t.places")).alias("z")).select(F.col("z.tokens").alias("token"), "alone", "head", "n", F.col("z.places").alias("place"))
     # 4. linear pairs
     band = F.floor(F.log("n") / F.log(F.lit(BAND)))
     whole = Window.partitionBy("token", "band")
-    me = F.struct("head", "n", "place")
+    me = F.struct("alone", "head", "n", "place")
     banded = lists.withColumn("band", band)
     first = banded.withColumn("c", F.min(me).over(whole)).where(F.col("c.head") != F.col("head")).select(me.alias("p"), F.col("c").alias("q"))
     centres = banded.groupBy("token", "band").agg(F.min(me).alias("c"))
