@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirloom.llm import ngram_join, pii, quality_rules, url_rules
+from weirloom.llm import ngram_join, pii, quality_rules, suffix_dedup, url_rules
 from weirloom.llm.common import table
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), with_bytes=False)
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.component_ids(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_quality_rules": op7_quality_rules,
     "op8_pii": op8_pii,
