@@ -97,4 +97,5 @@ def answers(dealt: DataFrame, extract: Extract, n_batches: int) -> DataFrame:
 
 
 def deal(docs: DataFrame, key: str, n_batches: int) -> DataFrame:
-    return docs.withColumn("batch", F.pmod(F.xxhash64(key), F.lit(n_batches)).cast("long"))
+    """docs with the column batch, dealt by it: one exchange that all uses within a plan share."""
+    return docs.withColumn("batch", F.pmod(F.xxhash64(key), F.lit(n_batches)).cast("long")).repartition(n_batches, "batch")

@@ -77,16 +77,25 @@ def sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, cid binary")
 
 
-def _of_batch(own: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(row, shingle) of a whole batch, slice by slice."""
-    rows, prints, base = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+def _of_batch(own: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shingle) of a whole batch, slice by slice, without sets that an earlier row has; sizes and fingerprints of the rows."""
+    rows, prints, counts, cids, base = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.uint64)], 0
     for batch in own.to_batches():
         for part, data, offsets in slices(batch):
             r, p = shingles(data, offsets, SIZE)
+            count, cid = _fingerprints(r, p, part.num_rows)
             rows.append(r + base)
             prints.append(p)
+            counts.append(count)
+            cids.append(cid)
             base += part.num_rows
-    return np.concatenate(rows), np.concatenate(prints)
+    count, cid = np.concatenate(counts), np.concatenate(cids)
+    _, first = np.unique(cid, axis=0, return_index=True) if base else (None, np.zeros(0, np.int64))
+    own_rows = np.concatenate(rows)
+    new = np.zeros(base, bool)
+    new[first] = True
+    keep = new[own_rows] if base else np.zeros(0, bool)
+    return own_rows[keep], np.concatenate(prints)[keep], np.where(new, count, 0), cid
 
 
 def _needed(n: np.ndarray) -> np.ndarray:
@@ -94,15 +103,14 @@ def _needed(n: np.ndarray) -> np.ndarray:
 
 
 def postings(docs: DataFrame, n_batches: int) -> DataFrame:
-    """(cid, n, group, tokens, places, bag) for sets (rows doc_id, text) that share a shingle of their prefix."""
+    """(cid, n, prefix, tokens, alone, places, bag) for the sets of docs (doc_id, text) that share a shingle of their prefix; a set may come once for each batch."""
     bits = key_counts.range_bits(n_batches)
     dealt = key_counts.deal(docs, "doc_id", n_batches)
     levels = key_counts.answers(dealt, lambda own: _of_batch(own)[1], n_batches)
 
     def post(own: pa.Table, answers: pa.Table) -> pa.Table:
-        rows, prints = _of_batch(own)
+        rows, prints, count, cids = _of_batch(own)
         level = key_counts.levels_of(prints, answers, bits)
-        count, cids = _fingerprints(rows, prints, own.num_rows)
         order = np.lexsort((prints, level, rows))
         starts = np.cumsum(count) - count
         place = np.arange(len(rows)) - starts[rows]
@@ -163,10 +171,10 @@ def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame) -> DataFrame:
-    """Components (node, root) of the sets of docs (doc_id, text), one row for each set; nodes are set fingerprints."""
-    posted = durable(postings(docs, key_counts.batches(docs)), "postings")
-    bags = posted.groupBy("cid").agg(F.first("bag").alias("bag"))
-    members = posted.select("n", "prefix", "cid").distinct()
+    """Components (node, root) of the sets of docs (doc_id, text); nodes are set fingerprints."""
+    posted = durable(postings(docs, key_counts.batches(docs)).dropDuplicates(["cid"]), "postings")
+    bags = posted.select("cid", "bag")
+    members = posted.select("n", "prefix", "cid")
     groups = posted.groupBy("n", "prefix").agg(F.first(F.struct("tokens", "places", "alone")).alias("t"), F.min("cid").alias("head"))
     lists = groups.select("head", "n", F.col("t.alone").alias("alone"), F.explode(F.arrays_zip("t.tokens", "t.places")).alias("z")).select(F.col("z.tokens").alias("token"), "alone", "head", "n", F.col("z.places").alias("place"))
     # 4. linear pairs
@@ -202,9 +210,7 @@ def component_ids(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """(doc_id, n_shingles, component_id), a row for each of docs."""
     every = durable(sets(docs, key, text), "sets")
     classes = every.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), F.count("*").alias("held"))
-    heads = classes.where("least IS NOT NULL").select(F.col("least").alias("doc_id")).distinct()
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(heads, "doc_id", "left_semi")
-    roots = links(texts)
+    roots = links(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")))
     linked = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("held").alias("held")).where("held > 1")
     known = linked.select("cid", "root").join(least, "root").select("cid", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
