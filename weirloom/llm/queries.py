@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirloom.llm import ngram_join, pii, quality_rules, suffix_dedup, url_rules
+from weirloom.llm import media_columns, ngram_join, page_text, pii, quality_rules, suffix_dedup, url_rules
 from weirloom.llm.common import table
 
 
@@ -15,6 +15,14 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"), with_bytes=False)
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns.load(media_columns.store(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.component_ids(table(spark, sf_dir, "documents"))
 
@@ -38,6 +46,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op3_media_columns": op3_media_columns,
+    "op4_html_extraction": op4_html_extraction,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_quality_rules": op7_quality_rules,
     "op8_pii": op8_pii,
