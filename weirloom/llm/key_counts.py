@@ -58,12 +58,18 @@ def _keys(prints: np.ndarray, bits: int) -> np.ndarray:
 
 def levels_of(prints: np.ndarray, answers: pa.Table, bits: int) -> np.ndarray:
     """The level of each fingerprint of a batch: 0 if no other document has it, else the binary logarithm of the count, rounded up."""
-    known = np.unique(_keys(prints, bits))
+    keys = _keys(prints, bits)
+    known, where = np.unique(keys, return_inverse=True)
+    return in_ranges(known, answers)[where]
+
+
+def in_ranges(known: np.ndarray, answers: pa.Table) -> np.ndarray:
+    """The answers to a batch's distinct keys, in order, from the blobs of all ranges."""
     level = np.zeros(len(known), np.uint8)
     for r, n, blob in zip(answers.column("range").to_pylist(), answers.column("n").to_pylist(), answers.column("levels").to_pylist(), strict=True):
         at = int(np.searchsorted(known, np.uint64(r) << np.uint64(32)))
         level[at : at + n] = _unpack(blob, n, np.uint8)
-    return level[np.searchsorted(known, _keys(prints, bits))]
+    return level
 
 
 def answers(dealt: DataFrame, extract: Extract, n_batches: int) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 
 def _group_ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, dense rank of each place) by key."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.empty(len(key), bool)
     new[:1] = False
     new[1:] = key[order][1:] != key[order][:-1]
@@ -67,7 +67,7 @@ class RunIndex:
         self.window_class = rank
         rank = refine(rank, depth, 2 * depth)
         # by now only suffixes that end in the same way are equal: their separators, so their places, decide
-        order = np.lexsort((np.arange(n), rank))
+        order = np.argsort(rank * bound + np.arange(n))
         self.suffixes = order
         before = self.symbols[order - 1]
         before[order == 0] = 0

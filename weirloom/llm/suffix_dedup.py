@@ -8,17 +8,19 @@ that sorts before, or earlier in the same one) is removed. Exact over the corpus
    anchor are neighbours; they and the bytes they span are its context. Every string
    belongs to one context, and about one position in 39 is an anchor.
 2. key_counts tells in how many places each anchor occurs in the corpus. Strings of an
-   anchor with one place occur once. Contexts of the others are kept, and only the first of
-   equal ones in a batch of documents: the rest is removed at once.
-3. Contexts meet by anchor. A task takes its own in document order, block by block: each
-   block gets a run-length compressed Burrows-Wheeler index with sampled run ends; the
-   classes of its LENGTH-prefixes tell which strings occur earlier in the block; its
-   matching statistics against the indexes of earlier blocks, streamed right to left, tell
-   which occur there. Only contexts with a new string enter the indexes.
+   anchor with one place occur once. Of the others, a batch of documents asks by two
+   fingerprints (anchor and whole context): a context that an earlier document has whole is
+   removed at once, and one whose anchor has no other context is new. What is left
+   ambiguous, the ends of copied passages, is sent with its bytes.
+3. Ambiguous contexts meet by anchor and go through run-length compressed Burrows-Wheeler
+   indexes with sampled run ends. The first context of each anchor makes the first index;
+   the next two stream their matching statistics against it and make the second, the next
+   four stream against both, and so on: a string is a repeat if its statistic against an
+   earlier index reaches LENGTH, or if the index of its own round has it earlier.
 4. The removed ranges go back to the documents, which are cut and digested.
 
-Batches, blocks and tasks have a fixed size in bytes, so memory does not grow with the
-input; a text is held whole in one task.
+Batches and tasks have a fixed size in bytes, so memory does not grow with the input; a
+text is held whole in one task.
 
 Defined results: null text is empty; documents sort by key, then by the text's digest, a
 null key before all others; repeated rows (equal key and text) get the result of the first
@@ -32,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +44,10 @@ from weirloom.llm.run_index import RunIndex
 
 LENGTH = 100
 K = 24
+#: Bytes of contexts for an index of step 3, for a task, and that a task holds before it starts to index.
 BLOCK_BYTES = 3 << 20
-#: Bytes of contexts for a task of step 3.
-TASK_BYTES = 6 << 20
+TASK_BYTES = 4 << 20
+HOLD_BYTES = 48 << 20
 
 
 def _window_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -68,7 +72,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int
     place = np.arange(len(prints), dtype=np.uint64)
     least = _window_least((prints & np.uint64(0xFFFFFFFF00000000)) | place, length - k + 1)
     start = np.arange(len(least))
-    row = np.searchsorted(offsets, start, "right") - 1
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(start)]
     fits = start + length <= offsets[row + 1]
     start, row, anchor = start[fits], row[fits], (least[fits] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     if not len(start):
@@ -108,31 +112,95 @@ def _anchors(own: pa.Table) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint64), *(contexts(data, offsets)[0] for _, data, offsets in _Batch(own).pieces())])
 
 
+def _shared(batch: _Batch, answers: pa.Table, bits: int) -> tuple[np.ndarray, ...]:
+    """Contexts of shared anchors in document order: (anchor, fingerprint of the whole, row, begin, end), places in the text."""
+    got = []
+    for rows, data, offsets in batch.pieces():
+        prints, start, end, row = contexts(data, offsets)
+        got.append((prints, Prints(data).of(start, end), rows[row], start - offsets[row], end - offsets[row]))
+    if not got:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3
+    prints, *more = (np.concatenate(x) for x in zip(*got, strict=True))
+    keep = key_counts.levels_of(prints, answers, bits) > 0
+    return prints[keep], *(x[keep] for x in more)
+
+
+def _first_of_each(prints: np.ndarray, whole: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key of the anchor, fingerprint of the whole, first index), sorted, of a batch's distinct contexts."""
+    key, same_as = prints >> np.uint64(32 - bits), whole
+    order = np.lexsort((same_as, key))  # stable: the first in document order leads its group
+    new = np.ones(len(order), bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (same_as[order][1:] != same_as[order][:-1])
+    at = order[new]
+    return key[at], same_as[at], at
+
+
+def _ask(own: pa.Table, answers: pa.Table, bits: int) -> pa.Table:
+    batch = _Batch(own)
+    prints, whole, rows, _, _ = _shared(batch, answers, bits)
+    key, same_as, at = _first_of_each(prints, whole, bits)
+    docs = batch.keys[rows[at]]
+    ranges = (key >> np.uint64(32)).astype(np.int64)
+    heads = np.flatnonzero(np.append(True, ranges[1:] != ranges[:-1])) if len(key) else np.zeros(0, np.int64)
+    ends = np.append(heads[1:], len(key)).astype(np.int64) if len(key) else heads
+    low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    blob = lambda values: pa.array([key_counts._pack(values[a:b]) for a, b in zip(heads, ends, strict=True)], pa.binary())
+    steps = np.diff(low, prepend=np.uint32(0))
+    steps[heads] = low[heads]
+    number = own.column("batch")[0].as_py()
+    return pa.table({"batch": pa.array([number] * len(heads), pa.int64()), "range": pa.array(ranges[heads]), "n": pa.array(ends - heads), "keys": blob(steps), "wholes": blob(same_as), "docs": blob(docs.view(np.uint64))})
+
+
+KNOWN, AMBIGUOUS = 1, 2
+
+
+def _tell(asked: pa.Table) -> pa.Table:
+    """For each context asked for: KNOWN if an earlier document has it, else AMBIGUOUS if its anchor has another one."""
+    n = asked.column("n").to_pylist()
+    column = lambda name, kind: [key_counts._unpack(b, k, kind) for b, k in zip(asked.column(name).to_pylist(), n, strict=True)]
+    key = np.concatenate([np.cumsum(x, dtype=np.uint32) for x in column("keys", np.uint32)])
+    same_as, docs = np.concatenate(column("wholes", np.uint64)), np.concatenate(column("docs", np.uint64)).view(np.int64)
+    order = np.lexsort((docs, same_as, key))
+    same_key = np.append(False, key[order][1:] == key[order][:-1])
+    same = same_key & np.append(False, same_as[order][1:] == same_as[order][:-1])
+    group = np.cumsum(~same_key) - 1
+    several = np.bincount(group, weights=~same) > 1
+    flag = np.empty(len(key), np.uint8)
+    flag[order] = np.where(same, KNOWN, np.where(several[group], AMBIGUOUS, 0))
+    at = np.cumsum([0, *n])
+    blobs = [pa.compress(flag[a:b].tobytes(), "zstd", asbytes=True) for a, b in zip(at[:-1], at[1:], strict=True)]
+    return pa.table({"batch": asked.column("batch"), "range": asked.column("range"), "n": asked.column("n"), "levels": pa.array(blobs, pa.binary()), "told": pa.array([True] * len(n))})
+
+
 FOUND = "anchor long, doc_id long, tie binary, at long, size long, bytes binary"
 
 
-def _shared(own: pa.Table, answers: pa.Table, bits: int) -> pa.Table:
-    """Contexts of shared anchors; ranges known to be repeats have null bytes."""
+def _give(own: pa.Table, answers: pa.Table, bits: int) -> pa.Table:
+    """Ambiguous contexts with their bytes, and with null bytes the ranges known to be repeats."""
     batch = _Batch(own)
-    got: list[tuple] = []
-    for rows, data, offsets in batch.pieces():
-        prints, start, end, row = contexts(data, offsets)
-        got.append((prints, rows[row], start - offsets[row], end - offsets[row], Prints(data).of(start, end), [data[a:b].tobytes() for a, b in zip(start, end, strict=True)]))
+    told = pc.fill_null(answers.column("told"), False)
+    prints, whole, rows, begin, end = _shared(batch, answers.filter(pc.invert(told)), bits)
+    key, same_as, first = _first_of_each(prints, whole, bits)
+    flag = np.full(len(prints), KNOWN, np.uint8)  # equal to an earlier one of this batch
+    order = answers.filter(told).sort_by("range")
+    flag[first] = np.concatenate([np.zeros(0, np.uint8), *(key_counts._unpack(b, n, np.uint8) for b, n in zip(order.column("levels").to_pylist(), order.column("n").to_pylist(), strict=True))])
     out: list[tuple] = []
-    if got:
-        prints, rows, at, end, whole = (np.concatenate([g[i] for g in got]) for i in range(5))
-        texts = [t for g in got for t in g[5]]
-        shared = np.flatnonzero(key_counts.levels_of(prints, answers, bits) > 0)
-        seen: set[tuple[int, int]] = set()
-        for i in shared.tolist():  # in document order
-            mark = (int(prints[i]), int(whole[i]))
-            r = int(rows[i])
-            out.append((int(prints[i].view(np.int64)), int(batch.keys[r]), batch.digests[r], int(at[i]), int(end[i] - at[i]), None if mark in seen else texts[i]))
-            seen.add(mark)
+    known = np.flatnonzero(flag == KNOWN)
+    if len(known):
+        r, a, b = rows[known], begin[known], end[known]
+        new = np.append(True, (r[1:] != r[:-1]) | (a[1:] > b[:-1]))
+        heads = np.flatnonzero(new)
+        tails = np.append(heads[1:], len(known)) - 1
+        for i, x, y in zip(r[heads].tolist(), a[heads].tolist(), b[tails].tolist(), strict=True):
+            out.append((0, int(batch.keys[i]), batch.digests[i], x, y - x, None))
+    raw = batch.data
+    for c in np.flatnonzero(flag == AMBIGUOUS).tolist():
+        i, a, b = int(rows[c]), int(begin[c]), int(end[c])
+        base = int(batch.offsets[i])
+        out.append((int(prints[c].view(np.int64)), int(batch.keys[i]), batch.digests[i], a, b - a, raw[base + a : base + b].tobytes()))
     size = np.diff(batch.offsets)
     for i in np.flatnonzero(batch.first_of != np.arange(len(batch.keys))).tolist():
-        f = batch.first_of[i]
-        if batch.keys[i] != batch.keys[f] and size[i] >= LENGTH:
+        if batch.keys[i] != batch.keys[batch.first_of[i]] and size[i] >= LENGTH:
             out.append((0, int(batch.keys[i]), batch.digests[i], 0, int(size[i]), None))
     names = ["anchor", "doc_id", "tie", "at", "size", "bytes"]
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
@@ -153,25 +221,24 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 3 over one task's contexts, sorted by document and place."""
     indexes: list[RunIndex] = []
 
-    def block(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(rows).combine_chunks()
+    def block(table: pa.Table) -> pa.RecordBatch:
         data, offsets = buffer(table.column("bytes"))
-        index = RunIndex(data, offsets, LENGTH)
         sizes = np.diff(offsets)
         strings = sizes - LENGTH + 1
         owner = np.repeat(np.arange(len(sizes)), strings)
         inner = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings)
-        classes = index.window_class[index.starts[owner] + inner]
-        _, first = np.unique(classes, return_index=True)
-        repeat = np.ones(len(owner), bool)
-        repeat[first] = False  # np.unique gives the first place, and places are in document order
+        repeat = np.zeros(len(owner), bool)
         for old in indexes:
             repeat |= old.matching_statistics(data, offsets, LENGTH)[offsets[owner] + inner] >= LENGTH
-        fresh = np.unique(owner[~repeat])
-        if len(fresh):
-            keep = table.take(pa.array(fresh))
-            indexes.append(index if len(fresh) == len(sizes) else RunIndex(*buffer(keep.column("bytes")), LENGTH))
-            indexes[-1].window_class = None
+        index = RunIndex(data, offsets, LENGTH)
+        classes = index.window_class[index.starts[owner] + inner]
+        _, first = np.unique(classes, return_index=True)  # the first place, and places are in document order
+        own = np.ones(len(owner), bool)
+        own[first] = False
+        repeat |= own
+        index.window_class = None
+        if not repeat.all():
+            indexes.append(index)
         doc, tie, at = table.column("doc_id"), table.column("tie"), table.column("at").to_numpy()
         hits = np.flatnonzero(repeat)
         where, begin, end = [], [], []
@@ -184,18 +251,32 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         taken = pa.array(where, pa.int64())
         return pa.RecordBatch.from_arrays([doc.take(taken).combine_chunks(), tie.take(taken).combine_chunks(), pa.array(begin, pa.int64()), pa.array(end, pa.int64())], ["doc_id", "tie", "begin", "end"])
 
+    def rounds(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        anchors = table.column("anchor").to_numpy()
+        order = np.argsort(anchors, kind="stable")
+        heads = np.flatnonzero(np.append(True, anchors[order][1:] != anchors[order][:-1]))
+        place = np.empty(len(anchors), np.int64)
+        place[order] = np.arange(len(anchors)) - np.repeat(heads, np.diff(np.append(heads, len(anchors))))
+        level = np.log2(place + 1).astype(np.int64)
+        for k in range(int(level.max()) + 1):
+            own = table.take(pa.array(np.flatnonzero(level == k)))
+            sizes = pc.binary_length(own.column("bytes")).to_numpy()
+            part = np.cumsum(sizes) // BLOCK_BYTES
+            for p in range(int(part[-1]) + 1):
+                a, b = np.searchsorted(part, [p, p + 1])
+                if b > a:
+                    yield block(own.slice(a, b - a).combine_chunks())
+
     held, size = [], 0
     for batch in batches:
-        step = max(1, batch.num_rows // max(1, batch.nbytes // BLOCK_BYTES + 1))
-        for i in range(0, batch.num_rows, step):
-            part = batch.slice(i, step)
-            held.append(part)
-            size += part.nbytes
-            if size >= BLOCK_BYTES:
-                yield block(held)
-                held, size = [], 0
-    if held:
-        yield block(held)
+        held.append(batch)
+        size += batch.nbytes
+        if size >= HOLD_BYTES:
+            yield from rounds(held)
+            held, size = [], 0
+    if size or any(b.num_rows for b in held):
+        yield from rounds(held)
 
 
 def _cut(own: pa.Table, ranges: pa.Table) -> pa.Table:
@@ -231,7 +312,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", with_bytes:
     bits = key_counts.range_bits(n_batches)
     dealt = key_counts.deal(rows, "doc_id", n_batches)
     answers = key_counts.answers(dealt, _anchors, n_batches)
-    found = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(lambda own, got: _shared(own, got, bits), FOUND)
+    asked = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(lambda own, got: _ask(own, got, bits), "batch long, range long, n long, keys binary, wholes binary, docs binary")
+    told = asked.groupBy("range").applyInArrow(_tell, "batch long, range long, n long, levels binary, told boolean")
+    both = answers.withColumn("told", F.lit(False)).union(told)
+    found = dealt.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(lambda own, got: _give(own, got, bits), FOUND)
     found = durable(found, "contexts")
     open_ = found.where("bytes IS NOT NULL").drop("size")
     total = open_.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
