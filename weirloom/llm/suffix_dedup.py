@@ -14,9 +14,10 @@ that sorts before, or earlier in the same one) is removed. Exact over the corpus
    ambiguous, the ends of copied passages, is sent with its bytes.
 3. Ambiguous contexts meet by anchor and go through run-length compressed Burrows-Wheeler
    indexes with sampled run ends. The first context of each anchor makes the first index;
-   the next two stream their matching statistics against it and make the second, the next
-   four stream against both, and so on: a string is a repeat if its statistic against an
-   earlier index reaches LENGTH, or if the index of its own round has it earlier.
+   the next GROWTH - 1 stream their matching statistics against it and make the second; of
+   those after them, GROWTH times as many stream against both, and so on: a string is a
+   repeat if its statistic against an earlier index reaches LENGTH, or if the index of its
+   own round has it earlier.
 4. The removed ranges go back to the documents, which are cut and digested.
 
 Batches and tasks have a fixed size in bytes, so memory does not grow with the input; a
@@ -46,8 +47,10 @@ LENGTH = 100
 K = 24
 #: Bytes of contexts for an index of step 3, for a task, and that a task holds before it starts to index.
 BLOCK_BYTES = 3 << 20
-TASK_BYTES = 4 << 20
+TASK_BYTES = 12 << 20
 HOLD_BYTES = 48 << 20
+#: How much longer than all before it a round is.
+GROWTH = 8
 
 
 def _window_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -63,12 +66,13 @@ def _window_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def contexts(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor fingerprint, start, end, row) of each context; end is that of the last byte its strings span."""
+def contexts(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor fingerprint, that of the whole, start, end, row) of each context; end is that of the last byte its strings span."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none.astype(np.uint64), none, none, none
-    prints = Prints(data).rolling(k)
+        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+    every = Prints(data)
+    prints = every.rolling(k)
     place = np.arange(len(prints), dtype=np.uint64)
     least = _window_least((prints & np.uint64(0xFFFFFFFF00000000)) | place, length - k + 1)
     start = np.arange(len(least))
@@ -76,11 +80,12 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int
     fits = start + length <= offsets[row + 1]
     start, row, anchor = start[fits], row[fits], (least[fits] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     if not len(start):
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
     new = np.append(True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]))
     heads = np.flatnonzero(new)
     last = np.append(heads[1:], len(start)) - 1
-    return prints[anchor[heads]], start[heads], start[last] + length, row[heads]
+    begin, end = start[heads], start[last] + length
+    return prints[anchor[heads]], every.of(begin, end), begin, end, row[heads]
 
 
 class _Batch:
@@ -116,8 +121,8 @@ def _shared(batch: _Batch, answers: pa.Table, bits: int) -> tuple[np.ndarray, ..
     """Contexts of shared anchors in document order: (anchor, fingerprint of the whole, row, begin, end), places in the text."""
     got = []
     for rows, data, offsets in batch.pieces():
-        prints, start, end, row = contexts(data, offsets)
-        got.append((prints, Prints(data).of(start, end), rows[row], start - offsets[row], end - offsets[row]))
+        prints, whole, start, end, row = contexts(data, offsets)
+        got.append((prints, whole, rows[row], start - offsets[row], end - offsets[row]))
     if not got:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3
     prints, *more = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -258,7 +263,7 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = np.flatnonzero(np.append(True, anchors[order][1:] != anchors[order][:-1]))
         place = np.empty(len(anchors), np.int64)
         place[order] = np.arange(len(anchors)) - np.repeat(heads, np.diff(np.append(heads, len(anchors))))
-        level = np.log2(place + 1).astype(np.int64)
+        level = sum((place >= GROWTH**k).astype(np.int64) for k in range(int(np.log2(max(1, place.max()))) // 3 + 1))
         for k in range(int(level.max()) + 1):
             own = table.take(pa.array(np.flatnonzero(level == k)))
             sizes = pc.binary_length(own.column("bytes")).to_numpy()
