@@ -8,10 +8,10 @@
    count as zero.
 3. Document rates r >= 0 are fitted so that the expected tokens of each domain,
    sum(r * tokens * posterior), match targets, by projected gradient on the least squares
-   error, weighted by the domains' Gram matrix M. From rates of 1, step t takes
-   r <- max(0, r - posterior . M^-1 (totals_t - targets)). In that metric the gradient's
-   Lipschitz bound is 1, so a full step is safe. The totals are one small aggregation a
-   step; the rates are never stored: a document's rate follows from the few step vectors.
+   error, preconditioned by the Gram matrix M of the documents whose rate is above 0. From
+   rates of 1, a step takes r <- max(0, r - posterior . s M^-1 (totals - targets)), with s = 1,
+   halved for as long as the error would grow. Totals and M are one small aggregation a step;
+   the rates are never stored: a document's rate follows from the few step vectors.
 4. A document gets floor(rate + u) copies, u being a uniform hash of its key, so the
    expected copies equal the rate.
 
@@ -152,23 +152,31 @@ def default_targets(totals: np.ndarray) -> np.ndarray:
 def solve(members: DataFrame, targets: Sequence[float] | None = None) -> tuple[list[list[float]], np.ndarray, np.ndarray]:
     """(step vectors, targets, totals reached) for members (n_tokens, p), which should be a written table."""
     k = len(DOMAINS)
-    n = F.col("n_tokens")
-    gram = members.agg(*(F.sum(n * F.get("p", F.lit(i)) * F.get("p", F.lit(j))).alias(f"m{i}{j}") for i in range(k) for j in range(k)), *(F.sum(n * F.get("p", F.lit(i))).alias(f"t{i}") for i in range(k))).first()
-    m = np.array([[gram[f"m{i}{j}"] or 0.0 for j in range(k)] for i in range(k)])
-    totals = np.array([gram[f"t{i}"] or 0.0 for i in range(k)])
+    part = lambda i: F.get("p", F.lit(i))
+
+    def measured(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        """(totals, Gram matrix of documents with a rate above 0)."""
+        rows = members.select("n_tokens", "p", rate(steps).alias("r"))
+        active = F.when(F.col("r") > 0, F.col("n_tokens")).otherwise(0)
+        row = rows.agg(*(F.sum(F.col("r") * F.col("n_tokens") * part(i)).alias(f"t{i}") for i in range(k)), *(F.sum(active * part(i) * part(j)).alias(f"m{i}{j}") for i in range(k) for j in range(i, k))).first()
+        value = lambda name: float(row[name] or 0)
+        return np.array([value(f"t{i}") for i in range(k)]), np.array([[value(f"m{min(i, j)}{max(i, j)}") for j in range(k)] for i in range(k)])
+
+    totals, gram = measured([])
     goal = np.asarray(targets, float) if targets is not None else default_targets(totals)
-    metric = np.linalg.pinv(m + 1e-9 * max(1.0, np.trace(m)) * np.eye(k))
+    error = lambda t: float(np.linalg.norm(t - goal) / max(1.0, goal.sum()))
     steps: list[list[float]] = []
-    error = lambda t: float(np.abs(t - goal).max() / max(1.0, goal.sum()))
-    last = np.inf
+    size = 1.0
     for _ in range(STEPS):
-        if error(totals) < TOLERANCE or abs(last - error(totals)) < TOLERANCE / 10:
+        if error(totals) < TOLERANCE or size < 1e-4:
             break
-        last = error(totals)
-        steps.append((metric @ (totals - goal)).tolist())
-        r = rate(steps)
-        row = members.agg(*(F.sum(r * n * F.get("p", F.lit(i))).alias(f"t{i}") for i in range(k))).first()
-        totals = np.array([row[f"t{i}"] or 0.0 for i in range(k)])
+        step = np.linalg.pinv(gram + 1e-9 * max(1.0, np.trace(gram)) * np.eye(k)) @ (totals - goal)
+        tried, shape = measured([*steps, (size * step).tolist()])
+        if error(tried) < error(totals) * (1 - 1e-4):
+            steps.append((size * step).tolist())
+            totals, gram, size = tried, shape, min(1.0, 2 * size)
+        else:
+            size /= 4
     return steps, goal, totals
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirloom.llm import media_columns, ngram_join, page_text, pii, quality_rules, suffix_dedup, url_rules
+from weirloom.llm import media_columns, mixing, ngram_join, page_text, pieces, pii, quality_rules, quotes, suffix_dedup, url_rules
 from weirloom.llm.common import table
 
 
@@ -15,6 +15,14 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"), with_bytes=False)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = pieces.broadcast(spark)
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    out = pieces.decode(encoded, vocabulary)
+    digest = F.sha2(F.array_join("ids", ","), 256)
+    return out.select("doc_id", "n_pieces", F.array_join(F.transform("nbest_scores", lambda s: F.format_string("%.1f", s)), ",").alias("nbest_scores"), digest.alias("ids_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.load(media_columns.store(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -27,6 +35,12 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.component_ids(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+    shown = [F.round(c, 6).alias(c) for c in (*(f"p_{d}" for d in mixing.DOMAINS), "rate")]
+    return out.select("doc_id", "n_tokens", *shown, "copies")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     forest = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
@@ -40,17 +54,25 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(pii.joined(F.col("base_spans")), 256).alias("base_sha256"), pii.joined(F.col("pii_spans")).alias("spans"))
 
 
+def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quotes.conversations(table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "turn", "role", "position", "reply_conv", "reply_turn", "n_quotes", "n_linked", F.sha2("own", 256).alias("text_sha256"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_media_columns": op3_media_columns,
     "op4_html_extraction": op4_html_extraction,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_mixing_sources": op6_mixing_sources,
     "op7_quality_rules": op7_quality_rules,
     "op8_pii": op8_pii,
+    "op9_quotation_linking": op9_quotation_linking,
     "op10_url_filters": op10_url_filters,
 }
 
