@@ -1,9 +1,10 @@
 """Mixing sources to target weights by soft membership.
 
-1. Domains come from the labelled table: toxic, else good or poor by quality. A Bernoulli
-   naive Bayes over hashed words and word ends is fitted on up to SAMPLE_ROWS labelled
+1. Domains come from the labelled table: toxic, else good or poor by quality. A softmax
+   regression over hashed words and word ends is fitted on up to SAMPLE_ROWS labelled
    documents (those of the smallest key hash, a documented bound): the FEATURES bins of
-   the largest likelihood ratio are kept, found by a distributed count.
+   the largest likelihood ratio are kept, found by a distributed count, and the driver
+   gets the kept bins of the sample's documents.
 2. One pass gives every document its tokens (words) and posteriors; those below FLOOR
    count as zero.
 3. Document rates r >= 0 are fitted so that the expected tokens of each domain,
@@ -15,8 +16,9 @@
 4. A document gets floor(rate + u) copies, u being a uniform hash of its key, so the
    expected copies equal the rate.
 
-Default targets keep the expected tokens of good documents, give poor ones POOR_SHARE of
-the whole at most, and toxic ones none.
+Default targets are the expected tokens of the documents that are not mostly toxic, those of
+the poor domain cut to POOR_SHARE of the whole: toxic documents go, and what little toxic
+membership other documents have does not count against them.
 
 Defined results: a null or empty text has no tokens and rate 1; without labelled rows all
 documents are good; null labels are ignored; repeated rows get equal rates; an empty table
@@ -38,11 +40,15 @@ from weirloom.llm.common import _LOWER, Prints, durable, slices, words
 DOMAINS = ("good", "poor", "toxic")
 SAMPLE_ROWS = 20_000
 BIN_BITS = 18
-FEATURES = 4000
+FEATURES = 2000
+#: Log likelihood ratio below which a bin is taken for noise.
+LEAST_GAIN = 8.0
+EPOCHS = 120
+RIDGE = 1e-5
 FLOOR = 0.02
 POOR_SHARE = 0.1
 STEPS = 60
-TOLERANCE = 1e-7
+TOLERANCE = 1e-5
 
 
 def bins(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,13 +62,29 @@ def bins(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 class Classifier:
-    """Log odds of bins: present or absent, for each domain."""
+    """Softmax regression on the presence of kept bins."""
 
-    def __init__(self, prior: np.ndarray, which: np.ndarray, rate: np.ndarray):
+    def __init__(self, prior: np.ndarray, which: np.ndarray):
         self.slot = np.full(1 << BIN_BITS, -1, np.int32)
         self.slot[which] = np.arange(len(which))
-        self.gain = np.log(rate) - np.log1p(-rate)  # features x domains
-        self.base = np.log(prior) + np.log1p(-rate).sum(axis=0)
+        self.gain = np.zeros((len(which), len(prior)))
+        self.base = np.log(prior)
+
+    def train(self, row: np.ndarray, slot: np.ndarray, label: np.ndarray) -> None:
+        """Full-batch steps with momentum and a step size for each weight; row and slot are the presences."""
+        k, m = self.gain.shape[1], len(self.gain)
+        truth = np.eye(k)[label]
+        first, second = np.zeros((m + 1, k)), np.zeros((m + 1, k))
+        for t in range(1, EPOCHS + 1):
+            score = np.stack([np.bincount(row, weights=self.gain[slot, i], minlength=len(label)) for i in range(k)], axis=1) + self.base
+            p = np.exp(score - score.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            error = (p - truth) / len(label)
+            grad = np.vstack([np.stack([np.bincount(slot, weights=error[row, i], minlength=m) for i in range(k)], axis=1) + RIDGE * self.gain, error.sum(axis=0)])
+            first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
+            step = 0.15 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-9)
+            self.gain -= step[:-1]
+            self.base = self.base - step[-1]
 
     def posteriors(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(tokens, posteriors) of each row."""
@@ -104,16 +126,29 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     counts = durable(sample.mapInArrow(count, "bin long, " + ", ".join(f"{n} long" for n in names)).groupBy("bin").agg(*(F.sum(n).alias(n) for n in names)), "bins")
     whole = counts.where("bin = -1").first()
     if whole is None:
-        return Classifier(np.array([1 - 1e-6] + [5e-7] * (k - 1)), np.zeros(0, np.int64), np.zeros((0, k)))
+        return Classifier(np.array([1 - 1e-6] + [5e-7] * (k - 1)), np.zeros(0, np.int64))
     n = np.array([float(whole[c]) for c in names])
     # likelihood ratio of a bin's presence by domain against one rate for all
     rate = lambda c, m: (F.col(c) + 0.5) / F.lit(m + 1.0) if isinstance(c, str) else (c + 0.5) / F.lit(m + 1.0)
     together = sum((F.col(c) for c in names[1:]), F.col(names[0]))
     gain = sum((F.col(c) * F.log(rate(c, m) / rate(together, float(n.sum()))) + (F.lit(m) - F.col(c)) * F.log((1 - rate(c, m)) / (1 - rate(together, float(n.sum())))) for c, m in zip(names, n.tolist(), strict=True)), F.lit(0.0))
-    top = counts.where("bin >= 0").withColumn("gain", gain).where("gain > 6").orderBy(F.desc("gain"), "bin").limit(FEATURES).collect()  # bounded: FEATURES rows
-    which = np.array([r["bin"] for r in top], np.int64)
-    seen = np.array([[r[c] for c in names] for r in top], float).reshape(-1, k)
-    return Classifier((n + 1) / (n.sum() + k), which, (seen + 0.5) / (n + 1))
+    top = counts.where("bin >= 0").withColumn("gain", gain).where(F.col("gain") > LEAST_GAIN).orderBy(F.desc("gain"), "bin").limit(FEATURES).collect()  # bounded: FEATURES rows
+    out = Classifier((n + 1) / (n.sum() + k), np.array([r["bin"] for r in top], np.int64))
+
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in slices(batch, "x_text"):
+                row, found, _ = bins(data, offsets)
+                slot = out.slot[found]
+                row, slot = row[slot >= 0], slot[slot >= 0].astype(np.int16)
+                at = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("x_domain"), pa.ListArray.from_arrays(pa.array(at), pa.array(slot))], ["x_domain", "slots"])
+
+    rows_ = sample.mapInArrow(present, "x_domain int, slots array<smallint>").toArrow().combine_chunks()  # bounded: SAMPLE_ROWS rows
+    slots = rows_.column("slots").combine_chunks()
+    sizes = np.diff(slots.offsets.to_numpy())
+    out.train(np.repeat(np.arange(len(sizes)), sizes), slots.flatten().to_numpy().astype(np.int64), rows_.column("x_domain").to_numpy().astype(np.int64))
+    return out
 
 
 def posteriors(docs: DataFrame, classifier: Classifier, text: str = "text") -> DataFrame:
@@ -144,9 +179,12 @@ def rate(steps: list[list[float]]) -> Column:
     return F.when(F.col("n_tokens") > 0, taken).otherwise(F.lit(1.0))
 
 
-def default_targets(totals: np.ndarray) -> np.ndarray:
-    good, poor, _ = totals
-    return np.array([good, min(poor, good * POOR_SHARE / (1 - POOR_SHARE)), 0.0])
+def default_targets(members: DataFrame) -> np.ndarray:
+    """Expected tokens by domain of the documents that are not mostly toxic, the poor ones' cut to POOR_SHARE of the whole."""
+    rest = F.when(F.coalesce(F.get("p", F.lit(2)), F.lit(0.0)) < 0.5, F.col("n_tokens")).otherwise(0)
+    row = members.agg(*(F.sum(rest * F.get("p", F.lit(i))).alias(f"t{i}") for i in range(len(DOMAINS)))).first()
+    good, poor, toxic = (float(row[f"t{i}"] or 0) for i in range(len(DOMAINS)))
+    return np.array([good, min(poor, good * POOR_SHARE / (1 - POOR_SHARE)), toxic])
 
 
 def solve(members: DataFrame, targets: Sequence[float] | None = None) -> tuple[list[list[float]], np.ndarray, np.ndarray]:
@@ -163,7 +201,7 @@ def solve(members: DataFrame, targets: Sequence[float] | None = None) -> tuple[l
         return np.array([value(f"t{i}") for i in range(k)]), np.array([[value(f"m{min(i, j)}{max(i, j)}") for j in range(k)] for i in range(k)])
 
     totals, gram = measured([])
-    goal = np.asarray(targets, float) if targets is not None else default_targets(totals)
+    goal = np.asarray(targets, float) if targets is not None else default_targets(members)
     error = lambda t: float(np.linalg.norm(t - goal) / max(1.0, goal.sum()))
     steps: list[list[float]] = []
     size = 1.0

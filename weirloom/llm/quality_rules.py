@@ -138,7 +138,7 @@ class Forest:
     def fit(cls, rows: np.ndarray, good: np.ndarray, most: float = MAX_GOOD_REJECTED) -> Forest:
         """Limits from the good rows, trees over all rows, threshold above all but a share `most` of the good rows."""
         base = rows[good] if good.any() else rows
-        limit = np.quantile(base, LIMIT_QUANTILE, axis=0)
+        limit = np.quantile(base, LIMIT_QUANTILE, axis=0, method="higher")
         spread = np.maximum(limit - np.median(base, axis=0), 1e-3)
         out = cls.grow(np.maximum(0, (rows - limit) / spread))
         out.limit, out.spread = limit, spread
