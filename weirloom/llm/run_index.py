@@ -41,7 +41,6 @@ class RunIndex:
         keep[ends] = False
         self.symbols[keep] = data.astype(np.int64) + 1
         left = np.repeat(ends, sizes + 1) - np.arange(n)  # bytes up to the separator
-        self.left = left
         # ranks by the first 7 symbols; a suffix that meets its separator there is told apart by its place
         key = np.zeros(n, np.int64)
         padded = np.concatenate([self.symbols, np.zeros(7, np.int64)])
@@ -68,27 +67,27 @@ class RunIndex:
         rank = refine(rank, depth, 2 * depth)
         # by now only suffixes that end in the same way are equal: their separators, so their places, decide
         order = np.argsort(rank * bound + np.arange(n))
-        self.suffixes = order
         before = self.symbols[order - 1]
         before[order == 0] = 0
         heads = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
-        self.run_start, self.run_symbol = heads, before[heads]
-        self.run_length = np.diff(np.append(heads, n))
-        self.first_sample = order[heads]
-        self.last_sample = order[heads + self.run_length - 1]
+        length = np.diff(np.append(heads, n))
+        self.run_start, self.run_symbol, self.run_length = heads.astype(np.int32), before[heads].astype(np.int16), length.astype(np.int32)
+        self.run_of = np.repeat(np.arange(len(heads), dtype=np.int32), length)
+        self.first_sample, self.last_sample = order[heads].astype(np.int32), order[heads + length - 1].astype(np.int32)
         self.below = np.concatenate([[0], np.cumsum(np.bincount(self.symbols, minlength=257))])  # suffixes of smaller symbols
-        by = np.lexsort((self.run_start, self.run_symbol))
-        self.by = by
-        self.key = (self.run_symbol[by] << 40) | self.run_start[by]
-        lengths = self.run_length[by]
-        total = np.cumsum(lengths) - lengths
-        first = np.searchsorted(self.run_symbol[by], np.arange(258))
-        base = np.append(total, lengths.sum())[np.minimum(first, len(by))]
-        self.ahead = total - base[self.run_symbol[by]]  # equal symbols in the runs above
-        self.first_of = first
+        by = np.lexsort((heads, before[heads]))
+        self.by = by.astype(np.int32)
+        symbol = before[heads][by]
+        self.key = (symbol << 40) | heads[by]
+        total = np.cumsum(length[by]) - length[by]
+        self.first_of = np.searchsorted(symbol, np.arange(258))
+        base = np.append(total, length.sum())[np.minimum(self.first_of, len(by))]
+        self.ahead = np.empty(len(by), np.int32)  # equal symbols in the runs above each run
+        self.ahead[by] = total - base[symbol]
         self.text = np.concatenate([np.where(self.symbols > 0, self.symbols - 1, 0).astype(np.uint8), np.zeros(16, np.uint8)])
         self.words = np.ndarray((n + 8,), np.dtype("<u8"), self.text.data, 0, (1,))
-        del self.suffixes, self.symbols
+        self.left = left.astype(np.int32)
+        del self.symbols
         self.rows = n
 
     @property
@@ -109,39 +108,45 @@ class RunIndex:
             todo = todo[(diff == 0) & (out[todo] < most[todo])]
         return out
 
-    def matching_statistics(self, data: np.ndarray, offsets: np.ndarray, most: int = 1 << 30) -> np.ndarray:
-        """For each byte of the patterns, the length, up to `most`, of the longest prefix of the rest of its pattern that the texts hold."""
+    def matching_statistics(self, data: np.ndarray, offsets: np.ndarray, most: int = 1 << 30, least: int = 0) -> np.ndarray:
+        """For each byte of the patterns, the length, up to `most`, of the longest prefix of the rest of its pattern that the texts hold.
+
+        A pattern is given up, its statistics left at 0, where none to the left can reach `least` any more.
+        """
         sizes = np.diff(offsets)
         out = np.zeros(len(data), np.int64)
         live = np.arange(len(sizes))
         row = np.zeros(len(sizes), np.int64)
-        pos = np.full(len(sizes), self.first_sample[0])
+        pos = np.full(len(sizes), self.first_sample[0], np.int64)
         size = np.zeros(len(sizes), np.int64)
         for back in range(1, int(sizes.max(initial=0)) + 1):
             live = live[sizes[live] >= back]
+            if not len(live):
+                break
             at = offsets[live + 1] - back
             c = data[at].astype(np.int64) + 1
-            j = np.searchsorted(self.key, (c << 40) | row[live], "right") - 1  # the last run of c that starts at or above the row
-            inside = (j >= self.first_of[c]) & (j >= 0)
-            jj = np.maximum(j, 0)
-            start, length = self.run_start[self.by[jj]], self.run_length[self.by[jj]]
-            grows = inside & (row[live] < start + length)
             r, p, s = row[live], pos[live], size[live]
-            new_row = self.below[c] + self.ahead[jj] + (r - start)
+            run = self.run_of[r]
+            new_row = self.below[c] + self.ahead[run] + (r - self.run_start[run])
             new_pos, new_size = p - 1, s + 1
-            if not grows.all():
-                m = np.flatnonzero(~grows)
-                up, down = inside[m], (j[m] + 1 < self.first_of[c[m] + 1])
-                ju, jd = jj[m], np.minimum(j[m] + 1, len(self.by) - 1)
-                pu, pd = self.last_sample[self.by[ju]], self.first_sample[self.by[jd]]
+            m = np.flatnonzero(self.run_symbol[run] != c)
+            if len(m):
+                cm = c[m]
+                j = np.searchsorted(self.key, (cm << 40) | r[m], "right") - 1  # the last run of the symbol above the row
+                up, down = j >= self.first_of[cm], j + 1 < self.first_of[cm + 1]
+                ru, rd = self.by[np.maximum(j, 0)], self.by[np.minimum(j + 1, len(self.by) - 1)]
+                pu, pd = self.last_sample[ru], self.first_sample[rd]
                 au = np.where(up, self._agree(p[m], pu, s[m]), -1)
                 ad = np.where(down, self._agree(p[m], pd, s[m]), -1)
                 above = au >= ad
                 new_size[m] = np.maximum(au, ad) + 1  # 0 if the symbol does not occur
-                new_row[m] = self.below[c[m]] + np.where(above, self.ahead[ju] + self.run_length[self.by[ju]] - 1, self.ahead[jd])
+                new_row[m] = self.below[cm] + np.where(above, self.ahead[ru] + self.run_length[ru] - 1, self.ahead[rd])
                 new_pos[m] = np.where(above, pu, pd) - 1
                 none = ~up & ~down
                 new_row[m[none]], new_pos[m[none]] = 0, self.first_sample[0]
-            row[live], pos[live], size[live] = new_row, new_pos, np.minimum(new_size, most)
-            out[at] = size[live]
+            new_size = np.minimum(new_size, most)
+            row[live], pos[live], size[live] = new_row, new_pos, new_size
+            out[at] = new_size
+            if least:
+                live = live[(sizes[live] - back + new_size >= least) | (new_size >= least)]
         return out

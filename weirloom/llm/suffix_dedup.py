@@ -46,9 +46,9 @@ from weirloom.llm.run_index import RunIndex
 LENGTH = 100
 K = 24
 #: Bytes of contexts for an index of step 3, for a task, and that a task holds before it starts to index.
-BLOCK_BYTES = 3 << 20
-TASK_BYTES = 12 << 20
-HOLD_BYTES = 48 << 20
+BLOCK_BYTES = 2 << 20
+TASK_BYTES = 8 << 20
+HOLD_BYTES = 24 << 20
 #: How much longer than all before it a round is.
 GROWTH = 8
 
@@ -234,7 +234,7 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inner = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings)
         repeat = np.zeros(len(owner), bool)
         for old in indexes:
-            repeat |= old.matching_statistics(data, offsets, LENGTH)[offsets[owner] + inner] >= LENGTH
+            repeat |= old.matching_statistics(data, offsets, LENGTH, LENGTH)[offsets[owner] + inner] >= LENGTH
         index = RunIndex(data, offsets, LENGTH)
         classes = index.window_class[index.starts[owner] + inner]
         _, first = np.unique(classes, return_index=True)  # the first place, and places are in document order
