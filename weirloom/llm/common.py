@@ -7,6 +7,7 @@ loop over words.
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -95,15 +96,22 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: dict[int, np.ndarray] = {}
+
+
+def kept(name: str) -> dict:
+    """A dictionary that lives as long as a Python worker: functions are sent by value, so their globals do not."""
+    return vars(sys).setdefault(f"_weirloom_{name}", {})
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
+    powers = kept("powers")
+    have = powers.get(base)
     if have is None or len(have) < n:
         have = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
         have[0] = 1
-        have = _powers[base] = np.multiply.accumulate(have)
+        have = np.multiply.accumulate(have)
+        if n <= SLICE_BYTES + 1:
+            powers[base] = have
     return have[:n]
 
 
@@ -111,6 +119,7 @@ class Prints:
     """Fingerprints of any byte ranges of one buffer: a polynomial over a random byte table, from prefix sums."""
 
     def __init__(self, data: np.ndarray):
+        kept("encoders").clear()  # a worker that goes on to fingerprints has no more use for word caches
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTES[data] * _power(_BASE, len(data)), out=self.sums[1:])
         self.back = _power(_INVERSE, len(data) + 1)
