@@ -118,8 +118,9 @@ def _power(base: int, n: int) -> np.ndarray:
 class Prints:
     """Fingerprints of any byte ranges of one buffer: a polynomial over a random byte table, from prefix sums."""
 
-    def __init__(self, data: np.ndarray):
-        kept("encoders").clear()  # a worker that goes on to fingerprints has no more use for word caches
+    def __init__(self, data: np.ndarray, forget: bool = True):
+        if forget:  # a worker that goes on to other operators has no more use for word caches
+            kept("encoders").clear()
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTES[data] * _power(_BASE, len(data)), out=self.sums[1:])
         self.back = _power(_INVERSE, len(data) + 1)
