@@ -33,9 +33,12 @@ def unit(a: Column) -> Column:
 def letter_frequencies(text: Column) -> Column:
     """26 shares of a to z among the letters of a text; zeros without any."""
     lower = F.lower(text)
-    counts = F.array(*(F.regexp_count(lower, F.lit(chr(97 + i))) for i in range(26)))
-    total = F.regexp_count(lower, F.lit("[a-z]"))
-    return F.transform(counts, lambda c: F.when(total > 0, c / total).otherwise(0.0))
+    size = F.char_length(lower)
+    counts = F.array(*((size - F.char_length(F.replace(lower, F.lit(chr(97 + i)), F.lit("")))).cast("double") for i in range(26)))
+    # one-element arrays: counts and total are then computed once, not for each share
+    summed = F.transform(F.array(counts), lambda v: F.struct(v.alias("v"), F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("n")))
+    shares = F.transform(summed, lambda s: F.transform(s["v"], lambda c: F.when(s["n"] > 0, c / s["n"]).otherwise(0.0)))
+    return F.element_at(shares, 1)
 
 
 def hyperplanes(dimensions: int, bits: int, seed: int = 1) -> list[list[float]]:

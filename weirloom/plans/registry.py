@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Imports the modules whose queries register themselves."""
-    from weirloom.plans import access, evaluation, graphs, ingestion, memory, retrieval, streams, texts  # noqa: F401
+    from weirloom.plans import access, composites, evaluation, graphs, ingestion, memory, retrieval, streams, texts  # noqa: F401
 
 
 
