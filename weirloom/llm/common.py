@@ -23,7 +23,19 @@ SLICE_BYTES = 2 << 20
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
+#: Rows that reach a Python worker at once: with texts of some kilobytes, a few megabytes.
+BATCH_ROWS = 1500
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS, so that a worker's memory does not depend on the default of 10,000 rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
