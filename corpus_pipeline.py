@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirloom.llm import mixing, ngram_join, pieces, pii, quality_rules
-from weirloom.llm.common import durable, table
+from weirloom.llm.common import bounded_batches, durable, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -29,6 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose id is that of their component; of rows that share the id, one stays."""
+    bounded_batches(spark)
     ids = ngram_join.component_ids(docs)
     first = ids.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
@@ -50,6 +51,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_pieces, ids and nbest_scores of every document."""
+    bounded_batches(spark)
     out = pieces.encode(docs.select("doc_id", "source", "text"), pieces.broadcast(spark))
     return out.select("doc_id", "source", "n_pieces", "ids", "nbest_scores")
 
