@@ -76,7 +76,7 @@ def conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, F.col("a.query_id") == F.col("b.query_id")).where("a.rank < b.rank AND a.kb <> b.kb").select("a.query_id", F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
 
 
-@query("t19_position_scores", "SELECT doc_id, round(1 - 0.05 * (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1), 6) AS score FROM documents")
+@query("t19_position_scores", "SELECT doc_id, round(1 - 0.05::DOUBLE * (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1), 6) AS score FROM documents")
 def position_scores(spark: SparkSession, sf: str) -> DataFrame:
     """The fallback of a reranking service that does not answer."""
     place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
@@ -139,7 +139,7 @@ def chunk_union(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_join(both.cast("array<string>"), ",").alias("chunks"))
 
 
-@query("a18_progress_totals", "SELECT count(*) AS processed, sum(n_chars) AS chars, count(*) FILTER (WHERE n_chars < 400) AS errors FROM documents")
+@query("a18_progress_totals", "SELECT count(*) AS processed, sum(n_chars)::BIGINT AS chars, count(*) FILTER (WHERE n_chars < 400) AS errors FROM documents")
 def progress(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").agg(F.count("*").alias("processed"), F.sum("n_chars").alias("chars"), F.count_if(F.col("n_chars") < 400).alias("errors"))
 

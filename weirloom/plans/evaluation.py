@@ -18,7 +18,7 @@ h AS (SELECT r.strategy, r.query_id, r.doc_id, r.rank, (g.doc_id IS NOT NULL)::i
 per AS (SELECT strategy, query_id, count(*) AS n, sum(rel) AS hits, min(CASE WHEN rel = 1 THEN rank END) AS first, sum(rel / log2(rank + 1)) AS dcg FROM h GROUP BY ALL),
 tot AS (SELECT query_id, count(*) AS total FROM gold GROUP BY query_id),
 m AS (SELECT s.strategy, s.query_id, coalesce(total, 0) > 0 AS labelled, CASE WHEN total > 0 THEN coalesce(hits, 0) / total::DOUBLE ELSE 0 END AS recall, CASE WHEN n > 0 THEN hits / n::DOUBLE ELSE 0 END AS precision,
- CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END AS hit, coalesce(1.0 / first, 0) AS mrr, least(1.0, coalesce(dcg / {_IDEAL.format(d='least(total, n)')}, 0)) AS ndcg FROM s LEFT JOIN tot USING (query_id) LEFT JOIN per USING (strategy, query_id))"""
+ CASE WHEN hits > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit, coalesce(1.0 / first, 0) AS mrr, least(1.0, coalesce(dcg / {_IDEAL.format(d='least(total, n)')}, 0)) AS ndcg FROM s LEFT JOIN tot USING (query_id) LEFT JOIN per USING (strategy, query_id))"""
 
 
 def results(spark: SparkSession, sf: str) -> DataFrame:

@@ -108,7 +108,7 @@ def natural_key(spark: SparkSession, sf: str) -> DataFrame:
     return I.last_write(rows, ["c_nationkey", "c_mktsegment"], "c_custkey").select("c_nationkey", "c_mktsegment", F.col("c_name").alias("name"))
 
 
-@query("k8_counters", f"{_DIFF} SELECT doc % 10 AS kb, sum(CASE state WHEN 'added' THEN 1 WHEN 'removed' THEN -1 ELSE 0 END) AS delta FROM d GROUP BY doc % 10")
+@query("k8_counters", f"{_DIFF} SELECT doc % 10 AS kb, sum(CASE state WHEN 'added' THEN 1 WHEN 'removed' THEN -1 ELSE 0 END)::BIGINT AS delta FROM d GROUP BY doc % 10")
 def counters(spark: SparkSession, sf: str) -> DataFrame:
     step = F.when(F.col("state") == "added", 1).when(F.col("state") == "removed", -1).otherwise(0)
     return I.diff(*snapshots(spark, sf)).groupBy((F.col("doc") % 10).alias("kb")).agg(F.sum(step).alias("delta"))

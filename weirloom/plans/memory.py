@@ -36,7 +36,7 @@ def last_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.max("turn").alias("turn"))
 
 
-@query("w12_character_budget", "SELECT conv_id, count(*) AS n, sum(octet_length(encode(text))) AS bytes FROM (SELECT *, coalesce(sum(octet_length(encode(text))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations) WHERE before < 1500 GROUP BY conv_id")
+@query("w12_character_budget", "SELECT conv_id, count(*) AS n, sum(octet_length(encode(text)))::BIGINT AS bytes FROM (SELECT *, coalesce(sum(octet_length(encode(text))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations) WHERE before < 1500 GROUP BY conv_id")
 def budget(spark: SparkSession, sf: str) -> DataFrame:
     """Messages are appended until the budget is reached: the one that passes it is the last."""
     before = F.sum(F.octet_length("text")).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
@@ -79,7 +79,7 @@ def memory_instruction(spark: SparkSession, sf: str) -> DataFrame:
     return kept.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").alias("memory"))
 
 
-@query("q25_follow_up_evidence", "WITH e AS (SELECT conv_id, turn, CASE WHEN length(trim(text)) > 360 THEN left(trim(text), 360) || '...' ELSE trim(text) END AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role = 'assistant'), b AS (SELECT *, sum(octet_length(encode(c))) OVER (PARTITION BY conv_id ORDER BY n) AS total FROM e WHERE n <= 3) SELECT conv_id, count(*) AS n, sum(length(c)) AS chars FROM b WHERE total <= 900 GROUP BY conv_id")
+@query("q25_follow_up_evidence", "WITH e AS (SELECT conv_id, turn, CASE WHEN length(trim(text)) > 360 THEN left(trim(text), 360) || '...' ELSE trim(text) END AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role = 'assistant'), b AS (SELECT *, sum(octet_length(encode(c))) OVER (PARTITION BY conv_id ORDER BY n) AS total FROM e WHERE n <= 3) SELECT conv_id, count(*) AS n, sum(length(c))::BIGINT AS chars FROM b WHERE total <= 900 GROUP BY conv_id")
 def follow_up_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Up to three sources of the last answers, clipped, while the budget lasts."""
     rows = top(table(spark, sf, "conversations").where("role = 'assistant'"), 3, ["conv_id"], F.desc("turn")).withColumn("c", T.truncated(F.trim("text"), 360))

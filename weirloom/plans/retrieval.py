@@ -159,7 +159,7 @@ def local_rerank(spark: SparkSession, sf: str) -> DataFrame:
     return R.rerank_local(hits, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("t20_rank_scores", _ALL + " SELECT query_id, doc_id, 10 - rank AS source_score, round(1 - 0.1 * (rank - 1), 6) AS tool_score, round(1 - 0.05 * (rank - 1), 6) AS fallback_score FROM fused")
+@query("t20_rank_scores", _ALL + " SELECT query_id, doc_id, 10 - rank AS source_score, round(1 - 0.1::DOUBLE * (rank - 1), 6) AS tool_score, round(1 - 0.05::DOUBLE * (rank - 1), 6) AS fallback_score FROM fused")
 def rank_scores(spark: SparkSession, sf: str) -> DataFrame:
     back = F.col("rank") - 1
     return hybrid(spark, sf).select("query_id", "doc_id", (10 - F.col("rank")).alias("source_score"), F.round(1 - 0.1 * back, 6).alias("tool_score"), F.round(1 - 0.05 * back, 6).alias("fallback_score"))
@@ -213,7 +213,7 @@ def decomposition(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select("item_id", F.explode(F.when(F.size(parts) >= 2, F.slice(parts, 1, 4)).otherwise(F.array("text"))).alias("sub"))
 
 
-@query("q14_knowledge_tool", _ALL + ", b AS (SELECT query_id, rank, left(c.text, 300) AS t, sum(octet_length(encode(left(c.text, 300)))) OVER (PARTITION BY query_id ORDER BY rank) AS total FROM fused f JOIN corpus c USING (doc_id)) SELECT query_id, count(*) AS n, sum(octet_length(encode(t))) AS bytes FROM b WHERE total <= 900 OR rank = 1 GROUP BY query_id")
+@query("q14_knowledge_tool", _ALL + ", b AS (SELECT query_id, rank, left(c.text, 300) AS t, sum(octet_length(encode(left(c.text, 300)))) OVER (PARTITION BY query_id ORDER BY rank) AS total FROM fused f JOIN corpus c USING (doc_id)) SELECT query_id, count(*) AS n, sum(octet_length(encode(t)))::BIGINT AS bytes FROM b WHERE total <= 900 OR rank = 1 GROUP BY query_id")
 def knowledge_tool(spark: SparkSession, sf: str) -> DataFrame:
     """Clipped documents in rank order until the byte budget would be passed; the first always."""
     rows = hybrid(spark, sf).join(corpus(spark, sf).select("doc_id", F.left("text", F.lit(300)).alias("clip")), "doc_id")
