@@ -83,8 +83,8 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndar
     breaks = np.flatnonzero(data == 10) + 1
     line_start = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], breaks[breaks < len(data)]]))
     line_row = np.searchsorted(offsets, line_start, "right") - 1
-    line_end = np.append(line_start[1:], len(data))
-    line_end = line_end - ((line_end > line_start) & (data[line_end - 1] == 10) if len(line_end) else 0)
+    line_end = np.append(line_start[1:], len(data))[: len(line_start)]
+    line_end = line_end - (data[line_end - 1] == 10)
     word_at = np.zeros(len(data) + 1, np.int64)
     np.cumsum(inside, out=word_at[1:])
     full = word_at[line_end] > word_at[line_start]
