@@ -1,4 +1,4 @@
-"""Retrieval metrics in three variants, summaries, percentiles."""
+"""Retrieval metrics in three variants, and their summaries."""
 
 from __future__ import annotations
 
@@ -54,9 +54,3 @@ def summary(measured: DataFrame, keys: list[str]) -> DataFrame:
         *(F.round(F.sum(F.when(used, F.col(c))) / F.greatest(F.lit(1), F.count_if(used)), 6).alias(c) for c in names),
         F.round(F.count_if("labelled") / F.greatest(F.lit(1), F.count("*")), 6).alias("coverage"),
     )
-
-
-def nearest_rank(value: Column, share: float) -> Column:
-    """The value at place ceil(share * n) of a group."""
-    ordered = F.array_sort(F.collect_list(value))
-    return F.element_at(ordered, F.greatest(F.lit(1), F.ceil(F.size(ordered) * share)).cast("int"))
