@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from weirloom.functions import vector
 from weirloom.functions.text import sentences
+from weirloom.operators.retrieve import spread
 
 #: Fixed value: separators of the recursive chunker, coarse to fine.
 SEPARATORS = ["\n\n", "\n", "。", "！", "？", "；", ".", "!", "?", " ", ""]
@@ -135,10 +136,10 @@ def balanced(parts: Column, least: int) -> Column:
 
 def semantic(docs: DataFrame, share: float = 0.25, least: int = 100) -> DataFrame:
     """Chunks of sentences, cut where neighbouring windows are among the least similar share of a document."""
-    rows = docs.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("seq", "sentence"))
+    rows = spread(docs, "doc_id").select("doc_id", F.posexplode(sentences(F.col("text"))).alias("seq", "sentence"))
     order = Window.partitionBy("doc_id").orderBy("seq")
     around = F.array_join(F.collect_list("sentence").over(order.rowsBetween(-1, 1)), " ")
-    rows = rows.withColumn("v", vector.letter_frequencies(around)).withColumn("before", F.lag("v").over(order))
+    rows = rows.withColumn("around", around).withColumn("v", vector.letter_frequencies(F.col("around"))).withColumn("before", F.lag("v").over(order))
     rows = rows.withColumn("similarity", F.when(F.col("before").isNotNull(), vector.cosine(F.col("v"), F.col("before"))))
     every = F.array_sort(F.collect_list("similarity").over(Window.partitionBy("doc_id")))
     limit = F.element_at(every, (F.floor(F.size(every) * share) + 1).cast("int"))

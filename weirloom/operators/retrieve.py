@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 from weirloom.functions import vector
 
 BROADCAST_QUERIES = 10_000
+#: Estimated bytes for each core below which a table counts as small.
+SPREAD_BYTES = 64 << 20
 RRF_K = 60
 KEYWORD_WEIGHT = 0.8
 GRAPH_BOOST = 1.2
@@ -24,6 +26,13 @@ def bounded(queries: DataFrame) -> DataFrame:
     return F.broadcast(queries) if small else queries
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """A small scanned table dealt over all cores, since one file's row group is one task; a large one is left as its files are."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(n, *keys) if size < n * SPREAD_BYTES else rows
+
+
 def top(rows: DataFrame, k: int, keys: list[str], *order: Column) -> DataFrame:
     """The k first rows of each group, with rank; a partial top-k runs before the shuffle."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)

@@ -25,7 +25,7 @@ _ALL = f"WITH {_CORPUS}, {_QUERIES}, {_VECTOR}, {_KEYWORD}, {_FUSED}"
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    docs, vectors = table(spark, sf, "documents"), table(spark, sf, "embeddings")
+    docs, vectors = R.spread(table(spark, sf, "documents")), table(spark, sf, "embeddings")
     return docs.join(vectors, docs.doc_id == vectors.vec_id).select("doc_id", "text", F.col("lang").alias("kb"), "source", F.col("embedding").alias("vec"))
 
 
