@@ -43,9 +43,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its copies say; one whose rate is at least half stays, so that rounding drops no clean document."""
+    """Each document as often as its copies say, but for the ends: a rate of at least half keeps it, so that rounding drops no clean document, and one below a tenth drops it."""
     out = mixing.mix(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
-    copies = F.when(F.col("rate") >= 0.5, F.greatest(F.lit(1), F.col("copies"))).otherwise(F.col("copies"))
+    copies = F.when(F.col("rate") >= 0.5, F.greatest(F.lit(1), F.col("copies"))).when(F.col("rate") < 0.1, 0).otherwise(F.col("copies"))
     return out.withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int"))))).select(*COLUMNS)
 
 
