@@ -85,3 +85,18 @@ def test_luhn(spark, word, fine):
 
 def test_digest_of_no_spans(spark):
     assert spark.range(1).select(F.sha2(pii.joined(F.expr("CAST(array() AS array<struct<kind:string,start:bigint,end:bigint>>)")), 256)).first()[0] == hashlib.sha256(b"").hexdigest()
+
+
+def test_secrets_of_any_length_and_without_digits(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    key = hashlib.sha512(b"key").hexdigest()
+    secrets = {
+        -1: ('token = "{}"', key), -2: ('secret: "{}"', key * 4), -3: ('token = "{}" # rotate', "".join(c for c in key if c.isalpha())[:40] + key * 2), -4: ("api_key = '{}'", "a" * 90 + key),
+        -5: ('password = "{}"', "correcthorsebatterystaple"), -6: ("token: {} and so on", "QwErTyUiOpAsDfGhJkLzXcVbNm"), -7: ("bearer = {}", "abcdefghij" * 30),
+    }
+    prose = ["internationalization of counterrevolutionaries", "a state-of-the-art-and-then-some idea", "-" * 300 + "\n" + "_" * 40, "see https://a.test/how-to-bake-bread-at-home-in-2024-and-what-to-do-with-all-of-the-leftover-crumbs", "1" * 300]
+    extra = [(i, t.format(s)) for i, (t, s) in secrets.items()] + [(-100 - i, t) for i, t in enumerate(prose)]
+    got = {r["doc_id"]: r for r in pii.annotate(docs.union(spark.createDataFrame(extra, docs.schema))).where("doc_id < 0").select("doc_id", "text", "pii_spans").collect()}
+    for i, (_, s) in secrets.items():
+        assert [r["text"][x["start"] : x["end"]] for r in [got[i]] for x in r["pii_spans"] if x["kind"] == "secret"] == [s], i
+    assert not [x for i, r in got.items() if i <= -100 for x in r["pii_spans"]]

@@ -6,8 +6,13 @@ which labelers vote `+`, `-` or abstain with `0`:
 
 * regex - does the match have the exact shape of the kind;
 * gazetteer - is a word listed for the kind, or one listed against it, just before it;
-* context - does an assignment or a colon lead to it, or is it part of a path;
-* shape - is the mix of digits and letters that of the kind.
+* context - does an assignment or a colon lead to it, or is it part of a path, or a secret
+  without digits and without such a lead;
+* shape - is the mix of digits and letters that of the kind; for secrets, few digits will do
+  in an unbroken token of 64 characters or more.
+
+A secret's candidate is any whole run of at least 20 letters, digits, `_` and `-` that is not
+all separators, of any length and with or without digits. Shorter passwords are not looked for.
 
 The corpus is reduced to counts of vote patterns (a bounded table: votes to the power of
 labelers, times kinds), from which expectation-maximisation (a two-class Dawid-Skene
@@ -50,13 +55,13 @@ BASE_PATTERNS = {
 MORE_PATTERNS = {
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local_phone": r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])",
-    "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,80}[0-9])[A-Za-z0-9_-]{20,200}+(?![A-Za-z0-9_-])",
+    "secret": r"(?<![A-Za-z0-9_-])(?=[_-]*+[A-Za-z0-9])[A-Za-z0-9_-]{20,}+",
 }
 #: Exact shapes, for the regex labeler.
 EXACT = {
     "national_id": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
     "local_phone": r"^\(?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}[ .-][0-9]{4}$",
-    "secret": r"^(?:[0-9a-f]{32,64}|(?:sk|pk|ghp|xox[a-z]|AKIA)[_-]?[A-Za-z0-9_-]{16,})$",
+    "secret": r"^(?:[0-9a-f]{32,}|(?:sk|pk|ghp|xox[a-z]|AKIA)[_-]?[A-Za-z0-9_-]{16,})$",
 }
 #: Gazetteers: words before a candidate that speak for it, and against it.
 FOR = {"national_id": "ssn|social|insurance|passport|identity|id", "local_phone": "phone|tel|call|fax|mobile|cell|contact", "secret": "token|secret|key|apikey|api_key|password|passwd|bearer|auth|credential"}
@@ -142,11 +147,16 @@ def votes(kind: str, span: Column) -> Column:
     exact = word.rlike(EXACT[kind])
     listed = lambda names: before.rlike(rf"(?:^|[^a-z])(?:{names})[^a-z0-9]*(?:is|was|no|number)?[^a-z0-9]*$")
     digits = F.length(_digits(word)) / F.length(word)
+    led = before.rlike(r"[=:#]\s*[\"']?$")
+    # nothing but what leads to it tells a token without digits from a word
+    wordy = ~word.rlike("[0-9]") if kind == "secret" else F.lit(False)
+    # a slug is long too, but its separators break it up
+    long = (F.length(word) >= 64) & (digits > 0) & (digits <= 0.95) & word.rlike("[A-Za-z0-9]{32}") if kind == "secret" else F.lit(False)
     return F.concat(
         _vote(exact, word.rlike("^[0-9]+$") | ~exact & F.lit(kind != "secret")),
         _vote(listed(FOR[kind]), listed(AGAINST[kind])),
-        _vote(before.rlike(r"[=:#]\s*[\"']?$"), before.rlike(r"[/&?]$")),
-        _vote((digits >= 0.2) & (digits <= 0.95), (digits < 0.1) | (word.rlike("^[0-9]+$"))),
+        _vote(led, before.rlike(r"[/&?]$") | wordy & ~led),
+        _vote((digits >= 0.2) & (digits <= 0.95) | long, (digits < 0.1) & ~long | word.rlike("^[0-9]+$")),
         F.when(F.length(word) >= 32, "1").otherwise("0"),
         F.when(span["after"].rlike("[\"']"), "1").otherwise("0"),
     )
