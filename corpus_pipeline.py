@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weirloom.llm import mixing, ngram_join, pieces, pii, quality_rules
 from weirloom.llm.common import bounded_batches, durable, table
@@ -28,12 +29,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose id is that of their component; of rows that share the id, one stays."""
+    """Rows that link to no other, and one row of each group of near copies, that of the smallest id. Rows are told apart by all their columns, not by their id, which several may share."""
     bounded_batches(spark)
-    ids = ngram_join.component_ids(docs)
-    first = ids.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("row"))
+    found = rows.join(ngram_join.linked_rows(rows, "row"), "row", "left")
+    among = F.row_number().over(Window.partitionBy("row").orderBy("row"))  # above 1 for equal rows
+    return found.withColumn("among", among).where("first IS NULL OR first AND among = 1").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,3 +48,13 @@ def test_empty_documents(spark):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    words = [f"w{i}" for i in range(60)]
+    text = lambda n: " ".join(words[n : n + 20])
+    rows = [(3, text(0)), (5, text(20)), (5, text(0)), (5, text(40)), (7, "x" + text(20)[1:]), (None, text(0)), (None, "no copy of any other row here"), (8, ""), (8, ""), (9, text(0)), (9, text(0)), (2, "same in all"), (2, "same in all")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((str(r["doc_id"]), r["text"]) for r in cp.near_copies(spark, docs, SF).collect())
+    want = [(2, "same in all"), (3, text(0)), (5, text(20)), (5, text(40)), (8, ""), (8, ""), (None, "no copy of any other row here")]
+    assert got == sorted((str(i), t) for i, t in want)

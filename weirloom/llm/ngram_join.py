@@ -65,16 +65,18 @@ def _binary16(values: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(16), n, [None, pa.py_buffer(np.ascontiguousarray(values).tobytes())]).cast(pa.binary())
 
 
-def sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, cid): the size and the fingerprint of each document's set."""
+def sets(docs: DataFrame, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """(doc_id, n_shingles, cid): the size and the fingerprint of each document's set; with row, a long column of docs, that too."""
+    more = [row] if row else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in slices(batch):
                 count, prints = _fingerprints(*shingles(data, offsets, SIZE), len(offsets) - 1)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(count.astype(np.int64)), _binary16(prints)], ["doc_id", "n_shingles", "cid"])
+                columns = [part.column("doc_id").cast(pa.int64()), pa.array(count.astype(np.int64)), _binary16(prints), *(part.column(c) for c in more)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "cid", *more])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, cid binary")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *more).mapInArrow(run, "doc_id long, n_shingles long, cid binary" + "".join(f", {c} long" for c in more))
 
 
 def _of_batch(own: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -206,19 +208,31 @@ def links(docs: DataFrame) -> DataFrame:
     return components(near.union(far))
 
 
-def component_ids(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row for each of docs."""
-    every = durable(sets(docs, key, text), "sets")
+def _components(docs: DataFrame, key: str, text: str, row: str | None = None) -> DataFrame:
+    """The rows of sets() with root, the fingerprint that names a group of two rows or more, and its smallest doc_id as component_id; both null for rows that link to nothing."""
+    every = durable(sets(docs, key, text, row), "sets")
     classes = every.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), F.count("*").alias("held"))
     roots = links(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")))
     linked = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("held").alias("held")).where("held > 1")
-    known = linked.select("cid", "root").join(least, "root").select("cid", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    known = linked.select("cid", "root").join(least, "root").select("cid", "root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     rows = every.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    out = rows.join(known, ["cid", "salt"], "left")
+    return rows.join(known, ["cid", "salt"], "left")
+
+
+def component_ids(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row for each of docs."""
+    out = _components(docs, key, text)
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def linked_rows(docs: DataFrame, row: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(row, first) of the rows that link to another, by a fingerprint of the row: whether it is its group's row of the smallest key (null the last), then fingerprint."""
+    linked = durable(_components(docs, key, text, row).where("root IS NOT NULL").select("root", "doc_id", row), "linked")
+    firsts = linked.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("null"), "doc_id", row)).alias("one")).select(F.col(f"one.{row}").alias(row)).distinct()
+    return linked.select(row).distinct().join(firsts.withColumn("first", F.lit(True)), row, "left").select(row, F.coalesce("first", F.lit(False)).alias("first"))
+
+
 def oracle(size: int = SIZE, percent: int = PERCENT) -> str:
     """DuckDB SQL: counts of common shingles for every pair that has one, and reachability."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
