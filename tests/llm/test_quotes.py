@@ -57,3 +57,22 @@ def test_documents_and_empty(spark):
     assert len(got) == m.count() and all(r["n_quotes"] == 0 for r in got)
     assert quotes.conversations(m.limit(0)).count() == 0
     assert quotes.transcripts(m).count() == m.select("conv_id").distinct().count()
+
+
+def test_runs_of_lines_and_other_conversations(spark):
+    rows = [
+        (1, 0, "user", "one\ntwo\nthree\nfour\n\nfive\n\nsix"),
+        (1, 1, "user", "> two\n> three\ninside a paragraph"),
+        (1, 2, "user", "> one\n> two\n> three\n> four\n>\n> Five\ntwo of three paragraphs"),
+        (1, 3, "user", "> six\nfirst answer\nof two lines\n> never said\nlast answer"),
+        (1, 4, "user", "> first answer\n> of two lines\nquotes an inline answer"),
+        (1, 5, "user", "> two\n> four\nnot consecutive"),
+        (2, 0, "user", "> said here later\nasks"),
+        (2, 1, "user", "said here later"),
+        (3, 0, "user", "said here later"),
+        (None, 0, "user", "> two\n> three\nelsewhere"),
+    ]
+    got, _ = run(spark, rows)
+    assert [got[1, t]["reply_turn"] for t in range(1, 6)] == [0, 0, 0, 3, None]
+    assert (got[2, 0]["reply_conv"], got[2, 0]["reply_turn"]) == (3, 0)
+    assert (got[None, 0]["reply_conv"], got[None, 0]["reply_turn"]) == (1, 0)

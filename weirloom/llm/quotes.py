@@ -4,11 +4,14 @@
    allowed). Runs of lines of one level above 0 are quoted passages; a line that announces a
    quote ("... wrote:" just before one) belongs to it. The rest is the message itself.
 2. Passages are normalised (white space to one space, A-Z lower-cased, trimmed) and hashed by
-   SHA-256, as are the paragraphs, the lines and the whole of every message without quotes.
+   SHA-256, as are the paragraphs, the lines and the whole of every message without quotes,
+   and each run of its lines (blank ones left out) that begins with the first line of some
+   passage and has as many lines.
 3. An equi-join on the hash finds where a passage was first written: the latest earlier
    message of the same conversation, else the first message of another one that has it. Both
    are reduced by hash before the join (an as-of window for the former, one row for a hash for
-   the latter), so a passage that many messages share does not multiply.
+   the latter, its first messages in the two smallest conversations), so a passage that many
+   messages share does not multiply.
 4. A message answers the message of its first linked quote in the conversation (the lowest
    level wins). Conversations are ordered as reply trees: a message follows what it answers,
    siblings by turn; messages that answer nothing keep the order of turns.
@@ -60,15 +63,20 @@ def passages(lines: Column) -> Column:
     return F.filter(runs, lambda r: F.trim(normalised(r["text"])) != "")
 
 
+def full_lines(text: Column) -> Column:
+    """The normalised lines of a text without blank ones; joined by spaces they are the normalised text."""
+    return F.filter(F.transform(F.split(text, r"\n"), normalised), lambda x: x != "")
+
+
 def parse(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, node (a key of the row's content), own (text without quotes) and quotes (array<struct<level,hash>>)."""
+    """conv_id, turn, role, node (a key of the row's content), own (text without quotes) and quotes (array<struct<level,hash,head,size>>: head is a hash of the first line, size the number of lines)."""
     rows = messages.select("conv_id", "turn", "role", "text").withColumn("runs", passages(line_structs(F.col("text"))))
     quoted = F.filter("runs", lambda r: r["level"] > 0)
     plain = F.filter("runs", lambda r: r["level"] == 0)
     own = F.array_join(F.transform(plain, lambda r: F.trim(F.regexp_replace(F.regexp_replace(r["text"], r"(?:^|\n)[^\n]*wrote:[ \t]*\n?$", ""), r"^\n+|\s+$", ""))), "\n")
     has = F.size(quoted) > 0
     rows = rows.withColumn("own", F.when(has, F.regexp_replace(own, r"^\s+|\s+$", "")).otherwise(F.coalesce("text", F.lit(""))))
-    rows = rows.withColumn("quotes", F.transform(quoted, lambda r: F.struct(r["level"].alias("level"), F.sha2(normalised(r["text"]), 256).alias("hash"))))
+    rows = rows.withColumn("quotes", F.transform(quoted, lambda r: F.struct(r["level"].alias("level"), F.sha2(normalised(r["text"]), 256).alias("hash"), F.xxhash64(F.get(full_lines(r["text"]), 0)).alias("head"), F.size(full_lines(r["text"])).alias("size"))))
     return rows.select("conv_id", "turn", "role", F.xxhash64("role", "text").alias("node"), "own", "quotes")
 
 
@@ -79,12 +87,27 @@ def originals(parsed: DataFrame) -> DataFrame:
     return parsed.select(F.explode(keys).alias("hash"), "conv_id", "turn", "node")
 
 
+def runs(parsed: DataFrame, starts: DataFrame) -> DataFrame:
+    """(hash, conv_id, turn, node) of every run of lines that a message wrote itself and that has the first line and the size of one of starts (head, size)."""
+    key = ["conv_id", "turn", "node"]
+    own = parsed.dropDuplicates(key).select(*key, full_lines(F.col("own")).alias("lines"))
+    heads = own.select(*key, F.posexplode(F.transform("lines", lambda x: F.xxhash64(x))).alias("place", "head"))
+    found = heads.join(starts, "head").groupBy(*key).agg(F.collect_set(F.struct("place", "size")).alias("at")).withColumnsRenamed({k: f"f_{k}" for k in key})
+    joined = own.join(found, [F.col(k).eqNullSafe(F.col(f"f_{k}")) for k in key]).select(*key, "lines", "at")
+    held = F.filter("at", lambda x: x["place"] + x["size"] <= F.size("lines"))
+    hashes = F.transform(held, lambda x: F.sha2(F.array_join(F.slice("lines", x["place"] + 1, x["size"]), " "), 256))
+    return joined.select(F.explode(F.array_distinct(hashes)).alias("hash"), *key)
+
+
 def link(parsed: DataFrame) -> DataFrame:
     """A row for each linked quote: conv_id, turn, node, place, level, and the origin as o_conv, o_turn, o_node."""
-    quotes = parsed.where(F.size("quotes") > 0).select("conv_id", "turn", "node", F.posexplode("quotes").alias("place", "q")).select("conv_id", "turn", "node", "place", F.col("q.level").alias("level"), F.col("q.hash").alias("hash"))
+    quotes = parsed.where(F.size("quotes") > 0).select("conv_id", "turn", "node", F.posexplode("quotes").alias("place", "q")).select("conv_id", "turn", "node", "place", F.col("q.level").alias("level"), F.col("q.hash").alias("hash"), F.col("q.head").alias("head"), F.col("q.size").alias("size"))
     quotes = durable(quotes, "quotes")
     wanted = quotes.select("hash").distinct()
-    known = durable(originals(parsed).join(wanted, "hash", "left_semi"), "originals")
+    units, starts = originals(parsed), quotes.where("size > 1").select("head", "size").distinct()
+    if starts.limit(1).count():
+        units = units.union(runs(parsed, starts)).distinct()
+    known = durable(units.join(wanted, "hash", "left_semi"), "originals")
     at = F.struct("turn", "node")
     # the latest earlier message of the conversation: an as-of join as a window over both sides
     sides = known.select("hash", "conv_id", "turn", "node", at.alias("origin"), F.lit(None).cast("int").alias("place"), F.lit(None).cast("int").alias("level")).unionByName(quotes.select("hash", "conv_id", "turn", "node", F.lit(None).cast(known.select(at.alias("x")).schema["x"].dataType).alias("origin"), "place", "level"))
@@ -94,9 +117,11 @@ def link(parsed: DataFrame) -> DataFrame:
     before = Window.partitionBy("hash", "conv_id").orderBy("rank").rangeBetween(Window.unboundedPreceding, -1)
     near = sides.withColumn("origin", F.max(F.when(F.col("origin").isNotNull(), F.struct("rank", "origin"))).over(before)).where("place IS NOT NULL")
     near = near.select("hash", "conv_id", "turn", "node", "place", "level", F.col("origin.origin").alias("origin"))
-    first = known.groupBy("hash").agg(F.min(F.struct("conv_id", "turn", "node")).alias("far"))
+    least = known.groupBy("hash", "conv_id").agg(F.min(at).alias("at")).withColumn("n", F.row_number().over(Window.partitionBy("hash").orderBy(F.asc_nulls_first("conv_id")))).where("n <= 2")
+    first = least.groupBy("hash").agg(F.array_sort(F.collect_list(F.struct("n", "conv_id", F.col("at.turn").alias("turn"), F.col("at.node").alias("node")))).alias("far"))
     both = near.join(first, "hash", "left")
-    other = F.when(~F.col("far.conv_id").eqNullSafe(F.col("conv_id")), F.col("far"))
+    both = both.withColumn("far", F.get(F.filter("far", lambda x: ~x["conv_id"].eqNullSafe(F.col("conv_id"))), 0))
+    other = F.col("far")
     found = both.where(F.col("origin").isNotNull() | other.isNotNull())
     pick = lambda name: F.when(F.col("origin").isNotNull(), F.col(f"origin.{name}")).otherwise(other[name])
     return found.select("conv_id", "turn", "node", "place", "level", F.when(F.col("origin").isNotNull(), F.col("conv_id")).otherwise(other["conv_id"]).alias("o_conv"), pick("turn").alias("o_turn"), pick("node").alias("o_node"), F.col("origin").isNotNull().alias("near"))
