@@ -21,19 +21,18 @@ def tables(spark):
     return spark.createDataFrame(docs, "doc_id long, text string, rate string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
-def test_targets_are_met_and_toxic_documents_go(spark):
+def test_stated_weights_are_met_and_toxic_documents_go(spark):
     docs, labels = tables(spark)
     out = mixing.mix(docs, labels)
     assert out.columns == ["doc_id", "text", *mixing.OWN]
     rows = out.toPandas()
-    rest = rows[rows["p_toxic"] < 0.5]
-    goal = np.array([(rest["n_tokens"] * rest[f"p_{d}"]).sum() for d in mixing.DOMAINS])
-    goal[1] = min(goal[1], goal[0] / 9)
-    got = np.array([(rows["rate"] * rows["n_tokens"] * rows[f"p_{d}"]).sum() for d in mixing.DOMAINS])
-    assert np.abs(got - goal).max() / goal.sum() < 0.01
+    totals = lambda rate: np.array([(rate * rows["n_tokens"] * rows[f"p_{d}"]).sum() for d in mixing.DOMAINS])
+    goal, total = np.array(mixing.TARGET_WEIGHTS) * rows["n_tokens"].sum(), rows["n_tokens"].sum()
+    assert np.abs(totals(1.0) - goal).max() > 0.05 * total  # the corpus has another mix
+    assert np.abs(totals(rows["rate"]) - goal).max() < 0.01 * total
     # a fourth of these is not labelled, and one in fifty is misjudged; copies are drawn by rate
     toxic = rows[rows["doc_id"] % 8 == 0]
-    assert (toxic["rate"] < 0.1).mean() > 0.95 and (toxic["copies"] == 0).mean() > 0.9
+    assert (toxic["rate"] < 0.1).mean() > 0.95 and (toxic["copies"] == 0).mean() > 0.95
     assert (rows[rows["doc_id"] % 8 > 1]["copies"] > 0).all()
     assert (rows["rate"] >= 0).all()
 

@@ -2,6 +2,7 @@ import re
 
 import corpus_pipeline as cp
 from tests.llm.test_ngram_join import brute as components
+from weirloom.llm import mixing
 from weirloom.llm.common import durable, table
 
 SF = "/root/testdata/sf0.01"
@@ -31,13 +32,20 @@ def test_stages(spark):
         assert not re.search(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+|\+1 \(\d{3}\) 555-\d{4}|token = \"[0-9a-f]{40}", r["text"])
         assert r["n_chars"] == len(r["text"])
     assert private.count() == near.count()
-    # mixing: toxic documents go, clean ones stay
+    # mixing: expected tokens of the mixed table meet the stated shares, toxic documents go, clean ones stay
+    members = mixing.mix(private, table(spark, SF, "labels"), train=before.select("doc_id", "text"), weights=cp.WEIGHTS).toPandas()
+    assert {r["doc_id"] for r in mixed.collect()} == set(members["doc_id"][members["copies"] > 0]) and mixed.count() == members["copies"].sum()
+    total = members["n_tokens"].sum()
+    for d, share in zip(mixing.DOMAINS, cp.WEIGHTS):
+        assert abs((members["rate"] * members["n_tokens"] * members[f"p_{d}"]).sum() / total - share) < 0.01
+        assert abs((members["copies"] * members["n_tokens"] * members[f"p_{d}"]).sum() / total - share) < 0.05  # copies are whole, and documents few
     left = {r["doc_id"] for r in mixed.collect()}
     there = {r["doc_id"] for r in private.collect()}
     toxic = [d for d in there if d in labels and labels[d]["toxic"] == 1]
     fine = [d for d in there if d in labels and labels[d]["toxic"] == 0 and labels[d]["quality"] == 1]
-    assert sum(d in left for d in toxic) <= 0.35 * len(toxic)  # some 300 labelled documents are left to learn from here
-    assert sum(d in left for d in fine) >= 0.97 * len(fine)
+    assert sum(d in left for d in toxic) <= 0.1 * len(toxic)
+    # 51 toxic documents teach too little to tell some clean ones apart (on sf0.1 all stay, see the README)
+    assert sum(d in left for d in fine) >= 0.85 * len(fine)
     # pieces: a row for each copy
     assert last.count() == mixed.count()
     assert cp.run(spark, SF).count() > 0

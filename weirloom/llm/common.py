@@ -39,12 +39,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders made where spark.checkpoint.dir is unset, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, named by spark.checkpoint.dir; a local one only where it is unset (tests)."""
+    """The folder all executors share, named by spark.checkpoint.dir; where it is unset, a temporary one of a local session, and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="weirloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="weirloom-")
+        named = _LOCAL[context.applicationId]
     return named.rstrip("/")
 
 

@@ -5,20 +5,22 @@
    documents (those of the smallest key hash, a documented bound): the FEATURES bins of
    the largest likelihood ratio are kept, found by a distributed count, and the driver
    gets the kept bins of the sample's documents.
-2. One pass gives every document its tokens (words) and posteriors; those below FLOOR
-   count as zero.
+2. One pass gives every document its tokens (words) and posteriors, none of them cut off.
 3. Document rates r >= 0 are fitted so that the expected tokens of each domain,
    sum(r * tokens * posterior), match targets, by projected gradient on the least squares
-   error, preconditioned by the Gram matrix M of the documents whose rate is above 0. From
-   rates of 1, a step takes r <- max(0, r - posterior . s M^-1 (totals - targets)), with s = 1,
-   halved for as long as the error would grow. Totals and M are one small aggregation a step;
-   the rates are never stored: a document's rate follows from the few step vectors.
+   error. The gradient is preconditioned by the pseudo-inverse of the Gram matrix M of the
+   documents whose rate is above 0, which makes it a projected Newton step. From rates of 1,
+   a step takes r <- max(0, r - posterior . s M^-1 (totals - targets)), with s = 1, quartered
+   for as long as the error would grow. Totals and M are one small aggregation a step; the
+   rates are never stored: a document's rate follows from the few step vectors.
 4. A document gets floor(rate + u) copies, u being a uniform hash of its key, so the
    expected copies equal the rate.
 
-Default targets are the expected tokens of the documents that are not mostly toxic, those of
-the poor domain cut to POOR_SHARE of the whole: toxic documents go, and what little toxic
-membership other documents have does not count against them.
+Targets are TARGET_WEIGHTS, the shares of the mixed corpus that each domain is to have, times
+the tokens that the corpus has now: of a corpus with 0.80 good, 0.10 poor and 0.10 toxic
+tokens, toxic documents go, poor ones are halved and good ones come 1.2 times on average. The
+toxic share is not 0, since every document has some toxic membership: least squares would
+rather drop clean documents than leave it.
 
 Defined results: a null or empty text has no tokens and rate 1; without labelled rows all
 documents are good; null labels are ignored; repeated rows get equal rates; an empty table
@@ -45,8 +47,8 @@ FEATURES = 2000
 LEAST_GAIN = 8.0
 EPOCHS = 120
 RIDGE = 1e-5
-FLOOR = 0.02
-POOR_SHARE = 0.1
+#: Shares of good, poor and toxic tokens in the mixed corpus.
+TARGET_WEIGHTS = (0.948, 0.05, 0.002)
 STEPS = 60
 TOLERANCE = 1e-5
 
@@ -95,8 +97,6 @@ class Classifier:
         for k in range(score.shape[1]):
             score[:, k] += np.bincount(row, weights=self.gain[slot, k], minlength=len(score))
         p = np.exp(score - score.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[p < FLOOR] = 0
         return tokens.astype(np.int64), p / p.sum(axis=1, keepdims=True)
 
 
@@ -179,15 +179,13 @@ def rate(steps: list[list[float]]) -> Column:
     return F.when(F.col("n_tokens") > 0, taken).otherwise(F.lit(1.0))
 
 
-def default_targets(members: DataFrame) -> np.ndarray:
-    """Expected tokens by domain of the documents that are not mostly toxic, the poor ones' cut to POOR_SHARE of the whole."""
-    rest = F.when(F.coalesce(F.get("p", F.lit(2)), F.lit(0.0)) < 0.5, F.col("n_tokens")).otherwise(0)
-    row = members.agg(*(F.sum(rest * F.get("p", F.lit(i))).alias(f"t{i}") for i in range(len(DOMAINS)))).first()
-    good, poor, toxic = (float(row[f"t{i}"] or 0) for i in range(len(DOMAINS)))
-    return np.array([good, min(poor, good * POOR_SHARE / (1 - POOR_SHARE)), toxic])
+def weighted_targets(members: DataFrame, weights: Sequence[float] = TARGET_WEIGHTS) -> np.ndarray:
+    """Tokens by domain of a corpus as large as this one with the stated shares."""
+    total = float(members.agg(F.sum("n_tokens")).first()[0] or 0)
+    return np.asarray(weights, float) / sum(weights) * total
 
 
-def solve(members: DataFrame, targets: Sequence[float] | None = None) -> tuple[list[list[float]], np.ndarray, np.ndarray]:
+def solve(members: DataFrame, targets: Sequence[float] | None = None, weights: Sequence[float] = TARGET_WEIGHTS) -> tuple[list[list[float]], np.ndarray, np.ndarray]:
     """(step vectors, targets, totals reached) for members (n_tokens, p), which should be a written table."""
     k = len(DOMAINS)
     part = lambda i: F.get("p", F.lit(i))
@@ -201,7 +199,7 @@ def solve(members: DataFrame, targets: Sequence[float] | None = None) -> tuple[l
         return np.array([value(f"t{i}") for i in range(k)]), np.array([[value(f"m{min(i, j)}{max(i, j)}") for j in range(k)] for i in range(k)])
 
     totals, gram = measured([])
-    goal = np.asarray(targets, float) if targets is not None else default_targets(members)
+    goal = np.asarray(targets, float) if targets is not None else weighted_targets(members, weights)
     error = lambda t: float(np.linalg.norm(t - goal) / max(1.0, goal.sum()))
     steps: list[list[float]] = []
     size = 1.0
@@ -221,13 +219,16 @@ def solve(members: DataFrame, targets: Sequence[float] | None = None) -> tuple[l
 OWN = ("n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", "copies")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: Sequence[float] | None = None, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (all unless given) with n_tokens, p_good, p_poor, p_toxic, rate and copies put in."""
-    classifier = fit(docs, labels, key, text)
+def mix(docs: DataFrame, labels: DataFrame, targets: Sequence[float] | None = None, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, train: DataFrame | None = None, weights: Sequence[float] = TARGET_WEIGHTS) -> DataFrame:
+    """The columns `keep` of docs (all unless given) with n_tokens, p_good, p_poor, p_toxic, rate and copies put in.
+
+    The classifier learns from the labelled documents of `train`, by default of docs. targets are tokens by domain; by default they follow from weights.
+    """
+    classifier = fit(docs if train is None else train, labels, key, text)
     found = posteriors(docs, classifier, text)
     names = [c for c in keep or docs.columns if c.lower() not in OWN]
     found = durable(found.select(F.struct(*(F.col("x_row")[c].alias(c) for c in names)).alias("x_row"), F.col("x_row")[key].alias("x_key"), "n_tokens", "p"), "members")
-    steps, _, _ = solve(found.select("n_tokens", "p"), targets)
+    steps, _, _ = solve(found.select("n_tokens", "p"), targets, weights)
     uniform = F.pmod(F.xxhash64(F.coalesce(F.col("x_key").cast("string"), F.lit("")), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     out = found.withColumn("rate", F.round(rate(steps), 9))
     return out.select("x_row.*", "n_tokens", *(F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate", F.floor(F.col("rate") + uniform).cast("bigint").alias("copies"))
