@@ -6,7 +6,7 @@ writes what a stage returns to the shared folder and hands the reread table on.
 1. quality rules: documents that the base rules or the isolation forest reject go;
 2. n-gram Jaccard join: of each group of near copies, the document of the smallest id stays;
 3. PII: every span of personal data in the text becomes its kind in brackets;
-4. mixing: documents get as many copies as their rate says; toxic documents get none;
+4. mixing: documents get the copies that the fitted rates give them, without exceptions;
 5. SentencePiece: ids of the best segmentation, scores of the N best.
 """
 
@@ -20,6 +20,8 @@ from weirloom.llm import mixing, ngram_join, pieces, pii, quality_rules
 from weirloom.llm.common import bounded_batches, durable, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Shares of good, poor and toxic tokens after mixing; the quality rules have left hardly any poor ones by then.
+WEIGHTS = (0.997, 0.001, 0.002)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +46,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its copies say, but for the ends: a rate of at least half keeps it, so that rounding drops no clean document, and one below a tenth drops it."""
-    out = mixing.mix(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
-    copies = F.when(F.col("rate") >= 0.5, F.greatest(F.lit(1), F.col("copies"))).when(F.col("rate") < 0.1, 0).otherwise(F.col("copies"))
-    return out.withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int"))))).select(*COLUMNS)
+    """Each document as often as its copies say. The classifier learns from all labelled documents of the table, also those that earlier stages dropped."""
+    out = mixing.mix(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), train=table(spark, sf_dir, "documents").select("doc_id", "text"), weights=WEIGHTS)
+    return out.withColumn("copy", F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies").cast("int"))))).select(*COLUMNS)
 
 
 def segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
