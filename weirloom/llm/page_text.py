@@ -1,20 +1,25 @@
 """HTML extraction: nearest-URL page differencing.
 
 1. Each page becomes text lines, one for each block, with what the markup says about them:
-   inside a container of the article, inside boilerplate (menus, site headers and footers,
-   sidebars, notices, adverts, forms, reader comments), or neither.
-2. Pages sort by host, path and content; a page's pair is the neighbour on the same host
-   whose path has the longer common prefix with its own (the one before, if equal). Equal
-   pages (url and html) count once. The sort is by range, so a host of any size spreads
-   over tasks; what lies across a border is looked up in a table with a row per task.
+   BOILERPLATE (menus, site headers and footers, sidebars, notices, adverts, forms, reader
+   comments), PROSE (a heading, paragraph, list item, quotation or table cell of an article
+   container, not mostly links), CONTAINED (else in such a container), or OUTSIDE.
+2. Pages sort by host, path and content, equal pages (url and html) once. A page's candidates
+   are the REACH pages before and after it on the same host; its pair is the one with the
+   longest common prefix of paths, the nearer and then the earlier one if equal, that is not
+   a near copy: one whose shared lines make NEAR_COPY of the lines and of the characters of
+   the larger page. Copies would share the article. The sort is by range, so a host of any
+   size spreads over tasks; what lies across a border is looked up in a table with a row per
+   task.
 3. The lines of a pair are aligned by longest common subsequence (bit-parallel, after common
-   heads and tails). Lines in it are shared, and are deleted.
-4. The markup then checks the outcome: shared lines inside an article container come back
-   (two copies of an article share all of it), unshared lines in boilerplate go, and where
-   a page has a container, lines outside of it go.
+   heads and tails). Lines in it are shared, and are deleted: this decides every line, but for
+   two vetoes. Shared PROSE stays, since neighbours quote the same passages. Unshared
+   BOILERPLATE goes, since menus, adverts, forms and comments also differ between neighbours.
+   Without a pair nothing is shared.
 
-White space is what Unicode calls so. Only 32-bit line fingerprints travel to the sort; the
-lines themselves travel once, compressed.
+White space is what Unicode calls so. Only 64-bit line fingerprints and lengths travel to the
+sort, and a bit for each line comes back; the lines themselves travel once, compressed. A page
+with a thousandth of all rows or more is dealt over SALTS keys.
 
 Defined results: null or empty html gives an empty text; a null url has an empty host and
 path; repeated rows get equal texts; markup that is cut off or badly nested is read as far
@@ -24,8 +29,10 @@ with the names of the result's (text, n_chars) are replaced.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -60,6 +67,13 @@ NAMED = frozenset(
 NAMED_ARTICLES = frozenset("ad ads advert advertisement sponsored promo comment comments reply related recommended teaser".split())
 NEGATED = ("no", "not", "with", "without", "has", "non", "is")
 CONTAINERS = ("article", "main")
+#: Elements whose text is prose where a container holds them.
+PROSE_ELEMENTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th caption figcaption".split())
+OUTSIDE, BOILER, CONTAINED, PROSE = range(4)
+REACH = 2
+NEAR_COPY = 0.8
+#: Pages with this share of all rows, one over MOST_OFTEN, or more are dealt over SALTS keys.
+MOST_OFTEN, SALTS = 1000, 64
 CONTAINER_NAMES = frozenset("articlebody".split())
 
 _TAG = re.compile(r"<(?:!--(?:.*?--!?>|.*\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*>?))", re.S)
@@ -69,29 +83,40 @@ _WORD = re.compile(r"[a-z0-9]+")
 
 
 def lines(html: str) -> list[tuple[str, int]]:
-    """(text, kind) of each block in page order; kind: 1 in boilerplate, 2 in a container, 0 neither."""
+    """(text, kind) of each block in page order; kind: OUTSIDE, BOILER, CONTAINED or PROSE."""
     out: list[tuple[str, int]] = []
     held: list[str] = []
     stack: list[tuple[str, int]] = []  # element, its kind
-    kind, silent, at = 0, 0, 0  # silent: depth of the stack at which silence began, or 0
+    kind, silent, at = OUTSIDE, 0, 0  # silent: depth of the stack at which silence began, or 0
+    linked = 0  # characters held from within links
 
     def flush() -> None:
+        nonlocal linked
         if held:
-            text = " ".join(entities.unescape("".join(held)).split())
+            raw = "".join(held)
+            text = " ".join(entities.unescape(raw).split())
             if text:
-                out.append((text, kind))
+                block = next((s[0] for s in reversed(stack) if s[0] in BLOCKS), "") if kind == CONTAINED else ""
+                out.append((text, PROSE if block in PROSE_ELEMENTS and 2 * linked < len(raw) else kind))
             held.clear()
+        linked = 0
+
+    def hold(piece: str) -> None:
+        nonlocal linked
+        held.append(piece)
+        if any(s[0] == "a" for s in stack[-3:]):
+            linked += len(piece)
 
     def pop(to: int) -> None:
         nonlocal kind, silent
         del stack[to:]
-        kind = stack[-1][1] if stack else 0
+        kind = stack[-1][1] if stack else OUTSIDE
         if silent and len(stack) < silent:
             silent = 0
 
     while m := _TAG.search(html, at):
         if m.start() > at and not silent:
-            held.append(html[at : m.start()])
+            hold(html[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
@@ -121,20 +146,20 @@ def lines(html: str) -> list[tuple[str, int]]:
         if name in VOID or rest.endswith("/>") and name in ("svg", "iframe", "script"):
             continue
         own = kind
-        if name in CONTAINERS and kind != 1:
-            own = 2
-        if name in BOILERPLATE or name == "header" and kind != 2:
-            own = 1
-        elif rest != ">" and own != 1:
+        if name in CONTAINERS and kind != BOILER:
+            own = CONTAINED
+        if name in BOILERPLATE or name == "header" and kind != CONTAINED:
+            own = BOILER
+        elif rest != ">" and own != BOILER:
             words: set[str] = set()
             for a in _NAMES.finditer(rest[:-1]):
                 for one in (a[2] or a[3] or a[4] or "").lower().split():
                     found = _WORD.findall(one)
                     words.update(found if found and found[0] not in NEGATED else ())
             if words & (NAMED_ARTICLES if name in CONTAINERS else NAMED) and name not in ("html", "body"):
-                own = 1
+                own = BOILER
             elif words & CONTAINER_NAMES:
-                own = 2
+                own = CONTAINED
         stack.append((name, own))
         if not silent and (name in SILENT or rest != ">" and _HIDDEN.search(rest[:-1])):
             silent = len(stack)
@@ -143,7 +168,7 @@ def lines(html: str) -> list[tuple[str, int]]:
             end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(html, at)
             at = end.start() if end else len(html)
     if at < len(html) and not silent:
-        held.append(html[at:])
+        hold(html[at:])
     flush()
     return out
 
@@ -184,16 +209,78 @@ def common(a: list[int], b: list[int]) -> list[bool]:
     return shared
 
 
+Side = dict  # path, prints and sizes of a page
+
+
+def shared_lines(own: Side, before: list[Side], after: list[Side]) -> list[bool]:
+    """Step 2's choice among the pages before (nearest last) and after (nearest first) on the host, and step 3's alignment with it."""
+    candidates = [(side, distance, late) for late, sides in enumerate((before[::-1], after)) for distance, side in enumerate(sides)]
+    candidates.sort(key=lambda c: (-len(os.path.commonprefix([own["path"], c[0]["path"]])), c[1], c[2]))
+    for side, _, _ in candidates:
+        shared = common(own["prints"], side["prints"])
+        n, size = sum(shared), sum(x for x, s in zip(own["sizes"], shared, strict=True) if s)
+        if n < NEAR_COPY * max(len(shared), len(side["prints"])) or size < NEAR_COPY * max(sum(own["sizes"]), sum(side["sizes"])):
+            return shared
+    return [False] * len(own["prints"])
+
+
 def text_of(own: list[tuple[str, int]], shared: list[bool]) -> str:
-    """Steps 3 and 4: the lines that are not shared, as the markup corrects them, joined."""
-    contained = any(kind == 2 for _, kind in own)
-    keep = [(not s or kind == 2) and kind != 1 and (kind == 2 or not contained) for (_, kind), s in zip(own, shared, strict=True)]
-    return " ".join(text for (text, _), k in zip(own, keep, strict=True) if k)
+    """The lines that differencing leaves, after the markup's two vetoes, joined."""
+    return " ".join(text for (text, kind), s in zip(own, shared, strict=True) if kind != BOILER and (kind == PROSE or not s))
 
 
 def _print(text: str) -> int:
-    value = zlib.crc32(text.encode("utf-8", "surrogatepass"))
-    return value - (1 << 32) if value >> 31 else value
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _parsed(rows: DataFrame, payload: bool) -> DataFrame:
+    """Of each page its keys with the fingerprints and lengths of its lines, or (payload) its row with the lines that may stay."""
+    fields = [rows.schema[c] for c in (("h_row", "rid") if payload else ("host", "path", "rid"))]
+    more = [T.StructField("packed", T.BinaryType())] if payload else [T.StructField("prints", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.IntegerType()))]
+    out = T.StructType(fields + more)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, _, _ in slices(batch, "h_html"):
+                found = [lines(h or "") for h in part.column("h_html").to_pylist()]
+                columns = [part.column(f.name) for f in fields]
+                if payload:
+                    kept = [[["" if k == BOILER else t, k] for t, k in f] for f in found]
+                    columns.append(pa.array([zlib.compress(json.dumps(f, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass"), 6) for f in kept], pa.binary()))
+                else:
+                    columns.append(pa.array([[_print(t) for t, _ in f] for f in found], pa.list_(pa.int64())))
+                    columns.append(pa.array([[len(t) for t, _ in f] for f in found], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, out.names)
+
+    return rows.select(*(f.name for f in fields), "h_html").mapInArrow(run, out)
+
+
+def neighbours(ranged: DataFrame) -> DataFrame:
+    """Rows (rid, path, prints, sizes, before, after) of distinct pages (host, path, rid, prints, sizes, part), part being their range: before and after hold up to REACH pages of the same host."""
+    order = ["host", "path", "rid"]
+    side = F.struct("host", "path", "prints", "sizes")
+    within = Window.partitionBy("part").orderBy(*order)
+    placed = ranged.withColumns({"before": F.collect_list(side).over(within.rowsBetween(-REACH, -1)), "after": F.collect_list(side).over(within.rowsBetween(1, REACH))})
+    # the first and last REACH pages of each task, and of the REACH tasks around it: each has a page or more
+    up, down = F.row_number().over(within), F.row_number().over(Window.partitionBy("part").orderBy(*(F.desc(c) for c in order)))
+    edges = ranged.withColumns({"up": up, "down": down}).where(f"up <= {REACH} OR down <= {REACH}")
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c) <= REACH, F.struct("up", side.alias("side"))))), lambda x: x["side"])
+    ends = edges.groupBy("part").agg(listed("up").alias("first"), listed("down").alias("last"))
+    across = Window.orderBy("part")  # a row for each task of the sort
+    ends = ends.select("part", F.flatten(F.collect_list("last").over(across.rowsBetween(-REACH, -1))).alias("above"), F.flatten(F.collect_list("first").over(across.rowsBetween(1, REACH))).alias("below"))
+    placed = placed.join(ends, "part")
+    own = lambda sides: F.transform(F.filter(sides, lambda x: x["host"] == F.col("host")), lambda x: F.struct(x["path"].alias("path"), x["prints"].alias("prints"), x["sizes"].alias("sizes")))
+    before, after = F.concat("above", "before"), F.concat("after", "below")
+    start = F.greatest(F.lit(1), F.size(before) - REACH + 1)
+    return placed.select("rid", "path", "prints", "sizes", own(F.slice(before, start, F.lit(REACH))).alias("before"), own(F.slice(after, F.lit(1), F.lit(REACH))).alias("after"))
+
+
+def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        masks = []
+        for r in batch.select(["path", "prints", "sizes", "before", "after"]).to_pylist():
+            masks.append(np.packbits(np.array(shared_lines(r, r["before"], r["after"]), bool)).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(masks, pa.binary())], ["rid", "mask"])
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -201,46 +288,23 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     keep = [c for c in pages.columns if c.lower() not in ("text", "n_chars", html.lower())]
     host, path = parts(pages[url])
     rows = pages.select(F.struct(*(pages[c] for c in keep)).alias("h_row"), host.alias("host"), path.alias("path"), F.xxhash64(pages[url], pages[html]).alias("rid"), pages[html].alias("h_html"))
-
-    def parsed(payload: bool) -> DataFrame:
-        fields = [rows.schema[c] for c in (("h_row", "rid") if payload else ("host", "path", "rid"))]
-        more = [T.StructField("prints", T.ArrayType(T.IntegerType()))] + ([T.StructField("packed", T.BinaryType())] if payload else [])
-        out = T.StructType(fields + more)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, _, _ in slices(batch, "h_html"):
-                    found = [lines(h or "") for h in part.column("h_html").to_pylist()]
-                    columns = [part.column(f.name) for f in fields]
-                    columns.append(pa.array([[_print(t) for t, _ in f] for f in found], pa.list_(pa.int32())))
-                    if payload:
-                        columns.append(pa.array([zlib.compress(json.dumps(f, ensure_ascii=False).encode("utf-8", "surrogatepass"), 6) for f in found], pa.binary()))
-                    yield pa.RecordBatch.from_arrays(columns, out.names)
-
-        return rows.select(*(f.name for f in fields), "h_html").mapInArrow(run, out)
-
-    light = parsed(False).groupBy("host", "path", "rid").agg(F.first("prints").alias("prints"))
+    light = _parsed(rows, False).groupBy("host", "path", "rid").agg(F.first("prints").alias("prints"), F.first("sizes").alias("sizes"), F.count("*").alias("n"))
     count = max(2, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = durable(light.repartitionByRange(count, "host", "path", "rid").withColumn("part", F.spark_partition_id()), "pages")
-    order = [F.col("host"), F.col("path"), F.col("rid")]
-    side = F.struct("host", "path", "prints")
-    within = Window.partitionBy("part").orderBy(*order)
-    ends = ranged.groupBy("part").agg(F.min_by(side, F.struct(*order)).alias("first"), F.max_by(side, F.struct(*order)).alias("last"))
-    across = Window.orderBy("part")  # a row for each task of the sort
-    ends = ends.select("part", F.lag("last").over(across).alias("above"), F.lead("first").over(across).alias("below"))
-    near = ranged.withColumns({"up": F.lag(side).over(within), "down": F.lead(side).over(within)}).join(ends, "part")
-    near = near.select("rid", "host", "path", F.coalesce("up", "above").alias("up"), F.coalesce("down", "below").alias("down"))
-    same = lambda c: F.when(F.col(f"{c}.host") == F.col("host"), F.length(F.regexp_extract(F.concat(F.col("path"), F.lit("\n"), F.col(f"{c}.path")), r"(?s)^(.*).*\n\1", 1)))
-    near = near.select("rid", F.when(F.coalesce(same("up"), F.lit(-1)) >= F.coalesce(same("down"), F.lit(-1)), F.when(same("up").isNotNull(), F.col("up.prints"))).otherwise(F.col("down.prints")).alias("other"))
-    near = near.groupBy("rid").agg(F.first("other").alias("other"))
+    masks = neighbours(ranged).mapInArrow(_masks, "rid long, mask binary").groupBy("rid").agg(F.first("mask").alias("mask"))
+    total = ranged.agg(F.sum("n")).first()[0] or 0
+    often = F.broadcast(ranged.where(F.col("n") * MOST_OFTEN >= total).select("rid", F.lit(True).alias("often")))  # MOST_OFTEN rows at most
+    salt = lambda which: F.when(F.col("often"), which).otherwise(F.lit(0))
+    dealt = masks.join(often, "rid", "left").select("rid", "mask", F.explode(F.sequence(F.lit(0), salt(F.lit(SALTS - 1)))).alias("salt"))
+    texts = _parsed(rows, True).join(often, "rid", "left").withColumn("salt", salt(F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")))
     whole = T.StructType([rows.schema["h_row"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for packed, prints, other in zip(batch.column("packed").to_pylist(), batch.column("prints").to_pylist(), batch.column("other").to_pylist(), strict=True):
+            for packed, mask in zip(batch.column("packed").to_pylist(), batch.column("mask").to_pylist(), strict=True):
                 own = [(t, k) for t, k in json.loads(zlib.decompress(packed))]
-                texts.append(text_of(own, common(prints, other or [])))
+                texts.append(text_of(own, np.unpackbits(np.frombuffer(mask, np.uint8), count=len(own)).astype(bool).tolist()))
             yield pa.RecordBatch.from_arrays([batch.column("h_row"), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], whole.names)
 
-    return parsed(True).join(near, "rid", "left").select("h_row", "packed", "prints", "other").mapInArrow(finish, whole).select("h_row.*", "text", "n_chars")
+    return texts.join(dealt, ["rid", "salt"]).select("h_row", "packed", "mask").mapInArrow(finish, whole).select("h_row.*", "text", "n_chars")
