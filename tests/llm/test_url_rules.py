@@ -18,7 +18,7 @@ def brute(url, rules):
     best = None
     for i, r in enumerate(rules):
         if re.search(u.regex(r.pattern), host + path):
-            key = (r.name is not None, len(r.name or r.pattern), -i)
+            key = (r.name is not None, r.name is None and r.verdict == "allow", len(r.name or r.pattern), -i)
             best = max(best, (key, r)) if best else (key, r)
     return host, path, best[1].name if best else None, best[1].verdict if best else "allow"
 
@@ -85,3 +85,30 @@ def test_sql_agrees(spark):
     names = [d[0] for d in cursor.description]
     got = u.judge(spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")).select(*names)
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, cursor.fetchall()))
+
+
+def test_separators_anchors_and_wildcards():
+    fits = lambda pattern, text: bool(re.search(u.regex(pattern), text))
+    for text in ("a.test/casino/x", "a.test/casino", "a.test/x:casino?", "casino/x", "a.test/=casino="):
+        assert fits("^casino^", text), text
+    for text in ("casino.test/x", "a.casino.test/", "a.test/casino-win", "a.test/casino.html", "a.test/casino_1", "a.test/casino%20", "a.test/mycasino", "a.test/casinoü"):
+        assert not fits("^casino^", text), text
+    assert fits("||ads.*^", "ads.foo.test/") and fits("||ads.*^", "x.ads.foo.test") and not fits("||ads.*^", "loads.foo.test/") and not fits("||ads.*^", "foo.test/ads.")
+    assert fits("/feed|", "a.test/feed") and not fits("/feed|", "a.test/feed/x") and fits("/.env|", "a.test/.env") and not fits("/.env|", "a.test/xenv")
+
+
+def test_lists(spark, tmp_path):
+    text = "[Adblock Plus 2.0]\n! comment\n\n||ads.*^\n@@||ads.*^privacy^\nexample.com##.ad\n/banner[0-9]+/\n||t.test^$third-party\n"
+    want = [Rule("||ads.*^", "block"), Rule("||ads.*^privacy^", "allow")]
+    assert u.parse_list(text) == want
+    (tmp_path / "list.txt").write_text(text)
+    assert u.read_list(spark, str(tmp_path / "list.txt")) == want
+    assert len(u.default_rules()) > 100
+    pages = spark.createDataFrame([(1, "http://ads.a.test/privacy/x"), (2, "http://ads.a.test/x"), (3, "http://a.test/privacy/")], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in u.judge(pages, want).collect()} == {1: "allow", 2: "block", 3: "allow"}
+
+
+def test_a_value_of_many_rows(spark):
+    rows = [(i, "http://ads.a.test/x") for i in range(2000)] + [(2000 + i, f"http://b.test/{i}") for i in range(500)]
+    got = u.judge(spark.createDataFrame(rows, "page_id long, url string").repartition(5)).collect()
+    assert len(got) == 2500 and all(r["verdict"] == ("block" if r["page_id"] < 2000 else "allow") for r in got)
