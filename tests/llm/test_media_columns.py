@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from weirloom.llm import media_columns, webp as w
+from weirloom.llm import media_columns, webp as w, webp_batch as b
 
 rng = np.random.default_rng(0)
 
@@ -34,17 +34,60 @@ CASES = {
 @pytest.mark.parametrize("name", CASES)
 def test_round_trip(name):
     pixels, options = CASES[name]
-    assert (w.decode(w.encode(pixels, options)) == pixels).all()
+    data = w.encode(pixels, options)
+    assert (w.decode(data) == pixels).all()
+    assert (b.decode_all([data])[0] == pixels).all()
 
 
-def test_packed_files_agree_with_the_full_reader():
-    texts = [bytes(64), "aé😀".encode() * 64, bytes(range(256)), bytes(range(256)) * 4099 * 3 + bytes(64), b"x" * 128]
-    payloads = [t[: len(t) // 64 * 64] for t in texts]
-    files = w.pack(payloads) + [w.encode(noise(4, 4))]
-    read = w.unpack(files)
-    assert [p for _, p in read[:-1]] == payloads
+def test_many_files_side_by_side():
+    names = [n for n in CASES if n != "all"]
+    files = [w.encode(*CASES[n]) for n in names] * 2
+    for n, pixels in zip(names * 2, b.decode_all(files, b.Heads())):
+        assert (pixels == CASES[n][0]).all(), n
+
+
+def texts():
+    words = [bytes(rng.integers(97, 123, int(n)).astype(np.uint8)) for n in rng.integers(1, 9, 300)]
+    prose = [b" ".join(words[i] for i in rng.integers(0, 300, n)) for n in (1, 5, 40, 300, 3000, 40000)]
+    return [b"", b"a", "aé😀".encode() * 64, bytes(range(256)), bytes(range(256)) * 4099 * 3, b"x" * 1_200_000, b"ab " * 500, prose[3] * 2, prose[3] + prose[4] + prose[3] * 3, *prose]
+
+
+def padded(text):
+    return text + bytes(max(64, -(-len(text) // 64) * 64) - len(text))
+
+
+def test_packed_files_agree_with_the_full_reader(monkeypatch):
+    payloads = [padded(t) for t in texts()]
+    files = b.pack(payloads)
+    assert [b.pack([p])[0] for p in payloads] == files  # whatever else is in the batch
+    for window in (b.WINDOW, 5000):
+        monkeypatch.setattr(b, "WINDOW", window)
+        read = b.unpack(files)
+        assert [p for _, p in read] == payloads
     for f, (pixels, _) in zip(files, read):
-        assert (w.decode(f) == pixels).all()
+        if len(f) < 100_000:
+            assert (w.decode(f) == pixels).all()
+
+
+def test_packed_files_use_what_the_format_has():
+    """References, colour cache and palette occur, and repeats cost next to nothing."""
+    tokens, transforms, caches = set(), set(), set()
+    for f in b.pack([padded(t) for t in texts() if len(t) < 20_000]):
+        bits = w.Bits(w.stream_of(f))
+        head = w.read_head(bits)
+        coding = w.read_coding(bits, head.stored, head.height, True)
+        transforms |= {kind for kind, _, _ in head.undo}
+        caches.add(coding.cache_bits)
+        stream = w.stream_of(f)
+        if coding.codes[0][0].width:
+            _, place = b._chains(stream, [bits.at], [8 * len(stream)], coding.codes[0])
+            for at in place.tolist():
+                value = int.from_bytes(stream[at >> 3 : (at >> 3) + 4], "little") >> (at & 7)
+                symbol = coding.codes[0][0].symbols[value & ((1 << coding.codes[0][0].width) - 1)]
+                tokens.add("pixel" if symbol < 256 else "copy" if symbol < 280 else "cache")
+    assert tokens == {"pixel", "copy", "cache"} and transforms == {w.PALETTE} and {0, 7, 9} <= caches
+    once, thrice = (len(b.pack([padded(t)])[0]) for t in (texts()[12][:1600], texts()[12][:1600] * 3))
+    assert thrice < once + 200
 
 
 def test_damaged_files_are_errors():
@@ -52,6 +95,8 @@ def test_damaged_files_are_errors():
     for bad in (b"", f[:10], f[: len(f) // 2], b"RIFF" + f[4:20]):
         with pytest.raises((ValueError, KeyError, IndexError)):
             w.decode(bad)
+        with pytest.raises((ValueError, KeyError, IndexError)):
+            b.decode_all([bad])
 
 
 def test_columns(spark):

@@ -1,8 +1,8 @@
 """Media columns: texts (or any bytes) as lossless WebP images, and features of what is read back.
 
 `store` pads a text's UTF-8 bytes with zero bytes to a positive multiple of 64, takes four
-bytes for a pixel (red, green, blue, alpha), and writes one image each. `load` decodes the
-images again and computes digests and features of the pixels.
+bytes for a pixel (red, green, blue, alpha), and writes one image each, whose first pixel
+holds the payload's size. `load` decodes the images again and computes digests and features.
 
 Defined results: null text is empty, so its payload is 64 zero bytes; equal texts give equal
 files and features; an empty table gives an empty one; other columns are kept, those with
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirloom.llm import webp
+from weirloom.llm import webp_batch
 from weirloom.llm.common import slices
 
 BLOCK = 64
@@ -47,7 +47,7 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
             for part, data, offsets in slices(batch, "m_text", SLICE):
                 raw, sizes = data.tobytes(), np.diff(offsets)
                 payloads = [raw[a:b] + bytes(max(BLOCK, -(-(b - a) // BLOCK) * BLOCK) - (b - a)) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("m_row"), pa.array(sizes), pa.array(webp.pack(payloads), pa.binary())], out.names)
+                yield pa.RecordBatch.from_arrays([part.column("m_row"), pa.array(sizes), pa.array(webp_batch.pack(payloads), pa.binary())], out.names)
 
     return rows.mapInArrow(run, out).select("m_row.*", "n_bytes", "media")
 
@@ -63,10 +63,11 @@ def load(images: DataFrame, media: str = "media") -> DataFrame:
     out = T.StructType([rows.schema["m_row"], *(T.StructField(n, t) for n, t in FIELDS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = webp_batch.Heads()
         for batch in batches:
             for part, _, _ in slices(batch, "m_media", SLICE):
                 files = part.column("m_media").to_pylist()
-                read = iter(webp.unpack([f for f in files if f is not None]))
+                read = iter(webp_batch.unpack([f for f in files if f is not None], heads))
                 found = []
                 for f in files:
                     if f is None:

@@ -1,10 +1,8 @@
 """Lossless WebP (VP8L): a writer, and a reader that decodes prefix codes, back-references and colour cache and inverts all transforms.
 
-Pixels are rows of (red, green, blue, alpha). The reader is complete; where an image has
-one prefix-code group, no cache and no back-references, its literals are read side by
-side: every bit position is looked up at once, and the chain of symbols is followed over
-whole groups of pixels. The writer takes options for every feature of the format, for
-tests and for images; `pack` writes bytes with one fixed set of codes.
+Pixels are rows of (red, green, blue, alpha). The reader is complete, and so is the writer:
+its options name every feature of the format. This module works on one image, symbol by
+symbol; webp_batch reads and writes the main images of many files side by side.
 """
 
 from __future__ import annotations
@@ -136,83 +134,36 @@ def _argb_to_rgba(values: np.ndarray) -> np.ndarray:
     return np.stack([v >> 16, v >> 8, v, v >> 24], axis=-1).astype(np.uint8)
 
 
-class _Chains:
-    """Runs of literals in a buffer: what follows from each bit position, looked up at once."""
-
-    def __init__(self, data: bytes, start: int, size: int, codes: list[Code]):
-        raw = np.frombuffer(data + bytes(16), np.uint8)
-        words = np.ndarray((len(raw) - 7,), np.dtype("<u8"), raw.data, 0, (1,))
-        first = start >> 3
-        self.start, self.size, self.codes = start, size, codes
-        wide = np.arange(8, dtype=np.uint64)
-        near = (words[first : first + (size + (start & 7) + 7) // 8 + 1, None] >> wide).astype(np.uint16).reshape(-1)
-        self.near = near[start & 7 : (start & 7) + size]
-        end = size + 64
-        self.hops: list[np.ndarray] = []
-        for i, code in enumerate(codes):
-            same = next((j for j in range(i) if codes[j] is code), None)
-            if same is None:
-                hop = np.full(end, end - 1, np.int32)
-                np.minimum(np.arange(size, dtype=np.int32) + code.sizes[self.near & np.uint16((1 << code.width) - 1)], end - 1, out=hop[:size])
-                self.hops.append(hop)
-            else:
-                self.hops.append(self.hops[same])
-        self.pixel = self.hops[0]
-        for hop in self.hops[1:]:
-            self.pixel = hop[self.pixel]
-        eight = self.pixel
-        for _ in range(3):
-            eight = eight[eight]
-        self.eight = memoryview(eight)  # few of its places are asked for
-
-    def read(self, runs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-        """For runs of (first bit, pixels): the literals as (all pixels, channels in the order of the codes), and the bit after each run."""
-        firsts, eight, counts = [], self.eight, np.array([c for _, c in runs], np.int64)
-        for at, count in runs:
-            at -= self.start
-            for _ in range(-(-count // 8)):
-                firsts.append(at)
-                at = eight[at]
-        starts = np.empty((len(firsts), 8), np.int64)
-        starts[:, 0] = firsts
-        for k in range(1, 8):
-            starts[:, k] = self.pixel[starts[:, k - 1]]
-        each = -(-counts // 8) * 8
-        keep = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) < np.repeat(counts, each)
-        at = starts.reshape(-1)[keep]
-        out = np.empty((len(at), 4), np.uint8)
-        for i, (code, hop) in enumerate(zip(self.codes, self.hops, strict=True)):
-            if len(at) and int(at.max()) >= self.size:
-                raise ValueError("the stream ends too early")
-            out[:, i] = code.symbols[self.near[at] & np.uint16((1 << code.width) - 1)]
-            at = hop[at]
-        ends = np.cumsum(counts) - 1
-        return out, at[ends] + self.start
+@dataclass
+class Coding:
+    """How an entropy-coded image is coded: cache, groups of prefix codes (green, red, blue, alpha, distance), and the group of each block."""
 
+    cache_bits: int
+    codes: list[list[Code]]
+    block: list[list[int]] | None
+    shift: int
 
-def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
-    """An entropy-coded image as (height, width) of ARGB numbers."""
+
+def read_coding(bits: Bits, width: int, height: int, main: bool) -> Coding:
     cache_bits = bits.read(4) if bits.read(1) else 0
     groups, block, shift = 1, None, 0
     if main and bits.read(1):
         shift = bits.read(3) + 2
         across = -(-width // (1 << shift))
-        block = (_image(bits, across, -(-height // (1 << shift)), False) >> 8) & 0xFFFF
-        groups = int(block.max()) + 1
-        block = block.tolist()
+        found = (_image(bits, across, -(-height // (1 << shift)), False) >> 8) & 0xFFFF
+        groups, block = int(found.max()) + 1, found.tolist()
     sizes = (256 + N_LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, N_DISTANCES)
-    codes = [[_read_code(bits, n) for n in sizes] for _ in range(groups)]
+    return Coding(cache_bits, [[_read_code(bits, n) for n in sizes] for _ in range(groups)], block, shift)
+
+
+def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
+    """An entropy-coded image as (height, width) of ARGB numbers."""
+    return read_pixels(bits, width, height, read_coding(bits, width, height, main))
+
+
+def read_pixels(bits: Bits, width: int, height: int, coding: Coding) -> np.ndarray:
+    cache_bits, codes, block, shift = coding.cache_bits, coding.codes, coding.block, coding.shift
     count = width * height
-    if groups == 1 and not cache_bits and codes[0][0].largest < 256:
-        size = min(8 * len(bits.data) - bits.at, count * sum(c.width for c in codes[0][:4])) + 1
-        found, ends = _Chains(bits.data, bits.at, size, codes[0][:4]).read([(bits.at, count)])
-        at = int(ends[0])
-        bits.next = at >> 3
-        bits.value = bits.size = 0
-        bits.at = at & ~7
-        bits.read(at & 7)
-        f = found.astype(np.int64)
-        return ((f[:, 3] << 24) | (f[:, 1] << 16) | (f[:, 0] << 8) | f[:, 2]).reshape(height, width)
     out: list[int] = []
     cache, drop = [0] * (1 << cache_bits), 32 - cache_bits
     fresh = 0  # pixels from here on are not in the cache yet
@@ -337,8 +288,8 @@ def _side(length: int, shift: int) -> int:
     return -(-length // (1 << shift))
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The pixels (height, width, 4) of a lossless WebP file."""
+def stream_of(data: bytes) -> bytes:
+    """The lossless stream within a WebP file."""
     if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
         raise ValueError("not a WebP file")
     at = 12
@@ -346,11 +297,26 @@ def decode(data: bytes) -> np.ndarray:
         if at + 8 > len(data):
             raise ValueError("no lossless image")
         at += 8 + (struct.unpack_from("<I", data, at + 4)[0] + 1 & ~1)
-    return decode_stream(data[at + 8 : at + 8 + struct.unpack_from("<I", data, at + 4)[0]])
+    return data[at + 8 : at + 8 + struct.unpack_from("<I", data, at + 4)[0]]
 
 
-def decode_stream(stream: bytes) -> np.ndarray:
-    bits = Bits(stream)
+def decode(data: bytes) -> np.ndarray:
+    """The pixels (height, width, 4) of a lossless WebP file."""
+    return decode_stream(stream_of(data))
+
+
+@dataclass
+class Head:
+    """What stands before the main image: its sides, whether alpha counts, what undoes the transforms (in order), and the width the main image is stored with."""
+
+    width: int
+    height: int
+    alpha: int
+    undo: list[tuple]
+    stored: int
+
+
+def read_head(bits: Bits) -> Head:
     if bits.read(8) != SIGNATURE:
         raise ValueError("not a lossless stream")
     width, height = bits.read(14) + 1, bits.read(14) + 1
@@ -373,8 +339,15 @@ def decode_stream(stream: bytes) -> np.ndarray:
             own_width = _side(own_width, pack)
         else:
             undo.append((kind, 0, None))
-    image = _argb_to_rgba(_image(bits, own_width, height, True)).astype(np.int64)
-    for kind, shift, more in reversed(undo):
+    return Head(width, height, alpha, undo, own_width)
+
+
+def restored(main: np.ndarray, head: Head) -> np.ndarray:
+    """The pixels (height, width, 4) of a main image of ARGB numbers (height, stored width)."""
+    image = _argb_to_rgba(main)
+    if head.undo:
+        image = image.astype(np.int64)
+    for kind, shift, more in reversed(head.undo):
         if kind == PREDICTOR:
             image = _unpredict(image, (more >> 8) & 15, shift)
         elif kind == CROSS_COLOUR:
@@ -388,16 +361,22 @@ def decode_stream(stream: bytes) -> np.ndarray:
             table, wide = more
             each = 1 << shift
             green = image[..., 1][:, :, None] >> (np.arange(each) * (8 >> shift)) & ((1 << (8 >> shift)) - 1)
-            green = green.reshape(height, -1)[:, :wide]
+            green = green.reshape(head.height, -1)[:, :wide]
             full = np.zeros((256, 4), np.int64)
             full[: len(table)] = table
             image = full[green]
     out = image.astype(np.uint8)
-    if not alpha:
+    if not head.alpha:
         out[..., 3] = 255
     return out
 
 
+def decode_stream(stream: bytes) -> np.ndarray:
+    bits = Bits(stream)
+    head = read_head(bits)
+    return restored(_image(bits, head.stored, head.height, True), head)
+
+
 # --- writing -----------------------------------------------------------------------------------
 
 
@@ -443,7 +422,7 @@ def code_lengths(counts: list[int], most: int = 15) -> list[int]:
         floor = 2 * floor + 1
 
 
-def _put_code(out: Writer, lengths: list[int]) -> dict[int, tuple[int, int]]:
+def put_code(out: Writer, lengths: list[int]) -> dict[int, tuple[int, int]]:
     used = [s for s, n in enumerate(lengths) if n]
     if len(used) == 1 and used[0] < 256:
         out.put(1, 1)
@@ -556,7 +535,7 @@ def _put_image(out: Writer, pixels: np.ndarray, cache_bits: int = 0, references:
         for which, symbol, _, _ in puts:
             counts[g][which][symbol] += 1
         todo.append((g, puts))
-    codes = [[_put_code(out, code_lengths(c)) for c in own] for own in counts]
+    codes = [[put_code(out, code_lengths(c)) for c in own] for own in counts]
     for g, puts in todo:
         for which, symbol, extra, size in puts:
             out.put(*codes[g][which][symbol])
@@ -582,8 +561,8 @@ def _numbers(rgba: np.ndarray) -> np.ndarray:
     return (v[..., 3] << 24) | (v[..., 0] << 16) | (v[..., 1] << 8) | v[..., 2]
 
 
-def _wrap(stream: bytes, more: bytes = b"") -> bytes:
-    body = b"WEBPVP8L" + struct.pack("<I", len(stream)) + stream + b"\0" * (len(stream) & 1) + more
+def wrapped(stream: bytes) -> bytes:
+    body = b"WEBPVP8L" + struct.pack("<I", len(stream)) + stream + b"\0" * (len(stream) & 1)
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
@@ -629,126 +608,4 @@ def encode(rgba: np.ndarray, options: Options | None = None) -> bytes:
             image[..., 1], image[..., 3] = green, 255
     out.put(0, 1)
     _put_image(out, _numbers(image), options.cache_bits, options.references, options.groups, options.group_shift, main=True)
-    return _wrap(out.done())
-
-
-# --- bytes as images, with one fixed set of codes ------------------------------------------------
-
-ROW_PIXELS = 16
-
-
-def _weights() -> list[int]:
-    """The rule behind the fixed codes: how often bytes are taken to occur in texts."""
-    out = [1] * 256
-    letters = "etaoinsrhldcumfpgwybvkxjqz"
-    for i, c in enumerate(letters):
-        out[ord(c)], out[ord(c.upper())] = int(4000 * 0.87**i) + 40, int(120 * 0.87**i) + 8
-    for c, n in (" ", 6000), ("\n", 120), (".", 400), (",", 300), ("\0", 60):
-        out[ord(c)] = n
-    for i in range(128, 192):
-        out[i] = 14
-    out[0xC3] = 500
-    for c in "0123456789!#$%&*|-()\"'":
-        out[ord(c)] = 30
-    return out
-
-
-def _fixed_head() -> tuple[bytes, int, list[int]]:
-    """(the head's bytes after width, height and flags, its bits, the code lengths): no transform, no cache, one group."""
-    out, lengths = Writer(), code_lengths(_weights())
-    for _ in range(3):
-        out.put(0, 1)
-    _put_code(out, lengths + [0] * N_LENGTHS)
-    for _ in range(3):
-        _put_code(out, lengths)
-    _put_code(out, [1] + [0] * (N_DISTANCES - 1))
-    size = out.at + 8 * sum(map(len, out.parts))
-    return out.done(), size, lengths
-
-
-_HEAD, _HEAD_BITS, _LENGTHS = _fixed_head()
-_CODE = Code(_LENGTHS)
-_CANONICAL = canonical(_LENGTHS)
-_CODE_OF = np.array([_CANONICAL[b][0] for b in range(256)], np.uint64)
-_SIZE_OF = np.array([_CANONICAL[b][1] for b in range(256)], np.int64)
-#: Green, red, blue, alpha of a pixel, as the stream has them.
-_ORDER = [1, 0, 2, 3]
-_FRONT = 40 + _HEAD_BITS
-
-
-def _shape(payload: int) -> tuple[int, int]:
-    rows = payload // (4 * ROW_PIXELS)
-    wide = max(1, -(-rows // MAX_SIDE))
-    return wide * ROW_PIXELS, max(1, -(-rows // wide))
-
-
-def pack(payloads: list[bytes]) -> list[bytes]:
-    """A WebP file for each payload of a positive multiple of 64 bytes.
-
-    A payload whose pixels do not fill the image's last row ends with a chunk SIZE of its own length.
-    """
-    shapes = [_shape(len(p)) for p in payloads]
-    padded = b"".join(p + bytes(4 * w * h - len(p)) for p, (w, h) in zip(payloads, shapes, strict=True))
-    flat = np.frombuffer(padded, np.uint8).reshape(-1, 4)[:, _ORDER].reshape(-1)
-    sizes = _SIZE_OF[flat]
-    each = np.array([4 * w * h for w, h in shapes], np.int64)
-    at = np.cumsum(sizes) - sizes
-    heads = np.cumsum(each) - each
-    base = at[heads] if len(flat) else at
-    # every stream starts at a multiple of 64 bits, with room for its head
-    ends = np.append(base[1:], int(sizes.sum()))
-    room = -(-(ends - base + _FRONT) // 64) * 64 + 64
-    starts = np.cumsum(room) - room
-    at += np.repeat(starts + _FRONT - base, each)
-    code = _CODE_OF[flat]
-    low = code << (at & 31).astype(np.uint64)
-    word = at >> 5
-    words = np.zeros(int(room.sum()) // 32 + 2, np.uint64)
-    first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-    words[word[first]] += np.add.reduceat(low & np.uint64(0xFFFFFFFF), first)
-    words[word[first] + 1] += np.add.reduceat(low >> np.uint64(32), first)
-    raw = words.astype("<u4").tobytes()
-    out = []
-    for p, (w, h), s, n in zip(payloads, shapes, starts.tolist(), (ends - base).tolist(), strict=True):
-        stream = raw[s // 8 : s // 8 + -(-(_FRONT + n) // 8)]
-        front = (int.from_bytes(_HEAD, "little") << 40) | SIGNATURE | (w - 1) << 8 | (h - 1) << 22 | 1 << 36
-        head = len(_HEAD) + 5
-        mixed = (int.from_bytes(stream[:head], "little") | front).to_bytes(head, "little")
-        more = b"" if 4 * w * h == len(p) else b"SIZE" + struct.pack("<IQ", 8, len(p))
-        out.append(_wrap(mixed + stream[head:], more))
-    return out
-
-
-def _payload_size(data: bytes) -> int | None:
-    at = 12
-    while at + 8 <= len(data):
-        size = struct.unpack_from("<I", data, at + 4)[0]
-        if data[at : at + 4] == b"SIZE":
-            return struct.unpack_from("<Q", data, at + 8)[0]
-        at += 8 + (size + 1 & ~1)
-    return None
-
-
-def unpack(files: list[bytes]) -> list[tuple[np.ndarray, bytes]]:
-    """(pixels, payload) of each file. Those with the fixed head are read side by side, all others by decode()."""
-    out: list = [None] * len(files)
-    whole, last = _HEAD_BITS // 8, _HEAD_BITS % 8
-    runs, at, kept = [], 0, []
-    for i, data in enumerate(files):
-        head = data[25 : 25 + whole]
-        if data[12:16] == b"VP8L" and data[20] == SIGNATURE and head == _HEAD[:whole] and (not last or (data[25 + whole] ^ _HEAD[whole]) & ((1 << last) - 1) == 0):
-            sides = int.from_bytes(data[21:25], "little")
-            runs.append((i, 8 * (at + 20) + _FRONT, (sides & 16383) + 1, (sides >> 14 & 16383) + 1))
-            kept.append(data)
-            at += len(data)
-        else:
-            out[i] = decode(data)
-    if runs:
-        body = b"".join(kept)
-        found, _ = _Chains(body, 0, 8 * len(body), [_CODE] * 4).read([(bit, w * h) for _, bit, w, h in runs])
-        rgba = found[:, _ORDER]
-        at = 0
-        for i, _, w, h in runs:
-            out[i] = rgba[at : at + w * h].reshape(h, w, 4)
-            at += w * h
-    return [(pixels, pixels.tobytes()[: _payload_size(data)]) for pixels, data in zip(out, files, strict=True)]
+    return wrapped(out.done())
