@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -100,3 +101,56 @@ def test_secrets_of_any_length_and_without_digits(spark):
     for i, (_, s) in secrets.items():
         assert [r["text"][x["start"] : x["end"]] for r in [got[i]] for x in r["pii_spans"] if x["kind"] == "secret"] == [s], i
     assert not [x for i, r in got.items() if i <= -100 for x in r["pii_spans"]]
+
+
+def corpus(seed, n):
+    """(documents, planted spans by kind): prose with personal data in usual surroundings, and with what only looks like it."""
+    rng = random.Random(seed)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    filler = "the report of last week was read and nobody had any more to say about it".split()
+    given, last, places = (x.split() for x in (pii.GIVEN_NAMES, pii.SURNAMES, pii.PLACES))
+    unknown = ["Quibbly", "Zorvath", "Plimton", "Wexlor", "Brandtner"]
+
+    def iban():
+        body = "".join(rng.choice("0123456789") for _ in range(18))
+        number = int("".join(str(int(c, 36)) for c in body + "DE00"))
+        text = f"DE{98 - number % 97:02d}{body}"
+        return " ".join(text[i : i + 4] for i in range(0, len(text), 4))
+
+    planted = {
+        "person": lambda: rng.choice([f"{rng.choice(['name:', 'contact', 'signed by', 'met with', 'dear'])} @{rng.choice(given)} {rng.choice(last + unknown)}@", f"saw Dr. @{rng.choice(given + unknown)} {rng.choice(last)}@ there"]),
+        "street": lambda: f"{rng.choice(['lives at', 'address:', 'moved to'])} @{rng.randint(1, 9999)} {rng.choice(last)} {rng.choice(['Street', 'Avenue', 'Rd', 'Lane'])}@, {rng.choice(places)}",
+        "iban": lambda: f"{rng.choice(['iban:', 'account no', 'transfer to'])} @{iban()}@",
+        "national_id": lambda: f"{rng.choice(['ssn:', 'social security number', 'ssn is'])} @{rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}@",
+        "local_phone": lambda: f"{rng.choice(['call', 'tel:', 'phone'])} @({rng.randint(200, 999)}) {rng.randint(200, 999)}-{digits(4)}@",
+        "secret": lambda: f'{rng.choice(["token =", "api_key:", "password ="])} "@{"".join(rng.choice("0123456789abcdef") for _ in range(40))}@"',
+    }
+    other = [
+        lambda: f"went to {rng.choice(['New', 'South', 'West'])} {rng.choice(places)} once", lambda: f"done. {rng.choice(['Great', 'Other', 'Many'])} {rng.choice(['Thanks', 'Things', 'Rivers'])} were seen", lambda: f"part AB{digits(2)} {digits(4)} {digits(4)} in stock",
+        lambda: f"isbn {digits(3)}-{digits(2)}-{digits(4)} was sold out", lambda: f"order 000-00-{digits(4)} shipped", lambda: "see /img/" + "-".join(rng.choice(filler) for _ in range(8)) + ".png", lambda: f"in {rng.choice(['January', 'March', 'July'])} {rng.choice(places)} was cold",
+    ]
+    docs, truth = [], {}
+    for i in range(n):
+        pieces, text, spans = [rng.choice([planted[rng.choice(list(planted))], rng.choice(other)])() for _ in range(4)], "", set()
+        for piece in pieces:
+            text += " ".join(rng.choice(filler) for _ in range(rng.randint(3, 9))) + " "
+            if "@" in piece:
+                head, word, tail = piece.split("@")
+                spans.add((len(text) + len(head), len(text) + len(head) + len(word)))
+                piece = head + word + tail
+            text += piece + ". "
+        docs.append((i, text))
+        truth[i] = spans
+    return docs, truth
+
+
+def test_held_out_precision_and_recall(spark):
+    """The labelers' reliabilities and the classifier come from one corpus, the judged spans from another."""
+    schema = "doc_id long, text string"
+    models = pii.train(pii.find(spark.createDataFrame(corpus(1, 400)[0], schema)))
+    assert set(models) == set(pii.MORE_KINDS)
+    docs, truth = corpus(2, 400)
+    got = {r["doc_id"]: {(s["start"], s["end"]) for s in r["pii_spans"]} for r in pii.annotate(spark.createDataFrame(docs, schema), models=models).collect()}
+    right = sum(len(got[i] & truth[i]) for i in truth)
+    precision, recall = right / sum(map(len, got.values())), right / sum(map(len, truth.values()))
+    assert precision > 0.95 and recall > 0.9, (precision, recall)
