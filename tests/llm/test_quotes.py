@@ -1,3 +1,5 @@
+import random
+
 from weirloom.llm import quotes
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -76,3 +78,49 @@ def test_runs_of_lines_and_other_conversations(spark):
     assert [got[1, t]["reply_turn"] for t in range(1, 6)] == [0, 0, 0, 3, None]
     assert (got[2, 0]["reply_conv"], got[2, 0]["reply_turn"]) == (3, 0)
     assert (got[None, 0]["reply_conv"], got[None, 0]["reply_turn"]) == (1, 0)
+
+
+def reply_order(parents):
+    """Turns in preorder, by a plain walk."""
+    out, children = [], {}
+    for t, p in parents.items():
+        children.setdefault(p, []).append(t)
+    stack = sorted(children.get(None, []), reverse=True)
+    while stack:
+        t = stack.pop()
+        out.append(t)
+        stack += sorted(children.get(t, []), reverse=True)
+    return out
+
+
+def test_reply_order_against_a_plain_walk(spark):
+    rng = random.Random(4)
+    rows, want = [], {}
+    for conv, back in ((1, 1), (2, 2), (3, 9), (4, 200), (None, 5)):
+        parents = {}
+        for t in range(200):
+            p = t - rng.randint(1, back) if rng.random() < 0.9 else None
+            p = p if p is not None and p >= 0 else None
+            parents[t] = p
+            rows.append((conv, t, "u", f"message {t} of {conv}" if p is None else f"> message {p} of {conv}\nmessage {t} of {conv}"))
+        want[conv] = reply_order(parents)
+    for parts in ("2", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        _, got = run(spark, rows)
+        for conv, order in want.items():
+            own = sorted((r["position"], r["turn"]) for r in got if r["conv_id"] == conv)
+            assert [p for p, _ in own] == list(range(200)) and [t for _, t in own] == order
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_quotes_put_before_messages_are_linked_and_taken_off(spark):
+    m = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    quoted = quotes.quoting(m)
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.conversations(quoted).collect()}
+    texts = {(r["conv_id"], r["turn"]): r["text"] for r in m.collect()}
+    assert len(got) == len(texts) and sum(r["n_quotes"] for r in got.values()) > 0.5 * len(got)
+    for (c, t), r in got.items():
+        assert r["own"] == texts[c, t].strip() or r["own"] == texts[c, t]
+        assert r["n_linked"] == r["n_quotes"]
+        if r["n_quotes"]:
+            assert r["reply_conv"] == c and r["reply_turn"] < t

@@ -54,8 +54,9 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quotes.conversations(table(spark, sf_dir, "conversations"))
-    return out.select("conv_id", "turn", "role", "position", "reply_conv", "reply_turn", "n_quotes", "n_linked", F.sha2("own", 256).alias("text_sha256"))
+    """The table holds no quotes, so every message is first written with the quotes that quoting() puts before it; text_sha256 is that of the text without them."""
+    out = quotes.conversations(quotes.quoting(table(spark, sf_dir, "conversations")), texts=False)
+    return out.select("conv_id", "turn", "role", "position", "reply_conv", "reply_turn", "n_quotes", "n_linked", F.col("own_sha256").alias("text_sha256"))
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +76,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filters": op10_url_filters,
 }
 
-ORACLES: dict[str, str] = {"op5_ngram_jaccard_join": ngram_join.oracle(), "op10_url_filters": url_rules.oracle()}
+ORACLES: dict[str, str] = {"op5_ngram_jaccard_join": ngram_join.oracle(), "op9_quotation_linking": quotes.oracle(), "op10_url_filters": url_rules.oracle()}

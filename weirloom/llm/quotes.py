@@ -14,7 +14,11 @@
    messages share does not multiply.
 4. A message answers the message of its first linked quote in the conversation (the lowest
    level wins). Conversations are ordered as reply trees: a message follows what it answers,
-   siblings by turn; messages that answer nothing keep the order of turns.
+   siblings by turn; messages that answer nothing keep the order of turns. The tour of a tree
+   (into a message, its answers, out of it) is a linked list of two entries a message, ranked
+   by pointer doubling, so a chain of n answers takes log n joins of n rows. Siblings and rows
+   are numbered by range sorts with a table of a row per task, so neither a conversation nor a
+   message with many answers is ever one task's.
 
 Defined results: null text is empty; a null conversation or turn is a value of its own (null
 turns first); equal (conv_id, turn) are told apart by text, equal rows get consecutive
@@ -32,8 +36,6 @@ from weirloom.llm.common import durable
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _MARKS = r"^[ \t]*(?:>[ \t]?)+"
-#: Reply chains are followed by doubling, so this bounds their length by a power of two far beyond any conversation.
-MAX_DOUBLINGS = 40
 
 
 def normalised(text: Column) -> Column:
@@ -69,7 +71,7 @@ def full_lines(text: Column) -> Column:
 
 
 def parse(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, node (a key of the row's content), own (text without quotes) and quotes (array<struct<level,hash,head,size>>: head is a hash of the first line, size the number of lines)."""
+    """mid (a number of the row), conv_id, turn, role, node (a key of the row's content), own (text without quotes) and quotes (array<struct<level,hash,head,size>>: head is a hash of the first line, size the number of lines)."""
     rows = messages.select("conv_id", "turn", "role", "text").withColumn("runs", passages(line_structs(F.col("text"))))
     quoted = F.filter("runs", lambda r: r["level"] > 0)
     plain = F.filter("runs", lambda r: r["level"] == 0)
@@ -77,7 +79,7 @@ def parse(messages: DataFrame) -> DataFrame:
     has = F.size(quoted) > 0
     rows = rows.withColumn("own", F.when(has, F.regexp_replace(own, r"^\s+|\s+$", "")).otherwise(F.coalesce("text", F.lit(""))))
     rows = rows.withColumn("quotes", F.transform(quoted, lambda r: F.struct(r["level"].alias("level"), F.sha2(normalised(r["text"]), 256).alias("hash"), F.xxhash64(F.get(full_lines(r["text"]), 0)).alias("head"), F.size(full_lines(r["text"])).alias("size"))))
-    return rows.select("conv_id", "turn", "role", F.xxhash64("role", "text").alias("node"), "own", "quotes")
+    return rows.select(F.monotonically_increasing_id().alias("mid"), "conv_id", "turn", "role", F.xxhash64("role", "text").alias("node"), "own", "quotes")
 
 
 def originals(parsed: DataFrame) -> DataFrame:
@@ -111,7 +113,6 @@ def link(parsed: DataFrame) -> DataFrame:
     at = F.struct("turn", "node")
     # the latest earlier message of the conversation: an as-of join as a window over both sides
     sides = known.select("hash", "conv_id", "turn", "node", at.alias("origin"), F.lit(None).cast("int").alias("place"), F.lit(None).cast("int").alias("level")).unionByName(quotes.select("hash", "conv_id", "turn", "node", F.lit(None).cast(known.select(at.alias("x")).schema["x"].dataType).alias("origin"), "place", "level"))
-    before = Window.partitionBy("hash", "conv_id").orderBy(F.asc_nulls_first("turn")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     order = Window.partitionBy("hash", "conv_id").orderBy(F.asc_nulls_first("turn"))
     sides = sides.withColumn("rank", F.dense_rank().over(order))
     before = Window.partitionBy("hash", "conv_id").orderBy("rank").rangeBetween(Window.unboundedPreceding, -1)
@@ -127,37 +128,141 @@ def link(parsed: DataFrame) -> DataFrame:
     return found.select("conv_id", "turn", "node", "place", "level", F.when(F.col("origin").isNotNull(), F.col("conv_id")).otherwise(other["conv_id"]).alias("o_conv"), pick("turn").alias("o_turn"), pick("node").alias("o_node"), F.col("origin").isNotNull().alias("near"))
 
 
-def conversations(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, position (from 0, in reply order), reply_conv, reply_turn, n_quotes, n_linked, own (the text without quotes)."""
-    parsed = parse(messages)
-    links = durable(link(parsed), "quote-links")
-    key = ["conv_id", "turn", "node"]
-    answers = links.groupBy(*key).agg(
-        F.count("*").alias("n_linked"),
-        F.min_by(F.struct("o_conv", "o_turn", "o_node"), F.struct(~F.col("near"), "level", "place")).alias("to"),
-        F.min_by(F.struct("o_turn", "o_node"), F.struct("level", "place")).alias("up"),
-        F.bool_or("near").alias("near"),
+def ranged(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The rows as a table in global order, with part, the number of the range that holds them. Nulls come first."""
+    count = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return durable(rows.repartitionByRange(count, *(F.asc_nulls_first(c) for c in order)).withColumn("part", F.spark_partition_id()), "ranged")
+
+
+def tours(edges: DataFrame) -> DataFrame:
+    """Rows (conv_id, id, root, rank) of every message of a tree with answers, from edges (conv_id, id, turn, node, parent): its root and how many messages come before it in the tree."""
+    group, order = ["conv_id", "parent"], ["turn", "node", "id"]
+    sorted_ = ranged(edges, group + order)
+    within = Window.partitionBy("part", *group).orderBy(*(F.asc_nulls_first(c) for c in order))
+    over = Window.orderBy("part")  # a row for each task of the sort
+    key = F.struct(*group)
+    least = sorted_.groupBy("part").agg(F.min_by(F.struct(key.alias("key"), "id"), F.struct(*group, *order)).alias("first"), F.max_by(key, F.struct(*group, *order)).alias("last"))
+    least = least.select("part", F.lead("first").over(over).alias("below"), F.lag("last").over(over).alias("above"))
+    child = sorted_.withColumns({"following": F.lead("id").over(within), "place": F.row_number().over(within)}).join(least, "part")
+    child = child.withColumn("following", F.when(F.col("following").isNull() & F.col("below.key").eqNullSafe(key), F.col("below.id")).otherwise(F.col("following")))
+    child = child.withColumn("eldest", (F.col("place") == 1) & ~F.coalesce(F.col("above").eqNullSafe(key), F.lit(False)))
+    # entries of the lists: into (True) a message, or out of it; weight counts messages
+    eldest = child.where("eldest").select("conv_id", F.col("parent").alias("id"), F.col("id").alias("to"))
+    members = child.select("conv_id", "id", "parent", "following", F.lit(True).alias("answer")).unionByName(eldest.select("conv_id", "id", F.lit(None).cast("long").alias("parent"), F.lit(None).cast("long").alias("following"), F.lit(False).alias("answer")))
+    members = members.groupBy("conv_id", "id").agg(F.max("parent").alias("parent"), F.max("following").alias("following"))
+    same = members["conv_id"].eqNullSafe(eldest["conv_id"]) & (members["id"] == eldest["id"])
+    members = members.join(eldest, same, "left").select(members["conv_id"], members["id"], "parent", "following", "to")
+    into, out = lambda c: F.struct(F.col(c).alias("id"), F.lit(True).alias("into")), lambda c: F.struct(F.col(c).alias("id"), F.lit(False).alias("into"))
+    steps = F.array(
+        F.struct(into("id").alias("at"), F.when(F.col("to").isNotNull(), into("to")).otherwise(out("id")).alias("next"), F.lit(1).cast("long").alias("weight")),
+        F.struct(out("id").alias("at"), F.when(F.col("following").isNotNull(), into("following")).when(F.col("parent").isNotNull(), out("parent")).alias("next"), F.lit(0).cast("long").alias("weight")),
     )
-    # paths of reply trees, from the thread's first message down; only answering messages have one longer than themselves
-    paths = durable(answers.where("near").select(*key, F.struct(F.col("to.o_turn").alias("turn"), F.col("to.o_node").alias("node")).alias("head"), F.array(F.struct(F.col("to.o_turn").alias("turn"), F.col("to.o_node").alias("node")), F.struct("turn", "node")).alias("path")), "paths")
-    for _ in range(MAX_DOUBLINGS):
-        above = paths.select(F.col("conv_id").alias("a_conv"), F.struct("turn", "node").alias("a_key"), F.col("path").alias("a_path"), F.col("head").alias("a_head"))
-        joined = paths.join(above, F.col("conv_id").eqNullSafe(F.col("a_conv")) & F.col("head").eqNullSafe(F.col("a_key")), "left")
-        paths = durable(joined.select(*key, F.coalesce("a_head", "head").alias("head"), F.when(F.col("a_path").isNotNull(), F.concat(F.expr("slice(a_path, 1, size(a_path) - 1)"), "path")).otherwise(F.col("path")).alias("path"), F.col("a_path").isNotNull().alias("grew")), "paths")
-        if not paths.where("grew").limit(1).count():
-            break
-    same = lambda other: [parsed[k].eqNullSafe(other[k]) for k in key]
-    p, a = paths.select(*key, "path"), answers.select(*key, "n_linked", "to")
-    rows = parsed.join(a, same(a), "left").join(p, same(p), "left").select(*(parsed[c] for c in ("conv_id", "turn", "role", "node", "own", "quotes")), a["n_linked"], a["to"], p["path"])
-    rows = rows.withColumn("path", F.coalesce("path", F.array(F.struct("turn", "node"))))
-    order = Window.partitionBy("conv_id").orderBy("path", "node")
-    return rows.select(
-        "conv_id", "turn", "role", (F.row_number().over(order) - 1).cast("bigint").alias("position"), F.col("to.o_conv").alias("reply_conv"), F.col("to.o_turn").alias("reply_turn"),
-        F.size("quotes").cast("bigint").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"), "own",
+    entries = durable(members.select("conv_id", F.explode(steps).alias("s")).select("conv_id", "s.at", "s.next", "s.weight", F.col("s.at.id").alias("end")), "tours")
+    while entries.where("next IS NOT NULL").limit(1).count():
+        ahead = entries.select(F.col("conv_id").alias("a_conv"), F.col("at").alias("a_at"), F.col("next").alias("a_next"), F.col("weight").alias("a_weight"), F.col("end").alias("a_end"))
+        done, open_ = entries.where("next IS NULL"), entries.where("next IS NOT NULL")
+        joined = open_.join(ahead, F.col("conv_id").eqNullSafe(F.col("a_conv")) & (F.col("next.id") == F.col("a_at.id")) & (F.col("next.into") == F.col("a_at.into")))
+        entries = durable(done.unionByName(joined.select("conv_id", "at", F.col("a_next").alias("next"), (F.col("weight") + F.col("a_weight")).alias("weight"), F.col("a_end").alias("end"))), "tours")
+    found = entries.where("at.into").select("conv_id", F.col("at.id").alias("id"), F.col("end").alias("root"), "weight")
+    size = found.where("id = root").select(F.col("conv_id").alias("r_conv"), F.col("id").alias("r_id"), F.col("weight").alias("size"))
+    return found.join(size, F.col("conv_id").eqNullSafe(F.col("r_conv")) & (F.col("root") == F.col("r_id"))).select("conv_id", "id", "root", (F.col("size") - F.col("weight")).alias("rank"))
+
+
+def positions(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """(mid, position) of rows (mid, conv_id, turn, node, id): the place of each in its conversation, from 0."""
+    tour = tours(edges).withColumnsRenamed({"conv_id": "t_conv", "id": "t_id"})
+    keys = rows.select(F.col("conv_id").alias("k_conv"), F.col("id").alias("k_id"), F.struct("turn", "node").alias("k_key")).dropDuplicates(["k_conv", "k_id"])
+    tour = tour.join(keys, F.col("t_conv").eqNullSafe(F.col("k_conv")) & (F.col("root") == F.col("k_id"))).select("t_conv", "t_id", "rank", "k_key")
+    placed = rows.join(tour, F.col("conv_id").eqNullSafe(F.col("t_conv")) & (F.col("id") == F.col("t_id")), "left")
+    placed = placed.select("mid", "conv_id", F.coalesce(F.col("k_key.turn"), F.when(F.col("k_key").isNull(), F.col("turn"))).alias("r_turn"), F.coalesce(F.col("k_key.node"), "node").alias("r_node"), F.coalesce("rank", F.lit(0)).alias("rank"))
+    order = ["r_turn", "r_node", "rank", "mid"]
+    sorted_ = ranged(placed, ["conv_id", *order])
+    counts = sorted_.groupBy("part", "conv_id").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each task that holds some of it
+    counts = counts.select(F.col("part").alias("c_part"), F.col("conv_id").alias("c_conv"), F.coalesce(before, F.lit(0)).alias("skip")).where("skip > 0")
+    number = F.row_number().over(Window.partitionBy("part", "conv_id").orderBy(*(F.asc_nulls_first(c) for c in order))) - 1
+    numbered = sorted_.withColumn("number", number).join(counts, (F.col("part") == F.col("c_part")) & F.col("conv_id").eqNullSafe(F.col("c_conv")), "left")
+    return numbered.select("mid", (F.col("number") + F.coalesce("skip", F.lit(0))).cast("bigint").alias("position"))
+
+
+def conversations(messages: DataFrame, texts: bool = True) -> DataFrame:
+    """conv_id, turn, role, position (from 0, in reply order), reply_conv, reply_turn, n_quotes, n_linked, own (the text without quotes) or, without texts, own_sha256."""
+    parsed = durable(parse(messages), "parsed")
+    links = durable(link(parsed.drop("mid")), "quote-links")
+    key = ["conv_id", "turn", "node"]
+    answers = links.groupBy(*key).agg(F.count("*").cast("bigint").alias("n_linked"), F.min_by(F.struct("o_conv", "o_turn", "o_node", "near"), F.struct(~F.col("near"), "level", "place")).alias("to"))
+    answers = durable(answers.withColumn("id", F.xxhash64(*key)), "answers")
+    edges = answers.where("to.near").select("conv_id", "id", "turn", "node", F.xxhash64("conv_id", "to.o_turn", "to.o_node").alias("parent"))
+    rows = parsed.select("mid", *key, F.xxhash64(*key).alias("id"))
+    place = positions(rows, edges)
+    found = rows.join(answers.select(F.col("conv_id").alias("a_conv"), F.col("id").alias("a_id"), "n_linked", "to"), F.col("conv_id").eqNullSafe(F.col("a_conv")) & (F.col("id") == F.col("a_id")), "left").select("mid", "n_linked", "to")
+    own = F.col("own") if texts else F.sha2("own", 256).alias("own_sha256")
+    shown = parsed.select("mid", "conv_id", "turn", "role", F.size("quotes").cast("bigint").alias("n_quotes"), own)
+    out = shown.join(place.join(found, "mid"), "mid")
+    return out.select(
+        "conv_id", "turn", "role", "position", F.col("to.o_conv").alias("reply_conv"), F.col("to.o_turn").alias("reply_turn"), "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"), shown.columns[-1],
     )
 
 
+def quoting(messages: DataFrame) -> DataFrame:
+    """Messages as mail readers would write them: odd turns quote the whole message of the turn before, every fourth from the third the first line of the message two turns before it.
+
+    A turn with several messages is quoted by the greatest of them; the answered text stays below the quote.
+    """
+    earlier = messages.groupBy(F.col("conv_id").alias("e_conv"), F.col("turn").alias("e_turn")).agg(F.max("text").alias("e_text"))
+    back = F.when(F.col("turn") % 2 == 1, 1).when(F.col("turn") % 4 == 2, 2)
+    joined = messages.select("conv_id", "turn", "role", "text").withColumn("back", back).join(earlier, (F.col("conv_id") == F.col("e_conv")) & (F.col("turn") - F.col("back") == F.col("e_turn")), "left")
+    quoted = F.when(F.col("back") == 1, F.concat(F.lit("> "), F.replace("e_text", F.lit("\n"), F.lit("\n> ")))).otherwise(F.concat(F.lit("> "), F.regexp_extract("e_text", r"^[^\n]*", 0)))
+    said = F.concat(F.lit("Someone wrote:\n"), quoted, F.lit("\n"), F.coalesce("text", F.lit("")))
+    return joined.select("conv_id", "turn", "role", F.when(F.col("e_text").isNull() | (F.trim("e_text") == ""), F.col("text")).otherwise(said).alias("text"))
+
+
 def transcripts(messages: DataFrame) -> DataFrame:
     """conv_id and transcript: role and text of each message, in reply order, without quotes."""
     ordered = conversations(messages)
     return ordered.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "role", "own"))), lambda m: F.concat(F.lit("<|"), F.coalesce(m["role"], F.lit("unknown")), F.lit("|>\n"), m["own"])), "\n").alias("transcript"))
+
+
+def oracle() -> str:
+    """DuckDB SQL of conversations(quoting(table), texts=False) for (conv_id, turn) that occur once: every unit of every message against every quote."""
+    norm = lambda x: f"regexp_replace(regexp_replace(translate({x}, '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), '^ | $', '', 'g')"
+    full = lambda x: f"list_filter(list_transform(string_split({x}, chr(10)), lambda x: {norm('x')}), lambda x: x <> '')"
+    return rf"""
+WITH RECURSIVE m AS (
+  SELECT c.conv_id, c.turn, c.role, CASE WHEN e.text IS NULL OR trim(e.text) = '' THEN c.text ELSE 'Someone wrote:' || chr(10)
+    || CASE WHEN c.turn % 2 = 1 THEN '> ' || replace(e.text, chr(10), chr(10) || '> ') ELSE '> ' || regexp_extract(e.text, '^[^
+]*') END || chr(10) || coalesce(c.text, '') END AS text
+  FROM conversations c LEFT JOIN conversations e ON e.conv_id = c.conv_id AND e.turn = c.turn - CASE WHEN c.turn % 2 = 1 THEN 1 WHEN c.turn % 4 = 2 THEN 2 END),
+li AS (SELECT conv_id, turn, generate_subscripts(parts, 1) AS i, unnest(parts) AS line FROM (SELECT conv_id, turn, string_split_regex(coalesce(text, ''), '?
+') AS parts FROM m)),
+le AS (SELECT conv_id, turn, i, len(regexp_replace(regexp_extract(line, '^[ 	]*(?:>[ 	]?)+'), '[^>]', '', 'g')) AS level, regexp_replace(line, '^[ 	]*(?:>[ 	]?)+', '') AS body FROM li),
+ch AS (SELECT *, CASE WHEN level = lag(level) OVER (PARTITION BY conv_id, turn ORDER BY i) THEN 0 ELSE 1 END AS new FROM le),
+gr AS (SELECT *, sum(new) OVER (PARTITION BY conv_id, turn ORDER BY i) AS g FROM ch),
+ru AS (SELECT * FROM (SELECT conv_id, turn, g, any_value(level) AS level, string_agg(body, chr(10) ORDER BY i) AS text FROM gr GROUP BY conv_id, turn, g) WHERE {norm('text')} <> ''),
+q AS (SELECT conv_id, turn, level, row_number() OVER (PARTITION BY conv_id, turn ORDER BY g) AS place, {norm('text')} AS quote, len({full('text')}) AS size FROM ru WHERE level > 0),
+ow AS (SELECT m.conv_id, m.turn, m.role, CASE WHEN EXISTS (SELECT 1 FROM q WHERE q.conv_id = m.conv_id AND q.turn = m.turn)
+    THEN regexp_replace(coalesce((SELECT string_agg(trim(regexp_replace(regexp_replace(ru.text, '(?:^|
+)[^
+]*wrote:[ 	]*
+?$', ''), '^
++|\s+$', '', 'g')), chr(10) ORDER BY g) FROM ru WHERE ru.level = 0 AND ru.conv_id = m.conv_id AND ru.turn = m.turn), ''), '^\s+|\s+$', '', 'g')
+    ELSE coalesce(m.text, '') END AS own FROM m),
+sizes AS (SELECT DISTINCT size FROM q WHERE size > 1),
+un AS (SELECT DISTINCT * FROM (
+  SELECT conv_id, turn, {norm('own')} AS unit FROM ow
+  UNION ALL SELECT conv_id, turn, {norm('x')} FROM (SELECT conv_id, turn, unnest(string_split_regex(own, '
+[ 	]*
+')) AS x FROM ow)
+  UNION ALL SELECT conv_id, turn, {norm('x')} FROM (SELECT conv_id, turn, unnest(string_split(own, chr(10))) AS x FROM ow)
+  UNION ALL SELECT conv_id, turn, array_to_string(list_slice(fl, i, i + size - 1), ' ') FROM (SELECT conv_id, turn, fl, size, unnest(generate_series(1, len(fl) - size + 1)) AS i FROM (SELECT conv_id, turn, {full('own')} AS fl FROM ow), sizes WHERE len(fl) >= size)
+) WHERE unit <> ''),
+near AS (SELECT q.conv_id, q.turn, q.place, max(u.turn) AS o_turn FROM q JOIN un u ON u.unit = q.quote AND u.conv_id = q.conv_id AND u.turn < q.turn GROUP BY ALL),
+far AS (SELECT * FROM (SELECT q.conv_id, q.turn, q.place, u.conv_id AS o_conv, u.turn AS o_turn, row_number() OVER (PARTITION BY q.conv_id, q.turn, q.place ORDER BY u.conv_id, u.turn) AS n FROM q JOIN un u ON u.unit = q.quote AND u.conv_id <> q.conv_id) WHERE n = 1),
+li2 AS (SELECT q.conv_id, q.turn, q.place, q.level, n.o_turn IS NOT NULL AS is_near, CASE WHEN n.o_turn IS NOT NULL THEN q.conv_id ELSE f.o_conv END AS o_conv, coalesce(n.o_turn, f.o_turn) AS o_turn
+  FROM q LEFT JOIN near n USING (conv_id, turn, place) LEFT JOIN far f USING (conv_id, turn, place) WHERE n.o_turn IS NOT NULL OR f.o_conv IS NOT NULL),
+best AS (SELECT conv_id, turn, count(*) AS n_linked, arg_min(struct_pack(c := o_conv, t := o_turn, near := is_near), (NOT is_near)::INT * 1000000000 + level * 1000000 + place) AS t FROM li2 GROUP BY conv_id, turn),
+paths AS (SELECT ow.conv_id, ow.turn, [ow.turn] AS path FROM ow LEFT JOIN best b USING (conv_id, turn) WHERE NOT coalesce(b.t.near, FALSE)
+  UNION ALL SELECT p.conv_id, b.turn, list_append(p.path, b.turn) FROM paths p JOIN best b ON b.t.near AND b.conv_id = p.conv_id AND b.t.t = p.turn)
+SELECT ow.conv_id, ow.turn, ow.role, row_number() OVER (PARTITION BY ow.conv_id ORDER BY p.path) - 1 AS position, b.t.c AS reply_conv, b.t.t AS reply_turn,
+  (SELECT count(*) FROM q WHERE q.conv_id = ow.conv_id AND q.turn = ow.turn) AS n_quotes, coalesce(b.n_linked, 0) AS n_linked, sha256(own) AS text_sha256
+FROM ow JOIN paths p USING (conv_id, turn) LEFT JOIN best b USING (conv_id, turn)"""
