@@ -1,11 +1,20 @@
 """Candidate generation, rank fusion and scope for batches of queries.
 
 Queries are a table (query_id, ...); every operator works for all of them in one plan. The
-query side is broadcast only while it has at most BROADCAST_QUERIES rows.
+query side of a nested-loop join is broadcast only while it has at most BROADCAST_QUERIES rows.
+Vector and keyword search read the corpus once for each block of that many queries: a task
+scores its documents against the whole block by a matrix product or from the queries that
+each token is in, and keeps k documents a query, so what is shuffled does not grow with
+documents times queries.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +22,8 @@ from pyspark.sql.window import Window
 from weirloom.functions import vector
 
 BROADCAST_QUERIES = 10_000
+#: Corpus rows that a task scores at once: a matrix of this times BROADCAST_QUERIES numbers at most.
+SCORED_ROWS = 500
 #: Estimated bytes for each core below which a table counts as small.
 SPREAD_BYTES = 64 << 20
 RRF_K = 60
@@ -38,24 +49,158 @@ def top(rows: DataFrame, k: int, keys: list[str], *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
+Scores = Callable[[pa.RecordBatch], np.ndarray]
+
+
+def _blocks(queries: DataFrame) -> list[pa.Table]:
+    """The queries as Arrow tables of some BROADCAST_QUERIES rows each, one at a time."""
+    n = -(-queries.count() // BROADCAST_QUERIES)
+    if n <= 1:
+        return [queries.toArrow()] if n else []
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).toArrow() for i in range(n)]
+
+
+def _searched(queries: DataFrame, corpus: DataFrame, k: int, scorer: Callable[[pa.Table], Scores], least: float) -> DataFrame:
+    """(query_id, doc_id, score, rank): for each block of queries, scorer makes the function that scores a batch of corpus rows as (rows, queries). Scores at or below `least` do not count."""
+    ids = [queries.schema["query_id"].dataType.simpleString(), corpus.schema["doc_id"].dataType.simpleString()]
+    schema = f"query_id {ids[0]}, doc_id {ids[1]}, score double"
+    found = None
+    for block in _blocks(queries):
+        scores, names = scorer(block), block.column("query_id").combine_chunks()
+
+        def run(batches: Iterator[pa.RecordBatch], scores: Scores = scores, names: pa.Array = names) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, SCORED_ROWS):
+                    part = batch.slice(at, SCORED_ROWS)
+                    value = scores(part)
+                    # everything above the k-th best of a query, and all that ties with it
+                    cut = np.partition(value, -k, axis=0)[-k] if len(value) > k else np.full(value.shape[1], -np.inf)
+                    row, query = np.nonzero((value >= cut) & (value > least))
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), part.column("doc_id").take(pa.array(row)), pa.array(value[row, query])], ["query_id", "doc_id", "score"])
+
+        one = corpus.mapInArrow(run, schema)
+        found = one if found is None else found.union(one)
+    if found is None:
+        found = queries.sparkSession.createDataFrame([], schema)
+    return top(found, k, ["query_id"], F.desc("score"), F.asc("doc_id"))
+
+
+def _unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of length 1; null and zero vectors are zero."""
+    lists = column.to_pylist()
+    width = max((len(v) for v in lists if v), default=1)
+    rows = np.array([v if v and len(v) == width else [0.0] * width for v in lists], np.float64).reshape(len(lists), width)
+    size = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(size > 0, size, 1.0)
+
+
 def vector_top(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """queries (query_id, query_vec), corpus (doc_id, vec) -> (query_id, doc_id, score, rank), cosine.
+    """queries (query_id, query_vec), corpus (doc_id, vec) -> (query_id, doc_id, score, rank), cosine to nine digits.
 
-    Both sides are normalised once, so a pair costs a dot product; a query meets its own row if ids are shared.
+    Documents and queries without a vector take no part; a query meets its own row if ids are shared.
     """
-    q = queries.select("query_id", vector.unit(F.col("query_vec")).alias("qv"))
-    c = corpus.select("doc_id", vector.unit(F.col("vec")).alias("cv"))
-    pairs = c.join(bounded(q)).select("query_id", "doc_id", F.round(vector.dot(F.col("qv"), F.col("cv")), 9).alias("score"))
-    return top(pairs, k, ["query_id"], F.desc("score"), F.asc("doc_id"))
+
+    def scorer(block: pa.Table) -> Scores:
+        own = _unit(block.column("query_vec")).T
+        return lambda batch: np.round(_unit(batch.column("vec")) @ own, 9)
+
+    q, c = queries.select("query_id", "query_vec").where("query_vec IS NOT NULL"), corpus.select("doc_id", "vec").where("vec IS NOT NULL")
+    return _searched(q, c, k, scorer, -np.inf)
+
+
+#: White space that separates tokens, so no token spans two words of a text.
+_GAPS = re.compile("[ \\t\\n\\x0b\\f\\r]+")
+
+
+class TokenScores:
+    """The share of each query's tokens that a lower-cased text contains."""
+
+    def __init__(self, tokens: list[list[str]]):
+        self.sizes = np.array([max(1, len(t)) for t in tokens], np.float64)
+        self.number = {t: i for i, t in enumerate(sorted({t for own in tokens for t in own}))}
+        self.lengths = sorted({len(t) for t in self.number})
+        pairs = np.array(sorted((self.number[t], q) for q, own in enumerate(tokens) for t in own), np.int64).reshape(-1, 2)
+        self.queries = pairs[:, 1]
+        self.starts = np.searchsorted(pairs[:, 0], np.arange(len(self.number) + 1))
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def within(self, word: str) -> tuple[int, ...]:
+        """The tokens that a word contains."""
+        found = self.known.get(word)
+        if found is None:
+            number = self.number
+            if len(word) * len(self.lengths) > 4 * len(number):
+                found = tuple(i for t, i in number.items() if t in word)
+            else:
+                found = tuple({number[word[a : a + n]] for n in self.lengths for a in range(len(word) - n + 1) if word[a : a + n] in number})
+            if len(word) <= 40 and len(self.known) < 500_000:
+                self.known[word] = found
+        return found
+
+    def __call__(self, batch: pa.RecordBatch) -> np.ndarray:
+        out = np.zeros((batch.num_rows, len(self.sizes)))
+        for i, text in enumerate(batch.column("lower").to_pylist()):
+            ids = np.array(sorted({x for word in set(_GAPS.split(text or "")) for x in self.within(word)}), np.int64)
+            if len(ids):
+                first, size = self.starts[ids], self.starts[ids + 1] - self.starts[ids]
+                at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+                out[i] = np.bincount(self.queries[at], minlength=len(self.sizes))
+        return out / self.sizes
 
 
 def keyword_top(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """queries (query_id, query), corpus (doc_id, text): the share of a query's tokens that a document contains, over 0."""
-    q = queries.select("query_id", F.filter(F.split(F.lower(F.trim("query")), r"\s+"), lambda t: t != "").alias("tokens"))
-    c = corpus.select("doc_id", F.lower("text").alias("lower"))
-    hits = F.size(F.filter("tokens", lambda t: F.contains(F.col("lower"), t)))
-    pairs = c.join(bounded(q)).select("query_id", "doc_id", (hits / F.size("tokens")).alias("score")).where("score > 0")
-    return top(pairs, k, ["query_id"], F.desc("score"), F.asc("doc_id"))
+    """queries (query_id, query), corpus (doc_id, text): the share of a query's tokens that a document contains, over 0.
+
+    A document's distinct words tell which tokens of any query it contains, and these which queries gain; null texts contain nothing.
+    """
+    q = queries.select("query_id", F.filter(F.split(F.lower(F.trim("query")), r"\s+"), lambda t: t != "").alias("tokens")).where("size(tokens) > 0")
+    return _searched(q, corpus.select("doc_id", F.lower("text").alias("lower")), k, lambda block: TokenScores(block.column("tokens").to_pylist()), 0.0)
+
+
+#: Tables of hyperplane buckets, bits of a bucket, and how many of the least certain bits a query flips one at a time and in pairs.
+ANN_TABLES, ANN_BITS, ANN_FLIPS = 16, 10, 6
+
+
+def buckets(rows: DataFrame, key: str, vec: str, flips: int = 0) -> DataFrame:
+    """(key, bucket) of each row with a vector: in each table the bucket it lies in and, with flips, those beyond its nearest hyperplanes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = _unit(batch.column(vec))
+            planes = np.random.default_rng(1).normal(size=(own.shape[1], ANN_TABLES, ANN_BITS))
+            side = np.einsum("nd,dtb->ntb", own, planes, optimize=True)
+            bucket = ((side >= 0) << np.arange(ANN_BITS)).sum(axis=2) + (np.arange(ANN_TABLES) << ANN_BITS)
+            near = 1 << np.argsort(np.abs(side), axis=2)[:, :, :flips]
+            probes = [bucket] + [bucket ^ near[:, :, i] for i in range(flips)] + [bucket ^ near[:, :, i] ^ near[:, :, j] for i in range(flips) for j in range(i)]
+            every = np.stack(probes, axis=2).reshape(len(own), -1)
+            keys = batch.column(key).take(pa.array(np.repeat(np.arange(len(own)), every.shape[1])))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(every.reshape(-1))], [key, "bucket"])
+
+    return rows.where(F.col(vec).isNotNull()).select(key, vec).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, bucket long")
+
+
+def approximate_top(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """vector_top over the documents that share a hyperplane bucket with the query: ids alone meet in buckets, vectors join the distinct pairs."""
+    met = buckets(corpus, "doc_id", "vec").join(bounded(buckets(queries, "query_id", "query_vec", ANN_FLIPS)), "bucket").select("query_id", "doc_id").distinct()
+    pairs = met.join(bounded(queries.select("query_id", vector.unit(F.col("query_vec")).alias("qv"))), "query_id").join(corpus.select("doc_id", vector.unit(F.col("vec")).alias("cv")), "doc_id")
+    scored = pairs.select("query_id", "doc_id", F.round(vector.dot(F.col("qv"), F.col("cv")), 6).alias("score"))
+    return top(scored, k, ["query_id"], F.desc("score"), F.asc("doc_id"))
+
+
+def containing(needles: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs of needles (item_id, needle) and docs (doc_id, lower) whose text contains the needle; ids are unique, needles not empty.
+
+    A needle's longest inner word stands between white space, so it is a whole word of every text with the needle: an equi-join on it finds the candidates. Needles of fewer than three words meet every text.
+    """
+    gaps = "[ \\t\\n\\x0B\\f\\r]+"
+    words = F.split("needle", gaps)
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    keyed = needles.withColumn("key", F.get(F.transform(F.array_sort(F.transform(inner, lambda w: F.struct((-F.char_length(w)).alias("n"), w.alias("w")))), lambda x: x["w"]), F.lit(0)))
+    short = keyed.where("key IS NULL").drop("key")
+    postings = docs.select("doc_id", F.explode(F.array_distinct(F.split("lower", gaps))).alias("key"))
+    met = postings.join(bounded(keyed.where("key IS NOT NULL").select("item_id", "key")), "key").select("item_id", "doc_id")
+    long = met.join(docs, "doc_id").join(bounded(needles), "item_id").where(F.contains("lower", "needle")).select("item_id", "doc_id", "needle", "lower")
+    return long.unionByName(docs.join(bounded(short), F.contains("lower", "needle")).select("item_id", "doc_id", "needle", "lower"))
 
 
 def fuse(lists: DataFrame, k: int, weights: dict[str, float] | None = None) -> DataFrame:

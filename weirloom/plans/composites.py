@@ -31,11 +31,11 @@ def full_outer(spark: SparkSession, sf: str) -> DataFrame:
     return side("vector").join(side("keyword"), ["query_id", "doc_id"], "full_outer")
 
 
-@query("t8_fused_without_blanks", _ALL + ", nb AS (SELECT f.* FROM f JOIN corpus c USING (doc_id) WHERE hits > 1 OR length(c.text) % 5 <> 0) SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM nb) WHERE rank <= 10")
+@query("t8_fused_without_blanks", _ALL + ", nb AS (SELECT f.* FROM f JOIN corpus c USING (doc_id) WHERE hits > 1 OR trim(c.text) <> '') SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM nb) WHERE rank <= 10")
 def without_blanks(spark: SparkSession, sf: str) -> DataFrame:
-    """Single-source documents with blank content go before the cut (lengths divisible by five stand in for blank)."""
+    """Single-source documents with blank content go before the cut."""
     fused = R.fuse(retrieval.lists(spark, sf), 1_000_000).drop("rank").join(retrieval.corpus(spark, sf).select("doc_id", "text"), "doc_id")
-    kept = fused.where((F.col("hits") > 1) | (F.char_length("text") % 5 != 0))
+    kept = fused.where((F.col("hits") > 1) | (F.trim("text") != ""))
     return R.top(kept, 10, ["query_id"], F.desc("score"), F.asc("doc_id")).select("query_id", "doc_id", "rank")
 
 
@@ -44,13 +44,14 @@ def scoped_keyword(spark: SparkSession, sf: str) -> DataFrame:
     return R.keyword_top(retrieval.queries(spark, sf), retrieval.corpus(spark, sf).where("kb = 'en'"), 10).select("query_id", "doc_id", "rank")
 
 
-@query("q4_scoped_routing", _ALL + " SELECT query_id, doc_id, 'vector' AS mode FROM fused JOIN corpus USING (doc_id) WHERE kb IN ('en', 'fr') UNION ALL SELECT query_id, doc_id, 'wiki' FROM k JOIN corpus USING (doc_id) WHERE kb = 'de' AND rank <= 10")
+@query("q4_scoped_routing", retrieval._GRAPHED + " SELECT query_id, doc_id, 'graph' AS mode FROM hit JOIN corpus USING (doc_id) WHERE kb = 'es' UNION ALL SELECT query_id, doc_id, 'vector' AS mode FROM fused JOIN corpus USING (doc_id) WHERE kb IN ('en', 'fr') UNION ALL SELECT query_id, doc_id, 'wiki' FROM k JOIN corpus USING (doc_id) WHERE kb = 'de' AND rank <= 10")
 def scoped_routing(spark: SparkSession, sf: str) -> DataFrame:
-    """Bases of vector mode answer from the fused list, those of wiki mode from keywords."""
+    """Bases of vector mode answer from the fused list, those of wiki mode from keywords, those of graph mode from the graph."""
     kb = retrieval.corpus(spark, sf).select("doc_id", "kb")
     vectors = retrieval.hybrid(spark, sf).join(kb.where("kb IN ('en', 'fr')"), "doc_id").select("query_id", "doc_id", F.lit("vector").alias("mode"))
     words = retrieval.lists(spark, sf).where("source = 'keyword' AND rank <= 10").join(kb.where("kb = 'de'"), "doc_id")
-    return vectors.union(words.select("query_id", "doc_id", F.lit("wiki")))
+    graph = retrieval.graph_hits(spark, sf).join(kb.where("kb = 'es'"), "doc_id").select("query_id", "doc_id", F.lit("graph"))
+    return vectors.union(words.select("query_id", "doc_id", F.lit("wiki"))).union(graph)
 
 
 @query("q8_retrieval_endpoint", _ALL + " SELECT query_id, doc_id, n, CASE WHEN length(text) > 500 THEN left(text, 500) || '...' ELSE text END AS snippet FROM (SELECT query_id, doc_id, text, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM fused JOIN corpus USING (doc_id) WHERE kb <> 'es') WHERE n <= 5")

@@ -10,8 +10,8 @@ from weirloom.plans import retrieval
 from weirloom.plans.registry import query, table
 
 _ALL = retrieval._ALL
-#: Gold of a query: the documents that contain its first 30 characters; results of both strategies.
-_RESULTS = "res AS (SELECT 'vector' AS strategy, query_id, doc_id, rank FROM v WHERE rank <= 10 UNION ALL SELECT 'hybrid', query_id, doc_id, rank FROM fused), gold AS (SELECT DISTINCT q.query_id, c.doc_id FROM queries q JOIN corpus c ON contains(c.text, left(q.query, 30)))"
+#: Gold of a query: the documents that contain its whole text; results of both strategies.
+_RESULTS = "res AS (SELECT 'vector' AS strategy, query_id, doc_id, rank FROM v WHERE rank <= 10 UNION ALL SELECT 'hybrid', query_id, doc_id, rank FROM fused), gold AS (SELECT DISTINCT q.query_id, c.doc_id FROM queries q JOIN corpus c ON q.query <> '' AND contains(c.text, q.query))"
 _IDEAL = "list_sum(list_transform(range(1, {d} + 1), lambda i: 1 / log2(i + 1)))"
 _METRICS = f"""s AS (SELECT DISTINCT strategy, q.query_id FROM (VALUES ('vector'), ('hybrid')) x(strategy), queries q),
 h AS (SELECT r.strategy, r.query_id, r.doc_id, r.rank, (g.doc_id IS NOT NULL)::int AS rel FROM res r LEFT JOIN gold g ON g.query_id = r.query_id AND g.doc_id = r.doc_id),
@@ -27,8 +27,9 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
-    q, c = retrieval.queries(spark, sf).select("query_id", F.left("query", F.lit(30)).alias("start")), retrieval.corpus(spark, sf).select("doc_id", "text")
-    return c.join(retrieval.R.bounded(q), F.contains("text", "start")).select("query_id", "doc_id").distinct()
+    q = retrieval.queries(spark, sf).where("query <> ''").select(F.col("query_id").alias("item_id"), F.col("query").alias("needle"))
+    c = retrieval.corpus(spark, sf).select("doc_id", F.col("text").alias("lower"))
+    return retrieval.R.containing(q, c).select(F.col("item_id").alias("query_id"), "doc_id").distinct()
 
 
 def measured(spark: SparkSession, sf: str, variant: str) -> DataFrame:
@@ -130,11 +131,13 @@ def discounts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.round(E.discount(F.col("doc_id") % 10 + 1), 6).alias("gain"))
 
 
-@query("j13_gold_contained", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 40)) OR contains(d.source, 'src' || b.item_id)")
+@query("j13_gold_contained", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON b.text <> '' AND contains(d.text, b.text) OR contains(d.source, 'src' || b.item_id)")
 def gold_contained(spark: SparkSession, sf: str) -> DataFrame:
-    q = table(spark, sf, "benchmark").select("item_id", F.left("text", F.lit(40)).alias("start"))
-    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
-    return docs.join(retrieval.R.bounded(q), F.contains("text", "start") | F.contains("source", F.concat(F.lit("src"), F.col("item_id").cast("string")))).select("item_id", "doc_id")
+    """By the whole text, or by what names the source."""
+    q, docs = table(spark, sf, "benchmark"), table(spark, sf, "documents")
+    texts = retrieval.R.containing(q.where("text <> ''").select("item_id", F.col("text").alias("needle")), docs.select("doc_id", F.col("text").alias("lower"))).select("item_id", "doc_id")
+    sources = docs.select("source").distinct().join(retrieval.R.bounded(q.select("item_id")), F.contains("source", F.concat(F.lit("src"), F.col("item_id").cast("string"))))
+    return texts.union(docs.join(sources, "source").select("item_id", "doc_id")).distinct()
 
 
 @query("j14_gold_exact", "SELECT d.doc_id, l.quality FROM documents d JOIN labels l ON lower(trim(' D' || d.doc_id)) = lower(trim('d' || l.doc_id || ' '))")

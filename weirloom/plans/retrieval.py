@@ -11,29 +11,26 @@ from weirloom.functions import vector
 from weirloom.operators import retrieve as R
 from weirloom.plans.registry import query, table
 
-N_QUERIES = 20
-#: Tables of hyperplane buckets: with 24 of 4 bits, 0.98 of the ten nearest share a bucket with the query on sf0.1 (0.74 with 8).
-ANN_TABLES = 24
-#: Row i of the embeddings is the vector of document i; the first N_QUERIES rows are the query vectors, the benchmark the query texts.
-_CORPUS = "corpus AS (SELECT d.doc_id, d.text, d.lang AS kb, e.embedding AS vec FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id)"
-_QUERIES = f"queries AS (SELECT b.item_id AS query_id, b.text AS query, e.embedding AS query_vec FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id WHERE b.item_id < {N_QUERIES})"
-_VECTOR = "v AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(list_cosine_similarity(query_vec::DOUBLE[], vec::DOUBLE[]), 9) AS score FROM queries, corpus)) WHERE rank <= 20)"
+#: Row i of the embeddings is the vector of document i, and of query i; every document and every benchmark row takes part, with or without a vector.
+_CORPUS = "corpus AS (SELECT d.doc_id, d.text, d.lang AS kb, e.embedding AS vec FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id)"
+_QUERIES = "queries AS (SELECT b.item_id AS query_id, b.text AS query, e.embedding AS query_vec FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id)"
+_VECTOR = "v AS MATERIALIZED (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(list_cosine_similarity(query_vec::DOUBLE[], vec::DOUBLE[]), 9) AS score FROM queries, corpus WHERE query_vec IS NOT NULL AND vec IS NOT NULL)) WHERE rank <= 20)"
 _KEYWORD = """t AS (SELECT query_id, list_filter(regexp_split_to_array(lower(trim(query)), '\\s+'), lambda t: t <> '') AS tokens FROM queries),
-k AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, len(list_filter(tokens, lambda t: contains(lower(text), t))) / len(tokens)::DOUBLE AS score FROM t, corpus) WHERE score > 0) WHERE rank <= 20)"""
+k AS MATERIALIZED (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, len(list_filter(tokens, lambda t: contains(lower(text), t))) / len(tokens)::DOUBLE AS score FROM t, corpus) WHERE score > 0) WHERE rank <= 20)"""
 _FUSED = """u AS (SELECT *, 'vector' AS source FROM v UNION ALL SELECT *, 'keyword' FROM k),
-f AS (SELECT query_id, doc_id, round(sum(CASE WHEN source = 'keyword' THEN 0.8 ELSE 1.0 END::DOUBLE / (60 + rank)), 9) AS score, count(*) AS hits, min(source) AS one, string_agg(source || ':' || rank, ',' ORDER BY source || ':' || rank) AS contributions FROM u GROUP BY query_id, doc_id),
-fused AS (SELECT * FROM (SELECT query_id, doc_id, score, hits, contributions, CASE WHEN hits > 1 THEN 'hybrid' ELSE one END AS match_type, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 10)"""
+f AS MATERIALIZED (SELECT query_id, doc_id, round(sum(CASE WHEN source = 'keyword' THEN 0.8 ELSE 1.0 END::DOUBLE / (60 + rank)), 9) AS score, count(*) AS hits, min(source) AS one, string_agg(source || ':' || rank, ',' ORDER BY source || ':' || rank) AS contributions FROM u GROUP BY query_id, doc_id),
+fused AS MATERIALIZED (SELECT * FROM (SELECT query_id, doc_id, score, hits, contributions, CASE WHEN hits > 1 THEN 'hybrid' ELSE one END AS match_type, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 10)"""
 _ALL = f"WITH {_CORPUS}, {_QUERIES}, {_VECTOR}, {_KEYWORD}, {_FUSED}"
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     docs, vectors = R.spread(table(spark, sf, "documents")), table(spark, sf, "embeddings")
-    return docs.join(vectors, docs.doc_id == vectors.vec_id).select("doc_id", "text", F.col("lang").alias("kb"), "source", F.col("embedding").alias("vec"))
+    return docs.join(vectors, docs.doc_id == vectors.vec_id, "left").select("doc_id", "text", F.col("lang").alias("kb"), "source", F.col("embedding").alias("vec"))
 
 
 def queries(spark: SparkSession, sf: str) -> DataFrame:
-    items, vectors = table(spark, sf, "benchmark").where(F.col("item_id") < N_QUERIES), table(spark, sf, "embeddings")
-    return items.join(vectors, items.item_id == vectors.vec_id).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("embedding").alias("query_vec"))
+    items, vectors = table(spark, sf, "benchmark"), table(spark, sf, "embeddings")
+    return items.join(vectors, items.item_id == vectors.vec_id, "left").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("embedding").alias("query_vec"))
 
 
 def lists(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
@@ -56,9 +53,46 @@ def keyword_topk(spark: SparkSession, sf: str) -> DataFrame:
     return R.keyword_top(queries(spark, sf), corpus(spark, sf), 20).withColumn("score", F.round("score", 6))
 
 
-@query("q2_hybrid_retrieve", _ALL + " SELECT query_id, doc_id, round(score, 6) AS score, hits, contributions, match_type, rank FROM fused")
+#: The graph's entities: a document mentions its three longest words of six letters or more; a query names the entities that are among its words.
+_GRAPH = """ent AS (SELECT doc_id, unnest(list_transform((list_sort(list_transform(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) >= 6)), lambda w: lpad((1000 - least(length(w), 999))::varchar, 4, '0') || w)))[1:3], lambda w: w[5:])) AS entity FROM documents),
+named AS (SELECT query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(query), '[^a-z]+'), lambda w: length(w) >= 6))) AS entity FROM queries),
+hit AS (SELECT DISTINCT query_id, doc_id FROM named JOIN ent USING (entity)),
+ctx AS (SELECT query_id, 'entities: ' || string_agg(DISTINCT entity, ', ' ORDER BY entity) AS context FROM named SEMI JOIN ent USING (entity) GROUP BY query_id),
+b AS (SELECT f.query_id, f.doc_id, CASE WHEN h.doc_id IS NOT NULL THEN round(least(1.0, f.score * 1.2), 9) ELSE f.score END AS score, f.hits, f.contributions, CASE WHEN h.doc_id IS NOT NULL THEN 'hybrid' ELSE f.match_type END AS match_type FROM fused f LEFT JOIN hit h ON h.query_id = f.query_id AND h.doc_id = f.doc_id),
+boosted AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b),
+whole AS (SELECT query_id, doc_id, score, hits, contributions, match_type, rank FROM boosted UNION ALL SELECT c.query_id, NULL, NULL, 0, c.context, 'graph_context', 1 + coalesce((SELECT count(*) FROM boosted x WHERE x.query_id = c.query_id), 0) FROM ctx c)"""
+_GRAPHED = f"{_ALL}, {_GRAPH}"
+
+
+def entities(docs: DataFrame) -> DataFrame:
+    """(doc_id, entity) of the graph's mentions."""
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.char_length(w) >= 6))
+    longest = F.slice(F.array_sort(F.transform(words, lambda w: F.struct((-F.char_length(w)).alias("n"), w.alias("w")))), 1, 3)
+    return docs.select("doc_id", F.explode(F.transform(longest, lambda x: x["w"])).alias("entity"))
+
+
+def named(q: DataFrame) -> DataFrame:
+    """(query_id, entity) of the words by which queries may name entities."""
+    return q.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("query"), "[^a-z]+"), lambda w: F.char_length(w) >= 6))).alias("entity"))
+
+
+def graph_hits(spark: SparkSession, sf: str) -> DataFrame:
+    return named(queries(spark, sf)).join(entities(table(spark, sf, "documents")), "entity").select("query_id", "doc_id").distinct()
+
+
+def graphed(spark: SparkSession, sf: str) -> DataFrame:
+    """The fused list with the graph's boost, and after it a row of context for each query that names entities."""
+    boosted = R.boost(hybrid(spark, sf), graph_hits(spark, sf)).select("query_id", "doc_id", "score", "hits", "contributions", "match_type", "rank")
+    known = named(queries(spark, sf)).join(entities(table(spark, sf, "documents")).select("entity").distinct(), "entity", "left_semi")
+    context = known.groupBy("query_id").agg(F.concat(F.lit("entities: "), F.array_join(F.array_sort(F.collect_set("entity")), ", ")).alias("contributions"))
+    context = context.join(boosted.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left")
+    rows = context.select("query_id", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("double").alias("score"), F.lit(0).cast("long").alias("hits"), "contributions", F.lit("graph_context").alias("match_type"), (F.coalesce("n", F.lit(0)) + 1).alias("rank"))
+    return boosted.unionByName(rows)
+
+
+@query("q2_hybrid_retrieve", _GRAPHED + " SELECT query_id, doc_id, round(score, 6) AS score, hits, contributions, match_type, rank FROM whole")
 def hybrid_retrieve(spark: SparkSession, sf: str) -> DataFrame:
-    return hybrid(spark, sf).withColumn("score", F.round("score", 6))
+    return graphed(spark, sf).withColumn("score", F.round("score", 6))
 
 
 @query("q1_semantic_retrieve", f"WITH {_CORPUS}, {_QUERIES}, {_VECTOR} SELECT v.query_id, v.doc_id, c.kb, v.rank FROM v JOIN corpus c USING (doc_id) WHERE rank <= 10")
@@ -67,28 +101,25 @@ def semantic_retrieve(spark: SparkSession, sf: str) -> DataFrame:
     return R.vector_top(queries(spark, sf), c, 10).join(c.select("doc_id", "kb"), "doc_id").select("query_id", "doc_id", "kb", "rank")
 
 
-_GRAPH = "g AS (SELECT query_id, doc_id FROM fused WHERE (query_id + doc_id) % 3 = 0)"
-_BOOST = "b AS (SELECT f.query_id, f.doc_id, CASE WHEN g.doc_id IS NOT NULL THEN round(least(1.0, f.score * 1.2), 9) ELSE f.score END AS score, CASE WHEN g.doc_id IS NOT NULL THEN 'hybrid' ELSE f.match_type END AS match_type FROM fused f LEFT JOIN g ON g.query_id = f.query_id AND g.doc_id = f.doc_id)"
-
-
-@query("j6_graph_boost", f"{_ALL}, {_GRAPH}, {_BOOST} SELECT query_id, doc_id, round(score, 6) AS score, match_type, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b")
+@query("j6_graph_boost", f"{_GRAPHED} SELECT query_id, doc_id, round(score, 6) AS score, match_type, rank FROM boosted")
 def graph_boost(spark: SparkSession, sf: str) -> DataFrame:
-    fused = hybrid(spark, sf)
-    out = R.boost(fused, fused.where((F.col("query_id") + F.col("doc_id")) % 3 == 0))
+    out = R.boost(hybrid(spark, sf), graph_hits(spark, sf))
     return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), "match_type", "rank")
 
 
-@query("q3_mode_dispatch", _ALL + " SELECT query_id, doc_id, mode FROM (SELECT query_id, doc_id, 'auto' AS mode FROM fused WHERE query_id % 3 = 0 UNION ALL SELECT query_id, doc_id, 'semantic' FROM v WHERE query_id % 3 = 1 AND rank <= 10 UNION ALL SELECT query_id, doc_id, 'exact' FROM k WHERE query_id % 3 = 2 AND rank <= 10)")
+@query("q3_mode_dispatch", _GRAPHED + """, g AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM hit)
+ SELECT query_id, doc_id, mode FROM (SELECT query_id, doc_id, 'auto' AS mode FROM whole WHERE query_id % 4 = 0 UNION ALL SELECT query_id, doc_id, 'semantic' FROM v WHERE query_id % 4 = 1 AND rank <= 10
+ UNION ALL SELECT query_id, doc_id, 'exact' FROM k WHERE query_id % 4 = 2 AND rank <= 10 UNION ALL SELECT query_id, doc_id, 'graph' FROM g WHERE query_id % 4 = 3 AND rank <= 10)""")
 def mode_dispatch(spark: SparkSession, sf: str) -> DataFrame:
-    mode = F.element_at(F.array(F.lit("auto"), F.lit("semantic"), F.lit("exact")), (F.col("query_id") % 3 + 1).cast("int"))
-    both = lists(spark, sf)
-    found = hybrid(spark, sf).select("query_id", "doc_id", F.lit("auto").alias("via"))
-    for source, via in (("vector", "semantic"), ("keyword", "exact")):
-        found = found.union(both.where((F.col("source") == source) & (F.col("rank") <= 10)).select("query_id", "doc_id", F.lit(via)))
-    return found.withColumn("mode", mode).where("mode = via").select("query_id", "doc_id", "mode")
+    """Queries ask for a mode; here their ids deal them to the four."""
+    modes = ("auto", "semantic", "exact", "graph")
+    wanted = lambda rows, mode: rows.where(F.pmod("query_id", F.lit(4)) == modes.index(mode)).select("query_id", "doc_id", F.lit(mode).alias("mode"))
+    both = lists(spark, sf).where("rank <= 10")
+    graph = R.top(graph_hits(spark, sf), 10, ["query_id"], F.asc("doc_id"))
+    return wanted(graphed(spark, sf), "auto").union(wanted(both.where("source = 'vector'"), "semantic")).union(wanted(both.where("source = 'keyword'"), "exact")).union(wanted(graph, "graph"))
 
 
-@query("p1_kb_scope_filter", f"WITH {_CORPUS}, {_QUERIES} SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(list_cosine_similarity(query_vec::DOUBLE[], vec::DOUBLE[]), 9) AS score FROM queries, corpus WHERE kb IN ('fr', 'de'))) WHERE rank <= 5")
+@query("p1_kb_scope_filter", f"WITH {_CORPUS}, {_QUERIES} SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(list_cosine_similarity(query_vec::DOUBLE[], vec::DOUBLE[]), 9) AS score FROM queries, corpus WHERE kb IN ('fr', 'de') AND query_vec IS NOT NULL AND vec IS NOT NULL)) WHERE rank <= 5")
 def kb_scope(spark: SparkSession, sf: str) -> DataFrame:
     """The scope filters the corpus before it is ranked, so no over-fetch is needed."""
     scoped = R.in_scope(corpus(spark, sf), ["fr", "de"], None, [])
@@ -102,9 +133,9 @@ def request_scope(spark: SparkSession, sf: str) -> DataFrame:
     return some.union(R.in_scope(docs, None, [], ["doc_id"])).select("doc_id")
 
 
-@query("p3_similarity_threshold", f"WITH {_CORPUS}, {_QUERIES} SELECT query_id, doc_id, round(score, 6) AS score FROM (SELECT query_id, doc_id, round(list_cosine_similarity(query_vec::DOUBLE[], vec::DOUBLE[]), 9) AS score FROM queries, corpus WHERE kb IN ('en')) WHERE score >= 0.25")
+@query("p3_similarity_threshold", f"WITH {_CORPUS}, {_QUERIES} SELECT query_id, doc_id, round(score, 6) AS score FROM (SELECT query_id, doc_id, round(list_cosine_similarity(query_vec::DOUBLE[], vec::DOUBLE[]), 9) AS score FROM queries, corpus WHERE kb IN ('en') AND query_vec IS NOT NULL AND vec IS NOT NULL) WHERE score >= 0.25")
 def similarity_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    q, c = queries(spark, sf), corpus(spark, sf).where("kb IN ('en')")
+    q, c = queries(spark, sf).where("query_vec IS NOT NULL"), corpus(spark, sf).where("kb IN ('en') AND vec IS NOT NULL")
     pairs = c.join(R.bounded(q)).select("query_id", "doc_id", F.round(vector.cosine(F.col("query_vec"), F.col("vec")), 9).alias("score"))
     return pairs.where("score >= 0.25").withColumn("score", F.round("score", 6))
 
@@ -129,23 +160,16 @@ def letter_embedding(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("t2_approximate_topk")
 def approximate_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidates that share a hyperplane bucket in any of ANN_TABLES tables, ranked by exact cosine."""
-    q, c = queries(spark, sf), corpus(spark, sf)
-    tables = [vector.hyperplanes(64, 4, seed) for seed in range(ANN_TABLES)]
-    buckets = lambda col: F.array(*(F.concat_ws(":", F.lit(str(i)), vector.signature(F.col(col), p).cast("string")) for i, p in enumerate(tables)))
-    left = c.select("doc_id", "vec", F.explode(buckets("vec")).alias("bucket"))
-    right = q.select("query_id", "query_vec", F.explode(buckets("query_vec")).alias("bucket"))
-    pairs = left.join(right, "bucket").dropDuplicates(["query_id", "doc_id"]).select("query_id", "doc_id", F.round(vector.cosine(F.col("query_vec"), F.col("vec")), 6).alias("score"))
-    return R.top(pairs, 10, ["query_id"], F.desc("score"), F.asc("doc_id"))
+    return R.approximate_top(queries(spark, sf), corpus(spark, sf), 10).select("query_id", "doc_id", "score", "rank")
 
 
 _POS = "(length(lower(text)) - length(replace(lower(text), t, ''))) / length(t)"
 
 
-@query("t4_full_text_rank", f"WITH q AS (SELECT item_id AS query_id, ({{terms}})[1:3] AS terms FROM benchmark WHERE item_id < {N_QUERIES}), s AS (SELECT query_id, doc_id, list_sum(list_transform(terms, lambda t: ({_POS}) / (1.0 + ({_POS})))) AS score FROM q, documents WHERE len(terms) > 0 AND len(list_filter(terms, lambda t: contains(lower(text), t))) = len(terms)) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 5".replace("{terms}", "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{Nd}]+'), lambda t: length(t) >= 2 AND t NOT IN (" + ", ".join(f"'{w}'" for w in T.TERM_STOP_WORDS) + "))"))
+@query("t4_full_text_rank", f"WITH q AS (SELECT item_id AS query_id, ({{terms}})[1:3] AS terms FROM benchmark), s AS (SELECT query_id, doc_id, list_sum(list_transform(terms, lambda t: ({_POS}) / (1.0 + ({_POS})))) AS score FROM q, documents WHERE len(terms) > 0 AND len(list_filter(terms, lambda t: contains(lower(text), t))) = len(terms)) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 5".replace("{terms}", "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{Nd}]+'), lambda t: length(t) >= 2 AND t NOT IN (" + ", ".join(f"'{w}'" for w in T.TERM_STOP_WORDS) + "))"))
 def full_text_rank(spark: SparkSession, sf: str) -> DataFrame:
     """All of a query's first three terms must occur; each adds n / (1 + n) for its n occurrences. The score is the engine's own."""
-    q = table(spark, sf, "benchmark").where(F.col("item_id") < N_QUERIES).select(F.col("item_id").alias("query_id"), F.slice(T.meaningful_terms(F.col("text")), 1, 3).alias("terms")).where(F.size("terms") > 0)
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(T.meaningful_terms(F.col("text")), 1, 3).alias("terms")).where(F.size("terms") > 0)
     docs = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("lower"))
     lower = F.col("lower")
     times = lambda t: (F.char_length(lower) - F.char_length(F.replace(lower, t, F.lit("")))) / F.char_length(t)
@@ -157,7 +181,7 @@ def full_text_rank(spark: SparkSession, sf: str) -> DataFrame:
 @query("t18_local_rerank", f"""{_ALL}, r AS (SELECT f.query_id, f.doc_id, round(len(list_filter(string_split(lower(q.query), ''), lambda c: contains(lower(c.text), c))) / length(q.query)::DOUBLE / 2, 9) AS score FROM fused f JOIN queries q USING (query_id) JOIN corpus c USING (doc_id))
  SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r""".replace("contains(lower(c.text), c)", "contains(lower(body), c)").replace("JOIN corpus c USING (doc_id)", "JOIN (SELECT doc_id, text AS body FROM corpus) c USING (doc_id)"))
 def local_rerank(spark: SparkSession, sf: str) -> DataFrame:
-    hits = hybrid(spark, sf).select("query_id", "doc_id").join(F.broadcast(queries(spark, sf).select("query_id", "query")), "query_id").join(corpus(spark, sf).select("doc_id", "text"), "doc_id")
+    hits = hybrid(spark, sf).select("query_id", "doc_id").join(R.bounded(queries(spark, sf).select("query_id", "query")), "query_id").join(corpus(spark, sf).select("doc_id", "text"), "doc_id")
     return R.rerank_local(hits, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -170,13 +194,13 @@ def rank_scores(spark: SparkSession, sf: str) -> DataFrame:
 _LOWQ = """(length(trim(text)) < 40 OR ({sig}) >= 2 OR len(regexp_extract_all(trim(text), '\\p{{L}}')) < 20 OR len(regexp_extract_all(trim(text), '[<>/=]')) > len(regexp_extract_all(trim(text), '\\p{{L}}')) // 2)""".format(sig=" + ".join(f"contains(lower(trim(text)), '{s}')::int" for s in T.BAD_SIGNALS))
 
 
-@query("p8_evidence_gate", _ALL + f", e AS (SELECT q.query_id, f.doc_id, c.low FROM queries q LEFT JOIN (SELECT * FROM fused WHERE rank <= 2 AND query_id % 4 <> 3) f USING (query_id) LEFT JOIN (SELECT doc_id, {_LOWQ} OR doc_id % 2 = 0 AS low FROM corpus) c USING (doc_id)) SELECT query_id, count(doc_id) FILTER (WHERE NOT low) AS kept, CASE WHEN count(doc_id) FILTER (WHERE NOT low) > 0 THEN 'ok' ELSE 'low_quality_evidence' END AS status FROM e GROUP BY query_id")
+@query("p8_evidence_gate", _ALL + f", e AS (SELECT q.query_id, f.doc_id, c.low FROM queries q LEFT JOIN (SELECT * FROM fused WHERE rank <= 2) f USING (query_id) LEFT JOIN (SELECT doc_id, {_LOWQ} AS low FROM corpus) c USING (doc_id)) SELECT query_id, count(doc_id) FILTER (WHERE NOT low) AS kept, CASE WHEN count(doc_id) FILTER (WHERE NOT low) > 0 THEN 'ok' ELSE 'low_quality_evidence' END AS status FROM e GROUP BY query_id")
 def evidence_gate(spark: SparkSession, sf: str) -> DataFrame:
-    """Counts of good evidence decide a query's status; queries without evidence keep a row. (Documents of even ids count as bad here, so that both outcomes occur.)"""
-    found = hybrid(spark, sf).where("rank <= 2 AND query_id % 4 <> 3").join(corpus(spark, sf).select("doc_id", "text"), "doc_id")
+    """Counts of good evidence decide a query's status; queries without evidence keep a row."""
+    found = hybrid(spark, sf).where("rank <= 2").join(corpus(spark, sf).select("doc_id", "text"), "doc_id")
     q = queries(spark, sf).select("query_id", "query")
     rows = q.join(found.select("query_id", "doc_id", "text"), "query_id", "left")
-    low = T.low_quality(F.col("text")) | (F.col("doc_id") % 2 == 0)
+    low = T.low_quality(F.col("text"))
     strict = T.has_any(F.lower("query"), T.STRICT_TOPICS) & ~T.relevant(T.meaningful_terms(F.col("query")), F.col("text"))
     here = F.col("doc_id").isNotNull()
     counted = rows.groupBy("query_id", "query").agg(F.count_if(here & ~low & ~strict).alias("kept"), F.count_if(here & low).alias("low"), F.count_if(here & ~low & strict).alias("off"))
@@ -195,7 +219,7 @@ def context_build(spark: SparkSession, sf: str) -> DataFrame:
 @query("q9_rag_pipeline", _ALL + f", r AS (SELECT f.query_id, f.doc_id, c.text, row_number() OVER (PARTITION BY f.query_id ORDER BY round(len(list_filter(string_split(lower(q.query), ''), lambda x: contains(lower(c.text), x))) / length(q.query)::DOUBLE / 2, 9) DESC, f.doc_id) AS rank FROM fused f JOIN queries q USING (query_id) JOIN corpus c USING (doc_id)) SELECT query_id, count(*) AS n_sources, string_agg(doc_id::varchar, ',' ORDER BY rank) AS sources FROM r WHERE NOT {_LOWQ} AND rank <= 5 GROUP BY query_id")
 def rag_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """Retrieve, rerank, gate and list the sources that a generator would get; the generator itself is a function of the caller's."""
-    hits = hybrid(spark, sf).select("query_id", "doc_id").join(F.broadcast(queries(spark, sf).select("query_id", "query")), "query_id").join(corpus(spark, sf).select("doc_id", "text"), "doc_id")
+    hits = hybrid(spark, sf).select("query_id", "doc_id").join(R.bounded(queries(spark, sf).select("query_id", "query")), "query_id").join(corpus(spark, sf).select("doc_id", "text"), "doc_id")
     rows = R.rerank_local(hits, 5).where(~T.low_quality(F.col("text")))
     return rows.groupBy("query_id").agg(F.count("*").alias("n_sources"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string")), ",").alias("sources"))
 
@@ -251,22 +275,23 @@ def union_first_seen(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("j12_rerank_backmap", "SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1 THEN round(1.0 / (1 + n_chars), 6) ELSE 0 END AS score FROM documents")
 def rerank_backmap(spark: SparkSession, sf: str) -> DataFrame:
-    first = F.row_number().over(Window.partitionBy("text").orderBy("doc_id")) == 1
+    first = F.col("doc_id") == F.min("doc_id").over(Window.partitionBy(F.sha2("text", 256)))
     return table(spark, sf, "documents").select("doc_id", F.when(first, F.round(1.0 / (1 + F.col("n_chars")), 6)).otherwise(0.0).alias("score"))
 
 
-@query("j17_query_corpus_pairs", f"WITH {_CORPUS}, {_QUERIES} SELECT query_id, count(*) AS n, round(max(list_cosine_similarity(query_vec::DOUBLE[], vec::DOUBLE[])), 6) AS best FROM queries, corpus GROUP BY query_id")
+@query("j17_query_corpus_pairs", f"WITH {_CORPUS}, {_QUERIES} SELECT query_id, count(*) AS n, round(max(list_cosine_similarity(query_vec::DOUBLE[], vec::DOUBLE[])), 6) AS best FROM queries, corpus WHERE query_vec IS NOT NULL AND vec IS NOT NULL GROUP BY query_id")
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = corpus(spark, sf).join(R.bounded(queries(spark, sf))).select("query_id", vector.cosine(F.col("query_vec"), F.col("vec")).alias("c"))
+    rows = corpus(spark, sf).where("vec IS NOT NULL").join(R.bounded(queries(spark, sf).where("query_vec IS NOT NULL"))).select("query_id", vector.cosine(F.col("query_vec"), F.col("vec")).alias("c"))
     return rows.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("c"), 6).alias("best"))
 
 
-@query("t5_repository_keywords", "SELECT item_id, doc_id FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id) AS rn FROM (SELECT b.item_id, d.doc_id, (length(d.text) - length(replace(lower(d.text), lower(left(b.text, 12)), ''))) // 12 AS n FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(left(b.text, 12))) WHERE b.item_id < 20)) WHERE rn <= 10")
+@query("t5_repository_keywords", "SELECT item_id, doc_id FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id) AS rn FROM (SELECT b.item_id, d.doc_id, (length(d.text) - length(replace(lower(d.text), lower(b.text), ''))) // length(b.text) AS n FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)) WHERE b.text <> '')) WHERE rn <= 10")
 def repository_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    q = table(spark, sf, "benchmark").where("item_id < 20").select("item_id", F.lower(F.left("text", F.lit(12))).alias("needle"))
+    """Documents that hold a whole benchmark text, by how often. Only those that have its longest word are searched for it."""
+    q = table(spark, sf, "benchmark").where("text <> ''").select("item_id", F.lower("text").alias("needle"))
     docs = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("lower"))
-    found = docs.join(R.bounded(q), F.contains(F.col("lower"), F.col("needle")))
-    times = F.floor((F.char_length("lower") - F.char_length(F.replace("lower", "needle", F.lit("")))) / 12)
+    found = R.containing(q, docs)
+    times = F.floor((F.char_length("lower") - F.char_length(F.replace("lower", "needle", F.lit("")))) / F.char_length("needle"))
     return R.top(found.select("item_id", "doc_id", times.alias("n")), 10, ["item_id"], F.desc("n"), F.asc("doc_id")).select("item_id", "doc_id")
 
 
