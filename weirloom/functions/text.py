@@ -114,9 +114,15 @@ def wiki_links(c: Column) -> Column:
 
 
 def wiki_rendered(c: Column) -> Column:
-    """Links as markdown; a link without display text shows its path."""
-    shown = F.regexp_replace(c, r"\[\[([^\]|]+)\|([^\]]+)\]\]", "[$2]($1)")
-    return F.regexp_replace(shown, r"\[\[([^\]|]+)\]\]", "[$1]($1)")
+    """Links as markdown: [[path|text]] shows the path without .md and with spaces for hyphens, whatever its text."""
+    link = r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"
+
+    def shown(path: Column) -> Column:
+        path = trimmed(path)
+        return F.concat(F.lit("["), F.replace(F.regexp_replace(path, r"\.md\z", ""), F.lit("-"), F.lit(" ")), F.lit("]("), path, F.lit(")"))
+
+    links = F.transform(F.regexp_extract_all(c, F.lit(link), F.lit(1)), shown)
+    return F.array_join(F.zip_with(F.split(c, link), links, lambda piece, x: F.concat(piece, F.coalesce(x, F.lit("")))), "")
 
 
 def path_sanitised(c: Column) -> Column:

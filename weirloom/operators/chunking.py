@@ -134,20 +134,53 @@ def balanced(parts: Column, least: int) -> Column:
     return F.aggregate(parts, F.array().cast("array<string>"), step)
 
 
-def semantic(docs: DataFrame, share: float = 0.25, least: int = 100) -> DataFrame:
-    """Chunks of sentences, cut where neighbouring windows are among the least similar share of a document."""
+def split_large(chunks: DataFrame, most: int, overlap: int = 50) -> DataFrame:
+    """chunks (doc_id, seq, chunk) with those of more than `most` characters split recursively, numbered anew."""
+    large = F.char_length("chunk") > most
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = [(d, n, i, c) for d, n, t in zip(p["doc_id"], p["seq"], p["chunk"]) for i, c in enumerate(split_recursive(t, most, overlap))]
+            yield pd.DataFrame(rows, columns=["doc_id", "seq", "part", "chunk"])
+
+    cut = chunks.where(large).mapInPandas(run, "doc_id long, seq int, part int, chunk string")
+    every = chunks.where(~large).select("doc_id", "seq", F.lit(0).alias("part"), "chunk").union(cut)
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq", "part")) - 1
+    return every.select("doc_id", number.alias("seq"), "chunk")
+
+
+def semantic(docs: DataFrame, share: float = 0.25, least: int = 100, most: int = 1000) -> DataFrame:
+    """Chunks of sentences, cut where neighbouring windows are among the least similar share of a document; small ones join the next, large ones are split. Fewer than three sentences are split recursively."""
+    enough = F.size(sentences(F.col("text"))) >= 3
+    few = recursive(docs.where(~F.coalesce(enough, F.lit(False))), most, 50)
+    docs = docs.where(enough)
     rows = spread(docs, "doc_id").select("doc_id", F.posexplode(sentences(F.col("text"))).alias("seq", "sentence"))
     order = Window.partitionBy("doc_id").orderBy("seq")
     around = F.array_join(F.collect_list("sentence").over(order.rowsBetween(-1, 1)), " ")
     rows = rows.withColumn("around", around).withColumn("v", vector.letter_frequencies(F.col("around"))).withColumn("before", F.lag("v").over(order))
     rows = rows.withColumn("similarity", F.when(F.col("before").isNotNull(), vector.cosine(F.col("v"), F.col("before"))))
-    every = F.array_sort(F.collect_list("similarity").over(Window.partitionBy("doc_id")))
-    limit = F.element_at(every, (F.floor(F.size(every) * share) + 1).cast("int"))
-    rows = rows.withColumn("limit", F.when(F.size(every) > 0, limit))
+    # the similarity at place floor(n * share) of a document's sorted ones, by a rank and a count
+    every = Window.partitionBy("doc_id")
+    rows = rows.withColumns({"place": F.row_number().over(every.orderBy(F.asc_nulls_last("similarity"), "seq")), "n": F.count("similarity").over(every)})
+    rows = rows.withColumn("limit", F.max(F.when(F.col("place") == F.floor(F.col("n") * share) + 1, F.col("similarity"))).over(every))
     group = F.sum(F.when(F.col("similarity") <= F.col("limit"), 1).otherwise(0)).over(order)
     chunks = rows.withColumn("part", group).groupBy("doc_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "sentence"))), lambda s: s["sentence"]), " ").alias("chunk"))
     whole = chunks.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "chunk"))), lambda c: c["chunk"]).alias("chunks"))
-    return whole.select("doc_id", F.posexplode(balanced(F.col("chunks"), least)).alias("seq", "chunk"))
+    chunks = whole.select("doc_id", F.posexplode(balanced(F.col("chunks"), least)).alias("seq", "chunk"))
+    return split_large(chunks, most).union(few)
+
+
+def dispatched(docs: DataFrame, size: int, overlap: int) -> DataFrame:
+    """docs (doc_id, text, asked) -> doc_id, strategy, seq, chunk: by the strategy asked for, else markdown where the text has headers, else recursive."""
+    headed = F.col("text").rlike(r"(?:^|\n)#{1,6} ")
+    rows = docs.withColumn("strategy", F.when(F.col("asked").isin("markdown", "recursive", "semantic"), F.col("asked")).when(headed, "markdown").otherwise("recursive"))
+    own = lambda name: rows.where(F.col("strategy") == name).select("doc_id", "text")
+    made = {"markdown": markdown(own("markdown"), size), "recursive": recursive(own("recursive"), size, overlap), "semantic": semantic(own("semantic"))}
+    out = None
+    for name, part in made.items():
+        part = part.select("doc_id", F.lit(name).alias("strategy"), "seq", "chunk")
+        out = part if out is None else out.union(part)
+    return out
 
 
 def json_array_of(text: str) -> str | None:

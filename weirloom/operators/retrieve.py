@@ -158,7 +158,7 @@ def keyword_top(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
 
 
 #: Tables of hyperplane buckets, bits of a bucket, and how many of the least certain bits a query flips one at a time and in pairs.
-ANN_TABLES, ANN_BITS, ANN_FLIPS = 16, 10, 6
+ANN_TABLES, ANN_BITS, ANN_FLIPS = 32, 10, 6
 
 
 def buckets(rows: DataFrame, key: str, vec: str, flips: int = 0) -> DataFrame:

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from weirloom.plans.registry import query, table
 
-# knowledge bases are suppliers, tenants nations, organisations regions; shares and members follow from key arithmetic
-_KB = "kb AS (SELECT s_suppkey AS kb_id, s_nationkey AS tenant FROM supplier)"
-_SHARES = "shares AS (SELECT s_suppkey AS kb_id, s_suppkey % 5 AS org, ['viewer', 'editor', 'admin'][(s_suppkey % 3)::int + 1] AS role FROM supplier WHERE s_suppkey % 4 <> 0 UNION ALL SELECT s_suppkey, (s_suppkey + 2) % 5, 'editor' FROM supplier WHERE s_suppkey % 7 = 0)"
-_MEMBERS = "members AS (SELECT c_custkey AS user_id, c_nationkey AS tenant, c_custkey % 5 AS org, ['viewer', 'editor', 'admin'][(c_custkey % 3)::int + 1] AS role FROM customer WHERE c_custkey <= 60)"
+# knowledge bases are suppliers, users customers; tenants (5 bases, 75 users) and organisations (15 users) follow from key arithmetic, so both sides of a join grow together
+_KB = "kb AS (SELECT s_suppkey AS kb_id, s_suppkey // 5 AS tenant FROM supplier)"
+_SHARES = "shares AS (SELECT s_suppkey AS kb_id, s_suppkey AS org, ['viewer', 'editor', 'admin'][(s_suppkey % 3)::int + 1] AS role FROM supplier WHERE s_suppkey % 4 <> 0 UNION ALL SELECT s_suppkey, s_suppkey + 2, 'editor' FROM supplier WHERE s_suppkey % 7 = 0)"
+_MEMBERS = "members AS (SELECT c_custkey AS user_id, c_custkey // 75 AS tenant, c_custkey // 15 AS org, ['viewer', 'editor', 'admin'][(c_custkey % 3)::int + 1] AS role FROM customer)"
 _RANK = "CASE {c} WHEN 'admin' THEN 3 WHEN 'editor' THEN 2 WHEN 'viewer' THEN 1 ELSE 0 END"
 _ROLES = ["viewer", "editor", "admin"]
 
@@ -30,11 +30,11 @@ def role_of(n: Column) -> Column:
 
 def parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     s = table(spark, sf, "supplier")
-    kb = s.select(F.col("s_suppkey").alias("kb_id"), F.col("s_nationkey").alias("tenant"))
+    kb = s.select(F.col("s_suppkey").alias("kb_id"), F.floor(F.col("s_suppkey") / 5).alias("tenant"))
     key = F.col("s_suppkey")
-    shares = s.where(key % 4 != 0).select(key.alias("kb_id"), (key % 5).alias("org"), _role(key).alias("role")).union(s.where(key % 7 == 0).select(key, (key + 2) % 5, F.lit("editor")))
+    shares = s.where(key % 4 != 0).select(key.alias("kb_id"), key.alias("org"), _role(key).alias("role")).union(s.where(key % 7 == 0).select(key, key + 2, F.lit("editor")))
     c = F.col("c_custkey")
-    members = table(spark, sf, "customer").where(c <= 60).select(c.alias("user_id"), F.col("c_nationkey").alias("tenant"), (c % 5).alias("org"), _role(c).alias("role"))
+    members = table(spark, sf, "customer").select(c.alias("user_id"), F.floor(c / 75).alias("tenant"), F.floor(c / 15).alias("org"), _role(c).alias("role"))
     return kb, shares, members
 
 
@@ -124,15 +124,16 @@ def paged_scan(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").where(F.startswith(key, F.lit("1"))).orderBy(key).offset(100).limit(50).select("event_id", F.left("props", F.lit(20)).alias("clipped"))
 
 
-@query("tag_tree", "WITH RECURSIVE t(id, root, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey <= 5 UNION ALL SELECT p.p_partkey, t.root, t.depth + 1 FROM part p JOIN t ON p.p_partkey // 5 = t.id AND p.p_partkey > 5 AND p.p_partkey <= 500) SELECT id, root, depth FROM t")
+@query("tag_tree", "WITH RECURSIVE t(id, root, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey <= 5 UNION ALL SELECT p.p_partkey, t.root, t.depth + 1 FROM part p JOIN t ON p.p_partkey // 5 = t.id AND p.p_partkey > 5) SELECT id, root, depth FROM t")
 def tag_tree(spark: SparkSession, sf: str) -> DataFrame:
-    """A self reference followed level by level; the tree's depth is bounded by its construction."""
-    rows = table(spark, sf, "part").where("p_partkey <= 500").select(F.col("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 5).alias("parent"))
+    """A self reference followed level by level, until a level is empty."""
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 5).alias("parent"))
     level = rows.where("id <= 5").select("id", F.col("id").alias("root"), F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, 5):
-        below = rows.where("id > 5").join(level.select(F.col("id").alias("parent"), "root"), "parent").select("id", "root", F.lit(depth).alias("depth"))
-        out, level = out.union(below), below
+    out, depth = level, 0
+    while not level.isEmpty():
+        depth += 1
+        level = rows.where("id > 5").join(level.select(F.col("id").alias("parent"), "root"), "parent").select("id", "root", F.lit(depth).alias("depth"))
+        out = out.union(level)
     return out
 
 

@@ -9,20 +9,22 @@ from weirloom.functions import text as T
 from weirloom.operators import graph as G
 from weirloom.plans.registry import query, table
 
-# customers are nodes; a customer's neighbours are the next by key, by segment and by nation
-_NODES = "nodes AS (SELECT c_name AS name, c_mktsegment AS type, c_custkey AS ord FROM customer WHERE c_custkey <= 300)"
-_EDGES = "edges AS (SELECT a.c_name AS src, b.c_name AS dst, 'NEXT' AS type FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1 WHERE b.c_custkey <= 300 UNION ALL SELECT a.c_name, b.c_name, 'PEER' FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey WHERE b.c_custkey <= 300)"
+# customers are nodes; a customer's neighbours are the next by key, and the fifth one after it if it is of the same segment
+_NODES = "nodes AS (SELECT c_name AS name, c_mktsegment AS type, c_custkey AS ord FROM customer)"
+_EDGES = "edges AS (SELECT a.c_name AS src, b.c_name AS dst, 'NEXT' AS type FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1 UNION ALL SELECT a.c_name, b.c_name, 'PEER' FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 5 AND a.c_mktsegment = b.c_mktsegment)"
+_ASKED = "q AS (SELECT n_nationkey AS query_id, 'Customer#' || lpad((n_nationkey * 7 + 3)::varchar, 9, '0') || CASE WHEN n_nationkey % 2 = 0 THEN ' and more' ELSE '' END AS entity FROM nation), found AS (SELECT q.query_id, q.entity, n.name FROM q JOIN nodes n ON (contains(lower(q.entity), lower(n.name)) OR contains(lower(n.name), lower(q.entity))) AND length(q.entity) >= 2 AND length(n.name) >= 2)"
+_BOTH = "both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)"
 
 
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").where("c_custkey <= 300").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("type"), F.col("c_custkey").alias("ord"), "c_nationkey")
+    return table(spark, sf, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("type"), F.col("c_custkey").alias("ord"))
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     n = nodes(spark, sf)
     a, b = n.alias("a"), n.alias("b")
     next_ = a.join(b, F.col("b.ord") == F.col("a.ord") + 1).select(F.col("a.name").alias("src"), F.col("b.name").alias("dst"), F.lit("NEXT").alias("type"))
-    peers = a.join(b, (F.col("a.c_nationkey") == F.col("b.c_nationkey")) & (F.col("a.type") == F.col("b.type"))).where("a.ord < b.ord").select(F.col("a.name").alias("src"), F.col("b.name").alias("dst"), F.lit("PEER").alias("type"))
+    peers = a.join(b, (F.col("b.ord") == F.col("a.ord") + 5) & (F.col("a.type") == F.col("b.type"))).select(F.col("a.name").alias("src"), F.col("b.name").alias("dst"), F.lit("PEER").alias("type"))
     return next_.union(peers)
 
 
@@ -45,11 +47,17 @@ def node_merge(spark: SparkSession, sf: str) -> DataFrame:
     return G.merge_nodes(raw).select("name", "type", F.array_join(F.col("chunks").cast("array<string>"), ",").alias("chunks"), F.size("attributes").cast("long").alias("n_attributes"))
 
 
-@query("j8_entity_search", f"WITH {_NODES}, q AS (SELECT n_nationkey AS query_id, 'Customer#' || lpad((n_nationkey * 7 + 3)::varchar, 9, '0') || CASE WHEN n_nationkey % 2 = 0 THEN ' and more' ELSE '' END AS entity FROM nation) SELECT q.query_id, q.entity, n.name FROM q JOIN nodes n ON (contains(lower(q.entity), lower(n.name)) OR contains(lower(n.name), lower(q.entity))) AND length(q.entity) >= 2 AND length(n.name) >= 2")
-def entity_search(spark: SparkSession, sf: str) -> DataFrame:
+def asked(spark: SparkSession, sf: str) -> DataFrame:
+    """(query_id, entity, name): the nodes that queries name, one query for each nation."""
+    from weirloom.operators.retrieve import bounded
+
     entity = F.concat(F.lit("Customer#"), F.lpad((F.col("n_nationkey") * 7 + 3).cast("string"), 9, "0"), F.when(F.col("n_nationkey") % 2 == 0, " and more").otherwise(""))
-    q = table(spark, sf, "nation").select(F.col("n_nationkey").alias("query_id"), entity.alias("entity"))
-    return G.entity_matches(F.broadcast(q), nodes(spark, sf))  # 25 rows
+    return G.entity_matches(bounded(table(spark, sf, "nation").select(F.col("n_nationkey").alias("query_id"), entity.alias("entity"))), nodes(spark, sf))
+
+
+@query("j8_entity_search", f"WITH {_NODES}, {_ASKED} SELECT query_id, entity, name FROM found")
+def entity_search(spark: SparkSession, sf: str) -> DataFrame:
+    return asked(spark, sf)
 
 
 @query("j9_undirected_edges", f"WITH {_NODES}, {_EDGES} SELECT name, type, count(*) AS n FROM (SELECT src AS name, type FROM edges UNION ALL SELECT dst, type FROM edges) GROUP BY ALL")
@@ -73,17 +81,25 @@ def materialised(spark: SparkSession, sf: str) -> DataFrame:
     return edges(spark, sf).join(left, "src").join(n.select(F.col("name").alias("dst")), "dst").select("src", "dst", "type")
 
 
-@query("q7_type_filter", f"WITH {_NODES} SELECT name, type FROM nodes WHERE (ord % 10 = 0 AND type IN ('BUILDING', 'MACHINERY')) OR ord % 10 = 1")
+@query("q7_type_filter", f"WITH {_NODES}, {_EDGES}, {_ASKED}, {_BOTH} SELECT n.name, n.type FROM nodes n WHERE (n.name IN (SELECT name FROM found) AND n.type IN ('BUILDING', 'MACHINERY')) OR n.name IN (SELECT b.dst FROM both_ways b JOIN found f ON f.name = b.src)")
 def type_filter(spark: SparkSession, sf: str) -> DataFrame:
-    asked, neighbour = F.col("ord") % 10 == 0, F.col("ord") % 10 == 1
-    return nodes(spark, sf).where(asked & F.col("type").isin("BUILDING", "MACHINERY") | neighbour).select("name", "type")
+    """Only nodes that were asked for are filtered by type; neighbours of any type stay."""
+    n, names = nodes(spark, sf).select("name", "type"), asked(spark, sf).select("name").distinct()
+    own = n.join(names, "name", "left_semi").where(F.col("type").isin("BUILDING", "MACHINERY"))
+    near = G.neighbours(edges(spark, sf)).join(names.withColumnRenamed("name", "src"), "src", "left_semi").select(F.col("dst").alias("name")).distinct()
+    return own.union(n.join(near, "name", "left_semi")).distinct()
 
 
-@query("q6_graph_retrieve", f"WITH {_NODES}, {_EDGES} SELECT s.name, string_agg(DISTINCT e.dst, '; ' ORDER BY e.dst) AS context FROM (SELECT name FROM nodes WHERE ord % 50 = 0) s JOIN (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges) e ON e.src = s.name GROUP BY s.name")
+@query("q6_graph_retrieve", f"WITH {_NODES}, {_EDGES}, {_ASKED}, {_BOTH}, x AS (SELECT DISTINCT f.query_id, b.dst AS name FROM found f JOIN both_ways b ON b.src = f.name), y AS (SELECT x.query_id, x.name, n.ord, row_number() OVER (PARTITION BY x.query_id ORDER BY x.name) AS rank FROM x JOIN nodes n ON n.name = x.name) SELECT query_id, string_agg(name, '; ' ORDER BY name) AS context, string_agg(ord::varchar, ',' ORDER BY name) AS chunks FROM y WHERE rank <= 3 GROUP BY query_id")
 def graph_retrieve(spark: SparkSession, sf: str) -> DataFrame:
-    start = nodes(spark, sf).where("ord % 50 = 0").select(F.col("name").alias("src"))
-    found = G.neighbours(edges(spark, sf)).join(start, "src").groupBy(F.col("src").alias("name"))
-    return found.agg(F.array_join(F.array_sort(F.collect_set("dst")), "; ").alias("context"))
+    """From the entities of a query to their neighbours: the first three by name as context, and the chunks that mention them."""
+    from weirloom.operators.retrieve import top
+
+    start = asked(spark, sf).select("query_id", F.col("name").alias("src"))
+    near = G.neighbours(edges(spark, sf)).join(start, "src").select("query_id", F.col("dst").alias("name")).distinct()
+    first = top(near.join(nodes(spark, sf).select("name", "ord"), "name"), 3, ["query_id"], F.asc("name"))
+    rows = first.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("name", "ord"))).alias("x"))
+    return rows.select("query_id", F.array_join(F.transform("x", lambda x: x["name"]), "; ").alias("context"), F.array_join(F.transform("x", lambda x: x["ord"].cast("string")), ",").alias("chunks"))
 
 
 @query("a6_overview", f"WITH {_NODES} SELECT type, count(*) AS n FROM nodes WHERE type IN ('BUILDING', 'FURNITURE', 'MACHINERY') GROUP BY type")
@@ -123,22 +139,23 @@ def find(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where(F.col("path").rlike("^/(en|fr)/8[^/]*$") | F.contains(F.lower("path"), F.lit("99"))).orderBy("page_id").limit(30)
 
 
-@query("t15_read", "SELECT doc_id, left(text, 2000) AS content FROM documents WHERE doc_id = 7 AND NOT contains('docs/7.txt', '..')")
+@query("t15_read", "WITH r AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'docs/../' ELSE 'docs/' END || page_id || '.txt' AS path FROM pages) SELECT r.page_id, r.path, CASE WHEN contains(r.path, '..') THEN 'denied' WHEN d.doc_id IS NULL THEN 'missing' ELSE 'ok' END AS status, left(d.text, 2000) AS content FROM r LEFT JOIN documents d ON NOT contains(r.path, '..') AND 'docs/' || d.doc_id || '.txt' = r.path")
 def read(spark: SparkSession, sf: str) -> DataFrame:
-    safe = ~F.contains(F.lit("docs/7.txt"), F.lit(".."))
-    return table(spark, sf, "documents").where((F.col("doc_id") == 7) & safe).select("doc_id", F.left("text", F.lit(2000)).alias("content"))
+    """A file for each request, its first 2,000 characters; paths that climb are denied. Requests come from the pages table."""
+    path = F.concat(F.when(F.col("page_id") % 7 == 0, "docs/../").otherwise("docs/"), F.col("page_id").cast("string"), F.lit(".txt"))
+    return G.read_files(table(spark, sf, "pages").select("page_id", path.alias("path")), table(spark, sf, "documents").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text"), 2000)
 
 
-# --- wiki: a page for each document of the first hundred, with links to the two next ones -------
+# --- wiki: a page for each document, with links to the next one and the third after it ---------
 
-_PAGES = "wp AS (SELECT doc_id AS id, lang AS kb, lang || '/' || doc_id || '.md' AS path, text AS content, 'see [[' || lang || '/' || (doc_id + 1) || ']] and [[' || lang || '/' || (doc_id + 3) || '|next]]' AS links FROM documents WHERE doc_id < 100)"
+_PAGES = "wp AS (SELECT doc_id AS id, lang AS kb, lang || '/' || doc_id || '.md' AS path, text AS content, 'see [[' || lang || '/' || (doc_id + 1) || ']] and [[' || lang || '/' || (doc_id + 3) || '|next]]' AS links FROM documents)"
 _LINKS = "wl AS (SELECT id, kb, kb || '/' || (id + 1) || '.md' AS target_path FROM wp UNION SELECT id, kb, kb || '/' || (id + 3) || '.md' FROM wp)"
 
 
 def wiki(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     n = lambda k: (F.col("doc_id") + k).cast("string")
     body = F.concat(F.lit("see [["), "lang", F.lit("/"), n(1), F.lit("]] and [["), "lang", F.lit("/"), n(3), F.lit("|next]]"))
-    pages = table(spark, sf, "documents").where("doc_id < 100").select(F.col("doc_id").alias("id"), F.col("lang").alias("kb"), F.concat("lang", F.lit("/"), n(0), F.lit(".md")).alias("path"), F.col("text").alias("content"), body.alias("links"))
+    pages = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("kb"), F.concat("lang", F.lit("/"), n(0), F.lit(".md")).alias("path"), F.col("text").alias("content"), body.alias("links"))
     return pages, pages.select("id", "kb", F.explode(T.wiki_links(F.col("links"))).alias("target_path"))
 
 
@@ -149,9 +166,9 @@ def link_resolution(spark: SparkSession, sf: str) -> DataFrame:
     return links.join(target, ["kb", "target_path"], "left").select("id", "target_path", "target_id")
 
 
-@query("j1_one_hop", f"WITH {_PAGES}, {_LINKS} SELECT l.id, p.id AS linked, p.path FROM wl l JOIN wp p ON p.kb = l.kb AND p.path = l.target_path WHERE l.id < 30")
+@query("j1_one_hop", f"WITH {_PAGES}, {_LINKS} SELECT l.id, p.id AS linked, p.path FROM wl l JOIN wp p ON p.kb = l.kb AND p.path = l.target_path")
 def one_hop(spark: SparkSession, sf: str) -> DataFrame:
-    found = link_resolution(spark, sf).where("id < 30 AND target_id IS NOT NULL")
+    found = link_resolution(spark, sf).where("target_id IS NOT NULL")
     return found.select("id", F.col("target_id").alias("linked"), F.col("target_path").alias("path"))
 
 
@@ -172,10 +189,10 @@ def wiki_search(spark: SparkSession, sf: str) -> DataFrame:
     return top(rows, 5, ["kb"], F.desc("score"), F.asc("id")).withColumn("score", F.round("score", 6))
 
 
-@query("u2_hits_then_links", f"WITH {_PAGES}, {_LINKS}, h AS (SELECT id, kb, 0 AS o FROM wp WHERE id < 10), x AS (SELECT p.id, p.kb, 1 AS o FROM wl l JOIN h ON h.id = l.id JOIN wp p ON p.kb = l.kb AND p.path = l.target_path) SELECT id, min(o) AS o FROM (SELECT * FROM h UNION ALL SELECT * FROM x) GROUP BY id ORDER BY o, id LIMIT 14")
+@query("u2_hits_then_links", f"WITH {_PAGES}, {_LINKS}, q AS (SELECT ['the', 'fr/1', 'tion'] AS kw), h AS (SELECT id, kb, 0 AS o FROM (SELECT kb, id, row_number() OVER (PARTITION BY kb ORDER BY round(score, 9) DESC, id) AS rank FROM (SELECT kb, id, {_BONUS} AS score FROM wp, q) WHERE score > 0) WHERE rank <= 5), x AS (SELECT p.id, p.kb, 1 AS o FROM wl l JOIN h ON h.id = l.id JOIN wp p ON p.kb = l.kb AND p.path = l.target_path) SELECT id, min(o) AS o FROM (SELECT * FROM h UNION ALL SELECT * FROM x) GROUP BY id ORDER BY o, id LIMIT 14")
 def hits_then_links(spark: SparkSession, sf: str) -> DataFrame:
-    pages, _ = wiki(spark, sf)
-    hits = pages.where("id < 10").select("id", F.lit(0).alias("o"))
+    """What the wiki search finds, then the pages that these link to."""
+    hits = wiki_search(spark, sf).select("id", F.lit(0).alias("o"))
     linked = link_resolution(spark, sf).join(hits.select("id"), "id", "left_semi").where("target_id IS NOT NULL").select(F.col("target_id").alias("id"), F.lit(1))
     return hits.union(linked).groupBy("id").agg(F.min("o").alias("o")).orderBy("o", "id").limit(14)
 

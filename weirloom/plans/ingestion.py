@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from weirloom.operators import ingest as I
 from weirloom.plans.registry import query, table
 from weirloom.sources import documents as D
+from weirloom.sources import sinks
 
 # chunks are the lines of documents; in the new snapshot every fifth document lost its first line and every seventh gained a copy of it
 _OLD = "old AS (SELECT doc_id AS doc, unnest(range(0, len(l))) AS seq, sha256(unnest(l)) AS hash FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
@@ -65,13 +65,13 @@ def same_source(spark: SparkSession, sf: str) -> DataFrame:
     return docs.join(docs.groupBy("source", "lang").agg(F.max("doc_id").alias("latest")), ["source", "lang"]).select("doc_id", "latest")
 
 
-_UP = "u AS (SELECT vec_id + 250 AS vec_id, label + 100 AS label FROM embeddings WHERE vec_id < 300)"
+_UP = "u AS (SELECT vec_id + 250 AS vec_id, label + 100 AS label FROM embeddings WHERE label < 5)"
 
 
 @query("k1_vector_upsert", f"WITH {_UP} SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM u) UNION ALL SELECT * FROM u")
 def vector_upsert(spark: SparkSession, sf: str) -> DataFrame:
     old = I.checked(table(spark, sf, "embeddings"), "embedding", 64)
-    new = old.where("vec_id < 300").withColumns({"vec_id": F.col("vec_id") + 250, "label": F.col("label") + 100})
+    new = old.where("label < 5").withColumns({"vec_id": F.col("vec_id") + 250, "label": F.col("label") + 100})
     return I.upsert(old, new, ["vec_id"]).where(F.size("embedding") == 64).select("vec_id", "label")
 
 
@@ -150,22 +150,40 @@ def total_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return snapshots(spark, sf)[0].select("doc", "seq", F.count("*").over(Window.partitionBy("doc")).alias("total"))
 
 
-def _folder() -> str:
-    return tempfile.mkdtemp(prefix="weirloom-files-")
-
-
-@query("s1_text_files", "SELECT md5('x' || doc_id) AS h, text AS content FROM documents WHERE doc_id < 0")
+@query("s1_text_files", "SELECT source AS folder, count(DISTINCT source) AS files, sum(length(regexp_replace(coalesce(text, ''), '\\s+', '', 'g')))::BIGINT AS letters FROM documents GROUP BY source")
 def text_files(spark: SparkSession, sf: str) -> DataFrame:
-    """An empty folder gives no documents; the sources' tests read real files."""
-    return D.text_files(spark, _folder()).select(F.col("id").alias("h"), "content")
-
-
-@query("k9_jsonl_append")
+    """The documents written as text files, a folder for each source, and read back recursively: files and characters but white space, which lines and files are trimmed of."""
+    path = f"{sinks.scratch(spark)}/texts"
+    table(spark, sf, "documents").select("source", F.coalesce("text", F.lit("")).alias("value")).repartition("source").write.partitionBy("source").text(path)
+    rows = D.text_files(spark, path)
+    rows = rows.select(F.regexp_extract("source", "/source=([^/]*)/", 1).alias("folder"), "id", F.char_length(F.regexp_replace("content", r"\s+", "")).alias("n"))
+    return rows.groupBy("folder").agg(F.countDistinct("id").alias("files"), F.sum("n").cast("bigint").alias("letters"))
+
+
+@query("s12_eval_lines", "SELECT item_id::VARCHAR AS id, text AS question, item_id % 3 AS n_gold FROM benchmark")
+def eval_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples written as JSON lines by the labelled-sample writer and read back by the evaluation's loader."""
+    path = f"{sinks.scratch(spark)}/samples"
+    gold = F.transform(F.sequence(F.lit(1), F.col("item_id") % 3), lambda i: F.concat(F.lit("d"), i.cast("string")))
+    sinks.append_jsonl(table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), F.when(F.col("item_id") % 3 > 0, gold).otherwise(F.array().cast("array<string>")).alias("gold_docs")), path)
+    rows = spark.read.schema("id string, question string, gold_docs array<string>").json(path)
+    return rows.select("id", "question", F.coalesce(F.size("gold_docs"), F.lit(0)).cast("long").alias("n_gold"))
+
+
+@query("s14_wanted_lines", "SELECT d.doc_id::VARCHAR AS id, md5(regexp_replace(d.text, '\\s+', ' ', 'g')) AS hash FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 1")
+def wanted_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """A large tab-separated file scanned for the ids that are wanted."""
+    path = f"{sinks.scratch(spark)}/collection"
+    table(spark, sf, "documents").select(F.concat_ws("\t", "doc_id", F.regexp_replace("text", r"\s+", " ")).alias("value")).write.text(path)
+    wanted = table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("id")).distinct()
+    rows = spark.read.text(path).select(F.split_part("value", F.lit("\t"), F.lit(1)).alias("id"), F.split_part("value", F.lit("\t"), F.lit(2)).alias("text"))
+    return rows.join(wanted, "id", "left_semi").select("id", F.md5("text").alias("hash"))
+
+
+@query("k9_jsonl_append", "SELECT event_id, event_type, user_id FROM events UNION ALL SELECT event_id, event_type, user_id FROM events")
 def jsonl_append(spark: SparkSession, sf: str) -> DataFrame:
     """Audit rows appended twice as JSON lines and read back."""
-    from weirloom.sources import sinks
-
-    rows = table(spark, sf, "events").where("event_id < 20").select("event_id", "event_type", "user_id")
+    rows = table(spark, sf, "events").select("event_id", "event_type", "user_id")
     path = os.path.join(sinks.scratch(spark), "audit")
     sinks.append_jsonl(rows, path)
     sinks.append_jsonl(rows, path)

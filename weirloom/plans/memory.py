@@ -95,11 +95,14 @@ def stored_sources(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("s.score > 0").select("conv_id", "turn", "s.doc")
 
 
-@query("w9_header_stack")
+_LEVELS = ", ".join(f"nullif(last_value(CASE WHEN level = {k} THEN trim(line[{k + 1}:]) WHEN level > 0 AND level < {k} THEN '' END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seq ROWS UNBOUNDED PRECEDING), '') AS h{k}" for k in (1, 2, 3))
+
+
+@query("w9_header_stack", f"WITH p AS (SELECT doc_id, string_split('# ' || source || chr(10) || '## a' || chr(10) || text || chr(10) || '### b' || chr(10) || 'x' || chr(10) || '## c' || chr(10) || 'y', chr(10)) AS lines FROM documents), l AS (SELECT doc_id, unnest(range(0, len(lines)))::INT AS seq, unnest(lines) AS line FROM p), v AS (SELECT *, length(regexp_extract(line, '^(#+)', 1)) AS level FROM l), s AS (SELECT doc_id, seq, {_LEVELS} FROM v) SELECT doc_id, seq, concat_ws(' > ', h1, h2, h3) AS path FROM s")
 def header_stack(spark: SparkSession, sf: str) -> DataFrame:
     """For each line, the last header of every level above it that no higher one has closed."""
-    page = F.concat(F.lit("# "), F.col("source"), F.lit("\n## a\n"), F.left("text", F.lit(200)), F.lit("\n### b\nx\n## c\ny"))
-    lines = table(spark, sf, "documents").where("doc_id < 50").select("doc_id", F.posexplode(F.split(page, "\n")).alias("seq", "line"))
+    page = F.concat(F.lit("# "), F.col("source"), F.lit("\n## a\n"), "text", F.lit("\n### b\nx\n## c\ny"))
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(page, "\n")).alias("seq", "line"))
     level = F.char_length(F.regexp_extract("line", "^(#+)", 1))
     rows = lines.withColumn("level", level)
     order = Window.partitionBy("doc_id").orderBy("seq")

@@ -34,17 +34,21 @@ def queue_ingestion(spark: SparkSession, sf: str) -> DataFrame:
 def task_states(spark: SparkSession, sf: str) -> DataFrame:
     stage = F.element_at(F.array(*(F.lit(s) for s in S.STAGES)), (F.col("event_id") % 5 + 1).cast("int"))
     updates = stream(spark, sf).select(F.col("user_id").alias("task_id"), stage.alias("stage"), "ts")
-    name = "task_states_" + scratch(spark)[-8:]
-    q = S.task_states(updates).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    path = scratch(spark)
+    S.latest_table(S.task_states(updates), path)
+    return spark.read.schema("task_id long, stage string, n long").parquet(f"{path}/out")
+
+
+_PIECES = ("a<thi", "nk>hidden</th", "ink> b", "c", "<x>")
 
 
-@query("e3_think_filter")
+@query("e3_think_filter", "WITH e AS (SELECT user_id, event_id, ['a<thi', 'nk>hidden</th', 'ink> b', 'c', '<x>'][(event_id % 5)::INT + 1] AS piece FROM events) SELECT user_id AS stream_id, regexp_replace(regexp_replace(string_agg(piece, '' ORDER BY event_id), '(?s)<think>.*?</think>\\s*', '', 'g'), '(?s)<think>.*$', '') AS text FROM e GROUP BY user_id")
 def think_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """Each user's events as the chunks of a stream whose tags are split between chunks."""
-    pieces = F.element_at(F.array(*(F.lit(s) for s in ("a<thi", "nk>hidden</th", "ink> b", "c", "<x>"))), (F.col("event_id") % 5 + 1).cast("int"))
-    chunks = stream(spark, sf).select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), pieces.alias("chunk"), F.lit(False).alias("last"))
+    """Each user's events as the chunks of a stream whose tags are split between chunks; the greatest event of a user ends it."""
+    pieces = F.element_at(F.array(*(F.lit(s) for s in _PIECES)), (F.col("event_id") % 5 + 1).cast("int"))
+    ends = table(spark, sf, "events").groupBy(F.col("user_id").alias("u")).agg(F.max("event_id").alias("end"))
+    events = stream(spark, sf)
+    chunks = events.join(ends, events.user_id == ends.u).select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), pieces.alias("chunk"), (F.col("event_id") == F.col("end")).alias("last"))
     path = scratch(spark)
     S.run_once(S.think_filter(chunks), path)
     return spark.read.parquet(f"{path}/out")

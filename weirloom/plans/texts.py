@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from weirloom.functions import text as T
 from weirloom.operators import chunking
+from weirloom.plans import retrieval
 from weirloom.plans.registry import query, table
 
 #: Short messages that exercise every detector, beside the tables' own texts.
@@ -45,11 +46,12 @@ def out_of_scope(spark: SparkSession, sf: str) -> DataFrame:
 _TERMS = lambda c: f"list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{Nd}}]+'), lambda t: length(t) >= 2 AND t NOT IN {_IN(T.TERM_STOP_WORDS)})"
 
 
-@query("p6_evidence_relevance", f"SELECT item_id, doc_id, len(terms) <= 1 OR len(list_filter(terms, lambda t: contains(lower(text), t))) > 0 AS relevant FROM (SELECT item_id, {_TERMS('text')} AS terms FROM benchmark WHERE item_id < 10), (SELECT doc_id, text FROM documents WHERE lang = 'de')")
+@query("p6_evidence_relevance", f"{retrieval._ALL} SELECT query_id, doc_id, len(terms) <= 1 OR len(list_filter(terms, lambda t: contains(lower(c.text), t))) > 0 AS relevant FROM fused JOIN (SELECT query_id, {_TERMS('query')} AS terms FROM queries) q USING (query_id) JOIN (SELECT doc_id, text FROM documents) c USING (doc_id)")
 def relevance(spark: SparkSession, sf: str) -> DataFrame:
-    queries = table(spark, sf, "benchmark").where("item_id < 10").select("item_id", T.meaningful_terms(F.col("text")).alias("terms"))
-    docs = table(spark, sf, "documents").where("lang = 'de'").select("doc_id", "text")
-    return docs.join(F.broadcast(queries)).select("item_id", "doc_id", T.relevant(F.col("terms"), F.col("text")).alias("relevant"))  # ten queries
+    """Of what every query retrieves."""
+    queries = retrieval.queries(spark, sf).select("query_id", T.meaningful_terms(F.col("query")).alias("terms"))
+    found = retrieval.hybrid(spark, sf).select("query_id", "doc_id").join(queries, "query_id").join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return found.select("query_id", "doc_id", T.relevant(F.col("terms"), F.col("text")).alias("relevant"))
 
 
 @query("p7_project_overview", f"WITH {_M} SELECT id, {_ANY('lower(text)', T.OVERVIEW_PHRASES)} AS overview, {_ANY('lower(text)', T.PROJECT_MARKERS)} AND {_ANY('lower(text)', T.SYSTEM_MARKERS)} AS context FROM m")
@@ -185,12 +187,12 @@ def sentences(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("seq", "sentence"))
 
 
-_W4 = f"WITH s AS (SELECT doc_id, unnest(range(0, len(s))) AS seq, unnest(s) AS sentence FROM (SELECT doc_id, {_SENT} AS s FROM documents WHERE doc_id < 200))"
+_W4 = f"WITH s AS (SELECT doc_id, unnest(range(0, len(s))) AS seq, unnest(s) AS sentence FROM (SELECT doc_id, {_SENT} AS s FROM documents))"
 
 
 @query("w4_sentence_window", _W4 + " SELECT doc_id, seq, string_agg(sentence, ' ') OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS around FROM s")
 def sentence_window(spark: SparkSession, sf: str) -> DataFrame:
-    rows = sentences(spark, sf).where("doc_id < 200")
+    rows = sentences(spark, sf)
     near = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(-1, 1)
     return rows.select("doc_id", "seq", F.array_join(F.collect_list("sentence").over(near), " ").alias("around"))
 
@@ -241,7 +243,11 @@ def wiki_links(spark: SparkSession, sf: str) -> DataFrame:
     return messages(spark).select("id", F.explode(T.wiki_links(F.col("text"))).alias("target"))
 
 
-@query("c14_wiki_render", f"WITH {_M} SELECT id, regexp_replace(regexp_replace(text, '\\[\\[([^\\]|]+)\\|([^\\]]+)\\]\\]', '[\\2](\\1)', 'g'), '\\[\\[([^\\]|]+)\\]\\]', '[\\1](\\1)', 'g') AS html FROM m")
+_LINK = _Q(r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]")
+_SHOWN = f"'[' || replace(regexp_replace({_TRIM('x')}, '\\.md$', ''), '-', ' ') || '](' || {_TRIM('x')} || ')'"
+
+
+@query("c14_wiki_render", f"WITH {_M} SELECT id, array_to_string(list_transform(list_zip(string_split_regex(text, {_LINK}), list_transform(regexp_extract_all(text, {_LINK}, 1), lambda x: {_SHOWN})), lambda y: y[1] || coalesce(y[2], '')), '') AS html FROM m")
 def wiki_render(spark: SparkSession, sf: str) -> DataFrame:
     return messages(spark).select("id", T.wiki_rendered(F.col("text")).alias("html"))
 
@@ -319,9 +325,9 @@ def arrays(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.array_contains(words, "the").alias("has_the"), F.size(F.array_distinct(words)).cast("long").alias("n_distinct"))
 
 
-@query("r3_csv_list", "SELECT id, array_to_string(list_filter(list_transform(string_split(t, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS items FROM (SELECT doc_id AS id, left(text, 80) AS t FROM documents)")
+@query("r3_csv_list", "SELECT id, array_to_string(list_filter(list_transform(string_split(t, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS items FROM (SELECT doc_id AS id, text AS t FROM documents)")
 def csv_list(spark: SparkSession, sf: str) -> DataFrame:
-    items = F.filter(F.transform(F.split(F.left("text", F.lit(80)), ","), lambda x: F.trim(x)), lambda x: x != "")
+    items = F.filter(F.transform(F.split("text", ","), lambda x: F.trim(x)), lambda x: x != "")
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.array_join(items, "|").alias("items"))
 
 

@@ -33,20 +33,36 @@ def strip_thinking(held: str, inside: bool, chunk: str, final: bool = False) ->
         return "".join(out), text[len(text) - keep :] if keep else "", inside
 
 
-def think_filter(chunks: DataFrame) -> DataFrame:
-    """chunks (stream_id, seq, chunk, last) -> stream_id, text: what is outside of think tags, stateful by stream."""
+#: How long a key may be silent, in milliseconds, before its state goes.
+IDLE_MS = 600_000
+
+
+def think_filter(chunks: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
+    """chunks (stream_id, seq, chunk, last) -> stream_id, text: what is outside of think tags, stateful by stream.
+
+    The chunks of one trigger are taken in order of seq, over all of its Arrow batches. The last chunk, or
+    idle_ms without any, sends what was held back and ends the stream's state.
+    """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, inside = state.get if state.exists else ("", False)
-        out = []
-        for p in parts:
-            for chunk, last in p.sort_values("seq")[["chunk", "last"]].itertuples(index=False):
-                text, held, inside = strip_thinking(held, bool(inside), chunk or "", bool(last))
-                out.append(text)
-        state.update((held, inside))
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"stream_id": [key[0]], "text": ["" if inside else held]})
+            return
+        out, ended = [], False
+        for chunk, last in pd.concat(list(parts)).sort_values("seq")[["chunk", "last"]].itertuples(index=False):
+            text, held, inside = strip_thinking(held, bool(inside), chunk or "", bool(last))
+            out.append(text)
+            ended = bool(last)
+        if ended:
+            state.remove()
+        else:
+            state.update((held, inside))
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"stream_id": [key[0]], "text": ["".join(out)]})
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(run, "stream_id long, text string", "held string, inside boolean", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("stream_id").applyInPandasWithState(run, "stream_id long, text string", "held string, inside boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def bucket_decisions(times: list[float], per_minute: float, burst: float, tokens: float | None = None, at: float | None = None) -> tuple[list[bool], float, float]:
@@ -61,17 +77,29 @@ def bucket_decisions(times: list[float], per_minute: float, burst: float, tokens
     return out, tokens, at if at is not None else 0.0
 
 
-def rate_limited(events: DataFrame, per_minute: float = 60, burst: float = 10) -> DataFrame:
-    """events (client, event_id, ts) -> client, event_id, allowed: one bucket a client, kept in state."""
+def rate_limited(events: DataFrame, per_minute: float = 60, burst: float = 10, idle_ms: int = IDLE_MS) -> DataFrame:
+    """events (client, event_id, ts) -> client, event_id, allowed: one bucket a client, kept in state until idle_ms without events, by when it is full again at the usual rates."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
         tokens, at = state.get if state.exists else (None, None)
         allowed, tokens, at = bucket_decisions([t.timestamp() for t in rows["ts"]], per_minute, burst, tokens, at)
         state.update((float(tokens), float(at)))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"client": key[0], "event_id": rows["event_id"], "allowed": allowed})
 
-    return events.groupBy("client").applyInPandasWithState(run, "client long, event_id long, allowed boolean", "tokens double, at double", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("client").applyInPandasWithState(run, "client long, event_id long, allowed boolean", "tokens double, at double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def latest_table(stream: DataFrame, path: str) -> None:
+    """An aggregated stream's whole result as a table below path, written anew by each batch."""
+    q = stream.writeStream.outputMode("complete").foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{path}/out")).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
 
 
 def task_states(updates: DataFrame) -> DataFrame:
