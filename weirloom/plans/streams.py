@@ -48,7 +48,7 @@ def think_filter(spark: SparkSession, sf: str) -> DataFrame:
     pieces = F.element_at(F.array(*(F.lit(s) for s in _PIECES)), (F.col("event_id") % 5 + 1).cast("int"))
     ends = table(spark, sf, "events").groupBy(F.col("user_id").alias("u")).agg(F.max("event_id").alias("end"))
     events = stream(spark, sf)
-    chunks = events.join(ends, events.user_id == ends.u).select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), pieces.alias("chunk"), (F.col("event_id") == F.col("end")).alias("last"))
+    chunks = events.join(ends, events.user_id == ends.u).select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), "ts", pieces.alias("chunk"), (F.col("event_id") == F.col("end")).alias("last"))
     path = scratch(spark)
     S.run_once(S.think_filter(chunks), path)
     return spark.read.parquet(f"{path}/out")

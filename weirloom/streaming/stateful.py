@@ -33,15 +33,20 @@ def strip_thinking(held: str, inside: bool, chunk: str, final: bool = False) ->
         return "".join(out), text[len(text) - keep :] if keep else "", inside
 
 
-#: How long a key may be silent, in milliseconds, before its state goes.
+#: How long a key may be silent in event time, in milliseconds, before its state goes.
 IDLE_MS = 600_000
 
 
-def think_filter(chunks: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
-    """chunks (stream_id, seq, chunk, last) -> stream_id, text: what is outside of think tags, stateful by stream.
+def _until(state: GroupState, times: pd.Series, idle_ms: int) -> None:
+    """Keeps a key's state for idle_ms after its latest event."""
+    state.setTimeoutTimestamp(max(int(times.max().timestamp() * 1000) + idle_ms, state.getCurrentWatermarkMs() + 1))
+
+
+def think_filter(chunks: DataFrame, idle_ms: int = IDLE_MS, late: str = "1 minute") -> DataFrame:
+    """chunks (stream_id, seq, ts, chunk, last) -> stream_id, text: what is outside of think tags, stateful by stream.
 
     The chunks of one trigger are taken in order of seq, over all of its Arrow batches. The last chunk, or
-    idle_ms without any, sends what was held back and ends the stream's state.
+    the watermark idle_ms after the latest one, sends what was held back and ends the stream's state.
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -51,7 +56,8 @@ def think_filter(chunks: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
             yield pd.DataFrame({"stream_id": [key[0]], "text": ["" if inside else held]})
             return
         out, ended = [], False
-        for chunk, last in pd.concat(list(parts)).sort_values("seq")[["chunk", "last"]].itertuples(index=False):
+        rows = pd.concat(list(parts)).sort_values("seq")
+        for chunk, last in rows[["chunk", "last"]].itertuples(index=False):
             text, held, inside = strip_thinking(held, bool(inside), chunk or "", bool(last))
             out.append(text)
             ended = bool(last)
@@ -59,10 +65,10 @@ def think_filter(chunks: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
             state.remove()
         else:
             state.update((held, inside))
-            state.setTimeoutDuration(idle_ms)
+            _until(state, rows["ts"], idle_ms)
         yield pd.DataFrame({"stream_id": [key[0]], "text": ["".join(out)]})
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(run, "stream_id long, text string", "held string, inside boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return chunks.withWatermark("ts", late).groupBy("stream_id").applyInPandasWithState(run, "stream_id long, text string", "held string, inside boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def bucket_decisions(times: list[float], per_minute: float, burst: float, tokens: float | None = None, at: float | None = None) -> tuple[list[bool], float, float]:
@@ -77,7 +83,7 @@ def bucket_decisions(times: list[float], per_minute: float, burst: float, tokens
     return out, tokens, at if at is not None else 0.0
 
 
-def rate_limited(events: DataFrame, per_minute: float = 60, burst: float = 10, idle_ms: int = IDLE_MS) -> DataFrame:
+def rate_limited(events: DataFrame, per_minute: float = 60, burst: float = 10, idle_ms: int = IDLE_MS, late: str = "1 minute") -> DataFrame:
     """events (client, event_id, ts) -> client, event_id, allowed: one bucket a client, kept in state until idle_ms without events, by when it is full again at the usual rates."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -88,10 +94,10 @@ def rate_limited(events: DataFrame, per_minute: float = 60, burst: float = 10, i
         tokens, at = state.get if state.exists else (None, None)
         allowed, tokens, at = bucket_decisions([t.timestamp() for t in rows["ts"]], per_minute, burst, tokens, at)
         state.update((float(tokens), float(at)))
-        state.setTimeoutDuration(idle_ms)
+        _until(state, rows["ts"], idle_ms)
         yield pd.DataFrame({"client": key[0], "event_id": rows["event_id"], "allowed": allowed})
 
-    return events.groupBy("client").applyInPandasWithState(run, "client long, event_id long, allowed boolean", "tokens double, at double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("ts", late).groupBy("client").applyInPandasWithState(run, "client long, event_id long, allowed boolean", "tokens double, at double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_table(stream: DataFrame, path: str) -> None:
