@@ -47,6 +47,9 @@ def test_texts_combine_words():
         whole = p.nbest(" " + text, 4)  # over the undivided lattice
         assert scores == pytest.approx([s for s, _ in whole])
         assert p.decode(ids.tolist()) == text
+        every = encoder.segmentations(text)
+        assert [s for s, _ in every] == pytest.approx(scores) and every[0][1] == ids.tolist()
+        assert all(p.decode(x) == text for _, x in every) and len({tuple(x) for _, x in every}) == len(every)
 
 
 def test_long_and_odd_texts():
@@ -68,6 +71,12 @@ def test_documents_round_trip(spark):
     assert all(r["decoded"] == r["text"] for r in rows)
     assert all(len(r["nbest_scores"]) == 4 for r in rows if r["text"] and len(r["text"]) > 20)
     assert sp.encode(docs.limit(0), v).count() == 0
+    every = sp.encode(docs.union(extra).where("doc_id % 20 <= 0 OR doc_id IS NULL"), v, every=True).collect()
+    for r in every:
+        if r["text"] is not None:
+            assert r["nbest_ids"][0] == r["ids"] and len(r["nbest_ids"]) == len(r["nbest_scores"]) and len(set(map(tuple, r["nbest_ids"]))) == len(r["nbest_ids"])
+        else:
+            assert r["nbest_ids"] is None
 
 
 def test_crossing_pieces_are_refused():

@@ -300,6 +300,26 @@ class Encoder:
         return out
 
 
+    def segmentations(self, text: str | None) -> list[tuple[float, list[int]]]:
+        """(score, ids) of a text's n best segmentations, best first; none of a null text."""
+        if not text:
+            return [] if text is None else [(0.0, [])]
+        raw = b" " + text.encode()
+        start, end = words_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        words = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        lists = {w: self.pieces.nbest(w.decode(), self.n) for w in set(words)}
+        # choices other than a word's best, as (score lost, ((word, place in its list), ...))
+        found: list[tuple[float, tuple]] = [(0.0, ())]
+        for i, w in enumerate(words):
+            own = [(lists[w][0][0] - s, ((i, k),) if k else ()) for k, (s, _) in enumerate(lists[w])]
+            found = sorted(((a + b, c + d) for a, c in found for b, d in own), key=lambda x: x[0])[: self.n]
+        top, out = sum(lists[w][0][0] for w in words), []
+        for loss, choices in found:
+            chosen = dict(choices)
+            out.append((top - loss, [x for i, w in enumerate(words) for x in self.pieces.spelled(w.decode(), tuple(lists[w][chosen.get(i, 0)][1]))]))
+        return out
+
+
 def _encoder(shared: object, n: int) -> Encoder:
     """The worker's own encoder for a broadcast vocabulary: kept between tasks, where workers are reused."""
     encoders = kept("encoders")
@@ -318,16 +338,16 @@ def broadcast(spark: SparkSession, path: str = MODEL):
 OWN = ("n_pieces", "ids", "nbest_scores")
 
 
-def encode(docs: DataFrame, vocabulary, text: str = "text", n: int = N_BEST, verify: bool = False, keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, vocabulary, text: str = "text", n: int = N_BEST, verify: bool = False, keep: list[str] | None = None, every: bool = False) -> DataFrame:
     """The columns `keep` of docs (all unless given) with n_pieces, ids (of the best segmentation) and nbest_scores put in; vocabulary comes from broadcast().
 
-    With verify, round_trip tells whether decoding the ids gives the text.
+    With verify, round_trip tells whether decoding the ids gives the text; with every, nbest_ids has the ids of all the segmentations that nbest_scores scores.
     """
-    own = OWN + ("round_trip",) * verify
+    own = OWN + ("round_trip",) * verify + ("nbest_ids",) * every
     names = [c for c in keep or docs.columns if c.lower() not in own]
     rows = docs.select(F.struct(*(docs[c] for c in names)).alias("s_row"), docs[text].alias("s_text"))
     fields = [rows.schema["s_row"], T.StructField("n_pieces", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("nbest_scores", T.ArrayType(T.DoubleType()))]
-    out = T.StructType(fields + [T.StructField("round_trip", T.BooleanType())] * verify)
+    out = T.StructType(fields + [T.StructField("round_trip", T.BooleanType())] * verify + [T.StructField("nbest_ids", T.ArrayType(T.ArrayType(T.IntegerType())))] * every)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary, n)
@@ -342,6 +362,8 @@ def encode(docs: DataFrame, vocabulary, text: str = "text", n: int = N_BEST, ver
                 columns = [part.column("s_row"), pa.array(sizes), ids, pa.array([None if t is None else s for t, (s, _) in zip(texts, found, strict=True)], pa.list_(pa.float64()))]
                 if verify:
                     columns.append(pa.array([t is None or encoder.pieces.decode(i.tolist()) == t for t, (_, i) in zip(texts, found, strict=True)]))
+                if every:
+                    columns.append(pa.array([None if t is None else [ids for _, ids in encoder.segmentations(t)] for t in texts], pa.list_(pa.list_(pa.int32()))))
                 yield pa.RecordBatch.from_arrays(columns, out.names)
 
     return rows.mapInArrow(run, out).select("s_row.*", *own)
