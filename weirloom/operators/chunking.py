@@ -136,15 +136,13 @@ def balanced(parts: Column, least: int) -> Column:
 
 def split_large(chunks: DataFrame, most: int, overlap: int = 50) -> DataFrame:
     """chunks (doc_id, seq, chunk) with those of more than `most` characters split recursively, numbered anew."""
-    large = F.char_length("chunk") > most
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            rows = [(d, n, i, c) for d, n, t in zip(p["doc_id"], p["seq"], p["chunk"]) for i, c in enumerate(split_recursive(t, most, overlap))]
+            rows = [(d, n, i, c) for d, n, t in zip(p["doc_id"], p["seq"], p["chunk"]) for i, c in enumerate(split_recursive(t, most, overlap) if len(t) > most else [t])]
             yield pd.DataFrame(rows, columns=["doc_id", "seq", "part", "chunk"])
 
-    cut = chunks.where(large).mapInPandas(run, "doc_id long, seq int, part int, chunk string")
-    every = chunks.where(~large).select("doc_id", "seq", F.lit(0).alias("part"), "chunk").union(cut)
+    every = chunks.mapInPandas(run, "doc_id long, seq int, part int, chunk string")
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("seq", "part")) - 1
     return every.select("doc_id", number.alias("seq"), "chunk")
 

@@ -85,9 +85,9 @@ def graphed(spark: SparkSession, sf: str) -> DataFrame:
     boosted = R.boost(hybrid(spark, sf), graph_hits(spark, sf)).select("query_id", "doc_id", "score", "hits", "contributions", "match_type", "rank")
     known = named(queries(spark, sf)).join(entities(table(spark, sf, "documents")).select("entity").distinct(), "entity", "left_semi")
     context = known.groupBy("query_id").agg(F.concat(F.lit("entities: "), F.array_join(F.array_sort(F.collect_set("entity")), ", ")).alias("contributions"))
-    context = context.join(boosted.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left")
-    rows = context.select("query_id", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("double").alias("score"), F.lit(0).cast("long").alias("hits"), "contributions", F.lit("graph_context").alias("match_type"), (F.coalesce("n", F.lit(0)) + 1).alias("rank"))
-    return boosted.unionByName(rows)
+    rows = context.select("query_id", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("double").alias("score"), F.lit(0).cast("long").alias("hits"), "contributions", F.lit("graph_context").alias("match_type"), F.lit(None).cast("int").alias("rank"))
+    after = F.count("rank").over(Window.partitionBy("query_id")) + 1
+    return boosted.unionByName(rows).withColumn("rank", F.coalesce(F.col("rank").cast("long"), after))
 
 
 @query("q2_hybrid_retrieve", _GRAPHED + " SELECT query_id, doc_id, round(score, 6) AS score, hits, contributions, match_type, rank FROM whole")
