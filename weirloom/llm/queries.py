@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirloom.llm import media_columns, mixing, ngram_join, page_text, pieces, pii, quality_rules, quotes, suffix_dedup, url_rules
+from weirloom.llm import divergence, media_columns, mixing, ngram_join, page_text, pieces, pii, quality_rules, quotes, suffix_dedup, url_rules
 from weirloom.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_quotation_linking": op9_quotation_linking,
     "op10_url_filters": op10_url_filters,
+    "op11_source_divergence": op11_source_divergence,
 }
 
-ORACLES: dict[str, str] = {"op5_ngram_jaccard_join": ngram_join.oracle(), "op9_quotation_linking": quotes.oracle(), "op10_url_filters": url_rules.oracle()}
+ORACLES: dict[str, str] = {"op5_ngram_jaccard_join": ngram_join.oracle(), "op9_quotation_linking": quotes.oracle(), "op10_url_filters": url_rules.oracle(), "op11_source_divergence": divergence.oracle()}
