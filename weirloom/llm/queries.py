@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirloom.llm import divergence, media_columns, mixing, ngram_join, page_text, pieces, pii, quality_rules, quotes, suffix_dedup, url_rules
+from weirloom.llm import divergence, media_columns, mixing, ngram_join, page_text, pieces, pii, prefix_trie, quality_rules, quotes, suffix_dedup, url_rules
 from weirloom.llm.common import table
 
 
@@ -67,6 +67,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.arrays(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quotation_linking": op9_quotation_linking,
     "op10_url_filters": op10_url_filters,
     "op11_source_divergence": op11_source_divergence,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
-ORACLES: dict[str, str] = {"op5_ngram_jaccard_join": ngram_join.oracle(), "op9_quotation_linking": quotes.oracle(), "op10_url_filters": url_rules.oracle(), "op11_source_divergence": divergence.oracle()}
+ORACLES: dict[str, str] = {"op5_ngram_jaccard_join": ngram_join.oracle(), "op9_quotation_linking": quotes.oracle(), "op10_url_filters": url_rules.oracle(), "op11_source_divergence": divergence.oracle(), "op12_prefix_trie": prefix_trie.oracle()}
