@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirloom.llm import divergence, media_columns, mixing, ngram_join, page_text, pieces, pii, prefix_trie, quality_rules, quotes, suffix_dedup, url_rules
-from weirloom.llm.common import table
+from weirloom.llm import divergence, media_columns, mixing, ngram_join, page_text, pieces, pii, prefix_trie, quality_rules, quotes, suffix_dedup, url_rules, warc
+from weirloom.llm.common import shared_dir, table
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +72,15 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.arrays(table(spark, sf_dir, "conversations"))))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monolithic files, then one member a record, then reads by offset."""
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), f"{folder}/monolithic")
+    warc.normalise(spark, f"{folder}/monolithic", f"{folder}/records")
+    rows = warc.resolve(warc.read(spark, f"{folder}/records"))
+    return rows.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -84,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filters": op10_url_filters,
     "op11_source_divergence": op11_source_divergence,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_warc": op13_warc,
 }
 
-ORACLES: dict[str, str] = {"op5_ngram_jaccard_join": ngram_join.oracle(), "op9_quotation_linking": quotes.oracle(), "op10_url_filters": url_rules.oracle(), "op11_source_divergence": divergence.oracle(), "op12_prefix_trie": prefix_trie.oracle()}
+ORACLES: dict[str, str] = {"op5_ngram_jaccard_join": ngram_join.oracle(), "op9_quotation_linking": quotes.oracle(), "op10_url_filters": url_rules.oracle(), "op11_source_divergence": divergence.oracle(), "op12_prefix_trie": prefix_trie.oracle(), "op13_warc": warc.oracle()}
