@@ -214,12 +214,3 @@ def test_only_the_entry_knows_the_training_data_package():
     for f in (root / "weirloom").rglob("*.py"):
         if "llm" not in f.parts:
             assert "weirloom.llm" not in f.read_text()
-
-
-def test_recall_of_approximate_search(spark):
-    from weirloom.plans import retrieval
-
-    sf = "/root/testdata/sf0.01"
-    pairs = lambda rows: {(r["query_id"], r["doc_id"]) for r in rows.where("rank <= 10").collect()}
-    exact, found = pairs(retrieval.vector_topk(spark, sf)), pairs(retrieval.approximate_topk(spark, sf))
-    assert len(exact & found) >= 0.9 * len(exact) > 0

@@ -15,11 +15,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weirloom.functions import vector
+from weirloom.sources.sinks import scratch
 
 BROADCAST_QUERIES = 10_000
 #: Corpus rows that a task scores at once: a matrix of this times BROADCAST_QUERIES numbers at most.
@@ -52,40 +53,53 @@ def top(rows: DataFrame, k: int, keys: list[str], *order: Column) -> DataFrame:
 Scores = Callable[[pa.RecordBatch], np.ndarray]
 
 
-def _blocks(queries: DataFrame) -> list[pa.Table]:
-    """The queries as Arrow tables of some BROADCAST_QUERIES rows each, one at a time."""
-    n = -(-queries.count() // BROADCAST_QUERIES)
-    if n <= 1:
-        return [queries.toArrow()] if n else []
-    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).toArrow() for i in range(n)]
+def best_rows(value: np.ndarray, order: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, query) of the k best rows of each query over `least`; `order` sorts the rows as ties are to be ordered."""
+    ranked = value[order]
+    if len(ranked) <= k:
+        row, query = np.nonzero(ranked > least)
+        return order[row], query
+    cut = np.partition(ranked, -k, axis=0)[-k]
+    above, tied = ranked > cut, ranked == cut
+    keep = above | (tied & (np.cumsum(tied, axis=0) <= k - above.sum(axis=0)))
+    row, query = np.nonzero(keep & (ranked > least))
+    return order[row], query
 
 
 def _searched(queries: DataFrame, corpus: DataFrame, k: int, scorer: Callable[[pa.Table], Scores], least: float) -> DataFrame:
-    """(query_id, doc_id, score, rank): for each block of queries, scorer makes the function that scores a batch of corpus rows as (rows, queries). Scores at or below `least` do not count."""
-    ids = [queries.schema["query_id"].dataType.simpleString(), corpus.schema["doc_id"].dataType.simpleString()]
-    schema = f"query_id {ids[0]}, doc_id {ids[1]}, score double"
-    found = None
-    for block in _blocks(queries):
+    """(query_id, doc_id, score, rank): scorer makes, of a block of queries, the function that scores a batch of corpus rows as (rows, queries). Scores at or below `least` do not count.
+
+    A task sends k rows a query and batch at most, ties by doc_id among them. Beyond one block, each block's rows become a table in the shared folder before the next block is fetched, so the driver holds one at a time.
+    """
+    spark = queries.sparkSession
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {corpus.schema['doc_id'].dataType.simpleString()}, score double"
+
+    def found(block: pa.Table) -> DataFrame:
         scores, names = scorer(block), block.column("query_id").combine_chunks()
 
-        def run(batches: Iterator[pa.RecordBatch], scores: Scores = scores, names: pa.Array = names) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, SCORED_ROWS):
                     part = batch.slice(at, SCORED_ROWS)
                     value = scores(part)
-                    # everything above the k-th best of a query, and all that ties with it
-                    cut = np.partition(value, -k, axis=0)[-k] if len(value) > k else np.full(value.shape[1], -np.inf)
-                    row, query = np.nonzero((value >= cut) & (value > least))
+                    row, query = best_rows(value, pc.sort_indices(part.column("doc_id")).to_numpy(), k, least)
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), part.column("doc_id").take(pa.array(row)), pa.array(value[row, query])], ["query_id", "doc_id", "score"])
 
-        one = corpus.mapInArrow(run, schema)
-        found = one if found is None else found.union(one)
-    if found is None:
-        found = queries.sparkSession.createDataFrame([], schema)
-    return top(found, k, ["query_id"], F.desc("score"), F.asc("doc_id"))
+        return corpus.mapInArrow(run, schema)
+
+    best = lambda rows: top(rows, k, ["query_id"], F.desc("score"), F.asc("doc_id"))
+    n = -(-queries.count() // BROADCAST_QUERIES)
+    if n == 0:
+        return best(spark.createDataFrame([], schema))
+    if n == 1:
+        return best(found(queries.toArrow()))
+    path = scratch(spark)
+    for i in range(n):
+        best(found(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).toArrow())).write.parquet(f"{path}/block={i}")
+    return spark.read.parquet(path).drop("block")
 
 
-def _unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Vectors of one length as rows of length 1; null and zero vectors are zero."""
     lists = column.to_pylist()
     width = max((len(v) for v in lists if v), default=1)
@@ -101,8 +115,8 @@ def vector_top(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """
 
     def scorer(block: pa.Table) -> Scores:
-        own = _unit(block.column("query_vec")).T
-        return lambda batch: np.round(_unit(batch.column("vec")) @ own, 9)
+        own = unit_rows(block.column("query_vec")).T
+        return lambda batch: np.round(unit_rows(batch.column("vec")) @ own, 9)
 
     q, c = queries.select("query_id", "query_vec").where("query_vec IS NOT NULL"), corpus.select("doc_id", "vec").where("vec IS NOT NULL")
     return _searched(q, c, k, scorer, -np.inf)
@@ -157,36 +171,6 @@ def keyword_top(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     return _searched(q, corpus.select("doc_id", F.lower("text").alias("lower")), k, lambda block: TokenScores(block.column("tokens").to_pylist()), 0.0)
 
 
-#: Tables of hyperplane buckets, bits of a bucket, and how many of the least certain bits a query flips one at a time and in pairs.
-ANN_TABLES, ANN_BITS, ANN_FLIPS = 32, 10, 6
-
-
-def buckets(rows: DataFrame, key: str, vec: str, flips: int = 0) -> DataFrame:
-    """(key, bucket) of each row with a vector: in each table the bucket it lies in and, with flips, those beyond its nearest hyperplanes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = _unit(batch.column(vec))
-            planes = np.random.default_rng(1).normal(size=(own.shape[1], ANN_TABLES, ANN_BITS))
-            side = np.einsum("nd,dtb->ntb", own, planes, optimize=True)
-            bucket = ((side >= 0) << np.arange(ANN_BITS)).sum(axis=2) + (np.arange(ANN_TABLES) << ANN_BITS)
-            near = 1 << np.argsort(np.abs(side), axis=2)[:, :, :flips]
-            probes = [bucket] + [bucket ^ near[:, :, i] for i in range(flips)] + [bucket ^ near[:, :, i] ^ near[:, :, j] for i in range(flips) for j in range(i)]
-            every = np.stack(probes, axis=2).reshape(len(own), -1)
-            keys = batch.column(key).take(pa.array(np.repeat(np.arange(len(own)), every.shape[1])))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(every.reshape(-1))], [key, "bucket"])
-
-    return rows.where(F.col(vec).isNotNull()).select(key, vec).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, bucket long")
-
-
-def approximate_top(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """vector_top over the documents that share a hyperplane bucket with the query: ids alone meet in buckets, vectors join the distinct pairs."""
-    met = buckets(corpus, "doc_id", "vec").join(bounded(buckets(queries, "query_id", "query_vec", ANN_FLIPS)), "bucket").select("query_id", "doc_id").distinct()
-    pairs = met.join(bounded(queries.select("query_id", vector.unit(F.col("query_vec")).alias("qv"))), "query_id").join(corpus.select("doc_id", vector.unit(F.col("vec")).alias("cv")), "doc_id")
-    scored = pairs.select("query_id", "doc_id", F.round(vector.dot(F.col("qv"), F.col("cv")), 6).alias("score"))
-    return top(scored, k, ["query_id"], F.desc("score"), F.asc("doc_id"))
-
-
 def containing(needles: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs of needles (item_id, needle) and docs (doc_id, lower) whose text contains the needle; ids are unique, needles not empty.
 

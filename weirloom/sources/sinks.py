@@ -8,12 +8,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders made where spark.checkpoint.dir is unset, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared one that spark.checkpoint.dir names; a local one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="weirloom-")
+    """A new folder below the shared one that spark.checkpoint.dir names; where it is unset, below a temporary one of a local session, and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="weirloom-")
+        base = _LOCAL[context.applicationId]
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def durable(rows: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, read back: a cut of the lineage that outlives executors."""
+    path, schema = scratch(rows.sparkSession), rows.schema
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(schema).parquet(path)
+
+
 def append_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
