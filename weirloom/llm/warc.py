@@ -38,6 +38,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirloom.llm.common import durable
+
 PER_FILE, LEVEL = 2000, 6
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -194,7 +196,9 @@ def read(spark: SparkSession, path: str, wanted: DataFrame | None = None, payloa
     files = spark.read.format("binaryFile").load(path)
     files = files.where("kind = 'archive'") if "kind" in files.columns else files  # no record, no folder
     files = files.select(name[0].cast("int").alias("part"), name[1].cast("int").alias("roll"), "content")
-    members = files.join(entries, ["part", "roll"]).select(F.explode(F.expr("transform(at, x -> substring(content, CAST(x.offset + 1 AS int), CAST(x.length AS int)))")).alias("member"))
+    # the file as an element of an array is handed on as it is; as a column it would be copied for each member
+    cut = "transform(array(content), file -> transform(at, x -> substring(file, CAST(x.offset + 1 AS int), CAST(x.length AS int))))[0]"
+    members = files.join(entries, ["part", "roll"]).select(F.explode(F.expr(cut)).alias("member"))
     names = [c.split()[0] for c in READ.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,6 +229,7 @@ def read(spark: SparkSession, path: str, wanted: DataFrame | None = None, payloa
 def resolve(rows: DataFrame) -> DataFrame:
     """The rows of read, where revisits have the size of the payload (and the payload, if it was read) of the response they refer to; of one that is not there, null."""
     more = [c for c in ("payload_bytes", "payload") if c in rows.columns]
+    rows = durable(rows, "records")  # read once, used twice
     kept = rows.where("record_type <> 'revisit'").groupBy(F.col("record_id").alias("refers_to"), "payload_digest").agg(*(F.max(c).alias(f"kept_{c}") for c in more))
     joined = rows.join(kept, ["refers_to", "payload_digest"], "left")
     return joined.select(*(F.when(F.col("record_type") == "revisit", F.col(f"kept_{c}")).otherwise(F.col(c)).alias(c) if c in more else F.col(c) for c in rows.columns))
