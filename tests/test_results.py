@@ -54,13 +54,6 @@ def test_blocks_of_queries_give_what_one_block_gives(spark, monkeypatch):
     assert rows() == whole
 
 
-def test_containing(spark):
-    needles = [(1, "one two three"), (2, "two"), (3, "x  y z"), (4, "e two thr")]
-    docs = [(1, "zone two threefold"), (2, "one two"), (3, "x y z"), (4, "ax  y zb"), (5, None)]
-    got = retrieve.containing(spark.createDataFrame(needles, "item_id long, needle string"), spark.createDataFrame(docs, "doc_id long, lower string")).collect()
-    assert sorted((r["item_id"], r["doc_id"]) for r in got) == sorted((i, d) for i, n in needles for d, t in docs if t and n in t)
-
-
 @pytest.mark.parametrize("name,most", [("c5_semantic_chunks", 1000), ("w7_balanced_chunks", 1000)])
 def test_chunks_are_bounded_and_whole(spark, texts, name, most):
     chunks = defaultdict(list)

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weirloom.operators import patterns
+
 
 def merge_nodes(nodes: DataFrame) -> DataFrame:
     """nodes (name, type, chunk, attribute, ord) -> one row a name: the first type, all chunks and attributes once."""
@@ -41,10 +43,16 @@ def neighbours(edges: DataFrame) -> DataFrame:
 
 
 def entity_matches(entities: DataFrame, nodes: DataFrame) -> DataFrame:
-    """entities (query_id, entity) x nodes (name): either contains the other, case aside, both of two characters or more."""
-    e = entities.where(F.char_length("entity") >= 2).withColumn("e", F.lower("entity"))
-    n = nodes.where(F.char_length("name") >= 2).withColumn("n", F.lower("name"))
-    return n.join(e, F.contains("e", "n") | F.contains("n", "e")).select("query_id", "entity", "name")
+    """entities (query_id, entity) x nodes (name): either contains the other, case aside, both of two characters or more.
+
+    An automaton over the entities, the smaller side, reads each name once; names within an entity are met as its substrings.
+    """
+    e = entities.where(F.char_length("entity") >= 2).select("query_id", "entity", F.lower("entity").alias("text"))
+    n = nodes.where(F.char_length("name") >= 2).select("name", F.lower("name").alias("lower"))
+    texts = e.select(F.col("text").alias("text_id"), "text").distinct()
+    inside = patterns.within(n.select(F.col("name").alias("name_id"), F.col("lower").alias("name")), texts).select(F.col("text_id").alias("text"), F.col("name_id").alias("name"))
+    around = patterns.matches(texts.select(F.col("text_id").alias("pattern_id"), F.col("text").alias("pattern")), n.select(F.col("name").alias("text_id"), F.col("lower").alias("text"))).select(F.col("pattern_id").alias("text"), F.col("text_id").alias("name"))
+    return e.join(inside.union(around).distinct(), "text").select("query_id", "entity", "name")
 
 
 def within_hops(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:

@@ -66,7 +66,7 @@ def best_rows(value: np.ndarray, order: np.ndarray, k: int, least: float) -> tup
     return order[row], query
 
 
-def _searched(queries: DataFrame, corpus: DataFrame, k: int, scorer: Callable[[pa.Table], Scores], least: float) -> DataFrame:
+def searched(queries: DataFrame, corpus: DataFrame, k: int, scorer: Callable[[pa.Table], Scores], least: float) -> DataFrame:
     """(query_id, doc_id, score, rank): scorer makes, of a block of queries, the function that scores a batch of corpus rows as (rows, queries). Scores at or below `least` do not count.
 
     A task sends k rows a query and batch at most, ties by doc_id among them. Beyond one block, each block's rows become a table in the shared folder before the next block is fetched, so the driver holds one at a time.
@@ -119,7 +119,7 @@ def vector_top(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
         return lambda batch: np.round(unit_rows(batch.column("vec")) @ own, 9)
 
     q, c = queries.select("query_id", "query_vec").where("query_vec IS NOT NULL"), corpus.select("doc_id", "vec").where("vec IS NOT NULL")
-    return _searched(q, c, k, scorer, -np.inf)
+    return searched(q, c, k, scorer, -np.inf)
 
 
 #: White space that separates tokens, so no token spans two words of a text.
@@ -168,23 +168,7 @@ def keyword_top(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     A document's distinct words tell which tokens of any query it contains, and these which queries gain; null texts contain nothing.
     """
     q = queries.select("query_id", F.filter(F.split(F.lower(F.trim("query")), r"\s+"), lambda t: t != "").alias("tokens")).where("size(tokens) > 0")
-    return _searched(q, corpus.select("doc_id", F.lower("text").alias("lower")), k, lambda block: TokenScores(block.column("tokens").to_pylist()), 0.0)
-
-
-def containing(needles: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs of needles (item_id, needle) and docs (doc_id, lower) whose text contains the needle; ids are unique, needles not empty.
-
-    A needle's longest inner word stands between white space, so it is a whole word of every text with the needle: an equi-join on it finds the candidates. Needles of fewer than three words meet every text.
-    """
-    gaps = "[ \\t\\n\\x0B\\f\\r]+"
-    words = F.split("needle", gaps)
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    keyed = needles.withColumn("key", F.get(F.transform(F.array_sort(F.transform(inner, lambda w: F.struct((-F.char_length(w)).alias("n"), w.alias("w")))), lambda x: x["w"]), F.lit(0)))
-    short = keyed.where("key IS NULL").drop("key")
-    postings = docs.select("doc_id", F.explode(F.array_distinct(F.split("lower", gaps))).alias("key"))
-    met = postings.join(bounded(keyed.where("key IS NOT NULL").select("item_id", "key")), "key").select("item_id", "doc_id")
-    long = met.join(docs, "doc_id").join(bounded(needles), "item_id").where(F.contains("lower", "needle")).select("item_id", "doc_id", "needle", "lower")
-    return long.unionByName(docs.join(bounded(short), F.contains("lower", "needle")).select("item_id", "doc_id", "needle", "lower"))
+    return searched(q, corpus.select("doc_id", F.lower("text").alias("lower")), k, lambda block: TokenScores(block.column("tokens").to_pylist()), 0.0)
 
 
 def fuse(lists: DataFrame, k: int, weights: dict[str, float] | None = None) -> DataFrame:

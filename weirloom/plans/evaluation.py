@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirloom.operators import evaluate as E
+from weirloom.operators import patterns
 from weirloom.plans import retrieval
 from weirloom.plans.registry import query, table
 
@@ -27,9 +28,9 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
-    q = retrieval.queries(spark, sf).where("query <> ''").select(F.col("query_id").alias("item_id"), F.col("query").alias("needle"))
-    c = retrieval.corpus(spark, sf).select("doc_id", F.col("text").alias("lower"))
-    return retrieval.R.containing(q, c).select(F.col("item_id").alias("query_id"), "doc_id").distinct()
+    q = retrieval.queries(spark, sf).select(F.col("query_id").alias("pattern_id"), F.col("query").alias("pattern"))
+    found = patterns.matches(q, retrieval.R.spread(table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text")))
+    return found.select(F.col("pattern_id").alias("query_id"), F.col("text_id").alias("doc_id"))
 
 
 def measured(spark: SparkSession, sf: str, variant: str) -> DataFrame:
@@ -134,10 +135,11 @@ def discounts(spark: SparkSession, sf: str) -> DataFrame:
 @query("j13_gold_contained", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON b.text <> '' AND contains(d.text, b.text) OR contains(d.source, 'src' || b.item_id)")
 def gold_contained(spark: SparkSession, sf: str) -> DataFrame:
     """By the whole text, or by what names the source."""
-    q, docs = table(spark, sf, "benchmark"), table(spark, sf, "documents")
-    texts = retrieval.R.containing(q.where("text <> ''").select("item_id", F.col("text").alias("needle")), docs.select("doc_id", F.col("text").alias("lower"))).select("item_id", "doc_id")
-    sources = docs.select("source").distinct().join(retrieval.R.bounded(q.select("item_id")), F.contains("source", F.concat(F.lit("src"), F.col("item_id").cast("string"))))
-    return texts.union(docs.join(sources, "source").select("item_id", "doc_id")).distinct()
+    q, docs = table(spark, sf, "benchmark").where("text IS NOT NULL"), retrieval.R.spread(table(spark, sf, "documents").select("doc_id", "text", "source"))
+    texts = patterns.matches(q.select(F.col("item_id").alias("pattern_id"), F.col("text").alias("pattern")), docs.select(F.col("doc_id").alias("text_id"), "text"))
+    names = q.select(F.col("item_id").alias("pattern_id"), F.concat(F.lit("src"), F.col("item_id").cast("string")).alias("pattern"))
+    sources = patterns.matches(names, docs.where("source IS NOT NULL").select(F.col("source").alias("text_id"), F.col("source").alias("text")).distinct())
+    return texts.select(F.col("pattern_id").alias("item_id"), F.col("text_id").alias("doc_id")).union(docs.join(sources, docs.source == sources.text_id).select(F.col("pattern_id").alias("item_id"), "doc_id")).distinct()
 
 
 @query("j14_gold_exact", "SELECT d.doc_id, l.quality FROM documents d JOIN labels l ON lower(trim(' D' || d.doc_id)) = lower(trim('d' || l.doc_id || ' '))")

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from weirloom.functions import text as T
 from weirloom.operators import graph as G
+from weirloom.operators import postings
+from weirloom.operators import retrieve as R
 from weirloom.plans.registry import query, table
+from weirloom.sources.sinks import durable
 
 # customers are nodes; a customer's neighbours are the next by key, and the fifth one after it if it is of the same segment
 _NODES = "nodes AS (SELECT c_name AS name, c_mktsegment AS type, c_custkey AS ord FROM customer)"
@@ -49,10 +52,8 @@ def node_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 def asked(spark: SparkSession, sf: str) -> DataFrame:
     """(query_id, entity, name): the nodes that queries name, one query for each nation."""
-    from weirloom.operators.retrieve import bounded
-
     entity = F.concat(F.lit("Customer#"), F.lpad((F.col("n_nationkey") * 7 + 3).cast("string"), 9, "0"), F.when(F.col("n_nationkey") % 2 == 0, " and more").otherwise(""))
-    return G.entity_matches(bounded(table(spark, sf, "nation").select(F.col("n_nationkey").alias("query_id"), entity.alias("entity"))), nodes(spark, sf))
+    return G.entity_matches(table(spark, sf, "nation").select(F.col("n_nationkey").alias("query_id"), entity.alias("entity")), nodes(spark, sf))
 
 
 @query("j8_entity_search", f"WITH {_NODES}, {_ASKED} SELECT query_id, entity, name FROM found")
@@ -172,29 +173,35 @@ def one_hop(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("id", F.col("target_id").alias("linked"), F.col("target_path").alias("path"))
 
 
-_BONUS = "list_sum(list_transform(kw, lambda k: 0.1 * contains(lower(content), k)::int + 0.3 * contains(lower(path), k)::int + (length(content) - length(replace(lower(content), k, ''))) / length(k) / 100.0))"
-
+_CUT = "regexp_replace(regexp_replace(lower(w), '^[{m}]+', ''), '[{m}]+$', '')".format(m="".join(("''" if m == "'" else "\\" + m) if ord(m) < 128 else m for m in T.SEARCH_PUNCTUATION))
+_HITS = f"""kw AS (SELECT item_id AS query_id, list_distinct(list_filter(list_transform(regexp_split_to_array(trim(text), '\\s+'), lambda w: {_CUT}), lambda w: octet_length(encode(w)) > 1 AND w NOT IN ({", ".join(f"'{w}'" for w in T.SEARCH_STOP_WORDS)}))) AS kw FROM benchmark),
+kk AS (SELECT query_id, unnest(kw) AS k FROM kw), wt AS (SELECT id, k, count(*) AS n FROM (SELECT id, unnest(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{Nd}}]+')) AS k FROM wp) WHERE k <> '' GROUP BY ALL),
+ks AS (SELECT DISTINCT k FROM kk), kv AS MATERIALIZED (SELECT wp.kb, wp.id, ks.k, 0.1 * contains(lower(content), ks.k)::INT + 0.3 * contains(lower(path), ks.k)::INT + coalesce(wt.n / (1.0 + wt.n), 0)::DOUBLE AS worth FROM wp CROSS JOIN ks LEFT JOIN wt ON wt.id = wp.id AND wt.k = ks.k),
+hits AS MATERIALIZED (SELECT * FROM (SELECT query_id, kb, id, score, row_number() OVER (PARTITION BY query_id, kb ORDER BY score DESC, id) AS rank FROM (SELECT query_id, kb, id, round(sum(worth), 9) AS score FROM kk JOIN kv USING (k) GROUP BY ALL HAVING sum(worth) > 0)) WHERE rank <= 5)"""
 
-@query("q5_wiki_search", f"WITH {_PAGES}, q AS (SELECT ['the', 'fr/1', 'tion'] AS kw) SELECT kb, id, round(score, 6) AS score, rank FROM (SELECT kb, id, score, row_number() OVER (PARTITION BY kb ORDER BY round(score, 9) DESC, id) AS rank FROM (SELECT kb, id, {_BONUS} AS score FROM wp, q) WHERE score > 0) WHERE rank <= 5")
-def wiki_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Occurrences of any keyword, with a bonus for keywords in the content and a larger one in the path."""
-    from weirloom.operators.retrieve import top
 
+def wiki_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """(query_id, kb, doc_id, score, rank): what each benchmark row finds in each base."""
     pages, _ = wiki(spark, sf)
-    content, path, score = F.lower("content"), F.lower("path"), F.lit(0.0)
-    for k in ("the", "fr/1", "tion"):
-        times = (F.char_length(content) - F.char_length(F.replace(content, F.lit(k), F.lit("")))) / len(k)
-        score = score + 0.1 * F.contains(content, F.lit(k)).cast("int") + 0.3 * F.contains(path, F.lit(k)).cast("int") + times / 100.0
-    rows = pages.select("kb", "id", F.round(score, 9).alias("score")).where("score > 0")
-    return top(rows, 5, ["kb"], F.desc("score"), F.asc("id")).withColumn("score", F.round("score", 6))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), T.search_keywords(F.col("text")).alias("keywords"))
+    bases = pages.select("kb").distinct()
+    given = R.spread(pages.select(F.col("id").alias("doc_id"), "kb", F.col("path").alias("title"), "content"))
+    return postings.rank_any(asked.join(R.bounded(bases)), given, 5)
+
+
+@query("q5_wiki_search", f"WITH {_PAGES}, {_HITS} SELECT query_id, kb, id, round(score, 6) AS score, rank FROM hits")
+def wiki_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages with any keyword of the query, by places as a term, with a bonus for keywords in the content and a larger one in the path."""
+    return wiki_hits(spark, sf).select("query_id", "kb", F.col("doc_id").alias("id"), F.round("score", 6).alias("score"), "rank")
 
 
-@query("u2_hits_then_links", f"WITH {_PAGES}, {_LINKS}, q AS (SELECT ['the', 'fr/1', 'tion'] AS kw), h AS (SELECT id, kb, 0 AS o FROM (SELECT kb, id, row_number() OVER (PARTITION BY kb ORDER BY round(score, 9) DESC, id) AS rank FROM (SELECT kb, id, {_BONUS} AS score FROM wp, q) WHERE score > 0) WHERE rank <= 5), x AS (SELECT p.id, p.kb, 1 AS o FROM wl l JOIN h ON h.id = l.id JOIN wp p ON p.kb = l.kb AND p.path = l.target_path) SELECT id, min(o) AS o FROM (SELECT * FROM h UNION ALL SELECT * FROM x) GROUP BY id ORDER BY o, id LIMIT 14")
+@query("u2_hits_then_links", f"WITH {_PAGES}, {_LINKS}, {_HITS}, x AS (SELECT h.query_id, h.kb, p.id, 1 AS o FROM wl l JOIN hits h ON h.id = l.id JOIN wp p ON p.kb = l.kb AND p.path = l.target_path), u AS (SELECT query_id, kb, id, min(o) AS o FROM (SELECT query_id, kb, id, 0 AS o FROM hits UNION ALL SELECT * FROM x) GROUP BY ALL) SELECT query_id, kb, id, o FROM (SELECT *, row_number() OVER (PARTITION BY query_id, kb ORDER BY o, id) AS n FROM u) WHERE n <= 14")
 def hits_then_links(spark: SparkSession, sf: str) -> DataFrame:
     """What the wiki search finds, then the pages that these link to."""
-    hits = wiki_search(spark, sf).select("id", F.lit(0).alias("o"))
-    linked = link_resolution(spark, sf).join(hits.select("id"), "id", "left_semi").where("target_id IS NOT NULL").select(F.col("target_id").alias("id"), F.lit(1))
-    return hits.union(linked).groupBy("id").agg(F.min("o").alias("o")).orderBy("o", "id").limit(14)
+    hits = durable(wiki_hits(spark, sf).select("query_id", "kb", F.col("doc_id").alias("id"), F.lit(0).alias("o")))
+    linked = link_resolution(spark, sf).where("target_id IS NOT NULL").join(hits.select("query_id", "kb", "id"), "id").select("query_id", "kb", F.col("target_id").alias("id"), F.lit(1))
+    firsts = hits.union(linked).groupBy("query_id", "kb", "id").agg(F.min("o").alias("o"))
+    return R.top(firsts, 14, ["query_id", "kb"], F.asc("o"), F.asc("id")).select("query_id", "kb", "id", "o")
 
 
 @query("q23_wiki_compile", f"WITH {_PAGES}, {_LINKS} SELECT w.kb, count(DISTINCT w.id) AS n_pages, count(l.target_path) AS n_links, count(p.id) AS n_resolved, string_agg(DISTINCT w.path, chr(10) ORDER BY w.path) AS index FROM wp w JOIN wl l ON l.id = w.id LEFT JOIN wp p ON p.kb = l.kb AND p.path = l.target_path GROUP BY w.kb")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from weirloom.functions import text as T
 from weirloom.functions import vector
-from weirloom.operators import ivf
+from weirloom.operators import ivf, postings, trigrams
 from weirloom.operators import retrieve as R
 from weirloom.plans.registry import query, table
 from weirloom.sources.sinks import scratch
@@ -167,19 +167,21 @@ def approximate_topk(spark: SparkSession, sf: str) -> DataFrame:
     return ivf.search(queries(spark, sf), index, 10).withColumn("score", F.round("score", 6))
 
 
-_POS = "(length(lower(text)) - length(replace(lower(text), t, ''))) / length(t)"
+_SPLIT = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{Nd}}]+'), lambda x: x <> '')"
 
 
-@query("t4_full_text_rank", f"WITH q AS (SELECT item_id AS query_id, ({{terms}})[1:3] AS terms FROM benchmark), s AS (SELECT query_id, doc_id, list_sum(list_transform(terms, lambda t: ({_POS}) / (1.0 + ({_POS})))) AS score FROM q, documents WHERE len(terms) > 0 AND len(list_filter(terms, lambda t: contains(lower(text), t))) = len(terms)) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 5".replace("{terms}", "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{Nd}]+'), lambda t: length(t) >= 2 AND t NOT IN (" + ", ".join(f"'{w}'" for w in T.TERM_STOP_WORDS) + "))"))
+@query("t4_full_text_rank", f"""WITH q AS (SELECT item_id AS query_id, trim(lower(text)) AS needle, list_distinct({_SPLIT.format("text")}) AS own FROM benchmark), qt AS (SELECT query_id, len(own) AS n, unnest(own) AS term FROM q),
+o AS (SELECT doc_id, unnest(own) AS term, unnest(range(len(own))) AS pos FROM (SELECT doc_id, {_SPLIT.format("text")} AS own FROM documents)),
+h AS (SELECT query_id, n, doc_id FROM qt JOIN (SELECT DISTINCT doc_id, term FROM o) USING (term) GROUP BY ALL HAVING count(*) = n),
+p AS (SELECT h.query_id, h.n, h.doc_id, o.pos, o.term FROM h JOIN qt USING (query_id) JOIN o ON o.doc_id = h.doc_id AND o.term = qt.term),
+x AS (SELECT p.query_id, p.doc_id, p.n, p.pos, max(CASE WHEN p.term = t.term THEN p.pos END) OVER (PARTITION BY p.query_id, p.doc_id, t.term ORDER BY p.pos) AS last FROM p JOIN qt t USING (query_id)),
+b AS (SELECT query_id, doc_id, n, pos, min(last) AS s FROM x GROUP BY ALL HAVING count(last) = n), c AS (SELECT query_id, doc_id, n, s, min(pos) AS e FROM b GROUP BY ALL),
+r AS (SELECT query_id, doc_id, n / (e - s + 1)::DOUBLE AS part FROM c UNION ALL SELECT query_id, doc_id, 0.2 FROM q JOIN documents d ON needle <> '' AND contains(lower(d.text), needle))
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(sum(part), 9) AS score FROM r GROUP BY ALL)) WHERE rank <= 5""")
 def full_text_rank(spark: SparkSession, sf: str) -> DataFrame:
-    """All of a query's first three terms must occur; each adds n / (1 + n) for its n occurrences. The score is the engine's own."""
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(T.meaningful_terms(F.col("text")), 1, 3).alias("terms")).where(F.size("terms") > 0)
-    docs = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("lower"))
-    lower = F.col("lower")
-    times = lambda t: (F.char_length(lower) - F.char_length(F.replace(lower, t, F.lit("")))) / F.char_length(t)
-    pairs = docs.join(R.bounded(q)).where(F.forall("terms", lambda t: F.contains(lower, t)))
-    scored = pairs.select("query_id", "doc_id", F.round(F.aggregate(F.transform("terms", lambda t: times(t) / (1.0 + times(t))), F.lit(0.0), lambda a, x: a + x), 9).alias("score"))
-    return R.top(scored, 5, ["query_id"], F.desc("score"), F.asc("doc_id")).withColumn("score", F.round("score", 6))
+    """Documents with all of a query's terms, by cover density, or with the query as it stands."""
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return postings.rank_all(q, R.spread(table(spark, sf, "documents").select("doc_id", "text")), 5).withColumn("score", F.round("score", 6))
 
 
 @query("t18_local_rerank", f"""{_ALL}, r AS (SELECT f.query_id, f.doc_id, round(len(list_filter(string_split(lower(q.query), ''), lambda c: contains(lower(c.text), c))) / length(q.query)::DOUBLE / 2, 9) AS score FROM fused f JOIN queries q USING (query_id) JOIN corpus c USING (doc_id))
@@ -291,10 +293,10 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("t5_repository_keywords", "SELECT item_id, doc_id FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id) AS rn FROM (SELECT b.item_id, d.doc_id, (length(d.text) - length(replace(lower(d.text), lower(b.text), ''))) // length(b.text) AS n FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)) WHERE b.text <> '')) WHERE rn <= 10")
 def repository_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that hold a whole benchmark text, by how often. Only those that have its longest word are searched for it."""
+    """Documents that hold a whole benchmark text, by how often. Candidates come from the rarest trigrams."""
     q = table(spark, sf, "benchmark").where("text <> ''").select("item_id", F.lower("text").alias("needle"))
-    docs = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("lower"))
-    found = R.containing(q, docs)
+    docs = R.spread(table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text")))
+    found = trigrams.containing(q, docs).withColumnRenamed("text", "lower")
     times = F.floor((F.char_length("lower") - F.char_length(F.replace("lower", "needle", F.lit("")))) / F.char_length("needle"))
     return R.top(found.select("item_id", "doc_id", times.alias("n")), 10, ["item_id"], F.desc("n"), F.asc("doc_id")).select("item_id", "doc_id")
 
