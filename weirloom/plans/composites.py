@@ -180,10 +180,3 @@ def tool_loops(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").select("user_id", "event_type", "ts", "event_id", seq.alias("seq")).withColumn("island", F.col("seq") - own)
     runs = rows.groupBy("user_id", "event_type", "island").agg(F.count("*").alias("n"), (F.min("seq") + 4).alias("at")).where("n >= 5")
     return runs.groupBy("user_id").agg(F.min("at").alias("warned_at"))
-
-
-@query("e8_approvals", "SELECT event_id, CASE WHEN ts::TIMESTAMP + INTERVAL 15 MINUTE < TIMESTAMP '2024-01-15 12:00:00' THEN 'expired' WHEN event_type = 'purchase' THEN 'approved' ELSE 'pending' END AS status, sha256(event_type || ':' || user_id) AS action FROM events")
-def approvals(spark: SparkSession, sf: str) -> DataFrame:
-    now = F.lit("2024-01-15 12:00:00").cast("timestamp")
-    status = F.when(F.col("ts").cast("timestamp") + F.expr("INTERVAL 15 MINUTES") < now, "expired").when(F.col("event_type") == "purchase", "approved").otherwise("pending")
-    return table(spark, sf, "events").select("event_id", status.alias("status"), F.sha2(F.concat_ws(":", "event_type", F.col("user_id").cast("string")), 256).alias("action"))

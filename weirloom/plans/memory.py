@@ -22,13 +22,6 @@ def last_messages(spark: SparkSession, sf: str) -> DataFrame:
     return last(table(spark, sf, "conversations"), 3).select("conv_id", "turn", "role")
 
 
-@query("e6_session_window", f"SELECT conv_id, count(*) AS n, min(turn) AS first, array_to_string(list(role ORDER BY turn), ',') AS roles FROM (SELECT conv_id, turn, role, {_BACK} AS b FROM conversations) WHERE b <= 4 GROUP BY conv_id")
-def session_window(spark: SparkSession, sf: str) -> DataFrame:
-    kept = last(table(spark, sf, "conversations"), 4)
-    roles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",")
-    return kept.groupBy("conv_id").agg(F.count("*").alias("n"), F.min("turn").alias("first"), roles.alias("roles"))
-
-
 @query("w11_last_evidence", f"SELECT conv_id, max_by(turn, turn) AS turn FROM (SELECT conv_id, turn, role, text, {_BACK} AS b FROM conversations) WHERE b <= 8 AND role = 'assistant' AND length(text) % 2 = 0 GROUP BY conv_id")
 def last_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """The last assistant message with sources among the last eight; an even length stands in for having sources."""

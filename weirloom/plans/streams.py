@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 
 from weirloom.plans.registry import query, table
 from weirloom.sources.sinks import scratch
+from weirloom.streaming import keyed as K
 from weirloom.streaming import stateful as S
 
 
-def stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The events as a file stream, with a time zone's timestamps."""
-    schema = table(spark, sf, "events").schema
+def stream(spark: SparkSession, sf: str, name: str = "events") -> DataFrame:
+    """A table as a file stream; events get timestamps of the session's time zone."""
+    schema = table(spark, sf, name).schema
     # a file source takes a folder: the one that holds the table, with the table's name as filter
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events*" if not _is_folder(spark, sf) else "*.parquet").parquet(sf if not _is_folder(spark, sf) else f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    folder = _is_folder(spark, f"{sf}/{name}.parquet")
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet" if folder else f"{name}*").parquet(f"{sf}/{name}.parquet" if folder else sf)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
 
 
-def _is_folder(spark: SparkSession, sf: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/events.parquet")
+def _is_folder(spark: SparkSession, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
 
 
@@ -32,11 +35,12 @@ def queue_ingestion(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("e2_task_states", "SELECT user_id AS task_id, max_by(['queued', 'parsing', 'vectorizing', 'completed', 'failed'][(event_id % 5)::int + 1], struct_pack(ts := ts, s := ['queued', 'parsing', 'vectorizing', 'completed', 'failed'][(event_id % 5)::int + 1])) AS stage, count(*) AS n FROM events GROUP BY user_id")
 def task_states(spark: SparkSession, sf: str) -> DataFrame:
-    stage = F.element_at(F.array(*(F.lit(s) for s in S.STAGES)), (F.col("event_id") % 5 + 1).cast("int"))
+    """In update mode: a batch writes the tasks that changed, the log's last rows are the table."""
+    stage = F.element_at(F.array(*(F.lit(s) for s in K.STAGES)), (F.col("event_id") % 5 + 1).cast("int"))
     updates = stream(spark, sf).select(F.col("user_id").alias("task_id"), stage.alias("stage"), "ts")
     path = scratch(spark)
-    S.latest_table(S.task_states(updates), path)
-    return spark.read.schema("task_id long, stage string, n long").parquet(f"{path}/out")
+    K.log_changes(K.task_states(updates), path)
+    return K.latest(spark, path, "task_id", "n")
 
 
 _PIECES = ("a<thi", "nk>hidden</th", "ink> b", "c", "<x>")
@@ -81,3 +85,30 @@ def redelivery(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark)
     S.run_once(S.deduplicated(tasks), path)
     return spark.read.parquet(f"{path}/out")
+
+
+@query("e6_session_window", "SELECT conv_id, count(*) AS n, min(turn) AS first, array_to_string(list(role ORDER BY turn), ',') AS roles FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations) WHERE b <= 4 GROUP BY conv_id")
+def session_window(spark: SparkSession, sf: str) -> DataFrame:
+    """The last four messages of each session, kept as list state while messages stream in."""
+    path = scratch(spark)
+    K.log_changes(K.session_windows(stream(spark, sf, "conversations").select("conv_id", "turn", "role", "text"), 2), path)
+    return K.latest(spark, path, "conv_id", "last").select("conv_id", "n", "first", "roles")
+
+
+#: Requests are open for twelve hours.
+APPROVAL_MS = 12 * K.HOUR_MS
+_KIND = "CASE event_type WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'reject' ELSE 'request' END"
+_ACTION = "CASE WHEN event_id % 2 = 0 THEN 'write' ELSE 'delete' END"
+
+
+@query("e8_approvals", f"""WITH e AS (SELECT event_id AS id, user_id, ts::TIMESTAMP AS ts, {_KIND} AS kind, {_ACTION} AS action FROM events), d AS (SELECT * FROM e WHERE kind <> 'request'),
+r AS (SELECT e.id, e.user_id, e.action, e.ts, min_by(struct_pack(ts := d.ts, kind := d.kind), struct_pack(ts := d.ts, id := d.id)) AS d FROM e LEFT JOIN d ON d.user_id = e.user_id AND d.action = e.action AND (d.ts > e.ts OR d.ts = e.ts AND d.id > e.id) WHERE e.kind = 'request' GROUP BY ALL)
+SELECT id, user_id, sha256(action || ':' || user_id) AS action_hash, CASE WHEN d.ts <= ts + INTERVAL 12 HOUR THEN CASE d.kind WHEN 'approve' THEN 'approved' ELSE 'rejected' END WHEN d.ts IS NOT NULL OR ts + INTERVAL 12 HOUR <= (SELECT max(ts) FROM e) THEN 'expired' ELSE 'pending' END AS status FROM r""")
+def approvals(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as requests and decisions: a decision settles the user's open requests of its action, a timer expires them."""
+    kind, action = F.expr(_KIND), F.expr(_ACTION)
+    path = scratch(spark)
+    K.log_changes(K.approvals(stream(spark, sf).select("user_id", F.col("event_id").alias("id"), "ts", action.alias("action"), kind.alias("decision")), APPROVAL_MS), path, timers=True)
+    order = F.when(F.col("status") == "pending", 0).otherwise(1)
+    log = spark.read.parquet(f"{path}/log").groupBy("id", "user_id", "action_hash").agg(F.max_by("status", F.struct("batch", order)).alias("status"))
+    return log.select("id", "user_id", "action_hash", "status")

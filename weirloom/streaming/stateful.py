@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STAGES = ["queued", "parsing", "vectorizing", "completed", "failed"]
 OPEN, CLOSE = "<think>", "</think>"
 
 
@@ -100,19 +99,6 @@ def rate_limited(events: DataFrame, per_minute: float = 60, burst: float = 10, i
     return events.withWatermark("ts", late).groupBy("client").applyInPandasWithState(run, "client long, event_id long, allowed boolean", "tokens double, at double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def latest_table(stream: DataFrame, path: str) -> None:
-    """An aggregated stream's whole result as a table below path, written anew by each batch."""
-    q = stream.writeStream.outputMode("complete").foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{path}/out")).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
-    q.awaitTermination()
-    if q.exception():
-        raise q.exception()
-
-
-def task_states(updates: DataFrame) -> DataFrame:
-    """updates (task_id, stage, ts) -> the latest stage of each task, in update or complete mode."""
-    return updates.groupBy("task_id").agg(F.max_by("stage", F.struct("ts", "stage")).alias("stage"), F.count("*").alias("n"))
-
-
 def windowed_counts(events: DataFrame, size: str = "1 day", late: str = "2 hours") -> DataFrame:
     """Counts by event type in tumbling windows; rows later than the watermark are dropped by the engine."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
