@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weirloom.sources.sinks import durable
+from weirloom.sources.versions import Store
+
 
 def chunk_id(kb: Column, doc: Column, digest: Column, occurrence: Column) -> Column:
     """One deterministic id for a chunk, the same in every store."""
@@ -45,3 +50,81 @@ def checked(vectors: DataFrame, column: str, dimension: int) -> DataFrame:
 
 def deleted(rows: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(ids.select(*keys).distinct(), keys, "left_anti")
+
+
+def chunked(docs: DataFrame) -> DataFrame:
+    """The lines of docs (doc, text) as chunks (doc, seq, content, hash): the default of sync."""
+    return docs.select("doc", F.posexplode(F.split("text", "\n")).alias("seq", "content")).withColumn("hash", F.sha2("content", 256))
+
+
+def sync(store: Store, docs: DataFrame, kb: str, embed: Callable[[Column], Column], chunks: Callable[[DataFrame], DataFrame] = chunked) -> DataFrame:
+    """Brings a store's documents, chunks and vectors to docs (doc, text), in one commit; (doc, state, added, removed, retained) of each document.
+
+    Documents of unchanged digest are skipped. Of the others chunks are compared as multisets of
+    (hash, occurrence): only new ones are embedded, only missing ones go. A document with an old
+    chunk without hash is indexed anew as a whole. Buckets without changes keep their files.
+    """
+    commit = store.begin()
+    spark, version = store.spark, commit.base
+    digests = docs.select("doc", F.sha2("text", 256).alias("digest"))
+    known = store.read("documents", version)
+    known = spark.createDataFrame([], digests.schema) if known is None else known
+    both = digests.join(known.withColumnRenamed("digest", "before"), "doc", "full_outer")
+    state = F.when(F.col("digest").eqNullSafe(F.col("before")), "skipped").when(F.col("before").isNull(), "new").when(F.col("digest").isNull(), "deleted").otherwise("changed")
+    states = durable(both.select("doc", "digest", state.alias("state")))
+    touched = states.where("state <> 'skipped'").select("doc")
+    buckets = sorted(r["b"] for r in touched.select(store.bucket(F.col("doc")).alias("b")).distinct().collect())  # of a fixed number
+    fresh = chunks(docs.join(touched, "doc", "left_semi"))
+    fresh = durable(occurrences(fresh).withColumn("chunk_id", chunk_id(F.lit(kb), F.col("doc"), F.col("hash"), F.col("occurrence"))))
+    held, vectors = (store.read(n, version, buckets) for n in ("chunks", "vectors"))
+    held = spark.createDataFrame([], fresh.schema) if held is None else held
+    ours = held.join(touched, "doc", "left_semi")
+    whole = ours.where("hash IS NULL").select("doc").distinct()
+    old = ours.join(whole, "doc", "left_anti").select("chunk_id", F.lit(True).alias("was"))
+    marked = durable(fresh.join(old, "chunk_id", "left").withColumn("was", F.coalesce("was", F.lit(False))))
+    rest = held.join(touched, "doc", "left_anti")
+    added = marked.where("NOT was").select("chunk_id", "doc", embed(F.col("content")).alias("vec"))
+    if vectors is None:
+        vectors = spark.createDataFrame([], added.schema)
+    stay = rest.select("chunk_id").union(marked.where("was").select("chunk_id"))
+    if buckets:
+        commit.put("documents", states.where("state <> 'deleted'").where(store.bucket(F.col("doc")).isin(buckets)).select("doc", "digest"), "doc", buckets)
+        commit.put("chunks", rest.unionByName(marked.drop("was")), "doc", buckets)
+        commit.put("vectors", vectors.join(stay, "chunk_id", "left_semi").unionByName(added), "doc", buckets)
+        commit.commit()
+    n_old = ours.groupBy("doc").agg(F.count("*").alias("old"))
+    n_new = marked.groupBy("doc").agg(F.count_if(~F.col("was")).alias("added"), F.count_if("was").alias("retained"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    out = states.join(n_old, "doc", "left").join(n_new, "doc", "left").join(whole.withColumn("whole", F.lit(True)), "doc", "left")
+    state = F.when(F.col("whole") & (F.col("state") == "changed"), "reindexed").otherwise(F.col("state"))
+    return durable(out.select("doc", state.alias("state"), zero(F.col("added")).alias("added"), (zero(F.col("old")) - zero(F.col("retained"))).alias("removed"), zero(F.col("retained")).alias("retained")))
+
+
+def cached_embeddings(store: Store, texts: DataFrame, model: str, embed: Callable[[Column], Column], now: float, ttl: float) -> tuple[DataFrame, int]:
+    """(id, vec) of texts (id, text), and how many were embedded: those of which the store has no vector of this model younger than ttl seconds.
+
+    Keys are digests of trimmed texts, so equal texts are embedded once. New vectors are added to
+    the cache in one commit.
+    """
+    keyed = durable(texts.select("id", F.trim("text").alias("text"), F.sha2(F.trim("text"), 256).alias("digest")))
+    commit = store.begin()
+    cache = store.read("cache", commit.base)
+    schema = "model string, digest string, at double, vec array<double>"
+    cache = store.spark.createDataFrame([], schema) if cache is None else cache
+    live = cache.where((F.col("model") == model) & (F.col("at") > now - ttl)).select("digest", "vec", "at")
+    missing = keyed.groupBy("digest").agg(F.min("text").alias("text")).where("digest IS NOT NULL").join(live, "digest", "left_anti")
+    made = durable(missing.select(F.lit(model).alias("model"), "digest", F.lit(float(now)).alias("at"), embed(F.col("text")).cast("array<double>").alias("vec")))
+    n = made.count()
+    if n:
+        commit.add("cache", made, "digest").commit()
+    every = live.unionByName(made.select("digest", "vec", "at")).groupBy("digest").agg(F.max_by("vec", "at").alias("vec"))
+    return keyed.join(every, "digest").select("id", "vec"), n
+
+
+def compact_cache(store: Store, now: float, ttl: float) -> None:
+    """Only the latest vector of each (model, digest), and none older than ttl seconds; readers keep the version they have."""
+    commit = store.begin()
+    cache = store.read("cache", commit.base)
+    if cache is not None:
+        rows = cache.where(F.col("at") > now - ttl).groupBy("model", "digest").agg(F.max("at").alias("at"), F.max_by("vec", "at").alias("vec"))
+        commit.put("cache", rows, "digest").commit()

@@ -7,10 +7,14 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirloom.functions import vector
 from weirloom.operators import ingest as I
+from weirloom.operators import retrieve as R
 from weirloom.plans.registry import query, table
 from weirloom.sources import documents as D
 from weirloom.sources import sinks
+from weirloom.sources.sinks import scratch
+from weirloom.sources.versions import Store
 
 # chunks are the lines of documents; in the new snapshot every fifth document lost its first line and every seventh gained a copy of it
 _OLD = "old AS (SELECT doc_id AS doc, unnest(range(0, len(l))) AS seq, sha256(unnest(l)) AS hash FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
@@ -32,14 +36,52 @@ def chunk_diff(spark: SparkSession, sf: str) -> DataFrame:
     return I.diff(*snapshots(spark, sf)).groupBy("doc").agg(n("retained"), n("removed"), n("added"))
 
 
-@query("q18_incremental_sync", f"{_DIFF} SELECT state, count(*) AS chunks, count(DISTINCT doc) AS docs FROM d WHERE doc IN (SELECT doc FROM d WHERE state <> 'retained') GROUP BY state")
+#: The documents as they were, and as they are now: every fifth changed, every seventh new since then, every eleventh gone.
+_WAS = "was AS (SELECT doc_id AS doc, CASE WHEN doc_id % 5 = 0 THEN 'a line of before' || chr(10) || text ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0)"
+_NOW = "now AS (SELECT doc_id AS doc, text FROM documents WHERE doc_id % 11 <> 0)"
+_LINES = "(SELECT doc, line, count(*) AS n FROM (SELECT doc, unnest(string_split(text, chr(10))) AS line FROM {}) GROUP BY ALL)"
+
+
+def synced(spark: SparkSession, sf: str) -> tuple[Store, DataFrame]:
+    """A store with the documents as they were as version 1 and as they are as version 2, and what the second commit did."""
+    docs = R.spread(table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text"))
+    store = Store(spark, scratch(spark))
+    before = docs.where("doc % 7 <> 0").withColumn("text", F.when(F.col("doc") % 5 == 0, F.concat(F.lit("a line of before\n"), "text")).otherwise(F.col("text")))
+    I.sync(store, before, "kb", vector.letter_frequencies)
+    return store, I.sync(store, docs.where("doc % 11 <> 0"), "kb", vector.letter_frequencies)
+
+
+@query("q18_incremental_sync", f"WITH {_WAS}, {_NOW}, a AS {_LINES.format('was')}, b AS {_LINES.format('now')}, k AS (SELECT coalesce(a.doc, b.doc) AS doc, sum(greatest(coalesce(b.n, 0) - coalesce(a.n, 0), 0))::BIGINT AS added, sum(greatest(coalesce(a.n, 0) - coalesce(b.n, 0), 0))::BIGINT AS removed, sum(least(coalesce(a.n, 0), coalesce(b.n, 0)))::BIGINT AS retained FROM a FULL JOIN b ON a.doc = b.doc AND a.line = b.line GROUP BY 1), s AS (SELECT coalesce(was.doc, now.doc) AS doc, CASE WHEN was.text = now.text THEN 'skipped' WHEN was.doc IS NULL THEN 'new' WHEN now.doc IS NULL THEN 'deleted' ELSE 'changed' END AS state FROM was FULL JOIN now ON was.doc = now.doc) SELECT doc, state, CASE WHEN state = 'skipped' THEN 0 ELSE added END AS added, CASE WHEN state = 'skipped' THEN 0 ELSE removed END AS removed, CASE WHEN state = 'skipped' THEN 0 ELSE retained END AS retained FROM s JOIN k USING (doc)")
 def incremental_sync(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents of unchanged digest are skipped before chunks are compared."""
-    old, new = snapshots(spark, sf)
-    digest = lambda df, name: df.groupBy("doc").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("hash")), ","), 256).alias(name))
-    changed = digest(old, "a").join(digest(new, "b"), "doc", "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select("doc")
-    found = I.diff(old.join(changed, "doc", "left_semi"), new.join(changed, "doc", "left_semi"))
-    return found.groupBy("state").agg(F.count("*").alias("chunks"), F.countDistinct("doc").alias("docs"))
+    """What a second import does to each document: skip by digest, else chunk differences, vectors of new chunks only."""
+    return synced(spark, sf)[1]
+
+
+@query("k5_commit_of_tables", f"WITH {_WAS}, {_NOW}, x AS (SELECT 1 AS version, doc, text FROM was UNION ALL SELECT 2, doc, text FROM now), c AS (SELECT version, unnest(string_split(text, chr(10))) FROM x) SELECT version, 'documents' AS name, count(*) AS n FROM x GROUP BY version UNION ALL SELECT version, 'chunks', count(*) FROM c GROUP BY version UNION ALL SELECT version, 'vectors', count(*) FROM c GROUP BY version")
+def commit_of_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of documents, chunks and vectors at both versions of a store: they change together."""
+    store, _ = synced(spark, sf)
+    counts = [store.read(n, v).agg(F.count("*").alias("n")).select(F.lit(v).alias("version"), F.lit(n).alias("name"), "n") for v in (1, 2) for n in ("documents", "chunks", "vectors")]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.union(c)
+    return out
+
+
+_USER = "u AS (SELECT sha256(trim(text)) AS d, conv_id % 2 = 0 AS early FROM conversations WHERE role = 'user')"
+
+
+@query("e7_embedding_cache", f"WITH {_USER}, e AS (SELECT DISTINCT d FROM u WHERE early), a AS (SELECT DISTINCT d FROM u) SELECT 1 AS run, (SELECT count(*) FROM u WHERE early) AS texts, (SELECT count(*) FROM e) AS embedded UNION ALL SELECT 2, (SELECT count(*) FROM u), (SELECT count(*) FROM a) - (SELECT count(*) FROM e) UNION ALL SELECT 3, (SELECT count(*) FROM u), (SELECT count(*) FROM e) UNION ALL SELECT 4, (SELECT count(*) FROM u), 0")
+def embedding_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """Four runs over user messages with a cache of a day: half of the sessions, all an hour later, all when the first half's vectors have expired, and once more after the cache was compacted."""
+    texts = table(spark, sf, "conversations").where("role = 'user'").select(F.struct("conv_id", "turn").alias("id"), "text", "conv_id")
+    store, day, hour, rows = Store(spark, scratch(spark)), 86_400.0, 3600.0, []
+    for run, given, now in ((1, texts.where("conv_id % 2 = 0"), 0.0), (2, texts, hour), (3, texts, day + 60), (4, texts, day + 120)):
+        found, n = I.cached_embeddings(store, given.drop("conv_id"), "letters", vector.letter_frequencies, now, day)
+        rows.append((run, found.count(), n))
+        if run == 3:
+            I.compact_cache(store, now, day)
+    return spark.createDataFrame(rows, "run int, texts long, embedded long")
 
 
 @query("w2_occurrence_index", f"WITH {_OLD} SELECT doc, seq, row_number() OVER (PARTITION BY doc, hash ORDER BY seq) - 1 AS occurrence FROM old")

@@ -299,9 +299,3 @@ def repository_keywords(spark: SparkSession, sf: str) -> DataFrame:
     found = trigrams.containing(q, docs).withColumnRenamed("text", "lower")
     times = F.floor((F.char_length("lower") - F.char_length(F.replace("lower", "needle", F.lit("")))) / F.char_length("needle"))
     return R.top(found.select("item_id", "doc_id", times.alias("n")), 10, ["item_id"], F.desc("n"), F.asc("doc_id")).select("item_id", "doc_id")
-
-
-@query("e7_embedding_cache", "SELECT sha256(trim(text)) AS key, count(*) AS uses FROM conversations WHERE role = 'user' GROUP BY 1")
-def embedding_cache(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct query texts, each to be embedded once, with how often it is used."""
-    return table(spark, sf, "conversations").where("role = 'user'").groupBy(F.sha2(F.trim("text"), 256).alias("key")).agg(F.count("*").alias("uses"))
