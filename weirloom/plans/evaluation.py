@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirloom.operators import evaluate as E
-from weirloom.operators import patterns
+from weirloom.operators import patterns, sample
 from weirloom.plans import retrieval
 from weirloom.plans.registry import query, table
 
@@ -150,11 +150,26 @@ def gold_exact(spark: SparkSession, sf: str) -> DataFrame:
     return docs.join(labels, "k").select("doc_id", "quality")
 
 
-@query("a20_query_sampling", "WITH g AS (SELECT label AS qid, vec_id AS pid, vec_id % 4 AS rel FROM embeddings), q AS (SELECT qid FROM g WHERE rel >= 2 GROUP BY qid HAVING count(*) >= 2) SELECT qid, pid, rel FROM (SELECT g.*, row_number() OVER (PARTITION BY g.qid ORDER BY rel DESC, pid) AS rn FROM g JOIN q USING (qid)) WHERE rn <= 12")
+_JUDGED = "g AS (SELECT l_suppkey AS qid, l_partkey AS pid, max((l_orderkey + l_linenumber) % 4)::INT AS rel FROM lineitem GROUP BY ALL)"
+_SAMPLED = f"{_JUDGED}, q AS (SELECT qid FROM (SELECT qid FROM g WHERE rel >= 2 GROUP BY qid HAVING count(*) >= 3) ORDER BY sha256('42:' || qid), qid LIMIT 30)"
+
+
+def judged(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as queries, parts as passages, with relevance 0 to 3."""
+    return table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("qid"), F.col("l_partkey").alias("pid")).agg(F.max((F.col("l_orderkey") + F.col("l_linenumber")) % 4).cast("int").alias("rel"))
+
+
+@query("a20_query_sampling", f"WITH {_JUDGED}, {{q}} SELECT qid, pid, rel FROM (SELECT g.*, row_number() OVER (PARTITION BY qid ORDER BY sha256('42:' || pid), pid) AS n FROM g JOIN q USING (qid) WHERE rel >= 2) WHERE n <= 12".format(q=_SAMPLED[len(_JUDGED) + 2:]))
 def query_sampling(spark: SparkSession, sf: str) -> DataFrame:
-    g = table(spark, sf, "embeddings").select(F.col("label").alias("qid"), F.col("vec_id").alias("pid"), (F.col("vec_id") % 4).alias("rel"))
-    q = g.where("rel >= 2").groupBy("qid").agg(F.count("*").alias("n")).where("n >= 2").select("qid")
-    return retrieval.R.top(g.join(q, "qid", "left_semi"), 12, ["qid"], F.desc("rel"), F.asc("pid")).select("qid", "pid", "rel")
+    """A seeded sample of queries with enough gold, and of each at most twelve gold passages."""
+    g = judged(spark, sf)
+    return sample.bottom_k(g.where("rel >= 2").join(sample.sample_queries(g, 30, 3), "qid", "left_semi"), 12, "pid", 42, ["qid"]).select("qid", "pid", "rel")
+
+
+@query("a20_passage_cap", f"WITH {_SAMPLED} SELECT pid, rel FROM (SELECT pid, max(rel) AS rel FROM g JOIN q USING (qid) GROUP BY pid) ORDER BY rel DESC, sha256('42:' || pid), pid LIMIT 2000")
+def passage_cap(spark: SparkSession, sf: str) -> DataFrame:
+    g = judged(spark, sf)
+    return sample.passages(g, sample.sample_queries(g, 30, 3), 2000)
 
 
 @query("q26_candidate_labels", "SELECT conv_id, array_to_string(list(k ORDER BY turn), '|') AS candidates FROM (SELECT conv_id, left(trim(text), 8) AS k, min(turn) AS turn FROM conversations WHERE trim(text) <> '' GROUP BY ALL) GROUP BY conv_id")

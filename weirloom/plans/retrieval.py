@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weirloom.functions import text as T
 from weirloom.functions import vector
-from weirloom.operators import ivf, postings, trigrams
+from weirloom.operators import ivf, postings, recovery, trigrams
 from weirloom.operators import retrieve as R
 from weirloom.plans.registry import query, table
 from weirloom.sources.sinks import scratch
@@ -170,14 +170,21 @@ def approximate_topk(spark: SparkSession, sf: str) -> DataFrame:
 _SPLIT = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{Nd}}]+'), lambda x: x <> '')"
 
 
-@query("t4_full_text_rank", f"""WITH q AS (SELECT item_id AS query_id, trim(lower(text)) AS needle, list_distinct({_SPLIT.format("text")}) AS own FROM benchmark), qt AS (SELECT query_id, len(own) AS n, unnest(own) AS term FROM q),
-o AS (SELECT doc_id, unnest(own) AS term, unnest(range(len(own))) AS pos FROM (SELECT doc_id, {_SPLIT.format("text")} AS own FROM documents)),
-h AS (SELECT query_id, n, doc_id FROM qt JOIN (SELECT DISTINCT doc_id, term FROM o) USING (term) GROUP BY ALL HAVING count(*) = n),
-p AS (SELECT h.query_id, h.n, h.doc_id, o.pos, o.term FROM h JOIN qt USING (query_id) JOIN o ON o.doc_id = h.doc_id AND o.term = qt.term),
-x AS (SELECT p.query_id, p.doc_id, p.n, p.pos, max(CASE WHEN p.term = t.term THEN p.pos END) OVER (PARTITION BY p.query_id, p.doc_id, t.term ORDER BY p.pos) AS last FROM p JOIN qt t USING (query_id)),
-b AS (SELECT query_id, doc_id, n, pos, min(last) AS s FROM x GROUP BY ALL HAVING count(last) = n), c AS (SELECT query_id, doc_id, n, s, min(pos) AS e FROM b GROUP BY ALL),
-r AS (SELECT query_id, doc_id, n / (e - s + 1)::DOUBLE AS part FROM c UNION ALL SELECT query_id, doc_id, 0.2 FROM q JOIN documents d ON needle <> '' AND contains(lower(d.text), needle))
-SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(sum(part), 9) AS score FROM r GROUP BY ALL)) WHERE rank <= 5""")
+def _full_text(x: str, text: str, k: int) -> str:
+    """CTEs that end in {x}f: the k best documents of each benchmark row whose query is the expression `text`."""
+    return f"""{x}q AS (SELECT item_id AS query_id, trim(lower({text})) AS needle, list_distinct({_SPLIT.format(text)}) AS own FROM benchmark), {x}t AS (SELECT query_id, len(own) AS n, unnest(own) AS term FROM {x}q),
+{x}h AS (SELECT query_id, n, doc_id FROM {x}t JOIN (SELECT DISTINCT doc_id, term FROM o) USING (term) GROUP BY ALL HAVING count(*) = n),
+{x}p AS (SELECT h.query_id, h.n, h.doc_id, o.pos, o.term FROM {x}h h JOIN {x}t USING (query_id) JOIN o ON o.doc_id = h.doc_id AND o.term = {x}t.term),
+{x}x AS (SELECT p.query_id, p.doc_id, p.n, p.pos, max(CASE WHEN p.term = t.term THEN p.pos END) OVER (PARTITION BY p.query_id, p.doc_id, t.term ORDER BY p.pos) AS last FROM {x}p p JOIN {x}t t USING (query_id)),
+{x}b AS (SELECT query_id, doc_id, n, pos, min(last) AS s FROM {x}x GROUP BY ALL HAVING count(last) = n), {x}c AS (SELECT query_id, doc_id, n, s, min(pos) AS e FROM {x}b GROUP BY ALL),
+{x}r AS (SELECT query_id, doc_id, n / (e - s + 1)::DOUBLE AS part FROM {x}c UNION ALL SELECT query_id, doc_id, 0.2 FROM {x}q JOIN documents d ON needle <> '' AND contains(lower(d.text), needle)),
+{x}f AS MATERIALIZED (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(sum(part), 9) AS score FROM {x}r GROUP BY ALL)) WHERE rank <= {k})"""
+
+
+_PLACES = f"o AS MATERIALIZED (SELECT doc_id, unnest(own) AS term, unnest(range(len(own))) AS pos FROM (SELECT doc_id, {_SPLIT.format('text')} AS own FROM documents))"
+
+
+@query("t4_full_text_rank", f"WITH {_PLACES}, {_full_text('w', 'text', 5)} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM wf")
 def full_text_rank(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with all of a query's terms, by cover density, or with the query as it stands."""
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
@@ -204,15 +211,7 @@ _LOWQ = """(length(trim(text)) < 40 OR ({sig}) >= 2 OR len(regexp_extract_all(tr
 def evidence_gate(spark: SparkSession, sf: str) -> DataFrame:
     """Counts of good evidence decide a query's status; queries without evidence keep a row."""
     found = hybrid(spark, sf).where("rank <= 2").join(corpus(spark, sf).select("doc_id", "text"), "doc_id")
-    q = queries(spark, sf).select("query_id", "query")
-    rows = q.join(found.select("query_id", "doc_id", "text"), "query_id", "left")
-    low = T.low_quality(F.col("text"))
-    strict = T.has_any(F.lower("query"), T.STRICT_TOPICS) & ~T.relevant(T.meaningful_terms(F.col("query")), F.col("text"))
-    here = F.col("doc_id").isNotNull()
-    counted = rows.groupBy("query_id", "query").agg(F.count_if(here & ~low & ~strict).alias("kept"), F.count_if(here & low).alias("low"), F.count_if(here & ~low & strict).alias("off"))
-    overview = T.has_any(F.lower("query"), T.OVERVIEW_PHRASES) & (F.col("kept") == 0)
-    status = F.when(overview, "insufficient_project_context").when(F.col("kept") > 0, "ok").when((F.col("off") > 0) & (F.col("low") == 0), "irrelevant_evidence").otherwise("low_quality_evidence")
-    return counted.select("query_id", "kept", status.alias("status"))
+    return recovery.gate(queries(spark, sf), found)
 
 
 @query("a19_context_build", _ALL + " SELECT query_id, string_agg('[' || rank || '] ' || left(c.text, 80), chr(10) ORDER BY rank) AS context FROM fused f JOIN corpus c USING (doc_id) WHERE rank <= 3 GROUP BY query_id")
@@ -230,12 +229,44 @@ def rag_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("query_id").agg(F.count("*").alias("n_sources"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string")), ",").alias("sources"))
 
 
-@query("q11_recovery_attempts", _ALL + ", a AS (SELECT query_id, 1 AS attempt, count(*) AS n FROM k WHERE rank <= 3 AND query_id % 2 = 0 GROUP BY query_id UNION ALL SELECT query_id, 2, count(*) FROM v WHERE rank <= 3 GROUP BY query_id) SELECT query_id, min(attempt) AS attempt, min_by(n, attempt) AS n FROM a WHERE n > 0 GROUP BY query_id")
-def recovery(spark: SparkSession, sf: str) -> DataFrame:
-    both = lists(spark, sf).where("rank <= 3")
-    attempts = both.where("source = 'keyword' AND query_id % 2 = 0").withColumn("attempt", F.lit(1)).union(both.where("source = 'vector'").withColumn("attempt", F.lit(2)))
-    counted = attempts.groupBy("query_id", "attempt").agg(F.count("*").alias("n")).where("n > 0")
-    return counted.groupBy("query_id").agg(F.min("attempt").alias("attempt"), F.min_by("n", "attempt").alias("n"))
+#: Rewritings of a query: as it is, its first two words, its two longest words, its longest word.
+_WORDS = "string_split(trim(text), ' ')"
+_LONGEST = f"list_sort(list_transform(list_distinct({_WORDS}), lambda w: lpad((10000 - length(w))::VARCHAR, 5, '0') || w))"
+_REWRITES = ["text", f"array_to_string({_WORDS}[1:2], ' ')", f"array_to_string(list_transform(({_LONGEST})[1:2], lambda w: w[6:]), ' ')", f"({_LONGEST})[1][6:]"]
+
+_TRIES = ["w1", "w2", "w3", "w4"]
+
+
+def _longest(n: int):
+    def rewrite(query: Column) -> Column:
+        words = F.array_sort(F.transform(F.array_distinct(F.split(F.trim(query), " ")), lambda w: F.struct((-F.char_length(w)).alias("n"), w.alias("w"))))
+        return F.array_join(F.transform(F.slice(words, 1, n), lambda x: x["w"]), " ")
+
+    return rewrite
+
+
+def _first(query: Column) -> Column:
+    return F.array_join(F.slice(F.split(F.trim(query), " "), 1, 2), " ")
+
+
+def attempts(spark: SparkSession, sf: str) -> list[recovery.Attempt]:
+    docs = R.spread(table(spark, sf, "documents").select("doc_id", "text"))
+    c = corpus(spark, sf)
+    exact = lambda q: postings.rank_all(q, docs, 3)
+    as_is = lambda q: q
+    return [*(recovery.Attempt("exact", f, exact) for f in (as_is, _first, _longest(2), _longest(1))), recovery.Attempt("semantic", as_is, lambda q: R.vector_top(q, c, 3))]
+
+
+_GOOD = f"good AS MATERIALIZED (SELECT doc_id FROM documents WHERE NOT {_LOWQ})"
+
+
+@query("q11_recovery_attempts", f"WITH {_CORPUS}, {_QUERIES}, {_VECTOR}, {_PLACES}, {', '.join(_full_text(x, text, 3) for x, text in zip(_TRIES, _REWRITES))}, {_GOOD}, tries AS (" + " UNION ALL ".join(f"SELECT query_id, {i} AS attempt, 'exact' AS mode, doc_id, rank FROM {x}f" for i, x in enumerate(_TRIES, 1)) + """ UNION ALL SELECT query_id, 5, 'semantic', doc_id, rank FROM v WHERE rank <= 3),
+m AS (SELECT query_id, attempt, mode, count(g.doc_id) AS kept, array_to_string(list(t.doc_id ORDER BY rank), ',') AS sources FROM tries t LEFT JOIN good g USING (doc_id) GROUP BY ALL HAVING count(g.doc_id) > 0), w AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY attempt) = 1)
+SELECT b.item_id AS query_id, attempt, mode, coalesce(kept, 0) AS kept, CASE WHEN attempt IS NULL THEN 'low_quality_evidence' ELSE 'ok' END AS status, coalesce(sources, '') AS sources FROM benchmark b LEFT JOIN w ON w.query_id = b.item_id""")
+def recovery_attempts(spark: SparkSession, sf: str) -> DataFrame:
+    """Five attempts at each query, exact ones of ever fewer words, then by vector; the first with good evidence answers."""
+    out = recovery.recover(queries(spark, sf), table(spark, sf, "documents"), attempts(spark, sf))
+    return out.withColumn("sources", F.array_join(F.transform("sources", lambda x: x.cast("string")), ","))
 
 
 @query("q12_query_decomposition", "SELECT item_id, unnest(CASE WHEN len(p) >= 2 THEN p[1:4] ELSE [text] END) AS sub FROM (SELECT item_id, text, list_filter(list_transform(string_split(text, ','), lambda x: trim(x)), lambda x: x <> '') AS p FROM benchmark)")
