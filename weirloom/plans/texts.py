@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weirloom.functions import rules
 from weirloom.functions import text as T
 from weirloom.operators import chunking
 from weirloom.plans import retrieval
@@ -98,25 +99,18 @@ def grounding(spark: SparkSession, sf: str) -> DataFrame:
     return answers.select("id", F.when(weak, "insufficient_evidence").otherwise("supported_by_retrieval").alias("status"))
 
 
-@query(
-    "p10_url_policy",
-    """SELECT page_id, regexp_extract(lower(url), '^([a-z]+)://', 1) IN ('http', 'https')
- AND regexp_extract(lower(url), '://([^/?#:]*)', 1) <> '' AND NOT regexp_matches(regexp_extract(lower(url), '://([^/?#:]*)', 1), '(^|\\.)example\\.org$')
- AND NOT regexp_matches(regexp_extract(lower(url), '://([^/?#:]*)', 1), '^(localhost|127\\.|10\\.|192\\.168\\.|169\\.254\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.|100\\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\\.|198\\.1[89]\\.|22[4-9]\\.|23[0-9]\\.|0\\.)') AS allowed
-FROM (SELECT page_id, url FROM pages UNION ALL VALUES (900001, 'http://127.0.0.1/x'), (900002, 'ftp://a.b/'), (900003, 'https://172.20.1.1:80/'), (900004, 'https://172.40.1.1/'), (900005, 'https://100.99.1.1/'))""",
-)
+#: Each page's url as it is and in forms that a policy refuses, by id.
+_FORMS = ["url", "replace(url, 'https://', 'ftp://')", "replace(url, '://', '://10.' || page_id % 256 || '.0.1:80/')", "replace(url, '://', '://172.' || page_id % 64 || '.1.1/')", "'https:///' || page_id", "replace(url, '://', '://LOCALHOST:' || page_id || '/')", "'no url ' || page_id", "replace(url, '://', '://100.' || page_id % 256 || '.2.3/')", "replace(url, '://', '://[fe80::' || page_id || ']/')"]
+_FORM = "CASE page_id % 9 " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(_FORMS)) + " END"
+POLICY = rules.UrlPolicy(blocked=["example.org", " Example.NET"], blocked_hosts=["localhost"])
+
+
+@query("p10_url_policy", rf"""WITH u AS (SELECT page_id, {_FORM} AS url FROM pages), h AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, lower(regexp_extract(url, '://(\[[^\]]*\]|[^/?#:]*)', 1)) AS host FROM u)
+SELECT page_id, CASE WHEN scheme = '' THEN 'invalid' WHEN scheme NOT IN ('http', 'https') THEN 'scheme' WHEN host = '' THEN 'no_host' WHEN host = 'localhost' THEN 'blocked_host' WHEN regexp_matches(host, '(^|\.)example\.(org|net)$') THEN 'blocked_domain'
+ WHEN regexp_matches(host, '^(10|172\.(1[6-9]|2[0-9]|3[01])|100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7]))\.') OR host LIKE '[fe80:%' THEN 'private_address' END AS reason FROM h""")
 def url_policy(spark: SparkSession, sf: str) -> DataFrame:
-    """Scheme list, blocked domain suffixes, and literal addresses of private networks; names are not resolved."""
-    extra = spark.createDataFrame([(900001, "http://127.0.0.1/x"), (900002, "ftp://a.b/"), (900003, "https://172.20.1.1:80/"), (900004, "https://172.40.1.1/"), (900005, "https://100.99.1.1/")], "page_id long, url string")
-    rows = table(spark, sf, "pages").select("page_id", "url").union(extra)
-    host = F.lower(F.coalesce(F.regexp_extract(F.expr("try_parse_url(url, 'HOST')"), r"^([^:]*)", 1), F.lit("")))
-    octet = lambda i: F.coalesce(F.get(F.split(host, r"\."), i).try_cast("int"), F.lit(-1))
-    literal = host.rlike(r"^\d+\.\d+\.\d+\.\d+$")
-    a, b = octet(0), octet(1)
-    private = literal & (a.isin(0, 10, 127) | (a >= 224) & (a < 240) | (a == 192) & (b == 168) | (a == 169) & (b == 254) | (a == 172) & b.between(16, 31) | (a == 100) & b.between(64, 127) | (a == 198) & b.isin(18, 19))
-    scheme = F.lower(F.coalesce(F.expr("try_parse_url(url, 'PROTOCOL')"), F.lit("")))
-    blocked = (host == "example.org") | F.endswith(host, F.lit(".example.org"))
-    return rows.select("page_id", (scheme.isin("http", "https") & (host != "") & ~blocked & ~private & (host != "localhost")).alias("allowed"))
+    """Why a policy refuses a url: a scheme, a host, a domain or a private network."""
+    return table(spark, sf, "pages").select("page_id", F.expr(_FORM).alias("url")).select("page_id", rules.url_reason(F.col("url"), POLICY).alias("reason"))
 
 
 @query("p17_result_projection", "SELECT doc_id, CASE WHEN source LIKE 'src1%' THEN 'wiki_page' WHEN text <> '' THEN 'document_chunk' ELSE 'document' END AS type, coalesce(nullif(trim(lang), 'xx'), source) AS title, CASE WHEN length(text) > 500 THEN left(text, 500) || '...' ELSE text END AS snippet FROM documents")
@@ -137,11 +131,24 @@ def fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").groupBy("lang").agg(F.count_if(own != F.concat_ws(":", "source", F.lit("en"), F.lit("0"))).alias("stale"))
 
 
-@query("p16_input_validation", "SELECT event_id, array_to_string(list_filter([CASE WHEN json_extract_string(props, '$.page') IS NULL THEN 'page: required' WHEN NOT regexp_matches(json_extract_string(props, '$.page'), '^-?[0-9]+$') THEN 'page: integer' END, CASE WHEN event_type NOT IN ('click', 'view', 'purchase') THEN 'type: enum' END], lambda e: e IS NOT NULL), '; ') AS errors FROM events")
+#: Inputs of a tool: good ones and one of each kind of fault, by id, with the event's own values in them.
+_INPUTS = ["'{\"query\": \"' || event_type || '\", \"limit\": ' || user_id || ', \"mode\": \"exact\"}'", "'{\"limit\": ' || user_id || '}'", "'{\"query\": \"  \"}'", "'{\"query\": null}'", "'{\"query\": ' || user_id || '}'", "'{\"query\": \"a\", \"limit\": \"' || user_id || '\"}'", "'{\"query\": \"a\", \"limit\": ' || user_id || '.5}'", "'{\"query\": \"a\", \"limit\": ' || user_id || '.0}'", "'{\"query\": \"a\", \"mode\": \"' || event_type || '\"}'", "'{\"query\": \"a\", \"exact\": \"yes\", \"ids\": {}}'", "'{\"query\": \"a\", \"ids\": [' || user_id || '], \"filter\": []}'", "'no json ' || user_id", "'[1, 2]'", "'{\"query\": \"a\", \"score\": true, \"other\": 1}'", "props"]
+_INPUT = f"CASE event_id % {len(_INPUTS)} " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(_INPUTS)) + " END"
+TOOL = {"required": ["query"], "properties": {"query": {"type": "string"}, "limit": {"type": "integer"}, "score": {"type": "number"}, "mode": {"type": "string", "enum": ["auto", "exact", "click"]}, "exact": {"type": "boolean"}, "ids": {"type": "array"}, "filter": {"type": "object"}}}
+
+
+def _typed(name: str, kind: str, allowed: str) -> str:
+    return f"CASE WHEN json_type(j, '$.{name}') <> 'NULL' AND NOT ({allowed.format(t=f"json_type(j, '$.{name}')", v=f"json_extract_string(j, '$.{name}')")}) THEN '{name}: {kind}' END"
+
+
+_NUMBERS = "{t} IN ('BIGINT', 'UBIGINT', 'DOUBLE')"
+_WRONG = ", ".join([_typed("query", "string", "{t} = 'VARCHAR'"), _typed("limit", "integer", f"{_NUMBERS} AND TRY_CAST({{v}} AS DOUBLE) % 1 = 0"), _typed("score", "number", _NUMBERS), _typed("mode", "string", "{t} = 'VARCHAR'"), "CASE WHEN json_type(j, '$.mode') = 'VARCHAR' AND json_extract_string(j, '$.mode') NOT IN ('auto', 'exact', 'click') THEN 'mode: enum' END", _typed("exact", "boolean", "{t} = 'BOOLEAN'"), _typed("ids", "array", "{t} = 'ARRAY'"), _typed("filter", "object", "{t} = 'OBJECT'")])
+
+
+@query("p16_input_validation", f"WITH i AS (SELECT event_id, {_INPUT} AS input FROM events), p AS (SELECT event_id, CASE WHEN json_valid(input) THEN input END AS j FROM i) SELECT event_id, CASE WHEN j IS NULL OR json_type(j) <> 'OBJECT' THEN 'json: invalid' WHEN coalesce(json_type(j, '$.query'), 'NULL') = 'NULL' THEN 'query: required' WHEN json_type(j, '$.query') = 'VARCHAR' AND trim(json_extract_string(j, '$.query')) = '' THEN 'query: blank' ELSE array_to_string(list_filter([{_WRONG}], lambda e: e IS NOT NULL), '; ') END AS errors FROM p")
 def input_validation(spark: SparkSession, sf: str) -> DataFrame:
-    page = F.get_json_object("props", "$.page")
-    checks = F.array(F.when(page.isNull(), "page: required").when(~page.rlike("^-?[0-9]+$"), "page: integer"), F.when(~F.col("event_type").isin("click", "view", "purchase"), "type: enum"))
-    return table(spark, sf, "events").select("event_id", F.array_join(F.filter(checks, lambda e: e.isNotNull()), "; ").alias("errors"))
+    """Tool inputs against a schema: required, blank, type, integer and enum faults each occur."""
+    return table(spark, sf, "events").select("event_id", F.array_join(rules.schema_errors(F.expr(_INPUT), TOOL), "; ").alias("errors"))
 
 
 @query("p15_status_predicates", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderpriority <> '5-LOW' AND o_custkey % 2 = 0 AND o_orderdate >= TIMESTAMP '1995-01-01' GROUP BY o_orderstatus")
