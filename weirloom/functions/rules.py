@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,7 +94,7 @@ def valid_rules(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> l
     for rule in rules:
         try:
             spark._jvm.java.util.regex.Pattern.compile(rule[2])
-        except Py4JJavaError:
+        except IllegalArgumentException:
             continue
         kept.append(rule)
     return kept

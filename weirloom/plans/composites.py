@@ -11,6 +11,7 @@ from weirloom.functions import vector
 from weirloom.operators import chunking
 from weirloom.operators import graph as G
 from weirloom.operators import ingest as I
+from weirloom.operators import guarded
 from weirloom.operators import retrieve as R
 from weirloom.plans import graphs, retrieval
 from weirloom.plans.registry import query, table
@@ -77,11 +78,19 @@ def conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, F.col("a.query_id") == F.col("b.query_id")).where("a.rank < b.rank AND a.kb <> b.kb").select("a.query_id", F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
 
 
-@query("t19_position_scores", "SELECT doc_id, round(1 - 0.05::DOUBLE * (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1), 6) AS score FROM documents")
-def position_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """The fallback of a reranking service that does not answer."""
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return table(spark, sf, "documents").select("doc_id", F.round(1 - 0.05 * place, 6).alias("score"))
+def _model(pairs: list) -> list:
+    """A stand-in for a reranking service, which does not answer where a text has a number of characters that seven divides."""
+    if any(len(text) % 7 == 0 for _, text in pairs):
+        raise ConnectionError("no answer")
+    return [round(1 / (1 + len(text) % 10), 6) for _, text in pairs]
+
+
+@query("t19_guarded_rerank", _ALL + ", s AS (SELECT f.query_id, f.doc_id, length(c.text) % 7 = 0 AS fallback, round(CASE WHEN length(c.text) % 7 = 0 THEN greatest(0, 1 - 0.05::DOUBLE * (f.rank - 1)) ELSE round(1.0::DOUBLE / (1 + length(c.text) % 10), 6) END, 9) AS score FROM fused f JOIN corpus c USING (doc_id)) SELECT query_id, doc_id, round(score, 6) AS score, fallback, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s")
+def guarded_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    """Reranking by a service that fails for some rows: these are scored by their old places, and none is lost."""
+    q, c = retrieval.queries(spark, sf).select("query_id", "query"), retrieval.corpus(spark, sf).select("doc_id", "text")
+    hits = retrieval.hybrid(spark, sf).select("query_id", "doc_id", "rank").join(c, "doc_id").join(R.bounded(q), "query_id")
+    return guarded.rerank(hits, _model, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "fallback", "rank")
 
 
 @query("m2_cosine_of_empty", "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 0.0 ELSE round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) END AS c FROM embeddings")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weirloom.functions import text as T
+from weirloom.operators import memory as M
 from weirloom.operators.retrieve import top
 from weirloom.plans.registry import query, table
 
@@ -63,13 +64,33 @@ def repeated_runs(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("user_id", "event_type", "island").agg(F.count("*").alias("n")).where("n >= 3")
 
 
-@query("q24_memory_instruction", f"WITH s AS (SELECT conv_id, turn, role || ': ' || left(text, 200) AS line, coalesce(sum(length(role || ': ' || left(text, 200))) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT *, {_BACK} AS b FROM conversations) WHERE b <= 6) SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS memory FROM s WHERE before < 500 GROUP BY conv_id")
+_TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _told(last: int, budget: int) -> str:
+    """SQL for the lines of each session's last messages within a budget in bytes."""
+    clean = _TRIM.format("text")
+    clip = f"CASE WHEN length({clean}) > 400 THEN left({clean}, 400) || '...' ELSE {clean} END"
+    line = f"CASE WHEN role = 'assistant' THEN '{M.ASSISTANT}' ELSE '{M.USER}' END || ': ' || {clip} || chr(10)"
+    told = _TRIM.format("string_agg(line, '' ORDER BY turn)")
+    return f"(SELECT conv_id, CASE WHEN length({told}) > {budget} THEN left({told}, {budget}) || '...' ELSE {told} END AS told FROM (SELECT *, coalesce(sum(octet_length(encode(line))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM (SELECT conv_id, turn, {line} AS line FROM (SELECT *, {_BACK} AS b FROM conversations) WHERE b <= {min(last, 12)} AND {clean} <> '')) WHERE spent < {budget} GROUP BY conv_id)"
+
+
+#: Every twentieth session is of the same user, the later the higher its number; every third has a title.
+_SESSIONS = "sess AS (SELECT DISTINCT conv_id, conv_id % 20 AS user_id, CASE WHEN conv_id % 3 = 0 THEN 'session ' || conv_id ELSE ' ' END AS title FROM conversations)"
+
+
+@query("q24_memory_instruction", f"""WITH {_SESSIONS}, a AS {_told(16, 1000)}, o AS {_told(4, 500)},
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY conv_id DESC) AS place FROM sess) WHERE place <= 5),
+p AS (SELECT s.conv_id, n.place, '{M.SESSION}' || coalesce(nullif(trim(n.title), ''), n.conv_id::VARCHAR) || chr(10) || o.told || chr(10) AS part FROM sess s JOIN n USING (user_id) JOIN o ON o.conv_id = n.conv_id WHERE n.conv_id <> s.conv_id),
+l AS (SELECT conv_id, {_TRIM.format("string_agg(part, '' ORDER BY place)")} AS t FROM (SELECT *, coalesce(sum(octet_length(encode(part))) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM p) WHERE spent < 1000 GROUP BY conv_id)
+SELECT conv_id, concat_ws(chr(10) || chr(10), '{M.SHORT_TERM.strip()}' || chr(10) || told, '{M.LONG_TERM.strip()}' || chr(10) || CASE WHEN length(t) > 1000 THEN left(t, 1000) || '...' ELSE t END) AS memory FROM sess LEFT JOIN a USING (conv_id) LEFT JOIN l USING (conv_id) WHERE told IS NOT NULL OR t IS NOT NULL""")
 def memory_instruction(spark: SparkSession, sf: str) -> DataFrame:
-    line = F.concat("role", F.lit(": "), F.left("text", F.lit(200)))
-    rows = last(table(spark, sf, "conversations"), 6).withColumn("line", line)
-    before = F.sum(F.char_length("line")).over(Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, -1))
-    kept = rows.withColumn("before", F.coalesce(before, F.lit(0))).where("before < 500")
-    return kept.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").alias("memory"))
+    """The session's own last messages, then the user's latest other sessions, within half of the budget each."""
+    rows = table(spark, sf, "conversations")
+    title = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("session "), F.col("conv_id").cast("string"))).otherwise(" ")
+    sessions = rows.select("conv_id").distinct().select("conv_id", (F.col("conv_id") % 20).alias("user_id"), F.col("conv_id").alias("updated"), title.alias("title"))
+    return M.instruction(rows, sessions, budget=2000)
 
 
 @query("q25_follow_up_evidence", "WITH e AS (SELECT conv_id, turn, CASE WHEN length(trim(text)) > 360 THEN left(trim(text), 360) || '...' ELSE trim(text) END AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role = 'assistant'), b AS (SELECT *, sum(octet_length(encode(c))) OVER (PARTITION BY conv_id ORDER BY n) AS total FROM e WHERE n <= 3) SELECT conv_id, count(*) AS n, sum(length(c))::BIGINT AS chars FROM b WHERE total <= 900 GROUP BY conv_id")

@@ -313,10 +313,15 @@ def json_arrays(spark: SparkSession, sf: str) -> DataFrame:
 # --- scalars -----------------------------------------------------------------------------------
 
 
-@query("x1_key_fallback", "SELECT event_id, coalesce(nullif(json_extract_string(props, '$.title'), ''), nullif(json_extract_string(props, '$.page'), ''), event_type) AS label FROM events")
+#: Each event's properties, with a title for every third and an empty one for every fifth.
+_PROPS = "CASE WHEN event_id % 3 = 0 THEN '{\"title\": \"t' || event_id || '\", \"k\": 1}' WHEN event_id % 5 = 0 THEN '{\"title\": \"\"}' ELSE props END"
+
+
+@query("x1_key_fallback", f"SELECT event_id, coalesce(nullif(json_extract_string({_PROPS}, '$.title'), ''), nullif(json_extract_string({_PROPS}, '$.k'), ''), event_type) AS label FROM events")
 def key_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    get = lambda k: F.nullif(F.get_json_object("props", f"$.{k}"), F.lit(""))
-    return table(spark, sf, "events").select("event_id", F.coalesce(get("title"), get("page"), F.col("event_type")).alias("label"))
+    """The title, else the key k, else the type: each of the three decides for some events."""
+    get = lambda k: F.nullif(F.get_json_object(F.expr(_PROPS), f"$.{k}"), F.lit(""))
+    return table(spark, sf, "events").select("event_id", F.coalesce(get("title"), get("k"), F.col("event_type")).alias("label"))
 
 
 @query("x2_metadata_merge", "SELECT doc_id, source || '/' || lang AS kb, 'override' AS origin FROM documents")
@@ -338,10 +343,10 @@ def csv_list(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.array_join(items, "|").alias("items"))
 
 
-@query("n1_json_predicate", "SELECT json_extract_string(props, '$.page') AS page, count(*) AS n FROM events WHERE json_extract_string(props, '$.page') IS NOT NULL GROUP BY 1")
+@query("n1_json_predicate", "SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events WHERE json_extract_string(props, '$.k') LIKE '1%' AND json_extract_string(props, '$.page') IS NULL GROUP BY 1")
 def json_predicate(spark: SparkSession, sf: str) -> DataFrame:
-    page = F.get_json_object("props", "$.page")
-    return table(spark, sf, "events").where(page.isNotNull()).groupBy(page.alias("page")).agg(F.count("*").alias("n"))
+    k = F.get_json_object("props", "$.k")
+    return table(spark, sf, "events").where(k.like("1%") & F.get_json_object("props", "$.page").isNull()).groupBy(k.alias("k")).agg(F.count("*").alias("n"))
 
 
 @query("n3_json_encode", "SELECT doc_id, '{\"id\":' || doc_id || ',\"kb\":\"' || lang || '\",\"n\":' || n_chars || '}' AS json FROM documents")
