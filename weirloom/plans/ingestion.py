@@ -202,24 +202,57 @@ def text_files(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("folder").agg(F.countDistinct("id").alias("files"), F.sum("n").cast("bigint").alias("letters"))
 
 
-@query("s12_eval_lines", "SELECT item_id::VARCHAR AS id, text AS question, item_id % 3 AS n_gold FROM benchmark")
+_SAMPLES = "x AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) AS n FROM benchmark WHERE item_id % 7 <> 3)"
+
+
+@query("s12_eval_lines", f"WITH {_SAMPLES} SELECT CASE WHEN item_id % 5 = 0 THEN 'sample_' || n ELSE item_id::VARCHAR END AS id, text AS question, item_id % 3 AS n_gold, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'default' END AS category FROM x")
 def eval_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Samples written as JSON lines by the labelled-sample writer and read back by the evaluation's loader."""
-    path = f"{sinks.scratch(spark)}/samples"
-    gold = F.transform(F.sequence(F.lit(1), F.col("item_id") % 3), lambda i: F.concat(F.lit("d"), i.cast("string")))
-    sinks.append_jsonl(table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), F.when(F.col("item_id") % 3 > 0, gold).otherwise(F.array().cast("array<string>")).alias("gold_docs")), path)
-    rows = spark.read.schema("id string, question string, gold_docs array<string>").json(path)
-    return rows.select("id", "question", F.coalesce(F.size("gold_docs"), F.lit(0)).cast("long").alias("n_gold"))
+    """Samples as JSON lines, some without id or category, some cut off, with blank lines and a byte order mark, read by the evaluation's loader."""
+    gold = F.when(F.col("item_id") % 3 > 0, F.transform(F.sequence(F.lit(1), F.col("item_id") % 3), lambda i: F.concat(F.lit("d"), i.cast("string")))).otherwise(F.array().cast("array<string>"))
+    own = F.to_json(F.struct(F.when(F.col("item_id") % 5 != 0, F.col("item_id").cast("string")).alias("id"), F.col("text").alias("question"), gold.alias("gold_docs"), F.when(F.col("item_id") % 2 == 0, "even").alias("category")))
+    line = F.when(F.col("item_id") % 7 == 3, F.left(own, F.lit(12))).when(F.col("item_id") % 4 == 0, F.concat(own, F.lit("\n  "))).otherwise(own)
+    items = table(spark, sf, "benchmark")
+    first = items.agg(F.min("item_id").alias("least"))
+    lines = items.join(first).select(F.concat(F.when(F.col("item_id") == F.col("least"), "﻿").otherwise(""), line).alias("value"), "item_id")
+    path = f"{scratch(spark)}/samples"
+    lines.repartitionByRange(4, "item_id").sortWithinPartitions("item_id").select("value").write.text(path)
+    rows = D.evaluation_samples(spark, path)
+    return rows.select("id", "question", F.size("gold_docs").cast("long").alias("n_gold"), "category")
+
+
+@query("s11_query_set", "SELECT item_id::VARCHAR AS id, text AS question, CASE WHEN item_id % 2 = 0 THEN 1 ELSE 2 END AS n_gold FROM benchmark")
+def query_set(spark: SparkSession, sf: str) -> DataFrame:
+    """A query set as one JSON array over many lines; such files are small by their nature and read whole."""
+    gold = F.when(F.col("item_id") % 2 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b")))
+    item = F.to_json(F.struct(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), gold.alias("gold_orig_doc_ids")))
+    items = table(spark, sf, "benchmark")
+    ends = items.agg(F.min("item_id").alias("least"), F.max("item_id").alias("most"))
+    lines = items.join(ends).select("item_id", F.concat(F.when(F.col("item_id") == F.col("least"), "[").otherwise(""), item, F.when(F.col("item_id") == F.col("most"), "]").otherwise(",")).alias("value"))
+    path = f"{scratch(spark)}/queries"
+    lines.repartitionByRange(1, "item_id").sortWithinPartitions("item_id").select("value").write.text(path)
+    return D.query_set(spark, path).select("id", "question", F.size("gold_orig_doc_ids").alias("n_gold"))
+
+
+@query("s13_judged_queries", "SELECT b.item_id::VARCHAR AS qid, count(*) AS n, sum(e.vec_id % 4)::BIGINT AS total FROM benchmark b JOIN embeddings e ON e.vec_id % 40 = b.item_id % 40 WHERE b.text <> '' AND e.vec_id % 9 <> 0 GROUP BY 1")
+def judged_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """A file of queries and one of judgements, with headers and lines without a number, through their loaders."""
+    path = scratch(spark)
+    b, e = table(spark, sf, "benchmark"), table(spark, sf, "embeddings")
+    header = lambda text: spark.createDataFrame([(text,)], "value string")
+    header("qid\ttext").union(b.select(F.concat_ws("\t", F.col("item_id").cast("string"), F.regexp_replace("text", r"\s+", " ")))).write.text(f"{path}/queries")
+    pairs = e.join(b, e.vec_id % 40 == b.item_id % 40).select(F.concat_ws("\t", F.col("item_id").cast("string"), F.lit("0"), F.col("vec_id").cast("string"), F.when(F.col("vec_id") % 9 == 0, "none").otherwise((F.col("vec_id") % 4).cast("string"))))
+    header("qid\t0\tpid\trel").union(pairs).write.text(f"{path}/judged")
+    judged = D.judgements(spark, f"{path}/judged").join(D.tab_queries(spark, f"{path}/queries").select("qid"), "qid", "left_semi")
+    return judged.groupBy("qid").agg(F.count("*").alias("n"), F.sum("rel").alias("total"))
 
 
 @query("s14_wanted_lines", "SELECT d.doc_id::VARCHAR AS id, md5(regexp_replace(d.text, '\\s+', ' ', 'g')) AS hash FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 1")
 def wanted_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """A large tab-separated file scanned for the ids that are wanted."""
-    path = f"{sinks.scratch(spark)}/collection"
+    """A large tab-separated file scanned by its loader for the ids that are wanted."""
+    path = f"{scratch(spark)}/collection"
     table(spark, sf, "documents").select(F.concat_ws("\t", "doc_id", F.regexp_replace("text", r"\s+", " ")).alias("value")).write.text(path)
-    wanted = table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("id")).distinct()
-    rows = spark.read.text(path).select(F.split_part("value", F.lit("\t"), F.lit(1)).alias("id"), F.split_part("value", F.lit("\t"), F.lit(2)).alias("text"))
-    return rows.join(wanted, "id", "left_semi").select("id", F.md5("text").alias("hash"))
+    wanted = table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("pid"))
+    return D.wanted_passages(spark, path, wanted).select(F.col("pid").alias("id"), F.md5("text").alias("hash"))
 
 
 @query("k9_jsonl_append", "SELECT event_id, event_type, user_id FROM events UNION ALL SELECT event_id, event_type, user_id FROM events")

@@ -150,25 +150,43 @@ def parsed_files(spark: SparkSession, folder: str, fallback: Column | None = Non
     return rows.select(document_id(F.col("source")).alias("id"), "source", content.alias("content"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows (part, at, ..) with n, their place from 1 by (part, at): places within parts and the sizes of the parts before, so no single task."""
+    own = rows.withColumn("own", F.row_number().over(Window.partitionBy("part").orderBy("at")))
+    sizes = rows.groupBy("part").agg(F.count("*").alias("size"))  # a row for each block of a file
+    before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
+    return own.join(before, "part").withColumn("n", F.col("before") + F.col("own")).drop("part", "at", "own", "before")
+
+
 def evaluation_samples(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines (id, question, gold_docs, category): malformed and blank lines are dropped, missing ids and categories filled in."""
+    """JSON lines (id, question, gold_docs, category): malformed and blank lines are dropped, missing ids and categories filled in, a byte order mark is skipped."""
     schema = "id string, question string, gold_docs array<string>, category string"
-    lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("value"), F.monotonically_increasing_id().alias("at"))
-    rows = lines.where(F.trim("value") != "").select(F.from_json("value", schema).alias("s"), "at").where("s.question IS NOT NULL")
-    n = F.row_number().over(Window.orderBy("at"))  # evaluation files are small
-    return rows.select(F.coalesce("s.id", F.concat(F.lit("sample_"), n.cast("string"))).alias("id"), "s.question", "s.gold_docs", F.coalesce("s.category", F.lit("default")).alias("category"))
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("value"), F.struct("_metadata.file_path", "_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"))
+    rows = numbered(lines.where(F.trim("value") != "").select(F.from_json("value", schema).alias("s"), "part", "at").where("s.question IS NOT NULL"))
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return rows.select(F.coalesce(blank("s.id"), F.concat(F.lit("sample_"), F.col("n").cast("string"))).alias("id"), "s.question", "s.gold_docs", F.coalesce(blank("s.category"), F.lit("default")).alias("category"))
 
 
 def query_set(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("id string, question string, gold_orig_doc_ids array<string>, category string").json(path, multiLine=True)
 
 
+def _tabs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Tab-separated lines as they are: quotes are characters like any other."""
+    return spark.read.csv(path, sep="\t", quote="", schema=schema)
+
+
+def tab_queries(spark: SparkSession, path: str) -> DataFrame:
+    """Tab-separated (qid, text); a header and lines without a text are skipped."""
+    return _tabs(spark, path, "qid string, text string").where("text IS NOT NULL AND NOT lower(trim(qid)) IN ('qid', 'query_id')")
+
+
 def judgements(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated (qid, 0, pid, rel); a header and rows without a number are skipped."""
-    rows = spark.read.csv(path, sep="\t", schema="qid string, zero string, pid string, rel string")
+    rows = _tabs(spark, path, "qid string, zero string, pid string, rel string")
     return rows.select("qid", "pid", F.col("rel").try_cast("int").alias("rel")).where("rel IS NOT NULL")
 
 
 def wanted_passages(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """Rows (pid, text) of a large tab-separated file whose id is wanted."""
-    return spark.read.csv(path, sep="\t", schema="pid string, text string").join(wanted.select("pid").distinct(), "pid", "left_semi")
+    return _tabs(spark, path, "pid string, text string").join(wanted.select("pid").distinct(), "pid", "left_semi")
