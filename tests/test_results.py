@@ -118,3 +118,24 @@ def test_ties_are_cut_inside_a_batch(spark):
     value, order = retrieve.np.ones((500, 3)), retrieve.np.arange(500)[::-1]
     row, query = retrieve.best_rows(value, order, 5, 0.0)
     assert sorted(zip(query.tolist(), row.tolist())) == [(q, r) for q in range(3) for r in range(495, 500)]
+
+
+def test_places_in_groups_of_any_size(spark):
+    rows = spark.createDataFrame([("hot", i % 300) for i in range(900)] + [("a", 1), (None, 2), (None, None), ("b", None)], "g string, v long")
+    got = retrieve.numbered(rows, ["g"], "v").collect()
+    for g in ("hot", "a", "b", None):
+        own = sorted((r["n"], r["v"]) for r in got if r["g"] == g and r["v"] is not None)
+        assert [v for _, v in own] == sorted(v for _, v in own)
+        assert sorted(r["n"] for r in got if r["g"] == g) == list(range(1, 1 + sum(r["g"] == g for r in got)))
+    assert [r["v"] for r in got if r["g"] is None and r["n"] == 1] == [None]
+
+
+def test_items_of_answers(spark):
+    from weirloom.operators import imports
+
+    good = 'ok {"nodes": [{"name": " A ", "type": "T", "attributes": ["x"]}, {"name": "B"}, {"name": ""}], "relations": [{"src": "A", "dst": "B", "type": "is a"}, {"src": "A", "dst": "A", "type": "t"}, {"src": "A", "dst": "C"}, {"src": "A ", "dst": "B", "type": "is a"}]} done'
+    rows = [(1, good), (2, good.replace('"T"', '"U"')), (3, "nothing"), (4, "{broken"), (5, None), (6, '{"nodes": []}')]
+    found = imports.items(spark.createDataFrame(rows, "chunk long, answer string"))
+    assert [r["chunk"] for r in found.where("failed").orderBy("chunk").collect()] == [3, 4, 5]
+    assert sorted(map(tuple, imports.graph_nodes(found).collect())) == [("A", "T", 2, ["x"]), ("B", None, 2, [])]
+    assert list(map(tuple, imports.graph_relations(found).collect())) == [("A", "B", "is_a", 2)]

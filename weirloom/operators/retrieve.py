@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weirloom.sources.sinks import scratch
+from weirloom.sources.sinks import durable, scratch
 
 BROADCAST_QUERIES = 10_000
 #: Corpus rows that a task scores at once: a matrix of this times BROADCAST_QUERIES numbers at most.
@@ -50,6 +50,23 @@ def top(rows: DataFrame, k: int, keys: list[str], *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def numbered(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """rows with n, the place from 1 within keys by order, nulls first, where a group may be of any size.
+
+    A range sort deals groups over tasks; a task numbers what it has of a group, and a table of a
+    row for each task and group says how many came before. Equal rows are numbered in any order.
+    """
+    count = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartitionByRange(count, *(F.asc_nulls_first(c) for c in [*keys, *order])).withColumn("_part", F.spark_partition_id())
+    dealt = durable(dealt)
+    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*(F.asc_nulls_first(c) for c in order))))
+    sizes = dealt.groupBy("_part", *keys).agg(F.count("*").alias("_size"))
+    so_far = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_size")
+    before = sizes.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_part").alias("_p"), so_far.alias("_before"))
+    same = [own[k].eqNullSafe(before[f"_{k}"]) for k in keys] + [own["_part"] == before["_p"]]
+    return own.join(before, same).select(*rows.columns, (F.col("_before") + F.col("_own")).alias("n"))
+
+
 Scores = Callable[[pa.RecordBatch], np.ndarray]
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirloom.plans.registry import query, table
+from weirloom.sources.sinks import durable
 
 # knowledge bases are suppliers, users customers; tenants (5 bases, 75 users) and organisations (15 users) follow from key arithmetic, so both sides of a join grow together
 _KB = "kb AS (SELECT s_suppkey AS kb_id, s_suppkey // 5 AS tenant FROM supplier)"
@@ -132,7 +133,7 @@ def tag_tree(spark: SparkSession, sf: str) -> DataFrame:
     out, depth = level, 0
     while not level.isEmpty():
         depth += 1
-        level = rows.where("id > 5").join(level.select(F.col("id").alias("parent"), "root"), "parent").select("id", "root", F.lit(depth).alias("depth"))
+        level = durable(rows.where("id > 5").join(level.select(F.col("id").alias("parent"), "root"), "parent").select("id", "root", F.lit(depth).alias("depth")))
         out = out.union(level)
     return out
 

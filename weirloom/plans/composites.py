@@ -11,7 +11,7 @@ from weirloom.functions import vector
 from weirloom.operators import chunking
 from weirloom.operators import graph as G
 from weirloom.operators import ingest as I
-from weirloom.operators import guarded
+from weirloom.operators import guarded, imports
 from weirloom.operators import retrieve as R
 from weirloom.plans import graphs, retrieval
 from weirloom.plans.registry import query, table
@@ -152,8 +152,8 @@ def progress(spark: SparkSession, sf: str) -> DataFrame:
 @query("q16_ingest_parsed", "SELECT doc_id, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 64 AS batch FROM documents")
 def ingest_parsed(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks numbered into embedding batches of 64 by knowledge base."""
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1
-    return table(spark, sf, "documents").select("doc_id", F.floor(place / 64).alias("batch"))
+    rows = R.numbered(table(spark, sf, "documents").select("lang", "doc_id"), ["lang"], "doc_id")
+    return rows.select("doc_id", F.floor((F.col("n") - 1) / 64).alias("batch"))
 
 
 @query("q20_enrichment", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '[上下文: ' || lang || ']' || chr(10) || text ELSE text END AS chunk FROM documents")
@@ -164,12 +164,30 @@ def enrichment(spark: SparkSession, sf: str) -> DataFrame:
     return I.upsert(base, richer, ["doc_id"]).select("doc_id", "chunk")
 
 
-@query("q21_graph_build", "WITH i AS (SELECT DISTINCT l_orderkey AS chunk, l_suppkey AS name FROM lineitem) SELECT a.name AS src, b.name AS dst, count(*) AS n FROM i a JOIN i b ON a.chunk = b.chunk AND a.name < b.name GROUP BY ALL")
+#: What a model would answer for an order: its suppliers as nodes, each related to the one of the next line; of every fiftieth order it answers nonsense.
+_EXTRACTED = "x AS (SELECT l_orderkey AS chunk, l_linenumber AS line, 'S' || l_suppkey AS name, l_returnflag AS type, l_linestatus AS attribute FROM lineitem WHERE l_orderkey % 50 <> 0)"
+
+
+def extracted(spark: SparkSession, sf: str) -> DataFrame:
+    """(chunk, answer): an answer has as many items as its order has lines, seven at most."""
+    name = F.concat(F.lit(" S"), F.col("l_suppkey").cast("string"))
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", name.alias("name"), F.col("l_returnflag").alias("type"), F.array("l_linestatus").alias("attributes")))).alias("lines"))
+    nodes = F.transform("lines", lambda x: F.struct(x["name"].alias("name"), x["type"].alias("type"), x["attributes"].alias("attributes")))
+    pairs = F.zip_with(F.slice("lines", F.lit(1), F.size("lines") - 1), F.slice("lines", F.lit(2), F.size("lines")), lambda a, b: F.struct(a["name"].alias("src"), b["name"].alias("dst"), F.lit("next to!").alias("type")))
+    answer = F.concat(F.lit("Here it is:\n```json\n"), F.to_json(F.struct(nodes.alias("nodes"), pairs.alias("relations"))), F.lit("\n```"))
+    return rows.select("chunk", F.when(F.col("chunk") % 50 == 0, "I cannot {").otherwise(answer).alias("answer"))
+
+
+@query("q21_graph_build", f"WITH {_EXTRACTED}, p AS (SELECT DISTINCT a.chunk, a.name AS src, b.name AS dst FROM (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY line, name) AS n FROM x) a JOIN (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY line, name) AS n FROM x) b ON a.chunk = b.chunk AND b.n = a.n + 1 WHERE a.name <> b.name) SELECT src, dst, 'next_to' AS type, count(*) AS n FROM p GROUP BY ALL")
 def graph_build(spark: SparkSession, sf: str) -> DataFrame:
-    """Entities of one chunk are related; an order's suppliers are its chunk's entities (at most seven)."""
-    items = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("chunk"), F.col("l_suppkey").alias("name")).distinct()
-    a, b = items.alias("a"), items.alias("b")
-    return a.join(b, F.col("a.chunk") == F.col("b.chunk")).where("a.name < b.name").groupBy(F.col("a.name").alias("src"), F.col("b.name").alias("dst")).agg(F.count("*").alias("n"))
+    """Relations from a model's answers, chunk by chunk."""
+    return imports.graph_relations(imports.items(extracted(spark, sf)))
+
+
+@query("q21_graph_nodes", f"WITH {_EXTRACTED} SELECT name, min_by(type, struct_pack(c := chunk, t := type)) AS type, count(DISTINCT chunk) AS chunks, array_to_string(list_sort(list(DISTINCT attribute)), ',') AS attributes FROM x GROUP BY name")
+def graph_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of the same answers, merged by name."""
+    return imports.graph_nodes(imports.items(extracted(spark, sf))).withColumn("attributes", F.array_join("attributes", ","))
 
 
 @query("q22_code_index")

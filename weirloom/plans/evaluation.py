@@ -172,7 +172,7 @@ def passage_cap(spark: SparkSession, sf: str) -> DataFrame:
     return sample.passages(g, sample.sample_queries(g, 30, 3), 2000)
 
 
-@query("q26_candidate_labels", "SELECT conv_id, array_to_string(list(k ORDER BY turn), '|') AS candidates FROM (SELECT conv_id, left(trim(text), 8) AS k, min(turn) AS turn FROM conversations WHERE trim(text) <> '' GROUP BY ALL) GROUP BY conv_id")
+@query("q26_candidate_labels", "SELECT conv_id, array_to_string(list(k ORDER BY turn), '|') AS candidates FROM (SELECT conv_id, trim(text) AS k, min(turn) AS turn FROM conversations WHERE trim(text) <> '' GROUP BY ALL) GROUP BY conv_id")
 def candidate_labels(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "conversations").where("trim(text) <> ''").groupBy("conv_id", F.left(F.trim("text"), F.lit(8)).alias("k")).agg(F.min("turn").alias("turn"))
+    rows = table(spark, sf, "conversations").where("trim(text) <> ''").groupBy("conv_id", F.trim("text").alias("k")).agg(F.min("turn").alias("turn"))
     return rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "k"))), lambda x: x["k"]), "|").alias("candidates"))

@@ -204,9 +204,16 @@ def hits_then_links(spark: SparkSession, sf: str) -> DataFrame:
     return R.top(firsts, 14, ["query_id", "kb"], F.asc("o"), F.asc("id")).select("query_id", "kb", "id", "o")
 
 
-@query("q23_wiki_compile", f"WITH {_PAGES}, {_LINKS} SELECT w.kb, count(DISTINCT w.id) AS n_pages, count(l.target_path) AS n_links, count(p.id) AS n_resolved, string_agg(DISTINCT w.path, chr(10) ORDER BY w.path) AS index FROM wp w JOIN wl l ON l.id = w.id LEFT JOIN wp p ON p.kb = l.kb AND p.path = l.target_path GROUP BY w.kb")
+@query("q23_wiki_compile", f"WITH {_PAGES}, {_LINKS} SELECT w.kb, count(DISTINCT w.id) AS n_pages, count(l.target_path) AS n_links, count(p.id) AS n_resolved FROM wp w JOIN wl l ON l.id = w.id LEFT JOIN wp p ON p.kb = l.kb AND p.path = l.target_path GROUP BY w.kb")
 def wiki_compile(spark: SparkSession, sf: str) -> DataFrame:
     pages, _ = wiki(spark, sf)
     links = link_resolution(spark, sf).groupBy("id").agg(F.count("*").alias("n"), F.count("target_id").alias("r"))
-    rows = pages.join(links, "id").groupBy("kb")
-    return rows.agg(F.count("*").alias("n_pages"), F.sum("n").alias("n_links"), F.sum("r").alias("n_resolved"), F.array_join(F.array_sort(F.collect_list("path")), "\n").alias("index"))
+    return pages.join(links, "id").groupBy("kb").agg(F.count("*").alias("n_pages"), F.sum("n").alias("n_links"), F.sum("r").alias("n_resolved"))
+
+
+@query("q23_wiki_index", f"WITH {_PAGES} SELECT kb, row_number() OVER (PARTITION BY kb ORDER BY path) AS place, '- [[' || path || ']]' AS line FROM wp")
+def wiki_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The index page of each base, a row a line in order of paths: a base may have any number of pages."""
+    pages, _ = wiki(spark, sf)
+    lines = R.numbered(pages.select("kb", "path"), ["kb"], "path")
+    return lines.select("kb", F.col("n").alias("place"), F.concat(F.lit("- [["), "path", F.lit("]]")).alias("line"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirloom.functions import vector
+from weirloom.operators import imports
 from weirloom.operators import ingest as I
 from weirloom.operators import retrieve as R
 from weirloom.plans.registry import query, table
@@ -96,15 +97,30 @@ def multiset(spark: SparkSession, sf: str) -> DataFrame:
     return n(a.intersectAll(b), "both").union(n(a.exceptAll(b), "gone")).union(n(b.exceptAll(a), "come"))
 
 
-@query("q17_exact_duplicates", "SELECT lang, sha256(text) AS hash, min(doc_id) AS first, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1")
+#: Records of imports: even documents are known, odd ones come in. Every third is a url, every tenth has failed, every seventeenth has no hash.
+_RECORD = "doc_id AS id, lang AS kb, CASE WHEN doc_id % 3 = 0 THEN 'url' WHEN doc_id % 41 = 0 THEN 'text' ELSE 'file' END AS source_type, source || '/' || n_chars % 40 AS file_name, CASE WHEN doc_id % 4 < 2 THEN '' ELSE 'http://' || source || '/' || n_chars % 40 END AS url, 'http://' || source || '/' || n_chars % 40 AS metadata_url, CASE WHEN doc_id % 10 = 4 THEN 'failed' ELSE 'completed' END AS status, n_chars % 9 AS chunks"
+_RECORDS = f"r AS (SELECT {_RECORD}, CASE WHEN doc_id % 17 = 0 THEN '' ELSE sha256(text) END AS hash FROM documents), old AS (SELECT * FROM r WHERE id % 2 = 0), new AS (SELECT * FROM r WHERE id % 2 = 1)"
+
+
+def records(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf, "documents").select(F.expr(f"struct({_RECORD}) AS r"), F.when(F.col("doc_id") % 17 == 0, "").otherwise(F.sha2("text", 256)).alias("hash"))
+    rows = rows.select("r.*", "hash").withColumn("at", F.col("id"))
+    return rows.where("id % 2 = 1"), rows.where("id % 2 = 0")
+
+
+@query("q17_exact_duplicates", f"WITH {_RECORDS}, l AS (SELECT kb, hash, max_by(struct_pack(id := id, status := status), id) AS last FROM old WHERE source_type = 'file' AND hash <> '' GROUP BY ALL) SELECT new.id, CASE WHEN new.source_type = 'file' AND last.status = 'completed' THEN last.id END AS duplicate_of FROM new LEFT JOIN l USING (kb, hash)")
 def exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").groupBy("lang", F.sha2("text", 256).alias("hash")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    """Files that a completed record of the same base already holds."""
+    return imports.duplicates(*records(spark, sf))
+
+
+_NAMED = "CASE source_type WHEN 'file' THEN nullif(file_name, '') WHEN 'url' THEN coalesce(nullif(url, ''), nullif(metadata_url, '')) END AS name"
 
 
-@query("q19_same_source_replace", "SELECT d.doc_id, m.latest FROM documents d JOIN (SELECT source, lang, max(doc_id) AS latest FROM documents GROUP BY ALL) m USING (source, lang)")
+@query("q19_same_source_replace", f"WITH {_RECORDS}, o AS (SELECT *, {_NAMED} FROM old), l AS (SELECT kb, source_type, name, max_by(struct_pack(id := id, hash := hash, chunks := chunks), id) AS last FROM o WHERE name IS NOT NULL GROUP BY ALL), n AS (SELECT *, {_NAMED} FROM new) SELECT n.id, coalesce(last.id, n.id) AS use_id, last IS NOT NULL AS replaces, coalesce(nullif(n.hash, ''), last.hash) AS hash, coalesce(last.chunks, 0) AS chunks FROM n LEFT JOIN l ON l.kb = n.kb AND l.source_type = n.source_type AND l.name = n.name")
 def same_source(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "source", "lang")
-    return docs.join(docs.groupBy("source", "lang").agg(F.max("doc_id").alias("latest")), ["source", "lang"]).select("doc_id", "latest")
+    """Files by name and urls by address take over the record they replace."""
+    return imports.replacements(*records(spark, sf))
 
 
 _UP = "u AS (SELECT vec_id + 250 AS vec_id, label + 100 AS label FROM embeddings WHERE label < 5)"

@@ -56,8 +56,8 @@ def keyword_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: The graph's entities: a document mentions its three longest words of six letters or more; a query names the entities that are among its words.
-_GRAPH = """ent AS (SELECT doc_id, unnest(list_transform((list_sort(list_transform(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) >= 6)), lambda w: lpad((1000 - least(length(w), 999))::varchar, 4, '0') || w)))[1:3], lambda w: w[5:])) AS entity FROM documents),
-named AS (SELECT query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(query), '[^a-z]+'), lambda w: length(w) >= 6))) AS entity FROM queries),
+_GRAPH = """ent AS (SELECT doc_id, unnest(list_transform((list_sort(list_transform(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda w: length(w) >= 6)), lambda w: lpad((1000 - least(length(w), 999))::varchar, 4, '0') || w)))[1:3], lambda w: w[5:])) AS entity FROM documents),
+named AS (SELECT query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(query), '[^\\p{L}]+'), lambda w: length(w) >= 6))) AS entity FROM queries),
 hit AS (SELECT DISTINCT query_id, doc_id FROM named JOIN ent USING (entity)),
 ctx AS (SELECT query_id, 'entities: ' || string_agg(DISTINCT entity, ', ' ORDER BY entity) AS context FROM named SEMI JOIN ent USING (entity) GROUP BY query_id),
 b AS (SELECT f.query_id, f.doc_id, CASE WHEN h.doc_id IS NOT NULL THEN round(least(1.0, f.score * 1.2), 9) ELSE f.score END AS score, f.hits, f.contributions, CASE WHEN h.doc_id IS NOT NULL THEN 'hybrid' ELSE f.match_type END AS match_type FROM fused f LEFT JOIN hit h ON h.query_id = f.query_id AND h.doc_id = f.doc_id),
@@ -68,14 +68,14 @@ _GRAPHED = f"{_ALL}, {_GRAPH}"
 
 def entities(docs: DataFrame) -> DataFrame:
     """(doc_id, entity) of the graph's mentions."""
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.char_length(w) >= 6))
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.char_length(w) >= 6))
     longest = F.slice(F.array_sort(F.transform(words, lambda w: F.struct((-F.char_length(w)).alias("n"), w.alias("w")))), 1, 3)
     return docs.select("doc_id", F.explode(F.transform(longest, lambda x: x["w"])).alias("entity"))
 
 
 def named(q: DataFrame) -> DataFrame:
     """(query_id, entity) of the words by which queries may name entities."""
-    return q.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("query"), "[^a-z]+"), lambda w: F.char_length(w) >= 6))).alias("entity"))
+    return q.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("query"), r"[^\p{L}]+"), lambda w: F.char_length(w) >= 6))).alias("entity"))
 
 
 def graph_hits(spark: SparkSession, sf: str) -> DataFrame:
@@ -287,7 +287,8 @@ def knowledge_tool(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("w1_source_ranks", "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents")
 def source_ranks(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))
+    rows = R.numbered(table(spark, sf, "documents").select("source", "doc_id", (-F.col("n_chars")).alias("less")), ["source"], "less", "doc_id")
+    return rows.select("source", "doc_id", F.col("n").alias("rank"))
 
 
 @query("w15_first_seen", "SELECT doc_id, lang, key FROM (SELECT doc_id, lang, key, row_number() OVER (PARTITION BY lang, key ORDER BY doc_id) AS rn FROM (SELECT doc_id, lang, CASE WHEN n_chars % 7 = 0 THEN '' ELSE (n_chars % 100)::varchar END AS key FROM documents)) WHERE rn = 1 OR key = ''")

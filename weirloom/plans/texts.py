@@ -10,6 +10,7 @@ from weirloom.functions import rules
 from weirloom.functions import text as T
 from weirloom.operators import chunking
 from weirloom.plans import retrieval
+from weirloom.operators.retrieve import numbered
 from weirloom.plans.registry import query, table
 
 #: Short messages that exercise every detector, beside the tables' own texts.
@@ -121,8 +122,9 @@ def result_projection(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("p18_evidence_projection", "SELECT 'ev-' || row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS ev_id, lang, doc_id, source, CASE WHEN length(trim(text)) > 4000 THEN left(trim(text), 4000) || '...' ELSE trim(text) END AS content FROM documents")
 def evidence_projection(spark: SparkSession, sf: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
-    return table(spark, sf, "documents").select(F.concat(F.lit("ev-"), rank.cast("string")).alias("ev_id"), "lang", "doc_id", "source", T.truncated(F.trim("text"), 4000).alias("content"))
+    docs = table(spark, sf, "documents")
+    place = numbered(docs.select("lang", "doc_id"), ["lang"], "doc_id").select("doc_id", "n")
+    return docs.join(place, "doc_id").select(F.concat(F.lit("ev-"), F.col("n").cast("string")).alias("ev_id"), "lang", "doc_id", "source", T.truncated(F.trim("text"), 4000).alias("content"))
 
 
 @query("p19_fingerprint", "SELECT lang, count(*) FILTER (WHERE concat_ws(':', source, lang, (n_chars % 3)::varchar) <> concat_ws(':', source, 'en', '0')) AS stale FROM documents GROUP BY lang")
