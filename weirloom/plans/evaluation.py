@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirloom.functions import text as T
 from weirloom.operators import evaluate as E
 from weirloom.operators import patterns, sample
 from weirloom.plans import retrieval
 from weirloom.plans.registry import query, table
+from weirloom.sources.sinks import durable
 
 _ALL = retrieval._ALL
+_FOUR = ("vector", "hybrid", "hybrid_rerank", "full")
 #: Gold of a query: the documents that contain its whole text; results of both strategies.
 _RESULTS = "res AS (SELECT 'vector' AS strategy, query_id, doc_id, rank FROM v WHERE rank <= 10 UNION ALL SELECT 'hybrid', query_id, doc_id, rank FROM fused), gold AS (SELECT DISTINCT q.query_id, c.doc_id FROM queries q JOIN corpus c ON q.query <> '' AND contains(c.text, q.query))"
 _IDEAL = "list_sum(list_transform(range(1, {d} + 1), lambda i: 1 / log2(i + 1)))"
@@ -22,9 +25,17 @@ m AS (SELECT s.strategy, s.query_id, coalesce(total, 0) > 0 AS labelled, CASE WH
  CASE WHEN hits > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit, coalesce(1.0 / first, 0) AS mrr, least(1.0, coalesce(dcg / {_IDEAL.format(d='least(total, n)')}, 0)) AS ndcg FROM s LEFT JOIN tot USING (query_id) LEFT JOIN per USING (strategy, query_id))"""
 
 
-def results(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = retrieval.lists(spark, sf).where("source = 'vector' AND rank <= 10").select(F.lit("vector").alias("strategy"), "query_id", "doc_id", "rank")
-    return vectors.union(retrieval.hybrid(spark, sf).select(F.lit("hybrid"), "query_id", "doc_id", "rank"))
+def results(spark: SparkSession, sf: str, four: bool = False) -> DataFrame:
+    """(strategy, query_id, doc_id, rank) of vector and hybrid search; four: also of hybrid search reranked, and of that without evidence of low quality."""
+    lists = durable(retrieval.lists(spark, sf))
+    fused = durable(retrieval.R.fuse(lists, 10).select("query_id", "doc_id", "rank"))
+    out = lists.where("source = 'vector' AND rank <= 10").select(F.lit("vector").alias("strategy"), "query_id", "doc_id", "rank").union(fused.select(F.lit("hybrid"), "query_id", "doc_id", "rank"))
+    if four:
+        q, c = retrieval.queries(spark, sf).select("query_id", "query"), retrieval.corpus(spark, sf).select("doc_id", "text")
+        hits = durable(c.join(fused.drop("rank"), "doc_id").join(retrieval.R.bounded(q), "query_id"))
+        for name, rows in (("hybrid_rerank", hits), ("full", hits.where(~T.low_quality(F.col("text"))))):
+            out = out.union(retrieval.R.rerank_local(rows, 10).select(F.lit(name), "query_id", "doc_id", "rank"))
+    return out
 
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,11 +44,11 @@ def gold(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("pattern_id").alias("query_id"), F.col("text_id").alias("doc_id"))
 
 
-def measured(spark: SparkSession, sf: str, variant: str) -> DataFrame:
+def measured(spark: SparkSession, sf: str, variant: str, four: bool = False) -> DataFrame:
     key = F.concat_ws("/", "strategy", "query_id")
-    res = results(spark, sf).select(key.alias("id"), F.col("doc_id").alias("doc"), "rank")
-    strategies = spark.createDataFrame([("vector",), ("hybrid",)], "strategy string")
-    want = gold(spark, sf).join(F.broadcast(strategies)).select(key.alias("id"), F.col("doc_id").alias("doc"))  # two rows
+    res = results(spark, sf, four).select(key.alias("id"), F.col("doc_id").alias("doc"), "rank")
+    strategies = spark.createDataFrame([(n,) for n in (_FOUR if four else _FOUR[:2])], "strategy string")
+    want = gold(spark, sf).join(F.broadcast(strategies)).select(key.alias("id"), F.col("doc_id").alias("doc"))  # four rows at most
     every = retrieval.queries(spark, sf).select("query_id").join(F.broadcast(strategies)).select(key.alias("id"))
     out = E.metrics(res, want, 10, variant, every)
     return out.select(F.split_part("id", F.lit("/"), F.lit(1)).alias("strategy"), F.split_part("id", F.lit("/"), F.lit(2)).cast("long").alias("query_id"), "labelled", "recall", "precision", "hit", "mrr", "ndcg")
@@ -70,10 +81,15 @@ def summary(spark: SparkSession, sf: str) -> DataFrame:
     return E.summary(measured(spark, sf, "new"), ["strategy"])
 
 
-@query("q27_strategy_matrix", f"{_ALL}, {_RESULTS}, {_METRICS} SELECT strategy, query_id % 4 AS category, grouping(strategy) AS g1, grouping(query_id % 4) AS g2, count(*) AS n, round(avg(hit), 6) AS hit FROM m GROUP BY ROLLUP (strategy, query_id % 4)")
+_RERANKED = "SELECT f.query_id, f.doc_id, c.body, round(len(list_filter(string_split(lower(q.query), ''), lambda c: contains(lower(body), c))) / length(q.query)::DOUBLE / 2, 9) AS score FROM fused f JOIN queries q USING (query_id) JOIN (SELECT doc_id, text AS body, text FROM corpus) c USING (doc_id)"
+_RESULTS4 = f"rr AS MATERIALIZED ({_RERANKED}), lq AS (SELECT doc_id, {retrieval._LOWQ} AS low FROM documents), " + _RESULTS.replace("FROM fused)", "FROM fused UNION ALL SELECT 'hybrid_rerank', query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) FROM rr UNION ALL SELECT 'full', query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) FROM rr JOIN lq USING (doc_id) WHERE NOT low)", 1)
+
+
+@query("q27_strategy_matrix", f"{_ALL}, {_RESULTS4}, {_METRICS.replace("('hybrid'))", "('hybrid'), ('hybrid_rerank'), ('full'))")} SELECT strategy, query_id % 4 AS category, grouping(strategy) AS g1, grouping(query_id % 4) AS g2, count(*) AS n, round(avg(hit), 6) AS hit, round(avg(ndcg), 6) AS ndcg FROM m GROUP BY ROLLUP (strategy, query_id % 4)")
 def strategy_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    rows = measured(spark, sf, "new").withColumn("category", F.col("query_id") % 4)
-    return rows.rollup("strategy", "category").agg(F.grouping("strategy").cast("long").alias("g1"), F.grouping("category").cast("long").alias("g2"), F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("hit"))
+    """Four strategies by category, with totals."""
+    rows = measured(spark, sf, "new", four=True).withColumn("category", F.col("query_id") % 4)
+    return rows.rollup("strategy", "category").agg(F.grouping("strategy").cast("long").alias("g1"), F.grouping("category").cast("long").alias("g2"), F.count("*").alias("n"), *(F.round(F.avg(c), 6).alias(c) for c in ("hit", "ndcg")))
 
 
 @query("a11_percentiles", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
