@@ -79,12 +79,13 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
     return S.sessions(events).select("user_id", F.col("w.start").alias("start"), "n")
 
 
-@query("e1_redelivery")
+@query("e1_redelivery", "SELECT DISTINCT user_id AS task_id FROM events")
 def redelivery(spark: SparkSession, sf: str) -> DataFrame:
+    """Tasks delivered many times: what one trigger brings, each comes through once."""
     tasks = stream(spark, sf).select(F.col("user_id").alias("task_id"), "ts")
     path = scratch(spark)
     S.run_once(S.deduplicated(tasks), path)
-    return spark.read.parquet(f"{path}/out")
+    return spark.read.parquet(f"{path}/out").select("task_id")
 
 
 @query("e6_session_window", "SELECT conv_id, count(*) AS n, min(turn) AS first, array_to_string(list(role ORDER BY turn), ',') AS roles FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations) WHERE b <= 4 GROUP BY conv_id")

@@ -88,9 +88,15 @@ def code_question(spark: SparkSession, sf: str) -> DataFrame:
     return messages(spark).select("id", T.has_any(lower, T.CODE_WORDS).alias("is_code"), pattern.alias("pattern"))
 
 
-@query("p13_garbled_text")
+#: Every tenth document as it looks when it was read in a wrong encoding, every eleventh with box characters.
+_READ = "CASE WHEN doc_id % 10 = 0 THEN replace(text, 'e', 'Ã') WHEN doc_id % 11 = 0 THEN replace(text, 'n', '█') ELSE text END"
+_COUNT = "len(regexp_extract_all(t, '{}'))"
+
+
+@query("p13_garbled_text", rf"WITH x AS (SELECT doc_id, regexp_replace({_READ}, '^\s+|\s+$', '', 'g') AS t FROM documents), c AS (SELECT doc_id, length(t) AS size, {_COUNT.format(r'\S')} AS chars, {_COUNT.format(T.MOJIBAKE + r'|[\x00-\x08\x0b\x0c\x0e-\x1f]')} AS odd, {_COUNT.format('[^' + T.KNOWN_SYMBOLS.replace("'", "''") + ']')} AS symbols FROM x) SELECT doc_id, CASE WHEN size < 24 OR chars = 0 THEN false ELSE odd / chars::DOUBLE > 0.08 OR symbols / chars::DOUBLE > 0.18 END AS garbled FROM c")
 def garbled(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", T.garbled(F.col("text")).alias("garbled"))
+    """Texts with too many signs of a wrong encoding, or symbols that no language uses."""
+    return table(spark, sf, "documents").select("doc_id", F.expr(_READ).alias("text")).select("doc_id", T.garbled(F.col("text")).alias("garbled"))
 
 
 @query("p14_grounding", f"WITH {_M} SELECT id, CASE WHEN {_ANY(_TRIM('text'), T.INSUFFICIENT)} OR id % 3 = 0 THEN 'insufficient_evidence' ELSE 'supported_by_retrieval' END AS status FROM m")
