@@ -139,3 +139,12 @@ def test_items_of_answers(spark):
     assert [r["chunk"] for r in found.where("failed").orderBy("chunk").collect()] == [3, 4, 5]
     assert sorted(map(tuple, imports.graph_nodes(found).collect())) == [("A", "T", 2, ["x"]), ("B", None, 2, [])]
     assert list(map(tuple, imports.graph_relations(found).collect())) == [("A", "B", "is_a", 2)]
+
+
+def test_short_chunks_are_joined_in_linear_time():
+    import time
+
+    assert chunking.join_short(["a", "bb", "cccc", "d", "e" * 9, "f"], 4) == ["a bb", "cccc", "d eeeeeeeee", "f"]
+    began = time.perf_counter()
+    assert len(chunking.join_short(["word"] * 420_000, 100)) == 20_000
+    assert time.perf_counter() - began < 2

@@ -124,14 +124,25 @@ def adjacent_similarity(rows: DataFrame) -> DataFrame:
     return vectors.withColumn("next", after).where("next IS NOT NULL").select("doc_id", "seq", F.round(vector.cosine(F.col("v"), F.col("next")), 6).alias("similarity"))
 
 
+def join_short(parts: list[str], least: int) -> list[str]:
+    """Parts in order, each joined to the one before while that has fewer than `least` characters."""
+    out: list[str] = []
+    for part in parts:
+        if out and len(out[-1]) < least:
+            out[-1] += " " + part
+        else:
+            out.append(part)
+    return out
+
+
 def balanced(parts: Column, least: int) -> Column:
-    """Joins chunks shorter than `least` to the one before, in order."""
+    """join_short for a column of arrays: in Python, as a fold in the JVM would copy the array at each step."""
 
-    def step(acc: Column, part: Column) -> Column:
-        last = F.element_at(acc, -1)
-        return F.when((F.size(acc) > 0) & (F.char_length(last) < least), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(last, F.lit(" "), part)))).otherwise(F.array_append(acc, part))
+    @F.pandas_udf("array<string>")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda own: None if own is None else join_short(list(own), least))
 
-    return F.aggregate(parts, F.array().cast("array<string>"), step)
+    return run(parts)
 
 
 def split_large(chunks: DataFrame, most: int, overlap: int = 50) -> DataFrame:
