@@ -207,11 +207,19 @@ def rank_scores(spark: SparkSession, sf: str) -> DataFrame:
 _LOWQ = """(length(trim(text)) < 40 OR ({sig}) >= 2 OR len(regexp_extract_all(trim(text), '\\p{{L}}')) < 20 OR len(regexp_extract_all(trim(text), '[<>/=]')) > len(regexp_extract_all(trim(text), '\\p{{L}}')) // 2)""".format(sig=" + ".join(f"contains(lower(trim(text)), '{s}')::int" for s in T.BAD_SIGNALS))
 
 
-@query("p8_evidence_gate", _ALL + f", e AS (SELECT q.query_id, f.doc_id, c.low FROM queries q LEFT JOIN (SELECT * FROM fused WHERE rank <= 2) f USING (query_id) LEFT JOIN (SELECT doc_id, {_LOWQ} AS low FROM corpus) c USING (doc_id)) SELECT query_id, count(doc_id) FILTER (WHERE NOT low) AS kept, CASE WHEN count(doc_id) FILTER (WHERE NOT low) > 0 THEN 'ok' ELSE 'low_quality_evidence' END AS status FROM e GROUP BY query_id")
+#: Of four queries one stays as it is, one asks for the weather, one for an overview of poor evidence, and one has poor evidence only.
+_GATED_QUERY = "CASE query_id % 4 WHEN 1 THEN 'weather tomorrow ' || query_id WHEN 2 THEN 'a project overview of ' || query_id ELSE query END"
+_GATED_TEXT = "CASE WHEN query_id % 4 >= 2 THEN left(text, 30) ELSE text END"
+_OFF = "(contains(lower(query), 'weather') AND NOT (contains(lower(text), 'weather') OR contains(lower(text), 'tomorrow') OR (query_id > 9 AND contains(text, query_id::VARCHAR))))"
+
+
+@query("p8_evidence_gate", _ALL + f""", e AS (SELECT q.query_id, {_GATED_QUERY.replace('query_id', 'q.query_id').replace('ELSE query', 'ELSE q.query')} AS query, h.doc_id, h.text FROM queries q LEFT JOIN (SELECT f.query_id, f.doc_id, {_GATED_TEXT.replace('query_id', 'f.query_id').replace('text', 'c.text')} AS text FROM fused f JOIN corpus c ON c.doc_id = f.doc_id WHERE f.rank <= 2) h ON h.query_id = q.query_id),
+c AS (SELECT query_id, any_value(query) AS query, count(doc_id) FILTER (WHERE NOT {_LOWQ} AND NOT {_OFF}) AS kept, count(doc_id) FILTER (WHERE {_LOWQ}) AS low, count(doc_id) FILTER (WHERE NOT {_LOWQ} AND {_OFF}) AS off FROM e GROUP BY query_id)
+SELECT query_id, kept, CASE WHEN contains(lower(query), 'project overview') AND kept = 0 THEN 'insufficient_project_context' WHEN kept > 0 THEN 'ok' WHEN off > 0 AND low = 0 THEN 'irrelevant_evidence' ELSE 'low_quality_evidence' END AS status FROM c""")
 def evidence_gate(spark: SparkSession, sf: str) -> DataFrame:
-    """Counts of good evidence decide a query's status; queries without evidence keep a row."""
-    found = hybrid(spark, sf).where("rank <= 2").join(corpus(spark, sf).select("doc_id", "text"), "doc_id")
-    return recovery.gate(queries(spark, sf), found)
+    """Counts of good evidence decide a query's status, of which each of the four occurs; queries without evidence keep a row."""
+    found = hybrid(spark, sf).where("rank <= 2").join(corpus(spark, sf).select("doc_id", "text"), "doc_id").withColumn("text", F.expr(_GATED_TEXT))
+    return recovery.gate(queries(spark, sf).withColumn("query", F.expr(_GATED_QUERY)), found)
 
 
 @query("a19_context_build", _ALL + " SELECT query_id, string_agg('[' || rank || '] ' || left(c.text, 80), chr(10) ORDER BY rank) AS context FROM fused f JOIN corpus c USING (doc_id) WHERE rank <= 3 GROUP BY query_id")
