@@ -148,3 +148,14 @@ def test_short_chunks_are_joined_in_linear_time():
     began = time.perf_counter()
     assert len(chunking.join_short(["word"] * 420_000, 100)) == 20_000
     assert time.perf_counter() - began < 2
+
+
+def test_grep_globs_sizes_and_budget(spark):
+    from weirloom.operators import graph
+
+    files = [("a/x.py", "hit 1\nno\nhit 2\nhit 3"), ("a/b/y.py", "hit 4"), ("a/z.txt", "hit 5"), ("big.py", "hit " + "x" * 5000), ("c.py", "HIT 6"), ("n.py", None)]
+    df = spark.createDataFrame(files, "path string, text string")
+    got = lambda **m: [(r["path"], r["line_no"]) for r in graph.grep(df, "(?i)hit", **m).orderBy("path", "line_no").collect()]
+    assert got(glob="**.py", largest=100, per_file=2) == [("a/b/y.py", 1), ("a/x.py", 1), ("a/x.py", 3), ("c.py", 1)]
+    assert got(glob="a/*.py") == [("a/x.py", 1), ("a/x.py", 3), ("a/x.py", 4)] and got(glob="?.py") == [("c.py", 1)]
+    assert got(budget=12, largest=100) == [("a/b/y.py", 1), ("a/x.py", 1)] and len(got(most=3)) == 3

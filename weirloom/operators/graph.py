@@ -9,8 +9,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weirloom.operators import patterns
+from weirloom.operators.retrieve import top
 
 
 def merge_nodes(nodes: DataFrame) -> DataFrame:
@@ -68,6 +70,22 @@ def within_hops(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return reached
 
 
+def glob_pattern(glob: str) -> str:
+    """A glob over paths as a regular expression: ** any characters, * and ? none of /."""
+    parts = {"**": ".*", "*": "[^/]*", "?": "[^/]"}
+    return "^" + "".join(parts.get(p) or re.escape(p) for p in re.split(r"(\*\*|\*|\?)", glob) if p) + "$"
+
+
+def grep(files: DataFrame, pattern: str, glob: str = "**", largest: int = 1 << 20, per_file: int = 5, most: int = 50, budget: int = 20_000, clip: int = 200) -> DataFrame:
+    """(path, line_no, line) of files (path, text) by path and line: files of the glob and of at most `largest` bytes, a few lines of each, `most` in all, while the clipped lines take no more than `budget` bytes together."""
+    fit = files.where(F.col("path").rlike(glob_pattern(glob)) & (F.octet_length("text") <= largest))
+    lines = fit.select("path", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.col("line").rlike(pattern))
+    few = top(lines, per_file, ["path"], F.asc("at")).select("path", (F.col("at") + 1).cast("long").alias("line_no"), F.left("line", F.lit(clip)).alias("line"))
+    first = few.orderBy("path", "line_no").limit(most)
+    spent = F.sum(F.octet_length("line")).over(Window.orderBy("path", "line_no"))  # of at most `most` rows
+    return first.withColumn("spent", spent).where(F.col("spent") <= budget).drop("spent")
+
+
 def read_files(requests: DataFrame, files: DataFrame, most: int) -> DataFrame:
     """requests (.., path) with status and the first `most` characters of content, from files (path, text) with unique paths; a path with `..` is denied, whatever it leads to."""
     denied = F.contains("path", F.lit(".."))

@@ -125,13 +125,13 @@ def code_entities(spark: SparkSession, sf: str) -> DataFrame:
     return G.code_graph(spark.createDataFrame(CODE, "source string, content string"))
 
 
-@query("t13_grep", "SELECT doc_id, line_no, line FROM (SELECT *, row_number() OVER (ORDER BY doc_id, line_no) AS every FROM (SELECT doc_id, line_no, left(line, 200) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM (SELECT doc_id, unnest(range(1, 100000)[1:len(string_split(text, chr(10)))]) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '(?i)thnt')) WHERE n <= 5) WHERE every <= 15".replace("range(1, 100000)[1:len(string_split(text, chr(10)))]", "range(1, len(string_split(text, chr(10))) + 1)"))
+@query("t13_grep", r"""WITH f AS (SELECT lang || '/' || source || '/' || doc_id || '.txt' AS path, text FROM documents), l AS (SELECT path, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, unnest(string_split(text, chr(10))) AS line FROM f WHERE regexp_matches(path, '^en/src1[^/]*/.*\.txt$') AND octet_length(encode(text)) <= 6000),
+m AS (SELECT path, line_no, left(line, 200) AS line FROM l WHERE regexp_matches(line, '(?i)thnt') QUALIFY row_number() OVER (PARTITION BY path ORDER BY line_no) <= 5), t AS (SELECT * FROM m ORDER BY path, line_no LIMIT 50)
+SELECT path, line_no, line FROM (SELECT *, sum(octet_length(encode(line))) OVER (ORDER BY path, line_no) AS spent FROM t) WHERE spent <= 3000""")
 def grep(spark: SparkSession, sf: str) -> DataFrame:
-    from weirloom.operators.retrieve import top
-
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.col("line").rlike("(?i)thnt"))
-    few = top(lines, 5, ["doc_id"], F.asc("at"))
-    return few.orderBy("doc_id", "at").limit(15).select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), F.left("line", F.lit(200)).alias("line"))
+    """Lines of the files of a glob, small files only, a few of each, within a budget."""
+    path = F.concat("lang", F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return G.grep(table(spark, sf, "documents").select(path.alias("path"), "text"), "(?i)thnt", "en/src1*/**.txt", 6000, 5, 50, 3000)
 
 
 @query("t14_find", "SELECT page_id, path FROM (SELECT page_id, regexp_extract(url, '://[^/]*([^?#]*)', 1) AS path FROM pages) WHERE regexp_matches(path, '^/(en|fr)/8[^/]*$') OR contains(lower(path), '99') ORDER BY page_id LIMIT 30")
