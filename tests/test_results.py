@@ -159,3 +159,22 @@ def test_grep_globs_sizes_and_budget(spark):
     assert got(glob="**.py", largest=100, per_file=2) == [("a/b/y.py", 1), ("a/x.py", 1), ("a/x.py", 3), ("c.py", 1)]
     assert got(glob="a/*.py") == [("a/x.py", 1), ("a/x.py", 3), ("a/x.py", 4)] and got(glob="?.py") == [("c.py", 1)]
     assert got(budget=12, largest=100) == [("a/b/y.py", 1), ("a/x.py", 1)] and len(got(most=3)) == 3
+
+
+def test_wiki_compile_returns_whole_indexes(spark, tmp_path, monkeypatch):
+    """Indexes of more pages than a block has lines, with repeated pages, ids in two bases and rows without base or id; also against the SQL."""
+    import duckdb
+
+    from weirloom.plans import graphs
+
+    docs = [(i, "en", "x") for i in range(1, 41)] + [(5, "en", "again"), (7, "fr", None), (10, "fr", ""), (50, None, "x"), (51, None, "x"), (None, "en", "x"), (None, None, None), (60, "", "x")]
+    spark.createDataFrame(docs, "doc_id long, lang string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(graphs, "INDEX_LINES", 7, raising=False)
+    got = {r["kb"]: r.asDict() for r in registry.QUERIES["q23_wiki_compile"](spark, str(tmp_path)).collect()}
+    assert got["en"]["index"].split("\n") == sorted(f"en/{i}.md" for i in range(1, 41)) and got["en"]["n_pages"] == 40
+    assert got["fr"]["index"] == "fr/10.md\nfr/7.md" and got[""]["index"] == "/60.md" and got[None]["index"] is None
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    cursor = con.execute(registry.ORACLES["q23_wiki_compile"])
+    columns = [d[0] for d in cursor.description]
+    assert {r[columns.index("kb")]: dict(zip(columns, r)) for r in cursor.fetchall()} == got

@@ -204,11 +204,28 @@ def hits_then_links(spark: SparkSession, sf: str) -> DataFrame:
     return R.top(firsts, 14, ["query_id", "kb"], F.asc("o"), F.asc("id")).select("query_id", "kb", "id", "o")
 
 
-@query("q23_wiki_compile", f"WITH {_PAGES}, {_LINKS} SELECT w.kb, count(DISTINCT w.id) AS n_pages, count(l.target_path) AS n_links, count(p.id) AS n_resolved FROM wp w JOIN wl l ON l.id = w.id LEFT JOIN wp p ON p.kb = l.kb AND p.path = l.target_path GROUP BY w.kb")
+#: Lines of an index that one row joins before the rows of a base are joined.
+INDEX_LINES = 10_000
+
+
+def index_blocks(pages: DataFrame) -> DataFrame:
+    """(kb, block, lines): the paths of each base once and in order, INDEX_LINES to a row."""
+    paths = pages.where("path IS NOT NULL").select("kb", "path").distinct()
+    block = F.floor((F.col("n") - 1) / INDEX_LINES).alias("block")
+    return R.numbered(paths, ["kb"], "path").groupBy("kb", block).agg(F.expr(r"listagg(path, '\n') WITHIN GROUP (ORDER BY n)").alias("lines"))
+
+
+@query("q23_wiki_compile", f"WITH {_PAGES}, {_LINKS} SELECT w.kb, count(DISTINCT w.id) AS n_pages, count(l.target_path) AS n_links, count(p.id) AS n_resolved, string_agg(DISTINCT w.path, chr(10) ORDER BY w.path) AS index FROM wp w JOIN wl l ON l.id = w.id LEFT JOIN wp p ON p.kb = l.kb AND p.path = l.target_path GROUP BY w.kb")
 def wiki_compile(spark: SparkSession, sf: str) -> DataFrame:
+    """Each base's pages, links and resolved links, and its index page: one text, joined from blocks of lines. Pages without links count, repeated ones once."""
     pages, _ = wiki(spark, sf)
-    links = link_resolution(spark, sf).groupBy("id").agg(F.count("*").alias("n"), F.count("target_id").alias("r"))
-    return pages.join(links, "id").groupBy("kb").agg(F.count("*").alias("n_pages"), F.sum("n").alias("n_links"), F.sum("r").alias("n_resolved"))
+    links = pages.select("id", "kb", F.explode_outer(T.wiki_links(F.col("links"))).alias("target_path")).distinct()
+    target = pages.select("kb", F.col("path").alias("target_path"), F.col("id").alias("target_id"))
+    found = links.join(target, ["kb", "target_path"], "left").groupBy("id").agg(F.count("target_path").alias("n"), F.count("target_id").alias("r"))
+    counts = pages.join(found, "id").groupBy("kb").agg(F.count_distinct("id").alias("n_pages"), F.sum("n").alias("n_links"), F.sum("r").alias("n_resolved"))
+    # a union, since a join could broadcast the texts
+    rows = counts.unionByName(index_blocks(pages), allowMissingColumns=True).groupBy("kb")
+    return rows.agg(*(F.max(c).alias(c) for c in ("n_pages", "n_links", "n_resolved")), F.expr(r"listagg(lines, '\n') WITHIN GROUP (ORDER BY block)").alias("index"))
 
 
 @query("q23_wiki_index", f"WITH {_PAGES} SELECT kb, row_number() OVER (PARTITION BY kb ORDER BY path) AS place, '- [[' || path || ']]' AS line FROM wp")
