@@ -67,6 +67,12 @@ def test_held_out_accuracy(spark):
     assert (out[[f"p_{d}" for d in mixing.DOMAINS]].to_numpy().argmax(axis=1) == truth).mean() > 0.95
 
 
+def test_repeated_ids_do_not_enlarge_the_sample(spark):
+    docs, labels = tables(spark)
+    one, many = mixing.fit(docs, labels), mixing.fit(docs.union(docs).union(docs), labels)
+    assert np.array_equal(one.slot, many.slot) and np.allclose(one.gain, many.gain) and np.allclose(one.base, many.base)
+
+
 def test_nulls_empty_and_no_labels(spark):
     docs, labels = tables(spark)
     odd = spark.createDataFrame([(None, None, None), (1, "", "y"), (1, "", "y")], docs.schema)

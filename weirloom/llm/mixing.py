@@ -107,7 +107,9 @@ def domain(quality: Column, toxic: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> Classifier:
     own = labels.select(F.col(key).alias("x_key"), domain(F.col("quality"), F.col("toxic")).alias("x_domain")).where("x_key IS NOT NULL AND x_domain IS NOT NULL")
     own = own.groupBy("x_key").agg(F.max("x_domain").alias("x_domain")).orderBy(F.xxhash64("x_key"), "x_key").limit(rows)
-    sample = docs.select(F.col(key).alias("x_key"), F.col(text).alias("x_text")).join(F.broadcast(own), "x_key").select("x_domain", "x_text")
+    # one row a key, of those that share it the one of the smallest text: the driver gets `rows` rows at most
+    sample = docs.select(F.col(key).alias("x_key"), F.col(text).alias("x_text")).join(F.broadcast(own), "x_key").groupBy("x_key").agg(F.first("x_domain").alias("x_domain"), F.min("x_text").alias("x_text"))
+    sample = durable(sample, "sample")
     k = len(DOMAINS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,9 +144,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 slot = out.slot[found]
                 row, slot = row[slot >= 0], slot[slot >= 0].astype(np.int16)
                 at = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("x_domain"), pa.ListArray.from_arrays(pa.array(at), pa.array(slot))], ["x_domain", "slots"])
+                yield pa.RecordBatch.from_arrays([part.column("x_key"), part.column("x_domain"), pa.ListArray.from_arrays(pa.array(at), pa.array(slot))], ["x_key", "x_domain", "slots"])
 
-    rows_ = sample.mapInArrow(present, "x_domain int, slots array<smallint>").toArrow().combine_chunks()  # bounded: SAMPLE_ROWS rows
+    rows_ = sample.select(F.col("x_key").cast("string").alias("x_key"), "x_domain", "x_text").mapInArrow(present, "x_key string, x_domain int, slots array<smallint>").orderBy("x_key").toArrow().combine_chunks()  # bounded: SAMPLE_ROWS rows
     slots = rows_.column("slots").combine_chunks()
     sizes = np.diff(slots.offsets.to_numpy())
     out.train(np.repeat(np.arange(len(sizes)), sizes), slots.flatten().to_numpy().astype(np.int64), rows_.column("x_domain").to_numpy().astype(np.int64))
