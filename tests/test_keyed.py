@@ -4,6 +4,7 @@ import datetime
 import random
 import time
 
+import pandas as pd
 import pytest
 
 from weirloom.streaming import keyed
@@ -70,3 +71,38 @@ def test_approvals_expire_by_timer(spark, tmp_path, cut):
         if x["id"] in (2, 4, 8) and x["status"] == "expired":
             assert x["at_ms"] == {2: 70, 4: 90, 8: 160}[x["id"]] * 60_000 + int(T0.replace(tzinfo=datetime.UTC).timestamp() * 1000)
     assert found == {1: "approved", 2: "expired", 4: "expired", 6: "rejected", 8: "expired", 9: "pending", 10: "pending"}
+
+
+def test_approvals_touch_their_state_once_a_batch():
+    class State:
+        """What the engine hands over for a key, with a count of writes."""
+
+        value, hasTimedOut, now, writes, timeout = None, False, 0, 0, None
+        exists = property(lambda self: self.value is not None)
+        get = property(lambda self: self.value)
+
+        def getCurrentWatermarkMs(self):
+            return self.now
+
+        def setTimeoutTimestamp(self, ms):
+            self.timeout = ms
+
+        def update(self, value):
+            self.value, self.writes = value, self.writes + 1
+
+        def remove(self):
+            self.value, self.writes = None, self.writes + 1
+
+    state, run = State(), keyed.Approvals(10)
+    rows = pd.DataFrame({"id": range(5000), "us": [i * 1000 for i in range(5000)], "action": ["write" if i % 2 else "delete" for i in range(5000)], "decision": ["approve" if i % 7 == 0 else "request" for i in range(5000)]})
+    (out,) = run((1,), iter([rows[2500:], rows[:2500]]), state)  # Arrow batches in any order
+    assert state.writes == 1
+    last = {x.id: x.status for x in out.itertuples()}  # a request's later row is its outcome
+    nearest = lambda i: next((j for j in range(i + 1, 5000) if j % 7 == 0 and (j - i) % 2 == 0), None)
+    want = {i: "pending" if nearest(i) is None else "approved" if nearest(i) - i <= 10 else "expired" for i in range(5000) if i % 7}
+    assert last == want and "expired" in want.values() and "pending" in want.values()
+    left = sorted(i for i, s in want.items() if s == "pending")
+    assert sorted(state.value[0]) == left and state.timeout == left[0] + 9
+    state.hasTimedOut, state.now = True, left[-1] + 10
+    (out,) = run((1,), iter([]), state)
+    assert sorted(out["id"]) == left and set(out["status"]) == {"expired"} and state.value is None

@@ -1,7 +1,7 @@
 """Keyed state with expiry: task states, session windows, approvals.
 
 Each processor keeps typed state for its key in RocksDB, so state is bounded by live keys and
-not by memory, and ends by itself: values and lists by a time to live, approvals by a timer in
+not by memory, and ends by itself: values and lists by a time to live, approvals by a time-out in
 event time. Streams run in update mode: a batch writes what has changed to a log, a folder a
 batch, so a batch that is repeated after a failure writes the same folder again and nothing is
 ever rewritten. `latest` reads a log as a table.
@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 #: Stages of an import task; the last two end it.
@@ -88,52 +89,50 @@ def action_hash(action: str, user: int) -> str:
     return hashlib.sha256(f"{action}:{user}".encode()).hexdigest()
 
 
-class Approvals(StatefulProcessor):
-    """A user's open requests by id, each with a timer; a decision settles those of its action that have not expired."""
+class Approvals:
+    """A user's open requests; a decision settles those of its action that have not expired, the watermark expires the rest.
 
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
+    A key's batch is one call: its open requests come with its rows and go back as one value, with a time-out at the
+    earliest expiry. A state variable and a timer for each request would cost a call to the engine for each of them.
+    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getMapState("open", "id long", "hash string, expires long")
+    STATE = "ids array<long>, actions array<string>, expires array<long>"
+    OUT = "id long, user_id long, action_hash string, status string, at_ms long"
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        for row in _rows(rows, "ts", "id"):
-            now = row.ts.value // 1_000_000
-            own = action_hash(row.action, key[0])
-            if row.decision == "request":
-                self.open.updateValue((int(row.id),), (own, now + self.ttl_ms))
-                self.handle.registerTimer(now + self.ttl_ms)
-                out.append((row.id, own, "pending", now))
-                continue
-            status = "approved" if row.decision == "approve" else "rejected"
-            for (one,), (their, expires) in list(self.open.iterator()):
-                if their == own:
-                    out.append((one, their, status, now) if now <= expires else (one, their, "expired", expires))
-                    self.open.removeKey((one,))
-        yield self.frame(key[0], out)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        gone = [(one, their, "expired", expires) for (one,), (their, expires) in list(self.open.iterator()) if expires <= at]
-        for one, *_ in gone:
-            self.open.removeKey((one,))
-        yield self.frame(key[0], gone)
-
-    def frame(self, user: int, rows: list[tuple]) -> pd.DataFrame:
-        columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-        return pd.DataFrame({"id": pd.array(columns[0], "int64"), "user_id": pd.array([user] * len(rows), "int64"), "action_hash": pd.array(columns[1], "string"), "status": pd.array(columns[2], "string"), "at_ms": pd.array(columns[3], "int64")})
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
 
-    def close(self) -> None:
-        pass
+    def __call__(self, key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, out = state.getCurrentWatermarkMs(), []
+        held: dict[str, dict[int, int]] = {}  # by action: request and expiry
+        for one, action, expires in zip(*state.get, strict=True) if state.exists else ():
+            held.setdefault(action, {})[one] = expires
+        if not state.hasTimedOut:
+            rows = pd.concat(list(parts)).sort_values(["us", "id"], kind="stable")
+            for one, ms, action, decision in zip(rows["id"].tolist(), (rows["us"] // 1000).tolist(), rows["action"].tolist(), rows["decision"].tolist(), strict=True):
+                if decision == "request":
+                    held.setdefault(action, {})[one] = ms + self.ttl_ms
+                    out.append((one, action, "pending", ms))
+                    continue
+                status = "approved" if decision == "approve" else "rejected"
+                out += [(open_, action, status, ms) if ms <= expires else (open_, action, "expired", expires) for open_, expires in held.pop(action, {}).items()]
+        out += [(one, action, "expired", expires) for action, own in held.items() for one, expires in own.items() if expires <= now]
+        left = [(one, action, expires) for action, own in held.items() for one, expires in own.items() if expires > now]
+        if left:
+            state.update(tuple(list(c) for c in zip(*left, strict=True)))
+            state.setTimeoutTimestamp(max(min(expires for _, _, expires in left) - 1, now, 1))  # it fires when the watermark is above
+        elif state.exists:
+            state.remove()
+        if out:
+            ids, actions, status, at = zip(*out, strict=True)
+            hashes = {a: action_hash(a, key[0]) for a in set(actions)}
+            yield pd.DataFrame({"id": ids, "user_id": key[0], "action_hash": [hashes[a] for a in actions], "status": status, "at_ms": at})
 
 
 def approvals(events: DataFrame, ttl_ms: int, late: str = "0 seconds") -> DataFrame:
     """events (user_id, id, ts, action, decision: request, approve or reject) -> id, user_id, action_hash, status, at_ms, whenever a request is made or settled."""
-    out = "id long, user_id long, action_hash string, status string, at_ms long"
-    return events.withWatermark("ts", late).groupBy("user_id").transformWithStateInPandas(Approvals(ttl_ms), out, "update", "EventTime")
+    timed = events.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    return timed.groupBy("user_id").applyInPandasWithState(Approvals(ttl_ms), Approvals.OUT, Approvals.STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 @contextmanager
