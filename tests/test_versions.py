@@ -70,3 +70,16 @@ def test_cache_embeds_what_is_new_or_expired(spark, tmp_path):
     before = store.version()
     ingest.compact_cache(store, 120, 100)
     assert store.read("cache").count() == 3 and store.read("cache", before).count() == 5 and run(["ab", "d"], 121)[1] == 0
+
+
+def test_sync_writes_contents_once(spark, tmp_path, monkeypatch):
+    kept = []
+    monkeypatch.setattr(ingest, "durable", lambda rows, own=ingest.durable: (kept.append(rows.columns), own(rows))[1])
+    store = Store(spark, f"file://{tmp_path}", buckets=2)
+    given = [(i, f"a{i}\nb\nb") for i in range(8)]
+    for rows in (given, given[2:] + [(0, "b\nc"), (9, "d")]):
+        ingest.sync(store, spark.createDataFrame(rows, "doc long, text string"), "kb", vector.letter_frequencies)
+    assert kept and not any({"content", "text", "vec"} & set(c) for c in kept)
+    assert store.read("chunks").columns == store.read("chunks", 1).columns == ["doc", "seq", "content", "hash", "occurrence", "chunk_id"]
+    assert sorted(map(tuple, store.read("chunks").where("doc IN (0, 9)").select("doc", "content").collect())) == [(0, "b"), (0, "c"), (9, "d")]
+    assert store.read("chunks").count() == store.read("vectors").count() == 21

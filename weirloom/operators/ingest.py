@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weirloom.sources.sinks import durable
-from weirloom.sources.versions import Store
+from weirloom.sources.versions import BUCKET, Store
 
 
 def chunk_id(kb: Column, doc: Column, digest: Column, occurrence: Column) -> Column:
@@ -17,9 +17,9 @@ def chunk_id(kb: Column, doc: Column, digest: Column, occurrence: Column) -> Col
     return F.sha2(F.concat_ws("|", kb.cast("string"), doc.cast("string"), digest, occurrence.cast("string")), 256)
 
 
-def occurrences(chunks: DataFrame) -> DataFrame:
-    """chunks (doc, seq, hash) with the number of equal chunks before each in its document."""
-    return chunks.withColumn("occurrence", F.row_number().over(Window.partitionBy("doc", "hash").orderBy("seq")) - 1)
+def occurrences(chunks: DataFrame, *dealt: str) -> DataFrame:
+    """chunks (doc, seq, hash) with the number of equal chunks before each in its document; dealt: columns that follow from doc and that the rows are dealt by."""
+    return chunks.withColumn("occurrence", F.row_number().over(Window.partitionBy(*dealt, "doc", "hash").orderBy("seq")) - 1)
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -74,24 +74,40 @@ def sync(store: Store, docs: DataFrame, kb: str, embed: Callable[[Column], Colum
     states = durable(both.select("doc", "digest", state.alias("state")))
     touched = states.where("state <> 'skipped'").select("doc")
     buckets = sorted(r["b"] for r in touched.select(store.bucket(F.col("doc")).alias("b")).distinct().collect())  # of a fixed number
-    fresh = chunks(docs.join(touched, "doc", "left_semi"))
-    fresh = durable(occurrences(fresh).withColumn("chunk_id", chunk_id(F.lit(kb), F.col("doc"), F.col("hash"), F.col("occurrence"))))
+    changed = docs if version == 0 else docs.join(touched, "doc", "left_semi")
+    # whole texts are dealt by bucket, and their chunks are cut, numbered and written where they are
+    bucket = store.bucket(F.col("doc"))
+    fresh = occurrences(chunks(changed.repartition(bucket)).withColumn(BUCKET, bucket), BUCKET)
+    fresh = fresh.withColumn("chunk_id", chunk_id(F.lit(kb), F.col("doc"), F.col("hash"), F.col("occurrence")))
     held, vectors = (store.read(n, version, buckets) for n in ("chunks", "vectors"))
-    held = spark.createDataFrame([], fresh.schema) if held is None else held
-    ours = held.join(touched, "doc", "left_semi")
+    first = held is None
+    held = spark.createDataFrame([], fresh.drop(BUCKET).schema) if first else held
+    ours = held.join(touched, "doc", "left_semi").select("chunk_id", "doc", "hash")
     whole = ours.where("hash IS NULL").select("doc").distinct()
-    old = ours.join(whole, "doc", "left_anti").select("chunk_id", F.lit(True).alias("was"))
-    marked = durable(fresh.join(old, "chunk_id", "left").withColumn("was", F.coalesce("was", F.lit(False))))
-    rest = held.join(touched, "doc", "left_anti")
-    added = marked.where("NOT was").select("chunk_id", "doc", embed(F.col("content")).alias("vec"))
-    if vectors is None:
-        vectors = spark.createDataFrame([], added.schema)
-    stay = rest.select("chunk_id").union(marked.where("was").select("chunk_id"))
+    marked = None
     if buckets:
+        # contents are written once, as the new version's chunks, and all else is read from there
+        commit.put("chunks", fresh, "doc", buckets, dealt=True)
+        if not first:
+            commit.add("chunks", held.join(touched, "doc", "left_anti"), "doc")
+        written = commit.read("chunks", buckets)
+        if first:
+            marked, new = written.select("doc", F.lit(False).alias("was")), written
+        else:
+            old = ours.join(whole, "doc", "left_anti").select("chunk_id", F.lit(True).alias("was"))
+            marked = written.select("chunk_id", "doc").join(touched, "doc", "left_semi").join(old, "chunk_id", "left")
+            marked = durable(marked.withColumn("was", F.coalesce("was", F.lit(False))))
+            new = written.join(marked.where("NOT was").select("chunk_id"), "chunk_id", "left_semi")
+        added = new.select("chunk_id", "doc", embed(F.col("content")).alias("vec"))
         commit.put("documents", states.where("state <> 'deleted'").where(store.bucket(F.col("doc")).isin(buckets)).select("doc", "digest"), "doc", buckets)
-        commit.put("chunks", rest.unionByName(marked.drop("was")), "doc", buckets)
-        commit.put("vectors", vectors.join(stay, "chunk_id", "left_semi").unionByName(added), "doc", buckets)
+        if first or vectors is None:
+            commit.put("vectors", added, "doc", buckets, dealt=True)
+        else:
+            gone = ours.select("chunk_id").join(marked.where("was").select("chunk_id"), "chunk_id", "left_anti")
+            commit.put("vectors", vectors.join(gone, "chunk_id", "left_anti").unionByName(added), "doc", buckets)
         commit.commit()
+    if marked is None:
+        marked = spark.createDataFrame([], fresh.select("doc", F.lit(False).alias("was")).schema)
     n_old = ours.groupBy("doc").agg(F.count("*").alias("old"))
     n_new = marked.groupBy("doc").agg(F.count_if(~F.col("was")).alias("added"), F.count_if("was").alias("retained"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))

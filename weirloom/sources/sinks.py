@@ -28,7 +28,7 @@ def scratch(spark: SparkSession) -> str:
 def durable(rows: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder, read back: a cut of the lineage that outlives executors."""
     path, schema = scratch(rows.sparkSession), rows.schema
-    rows.write.parquet(path)
+    rows.write.option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.schema(schema).parquet(path)
 
 

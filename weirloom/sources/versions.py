@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 32
+#: The column that folders of a table are named by.
+BUCKET = "_bucket"
 
 
 class Conflict(RuntimeError):
@@ -54,7 +56,10 @@ class Store:
 
     def read(self, name: str, version: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
         """A table as of a version, the last one unless told otherwise, of all or some buckets."""
-        folders = self.manifest(version).get(name)
+        return self.table(self.manifest(version).get(name), buckets)
+
+    def table(self, folders: dict[str, list[str]] | None, buckets: list[int] | None = None) -> DataFrame | None:
+        """The table that a manifest's folders make, or None for none."""
         if folders is None:
             return None
         schema, parts = folders["schema"][0], [f for b, fs in folders.items() if b != "schema" and (buckets is None or int(b) in buckets) for f in fs]
@@ -72,18 +77,24 @@ class Commit:
     def __init__(self, store: Store, base: int):
         self.store, self.base, self.tables = store, base, store.manifest(base)
 
-    def _write(self, name: str, rows: DataFrame, key: str) -> dict[str, list[str]]:
+    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame | None:
+        """A table as it will be with the changes so far, before they are visible to others."""
+        return self.store.table(self.tables.get(name), buckets)
+
+    def _write(self, name: str, rows: DataFrame, key: str, dealt: bool = False) -> dict[str, list[str]]:
+        """dealt: a task's rows are of few buckets already, by their column BUCKET or as they were read from them, so nothing is shuffled."""
         folder, s = f"data/{name}/{uuid.uuid4().hex}", self.store
-        rows.withColumn("_bucket", s.bucket(F.col(key))).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{s.path}/{folder}")
+        rows = rows if BUCKET in rows.columns else rows.withColumn(BUCKET, s.bucket(F.col(key)))
+        (rows if dealt else rows.repartition(BUCKET)).write.option("compression", "zstd").partitionBy(BUCKET).parquet(f"{s.path}/{folder}")
         files, path = s._file(folder)
         made = [f.getPath().getName() for f in files.listStatus(path)]
         return {n.removeprefix("_bucket="): [f"{folder}/{n}"] for n in made if n.startswith("_bucket=")}
 
-    def put(self, name: str, rows: DataFrame, key: str, buckets: list[int] | None = None) -> Commit:
+    def put(self, name: str, rows: DataFrame, key: str, buckets: list[int] | None = None, dealt: bool = False) -> Commit:
         """The table's rows, or those of some buckets, from now on."""
         kept = {b: f for b, f in self.tables.get(name, {}).items() if buckets is not None and (b == "schema" or int(b) not in buckets)}
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-        self.tables[name] = kept | self._write(name, rows, key) | {"schema": [schema]}
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != BUCKET)
+        self.tables[name] = kept | self._write(name, rows, key, dealt) | {"schema": [schema]}
         return self
 
     def add(self, name: str, rows: DataFrame, key: str) -> Commit:
