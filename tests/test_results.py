@@ -87,6 +87,29 @@ def test_adjacent_similarity(spark):
         assert abs(r["similarity"] - (sum(x * y for x, y in zip(a, b)) / size if size else 0)) < 2e-6
 
 
+def test_similarities_need_no_window_over_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from weirloom.functions import text as T
+
+    given = [(1, "One two. Three İx! Four 7. \u212aelvin?"), (2, None), (3, "12. 34. 56."), (4, "Lone"), (5, "Ab. ba! 甲乙。Cc.\nd")]
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    for made in (chunking.adjacent_similarity(docs), chunking.semantic(docs)):
+        assert "Window" not in made._jdf.queryExecution().toString()
+    monkeypatch.setattr(chunking, "SLICE_BYTES", 10)  # texts longer than a slice, slices of one text
+    rows = {r["doc_id"]: r["s"] for r in docs.selectExpr("doc_id", "text").select("doc_id", T.sentences(F.col("text")).alias("s")).collect()}
+    want = {}
+    for d, s in rows.items():
+        around = [" ".join(s[max(i - 1, 0) : i + 2]).lower() for i in range(len(s or []))]
+        v = [[a.count(chr(97 + i)) for i in range(26)] for a in around]
+        for i, (a, b) in enumerate(zip(v, v[1:])):
+            size = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+            want[d, i] = sum(x * y for x, y in zip(a, b)) / size if size else 0.0
+    got = {(r["doc_id"], r["seq"]): r["similarity"] for r in chunking.adjacent_similarity(docs).collect()}
+    assert set(got) == set(want) and {d for d, _ in got} == {1, 3, 5} and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    assert {d for d, in chunking.semantic(docs).select("doc_id").collect()} == {1, 3, 4, 5}
+
+
 def test_rate_limit_against_a_plain_bucket(spark):
     events = [(r["user_id"] % 10, r["ts"].timestamp(), r["event_id"]) for r in spark.read.parquet(f"{SF}/events.parquet").selectExpr("user_id", "CAST(ts AS timestamp) AS ts", "event_id").collect()]
     want, state = {}, {}

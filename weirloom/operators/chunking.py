@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weirloom.functions import vector
 from weirloom.functions.text import sentences
 from weirloom.operators.retrieve import spread
 
@@ -117,11 +119,70 @@ def contextual(text: Column, context: Column) -> Column:
     return F.concat(F.lit("[上下文: "), context, F.lit("]\n"), text)
 
 
-def adjacent_similarity(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, seq, around) with the similarity of each window's letters to the next's."""
-    vectors = rows.select("doc_id", "seq", vector.letter_frequencies(F.col("around")).alias("v"))
-    after = F.lead("v").over(Window.partitionBy("doc_id").orderBy("seq"))
-    return vectors.withColumn("next", after).where("next IS NOT NULL").select("doc_id", "seq", F.round(vector.cosine(F.col("v"), F.col("next")), 6).alias("similarity"))
+#: Bytes of sentences that one pass of array operations takes at most, but for a longer single text.
+SLICE_BYTES = 1 << 20
+
+
+def letter_counts(sentences: pa.Array) -> np.ndarray:
+    """How often each of a to z is in each sentence, without regard to case."""
+    lower = pc.utf8_lower(sentences).cast(pa.large_binary())
+    offsets = np.frombuffer(lower.buffers()[1], np.int64)[lower.offset : lower.offset + len(lower) + 1]
+    data = np.frombuffer(lower.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    row = np.repeat(np.arange(len(lower)), np.diff(offsets))
+    letter = (data >= 97) & (data <= 122)
+    return np.bincount(row[letter] * 26 + (data[letter].astype(np.int64) - 97), minlength=26 * len(lower)).reshape(-1, 26)
+
+
+def neighbour_similarity(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Cosine of the letter shares of each sentence's window (with the ones before and after it) and of its predecessor's; at a text's first sentence it means nothing.
+
+    A window's letters are those of its sentences. Terms are added from a to z, as `vector.cosine` does.
+    """
+    first = np.zeros(len(counts), bool)
+    first[starts[starts < len(counts)]] = True
+    around = counts.copy()
+    around[1:] += np.where(first[1:, None], 0, counts[:-1])
+    around[:-1] += np.where(first[1:, None], 0, counts[1:])
+    n = around.sum(axis=1)
+    shares = np.where(n[:, None] > 0, around / np.maximum(n, 1)[:, None], 0.0)
+    norm, dot = np.zeros(len(counts)), np.zeros(max(len(counts) - 1, 0))
+    for k in range(26):
+        norm += shares[:, k] * shares[:, k]
+        dot += shares[1:, k] * shares[:-1, k]
+    norm = np.sqrt(norm)
+    size = norm[1:] * norm[:-1]
+    return np.concatenate([np.zeros(min(len(counts), 1)), np.where(size > 0, dot / np.where(size > 0, size, 1.0), 0.0)])
+
+
+def _similar(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray, np.ndarray]]:
+    """Row ranges of a batch with a column `sentences`: each with its sentences, their offsets by row and the similarity of each to the one before."""
+    lists = batch.column(batch.schema.get_field_index("sentences"))
+    lists = lists.fill_null([]) if lists.null_count else lists
+    offsets, every = lists.offsets.to_numpy(), lists.values
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(every).to_numpy(zero_copy_only=False))])[offsets] if len(every) else np.zeros(len(offsets), np.int64)
+    at = 0
+    while at < batch.num_rows:
+        to = min(max(int(np.searchsorted(ends, ends[at] + SLICE_BYTES, "right")) - 1, at + 1), batch.num_rows)
+        own = every.slice(offsets[at], offsets[to] - offsets[at])
+        places = offsets[at : to + 1] - offsets[at]
+        yield batch.slice(at, to - at), own, places, neighbour_similarity(letter_counts(own), places[:-1])
+        at = to
+
+
+def adjacent_similarity(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, seq, similarity of the letters around a sentence to those around the next; a text is one row, so nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, own, places, similarity in _similar(batch):
+                sizes = np.diff(places)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                seq = np.arange(len(own)) - places[row]
+                later = seq > 0
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row[later])), pa.array(seq[later] - 1, pa.int32()), pa.array(similarity[later])], ["doc_id", "seq", "similarity"])
+
+    found = spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), sentences(F.col("text")).alias("sentences")).mapInArrow(run, "doc_id long, seq int, similarity double")
+    return found.select("doc_id", "seq", F.round("similarity", 6).alias("similarity"))
 
 
 def join_short(parts: list[str], least: int) -> list[str]:
@@ -160,23 +221,26 @@ def split_large(chunks: DataFrame, most: int, overlap: int = 50) -> DataFrame:
 
 def semantic(docs: DataFrame, share: float = 0.25, least: int = 100, most: int = 1000) -> DataFrame:
     """Chunks of sentences, cut where neighbouring windows are among the least similar share of a document; small ones join the next, large ones are split. Fewer than three sentences are split recursively."""
-    enough = F.size(sentences(F.col("text"))) >= 3
-    few = recursive(docs.where(~F.coalesce(enough, F.lit(False))), most, 50)
-    docs = docs.where(enough)
-    rows = spread(docs, "doc_id").select("doc_id", F.posexplode(sentences(F.col("text"))).alias("seq", "sentence"))
-    order = Window.partitionBy("doc_id").orderBy("seq")
-    around = F.array_join(F.collect_list("sentence").over(order.rowsBetween(-1, 1)), " ")
-    rows = rows.withColumn("around", around).withColumn("v", vector.letter_frequencies(F.col("around"))).withColumn("before", F.lag("v").over(order))
-    rows = rows.withColumn("similarity", F.when(F.col("before").isNotNull(), vector.cosine(F.col("v"), F.col("before"))))
-    # the similarity at place floor(n * share) of a document's sorted ones, by a rank and a count
-    every = Window.partitionBy("doc_id")
-    rows = rows.withColumns({"place": F.row_number().over(every.orderBy(F.asc_nulls_last("similarity"), "seq")), "n": F.count("similarity").over(every)})
-    rows = rows.withColumn("limit", F.max(F.when(F.col("place") == F.floor(F.col("n") * share) + 1, F.col("similarity"))).over(every))
-    group = F.sum(F.when(F.col("similarity") <= F.col("limit"), 1).otherwise(0)).over(order)
-    chunks = rows.withColumn("part", group).groupBy("doc_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "sentence"))), lambda s: s["sentence"]), " ").alias("chunk"))
-    whole = chunks.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "chunk"))), lambda c: c["chunk"]).alias("chunks"))
-    chunks = whole.select("doc_id", F.posexplode(balanced(F.col("chunks"), least)).alias("seq", "chunk"))
-    return split_large(chunks, most).union(few)
+
+    def cut(own: list[str], similarity: np.ndarray) -> list[str]:
+        limit = np.sort(similarity[1:])[int((len(own) - 1) * share)]
+        starts = [0, *(np.flatnonzero(similarity[1:] <= limit) + 1).tolist()]
+        parts = [" ".join(own[a:b]) for a, b in zip(starts, [*starts[1:], len(own)], strict=True)]
+        return [c for chunk in join_short(parts, least) for c in (split_recursive(chunk, most, 50) if len(chunk) > most else [chunk])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, own, places, similarity in _similar(batch):
+                texts, every, bounds = part.column("text").to_pylist(), own.to_pylist(), places.tolist()
+                made = [cut(every[a:b], similarity[a:b]) if b - a >= 3 else split_recursive(t or "", most, 50) for t, a, b in zip(texts, bounds, bounds[1:])]
+                sizes = np.array([len(m) for m in made], np.int64)
+                row = np.repeat(np.arange(len(made)), sizes)
+                seq = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(seq, pa.int32()), pa.array([c for m in made for c in m], pa.string())], ["doc_id", "seq", "chunk"])
+
+    rows = spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", sentences(F.col("text")).alias("sentences"))
+    enough = F.size("sentences") >= 3  # their texts are not needed beside their sentences
+    return rows.select("doc_id", F.when(enough, None).otherwise(F.col("text")).alias("text"), "sentences").mapInArrow(run, "doc_id long, seq int, chunk string")
 
 
 def dispatched(docs: DataFrame, size: int, overlap: int) -> DataFrame:

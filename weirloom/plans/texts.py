@@ -214,7 +214,7 @@ def sentence_window(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("w5_adjacent_similarity")
 def adjacent_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.adjacent_similarity(sentence_window(spark, sf))
+    return chunking.adjacent_similarity(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 @query("c5_semantic_chunks")
